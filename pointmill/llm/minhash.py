@@ -18,6 +18,8 @@ BANDS, ROWS = 10, 4
 #: Words are counted in this many hash buckets, so the table of document frequencies has a fixed size (1 MB).
 DF_BUCKETS = 1 << 18
 STAR_ROUNDS = 3
+#: Open buckets of up to so many members list their pairs; larger ones meet in blocks of about BLOCK members.
+PAIRS_UP_TO, BLOCK = 16, 64
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,6 +110,33 @@ def inverse_document_frequencies(docs: DataFrame) -> np.ndarray:
     return np.log((1 + total) / (1 + df)) + 1
 
 
+def _links_between(key: int, left: list, right: list, same: bool, idf: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Component pairs that two blocks of the bucket ``key`` link; pairs that an earlier band has in common are left to it."""
+    k, m = np.array([r["keys"] for r in left]), np.array([r["keys"] for r in right])
+    equal = k[:, None, :] == m[None, :, :]
+    here = np.take_along_axis(np.broadcast_to(k[:, None, :], equal.shape), equal.argmax(2)[:, :, None], 2)[:, :, 0] == key
+    a, b = (np.array([r["component"] for r in rows]) for rows in (left, right))
+    todo = here & (a[:, None] != b[None, :])
+    if same:
+        todo &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+    s = [_shingles(word_hashes(r["text"]), idf) for r in left]
+    t = s if same else [_shingles(word_hashes(r["text"]), idf) for r in right]
+    joined: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in joined:
+            c = joined[c]
+        return c
+
+    found = []
+    for i, j in zip(*np.nonzero(todo)):
+        u, v = top(int(a[i])), top(int(b[j]))
+        if u != v and weighted_jaccard(s[i], t[j]) >= similarity:
+            joined[max(u, v)] = min(u, v)
+            found.append((int(a[i]), int(b[j])))
+    return found
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document of (doc_id, text): doc_id, copy_of, class_id, kept.
 
@@ -120,8 +149,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     columns beyond doc_id and text are ignored. Very long texts are sampled in slices, never cut.
 
     Exact copies are collapsed first. Within a bucket no pairs are listed: three rounds compare everyone outside a pivot's
-    component with that pivot, then only members that are still in different components of a bucket meet each other, so
-    every pair of a bucket is either verified or already joined.
+    component with that pivot, then only buckets with members in different components stay open. Their members meet each other:
+    in small buckets by pairs, in larger ones by blocks, each pair of blocks in one row that yields links only. So every pair of a
+    bucket is either verified or already joined, and no task gets more of a bucket than two blocks at once.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -159,28 +189,48 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     labels = entries.select("id").distinct().withColumn("component", F.col("id"))
 
-    def joined(pairs: DataFrame, labels: DataFrame) -> DataFrame | None:
-        """Labels after verifying the pairs (a, ca, b, cb); None if there are no pairs."""
-        pairs = materialize(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            return None
-        a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        links = pairs.join(a, "a").join(b, "b").mapInPandas(verify, "ca long, cb long")
+    def relabel(links: DataFrame, labels: DataFrame) -> DataFrame:
         merged = connected_components(links, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("low"))
         return materialize(labels.join(merged, "component", "left").select("id", F.coalesce("low", "component").alias("component")), "labels")
 
-    for k in range(STAR_ROUNDS + 1):
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+        return pairs.join(a, "a").join(b, "b").mapInPandas(verify, "ca long, cb long")
+
+    def open_buckets(labels: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         members = entries.join(labels, "id")
-        spread = members.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("p"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        if k < STAR_ROUNDS:
-            pairs = members.join(spread, "key").filter("component <> p.component").selectExpr("id AS a", "component AS ca", "p.id AS b", "p.component AS cb")
-        else:
-            left = materialize(members.join(spread.select("key"), "key"), "open")
-            pairs = left.selectExpr("key", "id AS a", "component AS ca").join(left.selectExpr("key", "id AS b", "component AS cb"), "key").filter("ca < cb").drop("key")
-        after = joined(pairs, labels)
-        if after is None:
+        pivot = F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("p")
+        spread = members.groupBy("key").agg(pivot, F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        return members, spread.filter("lo < hi")
+
+    for k in range(STAR_ROUNDS):
+        members, spread = open_buckets(labels, k)
+        pairs = members.join(spread, "key").filter("component <> p.component").selectExpr("id AS a", "component AS ca", "p.id AS b", "p.component AS cb")
+        pairs = materialize(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
             break
-        labels = after
+        labels = relabel(verified(pairs), labels)
+    else:
+        members, spread = open_buckets(labels, STAR_ROUNDS)
+        left = materialize(members.join(spread.select("key", "n"), "key"), "open")
+        small = left.filter(F.col("n") <= PAIRS_UP_TO)
+        pairs = small.selectExpr("key", "id AS a", "component AS ca").join(small.selectExpr("key", "id AS b", "component AS cb"), "key").filter("ca < cb").drop("key")
+        links = verified(materialize(pairs.distinct(), "pairs"))
+        large = left.filter(F.col("n") > PAIRS_UP_TO)
+        blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+        large = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
+        large = large.join(reps.withColumnRenamed("doc_id", "id"), "id").join(texts.withColumnRenamed("doc_id", "id"), "id")
+        large = materialize(large.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "keys", "text")).alias("rows")), "blocks")
+        one = large.select("key", F.col("rows").alias("left_rows"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
+        met = one.join(large.select("key", "block", "rows"), ["key", "block"])
+
+        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for x in batch.itertuples(index=False):
+                    found = _links_between(x.key, list(x.left_rows), list(x.rows), x.i == x.block, idf.value, similarity)
+                    yield pd.DataFrame(found, columns=["ca", "cb"], dtype="int64")
+
+        labels = relabel(links.unionByName(met.mapInPandas(meet, "ca long, cb long")), labels)
     out = copies.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     out = out.select("doc_id", F.col("rep").alias("copy_of"), F.coalesce("component", "rep").alias("class_id"))
     alone = rows.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"))
