@@ -80,5 +80,5 @@ def queue(df: DataFrame, score: str, by: str, key: str) -> DataFrame:
 
 def report(df: DataFrame, n: int = 20) -> DataFrame:
     """The n most frequent reasons; numbers of outlier reasons are left out."""
-    r = df.filter("reasons <> ''").select(F.regexp_replace(F.explode(F.split("reasons", ";")), r"_z[0-9.]+$", "").alias("reason"))
+    r = df.filter("reasons <> ''").select(F.explode(F.split("reasons", ";")).alias("reason")).withColumn("reason", F.regexp_replace("reason", r"_z[0-9.]+$", ""))
     return r.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(n)

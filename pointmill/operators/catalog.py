@@ -15,7 +15,7 @@ def _long(c: Column) -> Column:
 
 def since(df: DataFrame, start: str, day: str = "day", keep_undated: bool = False) -> DataFrame:
     """Rows of ``day`` >= start. Text that is not a date is skipped, or kept for raw frames."""
-    d = F.col(day) if dict(df.dtypes)[day] == "date" else F.try_to_date(F.col(day), F.lit("yyyy-MM-dd"))
+    d = F.col(day) if dict(df.dtypes)[day] == "date" else F.try_to_date(F.col(day), "yyyy-MM-dd")
     keep = d >= F.to_date(F.lit(start))
     return df.filter(keep | d.isNull() if keep_undated else keep)
 

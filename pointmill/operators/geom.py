@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointmill.operators.points import XYZ
+from pointmill.operators.points import XYZ, bounds
 
 VOXEL = ("vx", "vy", "vz")
 
@@ -60,30 +60,38 @@ def visible(df: DataFrame, origin: tuple[float, float, float], cell: float, mode
     return df.withColumn("__r", F.row_number().over(w.orderBy(key, "pt"))).filter("__r = 1").drop("__r", "__m")
 
 
-def neighbours(df: DataFrame, k: int) -> DataFrame:
-    """The k nearest other points of the same cloud: (cloud_id, pt, n_pt, n_x, n_y, n_z, d2, rank); ties by smaller n_pt.
+#: Clouds of up to so many points are compared whole; larger ones through a grid.
+WHOLE_UP_TO = 4096
 
-    A grid of about 2k points per cell makes the candidates: a point meets its cell and the 26 around it. A point whose k-th distance
-    exceeds the cell size (others could be nearer outside) meets its whole cloud instead, so the answer is exact.
-    """
-    from pointmill.operators.points import bounds
 
+def _ranked(met: DataFrame, k: int) -> DataFrame:
+    w = W.partitionBy("cloud_id", "pt").orderBy(F.round("d2", 9), "n_pt")
+    return met.filter("pt <> n_pt").withColumn("d2", _d2()).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def neighbours(df: DataFrame, k: int, whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
+    """The k nearest other points of the same cloud: (cloud_id, pt, x, y, z, n_pt, n_x, n_y, n_z, d2, rank); ties by smaller n_pt.
+
+    Small clouds meet whole, in an equi join. For larger ones a grid of about 2k points per cell makes the candidates: a point meets its cell and
+    the 26 around it. Where its k-th distance exceeds the cell size, others could be nearer outside, and the point meets its whole
+    cloud instead, so the answer is exact.
+    """
+    cols = ["cloud_id", "pt", *XYZ, "n_pt", "n_x", "n_y", "n_z", "d2", "rank"]
     b = bounds(df)
     size = F.greatest(*(F.col("max_" + c) - F.col("min_" + c) for c in XYZ)) / F.greatest(F.lit(1.0), F.floor(F.cbrt(F.col("n_points") / F.lit(2.0 * k))))
-    grid = df.select("cloud_id", "pt", *XYZ).join(b.select("cloud_id", F.greatest(size, F.lit(1e-9)).alias("__s")), "cloud_id")
+    grid = df.select("cloud_id", "pt", *XYZ).join(b.select("cloud_id", F.greatest(size, F.lit(1e-9)).alias("__s"), "n_points"), "cloud_id")
     grid = grid.withColumns({v: F.floor(F.col(c) / F.col("__s")).cast("bigint") for v, c in zip(VOXEL, XYZ)})
     other = grid.select("cloud_id", *VOXEL, F.col("pt").alias("n_pt"), *(F.col(c).alias("n_" + c) for c in XYZ))
+    small, large = grid.filter(F.col("n_points") <= whole_up_to), grid.filter(F.col("n_points") > whole_up_to)
     step = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    near = grid.withColumn("__i", F.explode(step)).withColumn("__j", F.explode(step)).withColumn("__k", F.explode(step))
+    near = large.withColumn("__i", F.explode(step)).withColumn("__j", F.explode(step)).withColumn("__k", F.explode(step))
     near = near.withColumns({v: F.col(v) + F.col(i) for v, i in zip(VOXEL, ("__i", "__j", "__k"))}).drop("__i", "__j", "__k")
-    w = W.partitionBy("cloud_id", "pt").orderBy(F.round("d2", 9), "n_pt")
-    cols = ["cloud_id", "pt", *XYZ, "n_pt", "n_x", "n_y", "n_z", "d2", "rank"]
-    met = near.join(other, ["cloud_id", *VOXEL]).filter("pt <> n_pt").withColumn("d2", _d2()).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    sure = met.groupBy("cloud_id", "pt").agg((F.count("*") == k).alias("__full"), F.max("d2").alias("__far"), F.first("__s").alias("__s"))
-    sure = sure.filter("__full AND __far < __s * __s").select("cloud_id", "pt")
-    rest = grid.select("cloud_id", "pt", *XYZ).join(sure, ["cloud_id", "pt"], "left_anti")
-    full = rest.join(other.drop(*VOXEL), "cloud_id").filter("pt <> n_pt").withColumn("d2", _d2()).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return met.join(sure, ["cloud_id", "pt"], "left_semi").select(*cols).unionByName(full.select(*cols))
+    met = _ranked(near.join(other, ["cloud_id", *VOXEL]), k)
+    w = W.partitionBy("cloud_id", "pt")
+    met = met.withColumn("__sure", (F.count("*").over(w) == k) & (F.max("d2").over(w) < F.col("__s") * F.col("__s"))).filter("__sure")
+    rest = large.select("cloud_id", "pt", *XYZ).join(met.select("cloud_id", "pt").distinct(), ["cloud_id", "pt"], "left_anti")
+    whole = small.select("cloud_id", "pt", *XYZ).unionByName(rest)
+    return met.select(*cols).unionByName(_ranked(whole.join(other.drop(*VOXEL), "cloud_id"), k).select(*cols))
 
 
 def _eigen(m: dict[str, Column]) -> tuple[Column, Column, Column]:

@@ -14,7 +14,7 @@ VIEWS = {
   CASE WHEN o_orderstatus='F' THEN 'gt-pred-same' ELSE 'gt-pred-diff' END AS bucket,
   CASE WHEN o_orderstatus='F' THEN 'curated' ELSE 'review' END AS source,
   cast(o_orderdate AS date) AS day, cast(o_orderkey%400 AS int) AS point_count,
-  round(o_totalprice/500000.0,6) AS confidence, o_orderpriority AS prio
+  o_totalprice/500000 AS confidence, o_orderpriority AS prio
 FROM orders JOIN customer ON o_custkey=c_custkey""",
     "pred": """SELECT c.*, class_name AS current_class,
   CASE WHEN prio<'4' THEN class_name ELSE nxt END AS predicted_class,
@@ -73,4 +73,4 @@ def oracle(sql: str, *names: str) -> str:
     body = sql.strip()
     if not heads:
         return body
-    return "WITH " + ",\n".join(heads) + ((",\n" + body[5:]) if body[:5].upper() == "WITH " else "\n" + body)
+    return "WITH " + ",\n".join(heads) + ((",\n" + body[4:]) if body[:4].upper() == "WITH" else "\n" + body)

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pointmill.plans import catalog_queries, curation_queries, feed_queries, point_queries  # noqa: F401
+from pointmill.plans.base import ORACLE_SQL, QUERIES  # noqa: F401

@@ -44,10 +44,10 @@ def _pcd(data: bytes) -> dict[str, np.ndarray]:
     names = [n if c == 1 else f"{n}_{i}" for n, c in zip(fields["FIELDS"], counts) for i in range(c)]
     n = declared_count(fields)
     if fields["DATA"][0] == "ascii":
-        table = np.loadtxt(io.BytesIO(data[at:]), ndmin=2, max_rows=n)
-        if table.size and (len(table) < n or table.shape[1] != len(names)):
+        table = np.loadtxt(io.BytesIO(data[at:]), ndmin=2, max_rows=n) if data[at:].strip() else np.empty((0, len(names)))
+        if len(table) < n or table.shape[1] != len(names):
             raise ValueError("truncated body")
-        return {k: table[:, i] for i, k in enumerate(names)} if table.size else {k: np.empty(0) for k in names}
+        return {k: table[:, i] for i, k in enumerate(names)}
     if fields["DATA"][0] != "binary":
         raise ValueError(f"unsupported DATA {fields['DATA'][0]}")
     kinds = [_TYPES[t, int(s)] for t, s, c in zip(fields["TYPE"], fields["SIZE"], counts) for _ in range(c)]
@@ -83,7 +83,8 @@ def _npy(data: bytes) -> dict[str, np.ndarray]:
 
 
 def read_clouds(spark: SparkSession, folder: str) -> DataFrame:
-    """Points of every PCD, PLY and NPY file below ``folder``: (path, pt, x, y, z, extra, error). A bad or empty file gives one row with its error."""
+    """Points of every PCD, PLY and NPY file below ``folder``: (path, pt, x, y, z, extra, error). A bad or empty file gives one row with its error; NaN coordinates
+    arrive as nulls."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         readers = {"pcd": _pcd, "ply": _ply, "npy": _npy}
@@ -204,7 +205,7 @@ def sample_surface(vertices: DataFrame, faces: DataFrame, n: int, seed: int = 0)
     total = F.sum("area").over(W.partitionBy("mesh_id"))
     t = t.withColumns({"hi": F.sum("area").over(w.rowsBetween(W.unboundedPreceding, 0)) / total, "__n": F.row_number().over(w)})
     t = t.withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0)))
-    draws = t.select("mesh_id").distinct().withColumn("pt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint"))
+    draws = t.select("mesh_id").distinct().withColumn("pt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
     draws = draws.withColumn("u", uniform(seed, "mesh_id", "pt"))
     hit = draws.alias("d").join(t.alias("t"), (F.col("d.mesh_id") == F.col("t.mesh_id")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     r1, r2 = F.sqrt(uniform(seed, "d.mesh_id", "pt", F.lit("a"))), uniform(seed, "d.mesh_id", "pt", F.lit("b"))

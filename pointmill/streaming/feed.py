@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -9,12 +11,12 @@ from pyspark.sql.types import StructType
 from pointmill.operators.fuse import mismatches, predict
 
 
-def feed(spark: SparkSession, source: str, schema: StructType | str, current: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Score every new Parquet file of ``source`` once and append to out/predictions and out/mismatches. A batch replaces its own folder, so a
+def feed(spark: SparkSession, source: str, schema: StructType | str, current: str, out: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Score every new Parquet file of ``source`` (after ``prepare``, which must yield ``logits``) once and append to out/predictions and out/mismatches. A batch replaces its own folder, so a
     batch that is run again after a failure adds nothing twice."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = predict(batch).persist()
+        scored = predict(prepare(batch) if prepare else batch).persist()
         scored.write.mode("overwrite").parquet(f"{out}/predictions/batch={batch_id}")
         mismatches(scored, current).write.mode("overwrite").parquet(f"{out}/mismatches/batch={batch_id}")
         scored.unpersist()
