@@ -126,5 +126,5 @@ def export_manifest(points: DataFrame, size: float, least: float) -> DataFrame:
     from pointmill.operators.geom import consolidate
 
     before = points.groupBy("cloud_id").agg(F.count_distinct("view_id").alias("views"), F.count("*").alias("fused"), F.count_if(F.col("conf") < least).alias("rejected"))
-    after = consolidate(points, size, least).groupBy("cloud_id").agg(F.count("*").alias("kept"), F.round(F.avg("conf"), 6).alias("mean_conf"))
+    after = consolidate(points, size, least).groupBy("cloud_id").agg(F.count("*").alias("kept"), F.round(F.avg("conf") + 1e-10, 6).alias("mean_conf"))
     return before.join(after, "cloud_id", "left").na.fill(0, ["kept"])

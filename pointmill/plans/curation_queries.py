@@ -429,7 +429,7 @@ def j13(pred):
     return metrics.result_table(pred, "area", "current_class", "predicted_class", CLASSES)
 
 
-@query("j14_export_manifest", "big", sql="""WITH k AS (SELECT cloud_id, conf FROM big WHERE conf>=0.4 QUALIFY row_number() OVER (PARTITION BY cloud_id, floor(x/5), floor(y/5), floor(z/5) ORDER BY conf DESC, pt)=1), a AS (SELECT cloud_id, count(*) kept, round(avg(conf),6) AS mean_conf FROM k GROUP BY 1)
+@query("j14_export_manifest", "big", sql="""WITH k AS (SELECT cloud_id, conf FROM big WHERE conf>=0.4 QUALIFY row_number() OVER (PARTITION BY cloud_id, floor(x/5), floor(y/5), floor(z/5) ORDER BY conf DESC, pt)=1), a AS (SELECT cloud_id, count(*) kept, round(avg(conf)+1e-10,6) AS mean_conf FROM k GROUP BY 1)
 SELECT cloud_id, count(DISTINCT view_id) AS views, count(*) AS fused, count(*) FILTER (conf<0.4) AS rejected, coalesce(any_value(kept),0) AS kept, any_value(mean_conf) AS mean_conf FROM big LEFT JOIN a USING (cloud_id) GROUP BY 1""")
 def j14(big):
     return metrics.export_manifest(big, 5.0, 0.4)
