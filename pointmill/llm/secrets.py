@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointmill.llm.common import materialize
@@ -20,6 +21,7 @@ TOKEN, TOKEN_LENGTH = r"[A-Za-z0-9+/_=-]{20,}", 20
 #: A token is a secret if its log-likelihood ratio per character, random against ordinary, is at least this many nats.
 MARGIN = 0.35
 _CLASSES = 64
+PULL = 4.0
 _QUICK = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|[A-Za-z0-9+/_=-]{20}"""
 _SPAN = "array<struct<start:int,kind:int,name:string,end:int,value:string>>"
 
@@ -91,14 +93,21 @@ def labelled_samples(found: DataFrame) -> DataFrame:
 def fit(samples: DataFrame) -> DataFrame:
     """One row with ``ratio``, the log-likelihood ratio of every transition (64 * 64 doubles), from (value, secret) rows.
 
-    Transitions of all samples are counted with map-side sums; one is added to each count.
+    Transitions of all samples are counted with map-side sums and smoothed by PULL pseudo-counts of the classes' own frequencies.
+    Without samples of both kinds the ratio says nothing: it is 0 or near it.
     """
     steps = samples.filter("value IS NOT NULL AND secret IS NOT NULL").select("secret", F.explode(_steps(F.col("value"))).alias("step"))
     counts = materialize(steps.groupBy("step").agg(F.count_if("secret").alias("s"), F.count_if(~F.col("secret")).alias("o")), "transitions")
     grid = samples.sparkSession.range(_CLASSES * _CLASSES).select(F.col("id").cast("int").alias("step"))
-    full = grid.join(counts, "step", "left").selectExpr("step", "cast(floor(step / 64) AS int) AS before", "coalesce(s, 0) + 1.0D AS s", "coalesce(o, 0) + 1.0D AS o")
-    total = full.groupBy("before").agg(F.sum("s").alias("ts"), F.sum("o").alias("to"))
-    ratio = full.join(F.broadcast(total), "before").select("step", (F.log(F.col("s") / F.col("ts")) - F.log(F.col("o") / F.col("to"))).alias("r"))
+    full = grid.join(counts, "step", "left").na.fill(0).withColumns({"before": F.floor(F.col("step") / _CLASSES), "after": F.col("step") % _CLASSES})
+
+    def log_p(n: str) -> Column:
+        """Of a transition, drawn towards how often its second class occurs at all."""
+        of = lambda *by: F.sum(n).over(W.partitionBy(*by))  # noqa: E731  sums of 4,096 rows
+        alone = (of("after") + 0.1) / (of() + 0.1 * _CLASSES)
+        return F.log((F.col(n) + PULL * alone) / (of("before") + PULL))
+
+    ratio = full.select("step", (log_p("s") - log_p("o")).alias("r"))
     cells = F.array_sort(F.collect_list(F.struct("step", "r")))  # 4,096 rows whatever the input
     return ratio.agg(F.transform(cells, lambda x: x["r"]).alias("ratio"))
 
