@@ -187,10 +187,12 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, segments:
     cut = np.linspace(0, dims, min(segments, dims) + 1).astype(int)
     lists = [slice(a, b) for a, b in zip(cut, cut[1:])]
     queries, n_query_blocks = _blocks(rows.filter(F.col("id") % every == 0), QUERY_BLOCK, "queries")
-    stored, _ = _blocks(rows, VECTOR_BLOCK, "stored")
+    stored, n_blocks = _blocks(rows, VECTOR_BLOCK, "stored")
     queries = queries.select(F.col("block").alias("qb"), F.col("ids").alias("qids"), F.col("values").alias("qvalues"))
     stored = stored.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
     pairs = stored.join(queries, "qb")  # every vector block with every query block
+    n_pairs = n_blocks * n_query_blocks  # each is much work on few bytes, so they are dealt out by number
+    tasks = min(n_pairs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_pairs // 8))
 
     def lists_of(batches, pick):
         """Calls pick(query ids, vector ids, partial scores per list, phase-1 rows) for each pair of blocks."""
@@ -219,7 +221,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, segments:
             yield pd.DataFrame(got, columns=["query_id", "list", "low", "ids", "scores"])
 
     pairs = pairs.withColumnRenamed("values", "values_")
-    seen = materialize(pairs.mapInPandas(first, "query_id long, list int, low long, ids array<long>, scores array<long>"), "phase1")
+    seen = materialize(pairs.repartition(tasks, "block", "qb").mapInPandas(first, "query_id long, list int, low long, ids array<long>, scores array<long>"), "phase1")
     lows = seen.groupBy("query_id", "list").agg(F.min("low").alias("low"))
     lows = lows.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("list", "low"))).alias("lows"))  # an entry a list
     floor_sum = F.aggregate(F.map_values("lows"), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -253,7 +255,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, segments:
         for got in lists_of(batches, pick):
             yield pd.DataFrame(got, columns=["query_id", "vec_id", "seen", "known"])
 
-    sent = materialize(asked.mapInPandas(second, "query_id long, vec_id long, seen long, known int"), "phase2")
+    sent = materialize(asked.repartition(tasks, "block", "qb").mapInPandas(second, "query_id long, vec_id long, seen long, known int"), "phase2")
     # Entries of one vector come from one block, so their sum is there already; what a list did not send is below the share.
     kth = W.partitionBy("query_id").orderBy(F.desc("seen"), "vec_id")
     lower = sent.withColumn("r", F.row_number().over(kth)).filter(F.col("r") == k).select("query_id", F.col("seen").alias("kth"))
