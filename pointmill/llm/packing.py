@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,17 +25,83 @@ ROUNDS = 4
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Ids(dict):
-    """Word between white space -> its token ids as little-endian bytes; the tokenizer never joins across white space."""
+#: Texts that hold any of these are encoded whole: special tokens, and white space to Python but not to the tokenizer.
+_WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Between a letter and punctuation behind it, where the tokenizer always cuts.
+_CUT = re.compile(r"(?<=[a-z])(?=[!-/:-@\[-`{-~])")
+#: Words in the table, and characters of text whose new words are encoded together; they bound memory, not results.
+_WORDS, _CHUNK = 600_000, 1 << 20
 
-    def __init__(self, path: str):
-        self.encode = Tokenizer.from_file(path).encode
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+def _split(text: str) -> list[str] | None:
+    """Pieces of the text that the tokenizer never joins; it folds case, so Latin-1 texts are lower-cased. None: encode it whole."""
+    if any(c in text for c in _WHOLE):
+        return None
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
+    return _CUT.sub(" ", text).split()
+
+
+class _Ids:
+    """Token ids of whole texts as little-endian bytes, by a table of words.
+
+    New words of Latin-1 letters are encoded in one call: each is one word to the tokenizer, so the tokens that end a word tell them apart.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        plain = [w for w in new if w.isalpha() and max(w) < "\u0100"]
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            stops, data, at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes(), 0
+            for word, stop in zip(plain, stops, strict=True):
+                self.words[word], at = data[at:stop], stop
+        for word in new.difference(plain):
+            self.words[word] = self.encode(word)
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        split = [_split(text) for text in texts]
+        new = set().union(*filter(None, split))
+        missing = new - self.words.keys()
+        if len(self.words) + len(missing) > _WORDS:
+            self.words.clear()
+            missing = new
+        self._learn(missing)
+        get = self.words.__getitem__
+        return [self.encode(text) if words is None else b"".join(map(get, words)) for text, words in zip(texts, split)]
+
+
+@functools.cache
+def _ids(path: str) -> _Ids:
+    """One table for all tasks of a Python worker."""
+    return _Ids(path)
+
+
+def _chunks(batch: pd.DataFrame) -> Iterator[tuple[list, list[str]]]:
+    """Document ids and texts of a batch, about _CHUNK characters at a time; a longer text comes alone."""
+    ids, texts, size = [], [], 0
+    for doc_id, text in zip(batch["doc_id"], batch["text"]):
+        text = text or ""
+        if texts and size + len(text) > _CHUNK:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(doc_id)
+        texts.append(text)
+        size += len(text)
+    if texts:
+        yield ids, texts
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, end_id: int = 0) -> DataFrame:
@@ -43,14 +111,15 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, en
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, end = _Ids(tokenizer), np.array([end_id], "<u4").tobytes()
+        ids, end = _ids(tokenizer), np.array([end_id], "<u4").tobytes()
+        step = 4 * length
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                data = b"".join([ids[w] for w in (text or "").split()]) + end
-                step = 4 * length
-                out += [(doc_id, k, at // 4, (min(at + step, len(data)) - at) // 4, zlib.crc32(data[at : at + step])) for k, at in enumerate(range(0, len(data), step))]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            for doc_ids, texts in _chunks(batch):
+                out = []
+                for doc_id, data in zip(doc_ids, ids.texts(texts)):
+                    data += end
+                    out += [(doc_id, k, at // 4, (min(at + step, len(data)) - at) // 4, zlib.crc32(data[at : at + step])) for k, at in enumerate(range(0, len(data), step))]
+                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

@@ -147,6 +147,15 @@ def test_packing(spark, odd, none):
     assert packing.lower_bound(np.full(5, 1025)) == 5
 
 
+def test_packing_tokenizes_like_the_whole_text():
+    """The table of words against the tokenizer on whole texts, with odd white space, case, accents, marks and special tokens."""
+    encode, ids = Tokenizer.from_file(packing.TOKENIZER).encode, packing._Ids(packing.TOKENIZER)
+    signs = list("aBÉß'’ \x1c\x85\u2003\u3000Σσİ\u0301ố,.-_9ªµ½ÿĀ") + ["'s", "'LL", "😀", "<|endoftext|>", "word|>", "don't"]
+    texts = ["".join(RNG.choice(signs, int(RNG.integers(0, 15)))) for _ in range(5000)]
+    want = [np.array(encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert ids.texts(texts) == want and ids.texts(texts) == want
+
+
 def test_urls(spark):
     rows = ["http://A.example.com/en/1", "http://www.example.com/en/", "https://x.net/es/?q", "ftp://x.net#a/fr/", None, "no scheme", "http://cheapcasino.example.org/", "http://the.example.org/the", "http://x.com"]
     pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").withColumn("words", F.lit("clash"))
