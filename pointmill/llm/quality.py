@@ -124,7 +124,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"x": [text_features(t) for t in batch["text"]]})
+        yield pd.DataFrame({"id": batch["id"], "x": [text_features(t) for t in batch["text"]]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> PuClassifier | None:
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> PuClassifie
     unlabelled texts alone where no row is labelled 0. None if there are no positives. Texts enter as features only, so the
     driver gets at most 2 * rows short vectors.
     """
-    train = docs.select(F.col("doc_id").alias("id"), "text").filter(~held_out(F.col("id")))
+    train = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(~held_out(F.col("id")))
     order = [F.xxhash64("id", F.lit(3)), F.col("id")]
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("id")).filter(~held_out(F.col("id"))).distinct().orderBy(*order).limit(rows)
     some = train.select("id").orderBy(*order).limit(rows)
@@ -143,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> PuClassifie
     got = {}
     for name, ids in (("p", good), ("u", some)):
         wanted = train.join(F.broadcast(ids.distinct()), "id", "left_semi")  # at most ``rows`` ids
-        got[name] = np.array(wanted.select("text").mapInPandas(_features, "x array<double>").toPandas()["x"].tolist()).reshape(-1, N_FEATURES)
+        one = wanted.mapInPandas(_features, "id long, x array<double>").groupBy("id").agg(F.min("x").alias("x")).orderBy("id")  # repeated rows count once
+        got[name] = np.array(one.toPandas()["x"].tolist()).reshape(-1, N_FEATURES)
     return PuClassifier(prior).fit(got["p"], got["u"]) if len(got["p"]) and len(got["u"]) else None
 
 
