@@ -103,10 +103,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalMode
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [text_features(t) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "w": [m[0].astype(np.int32).tobytes() for m in made], "n": [m[1].astype(np.int32).tobytes() for m in made]})
+            yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "w": [m[0].astype(np.int32).tobytes() for m in made], "n": [m[1].astype(np.int32).tobytes() for m in made]})
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(some), "id")  # 2 * rows ids at most
-    got = texts.select("toxic", "text").mapInPandas(features, "toxic int, w binary, n binary").toPandas()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(some), "id")  # 2 * rows ids at most
+    made = texts.mapInPandas(features, "id long, toxic int, w binary, n binary")
+    got = made.groupBy("id").agg(F.min(F.struct("toxic", "w", "n")).alias("x")).orderBy("id").select("x.*").toPandas()  # repeated rows count once
     if got["toxic"].nunique() < 2:
         return None
     made = [(np.frombuffer(w, np.int32).astype(np.int64), np.frombuffer(n, np.int32)) for w, n in zip(got["w"], got["n"])]
