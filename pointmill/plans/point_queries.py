@@ -230,6 +230,7 @@ def e4c(big):
 
 _NB = """nb AS (SELECT a.cloud_id, a.pt, a.x, a.y, a.z, b.pt n_pt, b.x nx, b.y ny, b.z nz, (a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x) d2 FROM {0} a JOIN {0} b ON a.cloud_id=b.cloud_id AND a.pt<>b.pt
 QUALIFY row_number() OVER (PARTITION BY a.cloud_id, a.pt ORDER BY round(d2,9), b.pt)<={1})"""
+# The twins of e5, e6_curvature, e14 and e15 hold a fixed part of the clouds; the queries ..._all meet the whole table and have no twin.
 _F20 = "f AS (SELECT * FROM big WHERE cloud_id<=20)"
 
 
@@ -242,6 +243,11 @@ def e5(big):
     return g.neighbours(_some(big), 8).select("cloud_id", "pt", "n_pt", F.round("d2", 6).alias("d2"))
 
 
+@query("e5_neighbours_all", "big")
+def e5_all(big):
+    return g.neighbours(big, 8).select("cloud_id", "pt", "n_pt", F.round("d2", 6).alias("d2"))
+
+
 @query("e6_curvature", "big", sql=f"""WITH {_F20}, {_NB.format('f', 12)}, s AS (SELECT cloud_id, pt, avg(nx) mx, avg(ny) my, avg(nz) mz, avg(nx*nx)-avg(nx)*avg(nx) a, avg(ny*ny)-avg(ny)*avg(ny) b, avg(nz*nz)-avg(nz)*avg(nz) c, avg(nx*ny)-avg(nx)*avg(ny) d, avg(nx*nz)-avg(nx)*avg(nz) e, avg(ny*nz)-avg(ny)*avg(nz) f FROM nb GROUP BY 1,2),
 q AS (SELECT *, (a+b+c)/3 q FROM s), pp AS (SELECT *, sqrt((power(a-q,2)+power(b-q,2)+power(c-q,2)+2*(d*d+e*e+f*f))/6) p FROM q),
 rr AS (SELECT *, acos(greatest(least(((a-q)*((b-q)*(c-q)-f*f)-d*(d*(c-q)-f*e)+e*(d*f-(b-q)*e))/(2*p*p*p),1.0),-1.0))/3 phi FROM pp)
@@ -250,9 +256,14 @@ def e6(big):
     return g.shape(g.neighbours(_some(big), 12)).select("cloud_id", "pt", F.round("curvature", 4).alias("curvature"))
 
 
+@query("e6_curvature_all", "big")
+def e6_all(big):
+    return g.shape(g.neighbours(big, 12)).select("cloud_id", "pt", F.round("curvature", 4).alias("curvature"))
+
+
 @query("e6_normals", "big")
 def e6n(big):
-    return r6(g.shape(g.neighbours(_some(big), 12)), "cloud_id", "pt", cols=["normal_x", "normal_y", "normal_z"])
+    return r6(g.shape(g.neighbours(big, 12)), "cloud_id", "pt", cols=["normal_x", "normal_y", "normal_z"])
 
 
 @query("e7_distance_cv", "pts", sql=f"WITH {_NB.format('pts', 3)} SELECT cloud_id, pt, round(stddev_pop(sqrt(d2))/avg(sqrt(d2))+1e-10,6) AS cv FROM nb GROUP BY 1,2")
@@ -262,7 +273,7 @@ def e7(pts):
 
 @query("e8_normal_difference", "big")
 def e8(big):
-    nb = g.neighbours(_some(big), 12)
+    nb = g.neighbours(big, 12)
     return g.normal_difference(nb, g.shape(nb)).select("cloud_id", "pt", F.round("angle", 4).alias("angle"))
 
 
@@ -315,11 +326,21 @@ def e14(big):
     return r6(g.registration_residual(_some(big), 10.0), "cloud_id", "pair", "n", "inliers", cols=["rmse", "inlier_ratio"])
 
 
+@query("e14_residual_all", "big")
+def e14_all(big):
+    return r6(g.registration_residual(big, 10.0), "cloud_id", "pair", "n", "inliers", cols=["rmse", "inlier_ratio"])
+
+
 @query("e15_gain", "big", sql=f"WITH {_F20}, {_RES.format(1, 'true')}, {_RES.format(2, 'd<=100')} SELECT cloud_id, pair, round(r1.rmse+1e-10,6) AS pre, round(r2.rmse+1e-10,6) AS post, round(r1.rmse-r2.rmse+1e-10,6) AS gain, round(100*(r1.rmse-r2.rmse)/r1.rmse+1e-10,6) AS percent FROM r1 JOIN r2 USING (cloud_id, pair)")
 def e15(big):
     return r6(g.residual_gain(g.registration_residual(_some(big)), g.registration_residual(_some(big), 10.0)), "cloud_id", "pair", cols=["pre", "post", "gain", "percent"])
 
 
+@query("e15_gain_all", "big")
+def e15_all(big):
+    return r6(g.residual_gain(g.registration_residual(big), g.registration_residual(big, 10.0)), "cloud_id", "pair", cols=["pre", "post", "gain", "percent"])
+
+
 _AX = """th AS (SELECT cloud_id, count(*) n, atan2(2*covar_samp(x,y), var_samp(x)-var_samp(y))/2 t FROM big GROUP BY 1), ax AS (SELECT cloud_id, CASE WHEN n<3 THEN 1.0 WHEN sin(t)<0 THEN -cos(t) ELSE cos(t) END ax, CASE WHEN n<3 THEN 0.0 ELSE abs(sin(t)) END ay FROM th),
 pr AS (SELECT cloud_id, ax, ay, z, x*ax+y*ay u, y*ax-x*ay v FROM big JOIN ax USING (cloud_id))"""
 _LINE = "SELECT cloud_id, " + r_sql("ax AS ax", "ay AS ay", "quantile_cont(u,0.01) AS u_min", "quantile_cont(u,0.99) AS u_max", "(quantile_cont(v,0.01)+quantile_cont(v,0.99))/2 AS v_mid", "quantile_cont(u,0.99)-quantile_cont(u,0.01) AS length", "quantile_cont(v,0.99)-quantile_cont(v,0.01) AS width", "min(z) AS ground") + " FROM {} GROUP BY cloud_id, ax, ay"
