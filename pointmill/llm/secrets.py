@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import base64
+import random
+import string
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -77,17 +82,96 @@ def _steps(value: Column) -> Column:
     return F.zip_with(before, codes, lambda a, b: a * _CLASSES + b)
 
 
-def labelled_samples(found: DataFrame) -> DataFrame:
-    """(value, secret): values of base matches are random strings; judged tokens of letters only, in one case, are ordinary.
-
-    ``found`` is the output of :func:`base_spans`; any other labelled strings can be given to :func:`fit` instead.
-    """
-    ordinary = F.filter("tokens", lambda t: F.regexp_like(t["value"], F.lit("^([A-Z]?[a-z]+|[A-Z]+)$")))
-    rows = F.concat(
-        F.transform("spans", lambda b: F.struct(b["value"].alias("value"), F.lit(True).alias("secret"))),
-        F.transform(ordinary, lambda t: F.struct(t["value"].alias("value"), F.lit(False).alias("secret"))),
-    )
-    return found.select(F.explode(rows).alias("s")).select("s.*")
+# The words of the ordinary samples.
+_WORDS = """able about above access account action active actual address after again agent alert align allow already also always amount analysis
+angle another answer any append apply archive area argument around array article assert async attach attempt author available average back badge
+balance base batch because become before begin behind below best between binary bind block board body book both bottom boundary branch break bridge
+bright broadcast brown browser buffer build bundle button cache calendar call cancel canvas capture card case catalog category center change
+channel character check child choose city class clean client clock close cloud cluster code collect color column command comment commit common
+community company compare compile complete component compress compute config connect console constant contact contain content context control
+convert copy core corner correct cost count country course cover create credit current cursor custom customer data date debug decision default
+define delete delta deploy depth describe design detail develop device dialog dictionary different digit direct disable discover display distance
+document domain double download draft drive driver duplicate dynamic each early edge edit effect element else email embed empty enable encode end
+engine enough enter entity entry enum environment equal error escape estimate event every evidence exact example except exchange execute exist exit
+expand expect export express extend extra extract factor failure false family feature fetch field figure file filter final find first fixed flag
+float flow focus folder follow force form format forward found frame free frequency from front full function future gate general generate get give
+global good graph gray great green grid ground group growth guard guess guide handle hash have head header health height hello help hidden high
+history home hook host house human icon identity ignore image import improve include index info inherit initial inline input insert inside
+instance integer interface internal interval invalid invoice is issue item iterate job join journey jump just keep kernel key keyboard kind knowledge
+label language large last late layer layout lead learn left legal length level library license life light like limit line link list listen little
+load local location lock log logic long lookup loop lower machine main make manage manifest many map margin mark market mask master match matrix
+maximum measure media member memory menu merge message method metric middle minimum minute mirror missing mobile mode model module moment money
+monitor month more most mount move multiple name native near need nested network never next night node normal note nothing notice number object
+observe offset often online only open operator option orange order organic origin other output outside over owner package padding page paint panel
+paper parallel parameter parent parse part partition password path pattern pause payment people percent perform period permission person phase
+phone physical picture piece pixel place plan plane platform play plugin point policy pool popular port position possible power prefix prepare present
+preview previous price primary print priority private problem process product profile program progress project promise prompt property protocol provider
+public publish purple push python quality quantity query question queue quick quiet quote radius random range rate ratio reach read ready reason
+receive recent record red reduce reference refresh region register reject related release remote remove rename render repeat replace reply report
+request require reset resolve resource response rest result retry return review right river rollback room root rotate round route row rule run
+safe sample save scale scan schedule schema scope score screen script search season second secret section secure segment select self send sequence serial
+server service session set setting shadow shape share sheet shift short should show side signal silent similar simple single size skip sleep slice
+small smooth snapshot social socket software some sort source space spark special speed split square stack staff stage standard start state static
+station status step still stop storage store stream street string strong structure student style subject submit subset success suffix suggest sum
+summary super supply support switch symbol sync syntax system table target task team template temporary term test text thank their theme there thing
+thread threshold through ticket time title today toggle token tool top topic total touch trace track trade traffic train transform tree trigger true trust
+tuple turn type under union unique unit until update upload upper usage use user utility valid value variable vector verify version vertical video view
+virtual visible visit volume wait walk warning watch water weather week weight welcome where which white width window winter with without word work worker
+world wrap write yellow yesterday yield young zero zone
+abbildung anwendung arbeit aufgabe ausgabe bearbeitung bedingung beispiel benutzer bereich bestellung buch daten ein eingabe einstellung entwicklung
+ergebnis fehler freiheit geschichte gesellschaft gesundheit heute kunde lang mehr meldung nachricht pflege rechnung sicherheit sprache
+schnell strasse uebersicht verarbeitung verbindung vergleich verlauf verwaltung wirklichkeit zahlung zeit zeitung zukunft zwischen
+achat adresse aujourd avec bureau chaque commande compte connaissance donnees enregistrement environnement erreur exemple fichier fonction heureux
+journal langue maison mise nouveau numero paiement personne quelque recherche semaine utilisateur valeur voyage
+ahora archivo ayuda busqueda calle cantidad ciudad codigo cuenta desarrollo direccion ejemplo empresa hacer informacion mensaje mundo nombre
+numero pagina palabra pedido pregunta respuesta seguridad siguiente tiempo trabajo usuario valores ventana""".split()
+
+
+def random_string(kind: str, length: int, rng: random.Random) -> str:
+    """A key of a kind: base62, base64, base64url, base32, hex, HEX or base36."""
+    if kind in ("base64", "base64url"):
+        made = (base64.b64encode if kind == "base64" else base64.urlsafe_b64encode)(rng.randbytes(length)).decode()
+        return made[:length] if rng.random() < 0.5 else made
+    letters = {"base62": string.ascii_letters + string.digits, "base32": string.ascii_uppercase + "234567", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF"}
+    return "".join(rng.choices(letters.get(kind, string.ascii_lowercase + string.digits), k=length))
+
+
+def ordinary_string(rng: random.Random, words: list[str] = _WORDS) -> str:
+    """An identifier, path, date, UUID, grouped or plain number, or ruler, of TOKEN_LENGTH characters or more."""
+    style = rng.randrange(14)
+    if style == 0:
+        return str(uuid.UUID(int=rng.getrandbits(128), version=4))
+    if style == 1:
+        return "-".join(f"{rng.randrange(10**4):04d}" for _ in range(rng.randrange(4, 8)))
+    if style == 2:
+        return "".join(rng.choices(string.digits, k=rng.randrange(20, 33)))
+    if style == 3:
+        return rng.choice("-=_+/") * rng.randrange(20, 80)
+    parts: list[str] = []
+    while sum(map(len, parts)) + len(parts) - 1 < TOKEN_LENGTH:
+        parts.append(rng.choice(words))
+    if style in (4, 5):
+        return "".join(p.capitalize() for p in parts) if style == 4 else parts[0] + "".join(p.capitalize() for p in parts[1:])
+    if style == 6:
+        return "_".join(parts).upper()
+    if style == 7:
+        return "".join(parts)
+    if style in (8, 9, 10):
+        return ("_", "-", "/")[style - 8].join(parts)
+    date = f"{rng.randrange(1990, 2040)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}"
+    if style == 11:
+        return f"{date}T{rng.randrange(24):02d}-{rng.randrange(60):02d}-{rng.randrange(60):02d}" + rng.choice(("Z", "-" + parts[0]))
+    tail = str(rng.choice((rng.randrange(10), rng.randrange(100), rng.randrange(1990, 2040), rng.randrange(10**6))))
+    return rng.choice("_-").join([*parts, rng.choice((tail, "v" + tail, date))]) if style == 12 else "".join(p.capitalize() for p in parts) + tail
+
+
+def representative_samples(spark: SparkSession, each: int = 600) -> DataFrame:
+    """(value, secret) of fixed size and content: keys of all usual alphabets, and ordinary long tokens."""
+    rng = random.Random(10)
+    kinds = ("base62", "base64", "base64url", "base32", "hex", "HEX", "base36")
+    rows = [(random_string(kind, rng.randrange(20, 65), rng), True) for kind in kinds for _ in range(each)]
+    rows += [(ordinary_string(rng), False) for _ in range(14 * each)]
+    return spark.createDataFrame(rows, "value string, secret boolean")
 
 
 def fit(samples: DataFrame) -> DataFrame:
@@ -115,9 +199,8 @@ def fit(samples: DataFrame) -> DataFrame:
 def find_secrets(docs: DataFrame, samples: DataFrame | None = None, margin: float = MARGIN) -> DataFrame:
     """``docs`` (doc_id, text, ...) with null texts as empty, plus ``spans`` of struct(start, kind, name, end, value) by start, then kind.
 
-    Base matches always stay. The method adds tokens of 20 characters or more that contain a digit, touch no base match and are likelier, by
-    ``margin`` nats a character, under the Markov model of random strings than under that of ordinary identifiers. Both models are fitted on
-    ``samples`` (value, secret), by default on what the documents themselves show. Defined cases: null or empty text has no spans;
+    Base matches always stay. The method adds tokens of 20 characters or more that touch no base match and are likelier, by ``margin`` nats a
+    character, under the Markov model of random strings than under that of ordinary identifiers. Both models are fitted on ``samples`` (value, secret), by default on :func:`representative_samples`. Defined cases: null or empty text has no spans;
     without any sample the ratio is 0 and the method adds nothing; repeated rows get equal spans; spans count code points over whole texts.
     """
     taken = {"spans", "tokens", "ratio"} & set(docs.columns)
@@ -125,12 +208,12 @@ def find_secrets(docs: DataFrame, samples: DataFrame | None = None, margin: floa
         raise ValueError(f"columns {sorted(taken)} are taken")
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
     found = base_spans(docs)
-    model = fit(labelled_samples(base_spans(docs.select("text"))) if samples is None else samples)
+    model = fit(representative_samples(docs.sparkSession) if samples is None else samples)
 
     def per_char(value: Column) -> Column:
         return F.aggregate(_steps(value), F.lit(0.0), lambda acc, i: acc + F.element_at("ratio", i + 1)) / F.length(value)
 
-    secret = F.filter("tokens", lambda t: F.regexp_like(t["value"], F.lit("[0-9]")) & (per_char(t["value"]) >= margin))
+    secret = F.filter("tokens", lambda t: per_char(t["value"]) >= margin)
     out = found.crossJoin(F.broadcast(model))  # one row of 4,096 numbers
     return out.withColumn("spans", F.array_sort(F.concat("spans", secret))).select(*docs.columns, "spans")
 
