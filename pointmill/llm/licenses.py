@@ -1,9 +1,10 @@
-"""Operator 5: license scan: phrases, and an exact set-similarity join of text blocks with license templates."""
+"""Operator 5: license scan: phrases, and an exact set-similarity join of lines and of word windows across lines with license templates."""
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -55,13 +56,14 @@ class TemplateIndex:
     """
 
     def __init__(self, templates: tuple[tuple[str, str], ...], frequency: dict[bytes, int], containment: float):
-        self.templates, self.index = [], defaultdict(list)
+        self.templates, self.spans, self.index = [], [], defaultdict(list)
         for label, text in templates:
             order = sorted(set(words(text)), key=lambda w: (frequency.get(w, 0), w))
             need = max(1, math.ceil(containment * len(order) - 1e-9))
             for place, word in enumerate(order[: len(order) - need + 1]):
                 self.index[word].append((len(self.templates), place))
             self.templates.append((label, order, need))
+            self.spans.append(math.ceil(len(words(text)) / containment - 1e-9))
         self.prefixes = frozenset(self.index)
 
     def matches(self, line: set[bytes]) -> dict[int, float]:
@@ -80,6 +82,35 @@ class TemplateIndex:
         return found
 
 
+    def windows(self, own: list[bytes], present: set[bytes]) -> Iterator[tuple[int, int, int, float]]:
+        """(template number, first word, last word, containment) of notices that stand anywhere in a text's words.
+
+        A window is as long as the template's words and the share of others that the threshold leaves room for. It is judged at every
+        place where a word of the template stands; of windows that overlap, the first of the largest containment is given.
+        """
+        for k in self.matches(present):
+            _, order, need = self.templates[k]
+            wanted, counts, left = frozenset(order), Counter(), 0
+            at = [i for i, w in enumerate(own) if w in wanted]
+            best: tuple[int, int, int] | None = None
+            for right, i in enumerate(at):
+                counts[own[i]] += 1
+                while i - at[left] >= self.spans[k] or counts[own[at[left]]] > 1:
+                    counts[own[at[left]]] -= 1
+                    if not counts[own[at[left]]]:
+                        del counts[own[at[left]]]
+                    left += 1
+                if len(counts) < need:
+                    continue
+                if best is not None and at[left] > best[1]:
+                    yield k, best[0], best[1], best[2] / len(order)
+                    best = None
+                if best is None or len(counts) > best[2]:
+                    best = at[left], i, len(counts)
+            if best is not None:
+                yield k, best[0], best[1], best[2] / len(order)
+
+
 def word_frequencies(docs: DataFrame, wanted: frozenset[bytes]) -> dict[bytes, int]:
     """In how many documents each wanted word stands; partitions send one row a word at most."""
 
@@ -101,7 +132,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CON
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks) for every row of (doc_id, text).
 
     n_base counts all places of the base phrases; first_word and last_word are the smallest and largest of their starts. blocks lists every
-    line that holds at least ``containment`` of the distinct words of a template, and labels adds their labels. score is 1 with a base
+    line that holds at least ``containment`` of the distinct words of a template, and every notice wrapped over lines of which none does, by
+    its first line; labels adds their labels. score is 1 with a base
     phrase, else the best containment found, else 0. Documents stay where they are: only the words' frequencies are shuffled.
 
     Defined cases: null text counts as empty; a text without words has zeros, nulls and empty strings; repeated rows get equal results;
@@ -119,8 +151,16 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CON
         starts = [i for at in found.values() for i in at]
         blocks = []
         if not index.prefixes.isdisjoint(present):
+            ends, whole = [], set()
             for b, line in enumerate((text or "").split("\n")):
-                for k, score in index.matches(set(words(line))).items():
+                line_words = words(line)
+                ends.append(len(line_words) + (ends[-1] if ends else 0))
+                for k, score in index.matches(set(line_words)).items():
+                    blocks.append({"block": b, "label": index.templates[k][0], "score": score})
+                    whole.add((k, b))
+            for k, first, last, score in index.windows(own, present):
+                b, end = bisect_right(ends, first), bisect_right(ends, last)
+                if b < end and not any((k, i) in whole for i in range(b, end + 1)):
                     blocks.append({"block": b, "label": index.templates[k][0], "score": score})
         labels = sorted({*base, *(b["label"] for b in blocks)})
         score = 1.0 if starts else max((b["score"] for b in blocks), default=0.0)
