@@ -44,6 +44,14 @@ def a5(events):
     return ingest.attach_sidecars(clouds, meta, "k int").select("event_id", F.col("meta.k").alias("k"))
 
 
+@query("a5_sidecars_all", "events")
+def a5_all(events):
+    """Every event as a sidecar; without a twin, since that of a5_sidecars holds a fixed part of the events."""
+    clouds = events.select("event_id", F.expr("'s'||(event_id%500)||'__frame_'||event_id").alias("stem"))
+    meta = events.select(F.expr("CASE WHEN event_id%2=0 THEN 's'||event_id ELSE 's'||(event_id%500)||'__frame_'||event_id END").alias("stem"), F.col("props").alias("text"))
+    return ingest.attach_sidecars(clouds, meta, "k int").select("event_id", F.col("meta.k").alias("k"))
+
+
 @query("a6_identity", "cat", sql="""SELECT ord, object_id AS p_object, object_id AS p_track, split_part(stem,'__track_',1) AS p_run, cast(ord AS varchar) AS p_frame, split_part(stem,'__frame_',1) AS p_group FROM cat""")
 def a6(cat):
     return cat.select("ord", *(c.alias(n) for n, c in ingest.identity(F.col("stem")).items()))
@@ -65,7 +73,17 @@ d AS (SELECT m, pt, {u("'0::'||m||'::'||pt")} AS u, sqrt({u("'0::'||m||'::'||pt|
 SELECT g.m AS mesh_id, CAST(d.pt AS BIGINT) AS pt, round((1-r1)*x0+r1*(1-r2)*x1+r1*r2*x2,6) AS x, round((1-r1)*y0+r1*(1-r2)*y1+r1*r2*y2,6) AS y, round((1-r1)*z0+r1*(1-r2)*z1+r1*r2*z2,6) AS z
 FROM d JOIN g ON d.m=g.m AND u>=lo AND u<hi""")
 def a9(big):
-    v = big.filter("pt <= 60").select(F.col("cloud_id").alias("mesh_id"), (F.col("pt") - 1).alias("v"), "x", "y", "z")
+    return _surface(big.filter("pt <= 60"))
+
+
+@query("a9_surface_all", "big")
+def a9_all(big):
+    """Every point of a cloud; without a twin, since that of a9_surface holds a fixed part of the points."""
+    return _surface(big)
+
+
+def _surface(big):
+    v = big.select(F.col("cloud_id").alias("mesh_id"), (F.col("pt") - 1).alias("v"), "x", "y", "z")
     f = v.filter("v % 3 = 0").select("mesh_id", (F.col("v") / 3).cast("long").alias("face"), F.col("v").alias("v0"), (F.col("v") + 1).alias("v1"), (F.col("v") + 2).alias("v2"))
     return ingest.sample_surface(v, f, 16).select("mesh_id", "pt", *(F.round(c, 6).alias(c) for c in "xyz"))
 

@@ -88,6 +88,13 @@ def f7(big):
     return r6(match.align_pairs(pairs, big, 0.5), "pair_id", "source_id", "pt")
 
 
+@query("f7_align_all", "big")
+def f7_all(big):
+    """Every cloud with the one of the next id; without a twin, since that of f7_align holds a part of the clouds."""
+    pairs = big.select("cloud_id").distinct().selectExpr("cloud_id AS pair_id", "cloud_id AS a_id", "cloud_id+1 AS b_id")
+    return r6(match.align_pairs(pairs, big, 0.5), "pair_id", "source_id", "pt")
+
+
 @query("f8_merged_class", "cat", sql="SELECT ord, CASE WHEN ord%3=0 THEN 'truck_with_trailer' ELSE 'car_with_trailer' END AS merged FROM cat")
 def f8(cat):
     return cat.select("ord", match.merged_class(F.expr("CASE WHEN ord%3=0 THEN 'Box Truck' ELSE class_name END")).alias("merged"))

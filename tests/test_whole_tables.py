@@ -1,5 +1,8 @@
 """Registered queries meet every row of their tables: brute force on small tables with ids beyond any fixed part."""
 
+import hashlib
+import json
+
 import numpy as np
 import pytest
 
@@ -74,3 +77,39 @@ def test_residuals_of_every_cloud(spark, folder, clouds):
                 assert abs(r["rmse"] - np.sqrt(inside.mean())) < 1e-5 and abs(w["post"] - r["rmse"]) < 1e-5
             n += 1
     assert len(near) == len(gain) == n
+
+
+def uniform(*key):
+    return int(hashlib.md5("::".join(map(str, ("0", *key))).encode()).hexdigest()[:8], 16) / 2**32
+
+
+def test_surface_of_every_point(spark, folder, clouds):
+    got = run(spark, "a9_surface_all", folder).set_index(["mesh_id", "pt"])
+    assert len(got) == 16 * len(clouds) and max(len(pt) for pt, *_ in clouds.values()) > 60
+    for m, (pt, x, _) in clouds.items():
+        t = x[np.argsort(pt)][: len(pt) // 3 * 3].reshape(-1, 3, 3)
+        area = np.linalg.norm(np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]), axis=1) / 2
+        hi = np.cumsum(area) / area.sum()
+        for i in range(16):
+            face = t[np.searchsorted(hi, uniform(m, i), side="right")]
+            a, b = np.sqrt(uniform(m, i, "a")), uniform(m, i, "b")
+            assert np.abs(got.loc[(m, i), ["x", "y", "z"]].to_numpy() - ((1 - a) * face[0] + a * (1 - b) * face[1] + a * b * face[2])).max() < 1e-5
+
+
+def test_sidecars_of_every_event(spark):
+    folder = "/root/testdata/sf0.01"
+    k = {r["event_id"]: json.loads(r["props"]).get("k") for r in spark.read.parquet(f"{folder}/events.parquet").select("event_id", "props").collect()}
+    got = run(spark, "a5_sidecars_all", folder).set_index("event_id")["k"]
+    assert len(got) == len(k) and max(k) > 1000
+    assert all(got[i] == (k[i] if i % 2 else k.get(i % 500)) or got[i] != got[i] and not i % 2 and i % 500 not in k for i in k)
+
+
+def test_every_cloud_is_aligned_with_the_next(spark, folder, clouds):
+    got = run(spark, "f7_align_all", folder)
+    assert {(r.pair_id, r.source_id, r.pt) for r in got.itertuples()} == {(a, c, p) for a in (19, 20) for c in (a, a + 1) for p in clouds[c][0]}
+    lines = run(spark, "e17_centreline", folder).set_index("cloud_id")
+    for a in (19, 20):
+        line, own = lines.loc[a + 1], got[(got["pair_id"] == a) & (got["source_id"] == a)]
+        u, v = own["x"] * line["ax"] + own["y"] * line["ay"], own["y"] * line["ax"] - own["x"] * line["ay"]
+        assert abs(u.quantile(0.99) - (line["u_min"] - 0.5)) < 1e-3 and abs((v.quantile(0.01) + v.quantile(0.99)) / 2 - line["v_mid"]) < 1e-3
+        assert abs(own["z"].min() - line["ground"]) < 1e-5
