@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -11,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,62 +28,124 @@ ROUNDS = 4
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Texts that hold any of these are encoded whole: special tokens, and white space to Python but not to the tokenizer.
-_WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
-#: Between a letter and punctuation behind it, where the tokenizer always cuts.
-_CUT = re.compile(r"(?<=[a-z])(?=[!-/:-@\[-`{-~])")
-#: Words in the table, and characters of text whose new words are encoded together; they bound memory, not results.
-_WORDS, _CHUNK = 600_000, 1 << 20
-
-
-def _split(text: str) -> list[str] | None:
-    """Pieces of the text that the tokenizer never joins; it folds case, so Latin-1 texts are lower-cased. None: encode it whole."""
-    if any(c in text for c in _WHOLE):
-        return None
-    try:
-        text.encode("latin-1")
-        text = text.lower()
-    except UnicodeEncodeError:
-        pass
-    return _CUT.sub(" ", text).split()
+#: A text that holds this is encoded whole: special tokens are found before anything is split.
+_SPECIAL = b"<|"
+#: Words in the table, and bytes of text that are taken together; they bound memory, not results.
+_WORDS, _CHUNK = 1_000_000, 4 << 20
+
+# What a byte is: 0 other (control, beyond Latin-1), 1 white space, 2 letter, 3 digit, 4 apostrophe, 5 other ASCII mark.
+_OTHER, _SPACE, _LETTER, _DIGIT, _APOSTROPHE, _MARK = range(6)
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[39] = _APOSTROPHE
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Latin-1 letters from 0xC0 up are this byte and a second one; the two of multiplication and division are no letters.
+_LATIN = 0xC3
+_SECOND = np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+#: (byte, next byte) kinds between which the tokenizer always cuts, so that what stands on either side has its ids whatever is beyond: before
+#: a word, around digits, behind letters, and before letters unless an apostrophe may form a contraction with them.
+_CUTS = np.zeros((6, 6), bool)
+_CUTS[_SPACE, :] = True
+_CUTS[:, _SPACE] = False
+_CUTS[_DIGIT, 2:] = _CUTS[2:, _DIGIT] = _CUTS[_LETTER, 3:] = True
+_CUTS[_MARK, _LETTER] = True
+_CUTS = _CUTS.ravel()
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+
+
+def _kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with Latin-1 letters in lower case, as the tokenizer has them, and their kinds."""
+    low, kind = _LOWER[data], _KIND[data]
+    lead = np.flatnonzero(data[:-1] == _LATIN)
+    lead = lead[_SECOND[data[lead + 1]]]
+    second = data[lead + 1]
+    low[lead + 1] = np.where(second < 0x9F, second + np.uint8(32), second)
+    kind[lead] = kind[lead + 1] = _LETTER
+    return low, kind
+
+
+def _bytes(words: pa.Array) -> list[bytes]:
+    _, offsets, data = words.buffers()
+    data, at = data.to_pybytes(), np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    return [data[i:j] for i, j in zip(at, at[1:])]
 
 
 class _Ids:
-    """Token ids of whole texts as little-endian bytes, by a table of words.
-
-    New words of Latin-1 letters are encoded in one call: each is one word to the tokenizer, so the tokens that end a word tell them apart.
-    """
+    """Token ids of texts by a table of the segments between sure cuts, white space left out; only segments that are new are encoded."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        plain = [w for w in new if w.isalpha() and max(w) < "\u0100"]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.starts, self.ids, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, "<u4"), 0
+
+    def encode(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+
+    def _add(self, words: list[bytes], ids: np.ndarray, stops: np.ndarray) -> None:
+        """Enter words whose ids stand one after the other in ``ids``, up to ``stops``."""
+        n = len(self.words)
+        while len(self.starts) < n + len(words) + 1:
+            self.starts = np.append(self.starts, np.zeros_like(self.starts))
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[n + 1 : n + len(words) + 1] = self.used + stops
+        self.words.update(zip(words, range(n, n + len(words))))
+        self.used += len(ids)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Words of Latin-1 letters are encoded in one call: each is one word to the tokenizer, so the tokens that end a word tell them apart."""
+        plain, rest = [], []
+        for word in new:
+            (plain if _PLAIN(word) else rest).append(word)
         if plain:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            stops, data, at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes(), 0
-            for word, stop in zip(plain, stops, strict=True):
-                self.words[word], at = data[at:stop], stop
-        for word in new.difference(plain):
-            self.words[word] = self.encode(word)
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        split = [_split(text) for text in texts]
-        new = set().union(*filter(None, split))
-        missing = new - self.words.keys()
-        if len(self.words) + len(missing) > _WORDS:
-            self.words.clear()
-            missing = new
-        self._learn(missing)
-        get = self.words.__getitem__
-        return [self.encode(text) if words is None else b"".join(map(get, words)) for text, words in zip(texts, split)]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
+            self._add(plain, ids, np.flatnonzero(self.ends[ids]) + 1)
+        for word in rest:
+            ids = self.encode(word)
+            self._add([word], ids, np.array([len(ids)]))
+
+    def texts(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the UTF-8 texts that ``bounds`` cuts ``data`` into, one after the other, and where each text's ids stop."""
+        data, kind = _kinds(data)
+        cut = np.empty(len(data), bool)
+        cut[1:] = _CUTS[kind[:-1] * np.uint8(6) + kind[1:]]
+        full = bounds[:-1][bounds[:-1] < bounds[1:]]
+        inside = kind != _SPACE
+        cut[full] = inside[full]
+        at = np.flatnonzero(cut)
+        if not len(at):
+            return np.empty(0, "<u4"), np.zeros(len(bounds) - 1, np.int64)
+        words = data[inside]
+        offsets = np.append((np.cumsum(inside, dtype=np.int32) - np.int32(1))[at], np.int32(len(words)))
+        coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(words)]).dictionary_encode()
+        found = _bytes(coded.dictionary)
+        known = np.fromiter(map(self.words.get, found, itertools.repeat(-1)), np.int64, len(found))
+        if (known < 0).any():
+            if len(self.words) + (known < 0).sum() > _WORDS:
+                self._clear()
+                known[:] = -1
+            missing = np.flatnonzero(known < 0)
+            self._learn([found[i] for i in missing.tolist()])
+            known[missing] = [self.words[found[i]] for i in missing.tolist()]
+        number = known[coded.indices.to_numpy()]
+        first = self.starts[number]
+        size = self.starts[number + 1] - first
+        stops = np.cumsum(size)
+        ids = self.ids[np.arange(stops[-1]) + np.repeat(first - (stops - size), size)]
+        return ids, np.append(0, stops)[np.searchsorted(at, bounds[1:])]
 
 
 @functools.cache
@@ -89,19 +154,35 @@ def _ids(path: str) -> _Ids:
     return _Ids(path)
 
 
-def _chunks(batch: pd.DataFrame) -> Iterator[tuple[list, list[str]]]:
-    """Document ids and texts of a batch, about _CHUNK characters at a time; a longer text comes alone."""
-    ids, texts, size = [], [], 0
-    for doc_id, text in zip(batch["doc_id"], batch["text"]):
-        text = text or ""
-        if texts and size + len(text) > _CHUNK:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(doc_id)
-        texts.append(text)
-        size += len(text)
-    if texts:
-        yield ids, texts
+def _chunks(text: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about _CHUNK bytes of text; a longer text comes alone."""
+    ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + _CHUNK, "right")))
+        yield start, stop
+        start = stop
+
+
+def token_ids(ids: _Ids, text: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, ids) of every text without nulls, in no special order within a run of rows."""
+    for start, stop in _chunks(text):
+        part = text.slice(start, stop - start)
+        special = pc.match_substring(part, _SPECIAL)
+        whole = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+        for i in whole:
+            yield start + i, ids.encode(part[int(i)].as_py())
+        rest = pc.filter(part, pc.invert(special))
+        rows = np.setdiff1d(np.arange(stop - start), whole, assume_unique=True) + start
+        if not len(rows):
+            continue
+        bounds = np.frombuffer(rest.buffers()[1], np.int32)[rest.offset : rest.offset + len(rest) + 1]
+        data = np.frombuffer(rest.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.empty(0, np.uint8)
+        flat, stops = ids.texts(data, bounds - bounds[0])
+        at = 0
+        for row, end in zip(rows.tolist(), stops.tolist()):
+            yield row, flat[at:end]
+            at = end
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, end_id: int = 0) -> DataFrame:
@@ -109,20 +190,24 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, en
 
     A null text counts as empty (one piece of the end id); rows with a null doc_id are kept.
     """
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = _ids(tokenizer), np.array([end_id], "<u4").tobytes()
-        step = 4 * length
         for batch in batches:
-            for doc_ids, texts in _chunks(batch):
-                out = []
-                for doc_id, data in zip(doc_ids, ids.texts(texts)):
-                    data += end
-                    out += [(doc_id, k, at // 4, (min(at + step, len(data)) - at) // 4, zlib.crc32(data[at : at + step])) for k, at in enumerate(range(0, len(data), step))]
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+            out = []
+            for row, own in token_ids(ids, batch.column("text").cast(pa.binary())):
+                n, view = len(own) + 1, memoryview(own).cast("B")
+                for k, at in enumerate(range(0, n, length)):
+                    size = min(length, n - at)
+                    crc = zlib.crc32(view[4 * at : 4 * (at + size)])
+                    out.append((row, k, at, size, zlib.crc32(end, crc) if at + size == n else crc))
+            if out:
+                rows, *columns = (pa.array(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip((batch.column("doc_id").take(rows), *columns), schema)], schema=schema)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = LENGTH) -> int:
