@@ -139,131 +139,201 @@ def linked_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TAB
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _repeats(rows: DataFrame) -> bool:
-    return not rows.groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+def _repeats(rows: DataFrame, key: str = "vec_id") -> bool:
+    return not rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
 
 # Exact top-k search
 
-QUERY_BLOCK, VECTOR_BLOCK, SEGMENTS = 256, 512, 2
+#: Queries of a group, vectors of a block, blocks that a task gets of one group at once, queries scored together, and lists a vector is cut into.
+QUERY_GROUP, VECTOR_BLOCK, BLOCKS, SLICE, LISTS = 16_384, 2048, 16, 256, 2
 BITS = 1024.0
-
-
-def _blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """Rows (id, q) gathered into hash blocks of about ``size`` rows: (block, ids, values), and the number of blocks."""
-    n = max(1, -(-df.count() // size))
-    block = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).cast("int").alias("block")
-    return materialize(df.groupBy(block).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("q")).alias("values")), name), n
-
-
-def _matrix(ids: np.ndarray, values: np.ndarray) -> np.ndarray:
-    x = np.asarray(values).reshape(len(ids), -1)
-    return x.astype(np.float64) if np.abs(x).max(initial=0) < 2**23 else x.astype(np.int64)  # products stay exact
-
-
-def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, segments: int = SEGMENTS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best inner products of each query with all other vectors, by a three-phase threshold.
-
-    Components become floor(1024 * x). Rows whose vec_id is divisible by ``every`` are the queries; in blocks they meet all vectors. The dimensions are
-    cut into ``segments`` lists per query. Phase 1 gathers the k best of every local list and each list's least score; sums of what
-    was seen, with the least score for what was not, bound the k-th best total from below. Phase 2 broadcasts a share of that bound to every
-    list, which sends all entries that reach it: a vector below the share in all lists cannot be among the k best. Phase 3 resolves the
-    missing scores of the vectors whose upper bound still reaches the k-th best, exactly, and ranks by score, then smaller vec_id.
-
-    Defined cases: vectors that are null, empty or hold null or non-finite components take no part; vectors of another length than
-    the most frequent take no part; rows that repeat a vec_id count once; with fewer than k others all are returned; no rows, no result.
+#: Components of this size or more could overflow a score; such vectors take no part.
+TOO_LARGE = float(1 << 24) / BITS
+_LOWEST = -(1 << 62)
+
+
+def _partial_scores(q: np.ndarray, v: np.ndarray, lists: int) -> list[np.ndarray]:
+    """Exact partial inner products of every query with every vector, one matrix a list; floats where they hold all integers that can occur."""
+    cut = np.linspace(0, q.shape[1], min(lists, q.shape[1]) + 1).astype(int)
+    if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * float(q.shape[1]) < 2**53:
+        q, v = q.astype(np.float64), v.astype(np.float64)
+    return [q[:, i:j] @ v[:, i:j].T for i, j in zip(cut, cut[1:])]
+
+
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best entries of each query, by score, then smaller id, query after query."""
+    order = np.lexsort((ids, -score, query))
+    ranked = query[order]
+    start = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return order[rank < k]
+
+
+def local_lists(q: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phase 1: per query the k-th best entry of every list (the highest of any block), and the exact scores of the k best among the k best of all lists."""
+    n = min(lists, q.shape[1])
+    kth, totals = np.full((len(q), n), _LOWEST, np.int64), np.full((len(q), k), _LOWEST, np.int64)
+    for _, v in blocks:
+        for at in range(0, len(q), SLICE):
+            parts = _partial_scores(q[at : at + SLICE], v, lists)
+            m = min(k, len(v))
+            top = [np.argpartition(-p, m - 1, axis=1)[:, :m] for p in parts]
+            if m == k:
+                low = np.stack([np.take_along_axis(p, t, 1).min(1) for p, t in zip(parts, top)], 1)
+                kth[at : at + SLICE] = np.maximum(kth[at : at + SLICE], low)
+            seen = np.sort(np.concatenate(top, 1), 1)
+            score = sum(np.take_along_axis(p, seen, 1) for p in parts).astype(np.int64)
+            score[:, 1:][seen[:, 1:] == seen[:, :-1]] = _LOWEST  # the same vector in several lists counts once
+            both = np.concatenate([totals[at : at + SLICE], score], 1)
+            totals[at : at + SLICE] = -np.sort(-both, 1)[:, :k]
+    return kth, totals
+
+
+def thresholds(kth: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """One threshold a list, as far below each list's k-th best entry as below any other's, that add up to the bound or less: a vector below all of
+    them scores less than the bound."""
+    n = kth.shape[1]
+    known = (kth > _LOWEST).all(1)
+    kth = np.where(known[:, None], kth, 0)
+    slack = -((bound - kth.sum(1)) // n)
+    return np.where((bound > _LOWEST)[:, None], kth - slack[:, None], _LOWEST)
+
+
+def resolve(q: np.ndarray, bound: np.ndarray, limit: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phases 2 and 3: of every block the entries that reach a list's threshold are collected and their other lists resolved where they lie; those that
+    reach the bound are given, the k best of each query: (place of the query, id, score). Queries that a block cannot serve skip it: by its
+    centre and radius in each list, no entry reaches a threshold, or no sum of them the bound."""
+    found = [np.empty((3, 0), np.int64)]
+    cut = np.linspace(0, q.shape[1], min(lists, q.shape[1]) + 1).astype(int)
+    norm = np.stack([np.linalg.norm(q[:, i:j].astype(np.float64), axis=1) for i, j in zip(cut, cut[1:])], 1)
+    for ids, v in blocks:
+        centre = v.mean(0)
+        radius = [np.linalg.norm(v[:, i:j] - centre[i:j], axis=1).max() for i, j in zip(cut, cut[1:])]
+        most = np.stack([q[:, i:j] @ centre[i:j] for i, j in zip(cut, cut[1:])], 1) + norm * radius
+        most += 1 + 1e-9 * np.abs(most)
+        serves = np.flatnonzero((most >= limit).any(1) & (most.sum(1) >= bound))
+        for at in range(0, len(serves), SLICE):
+            own = serves[at : at + SLICE]
+            parts = _partial_scores(q[own], v, lists)
+            reach = np.logical_or.reduce([p >= limit[own, j, None] for j, p in enumerate(parts)])
+            i, c = np.nonzero(reach)
+            score = sum(p[i, c] for p in parts).astype(np.int64)
+            good = score >= bound[own[i]]
+            found.append(np.stack([own[i[good]], ids[c[good]], score[good]]))
+    at, ids, score = np.concatenate(found, 1)
+    kept = _best(at, ids, score, k) if len(at) else np.empty(0, np.int64)
+    return at[kept], ids[kept], score[kept]
+
+
+def _matrix(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(ids), np.asarray(values).reshape(len(ids), -1)
+
+
+def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, lists: int = LISTS, query_group: int = QUERY_GROUP, vector_block: int = VECTOR_BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best inner products of each query with all other vectors, by a three-phase uniform threshold.
+
+    Components become floor(1024 * x). Rows whose vec_id is divisible by ``every`` are the queries. Equal vectors are one class with its k + 1
+    smallest ids, so copies are scored once. The dimensions are cut into ``lists`` lists. Vectors lie in blocks, queries in groups; a task gets one group and
+    some blocks. Phase 1 gathers the best entries of every local list from the blocks around the group's pivot and resolves them; the
+    (k + 1)-th best score so far bounds the final one from below. Phase 2 sends that bound, shared out over the lists, to all blocks; a vector below its share in all lists cannot
+    be among the best. Phase 3 resolves the missing lists of the others exactly, in the block, and only what reaches the bound leaves it: a
+    number of entries that does not grow with the pairs. Ties go to the smaller vec_id.
+
+    Defined cases: vectors that are null, empty or hold null, non-finite or too large components (|x| >= TOO_LARGE, whose scores might not fit) take no
+    part; vectors of different lengths never meet; rows that repeat a vec_id count once; with fewer than k others all are returned;
+    other columns are ignored; no rows, no result.
     """
-    out = "query_id long, rank int, vec_id long, score long"
-    spark = vectors.sparkSession
+    spark, best = vectors.sparkSession, k + 1  # a query is among its own best
     e = F.col("embedding").cast("array<double>")
-    rows = vectors.filter(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
+    rows = vectors.filter(F.col("vec_id").isNotNull() & valid(F.col("embedding")) & F.forall(e, lambda x: F.abs(x) < TOO_LARGE))
     rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.transform(e, lambda x: F.floor(x * BITS).cast("long")).alias("q"))
-    rows = materialize(rows.groupBy("id").agg(F.min("q").alias("q")) if _repeats(rows.withColumnRenamed("id", "vec_id")) else rows, "vectors")
-    dims = rows.groupBy(F.size("q").alias("d")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "d").first()
-    if dims is None:
-        return spark.createDataFrame([], out)
-    dims = dims["d"]
-    rows = rows.filter(F.size("q") == dims)
-    cut = np.linspace(0, dims, min(segments, dims) + 1).astype(int)
-    lists = [slice(a, b) for a, b in zip(cut, cut[1:])]
-    queries, n_query_blocks = _blocks(rows.filter(F.col("id") % every == 0), QUERY_BLOCK, "queries")
-    stored, n_blocks = _blocks(rows, VECTOR_BLOCK, "stored")
-    queries = queries.select(F.col("block").alias("qb"), F.col("ids").alias("qids"), F.col("values").alias("qvalues"))
-    stored = stored.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    pairs = stored.join(queries, "qb")  # every vector block with every query block
-    n_pairs = n_blocks * n_query_blocks  # each is much work on few bytes, so they are dealt out by number
-    tasks = min(n_pairs, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_pairs // 8))
-
-    def lists_of(batches, pick):
-        """Calls pick(query ids, vector ids, partial scores per list, phase-1 rows) for each pair of blocks."""
+    rows = materialize(rows.groupBy("id").agg(F.min("q").alias("q")) if _repeats(rows, "id") else rows, "vectors")
+    first_ids = rows.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("id"))).filter(F.col("r") <= best)
+    classes = materialize(first_ids.groupBy("q").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids")), "classes")
+    queries = rows.filter(F.col("id") % every == 0)
+    of_queries = queries.select("q").distinct().join(classes.select("q", "rep"), "q")  # a hot vector is one row here, and meets its queries in parts
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(16))
+    asked = materialize(queries.withColumn("part", part).join(of_queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15)))), ["q", "part"]).select(F.col("id").alias("query_id"), "rep"), "asked")
+    n_queries = of_queries.count()
+    if not n_queries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+    # As many pivots as there are groups of queries, at most 1024, from a hash sample; every vector goes to the pivot it points along most.
+    n_pivots = min(1024, max(1, n_queries // query_group))
+    sample = [np.array(r["q"], np.float64) for r in classes.orderBy(F.xxhash64("rep", F.lit(5)), "rep").select("q").limit(n_pivots).collect()]
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = []
-            for x in batch.itertuples(index=False):
-                ids, qids = np.asarray(x.ids), np.asarray(x.qids)
-                v, q = _matrix(ids, x.values_), _matrix(qids, x.qvalues)
-                got += pick(qids, ids, [np.rint(q[:, s] @ v[:, s].T).astype(np.int64) for s in lists], x)
-            yield got
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pick(qids, ids, scores, _):
-            got = []
-            for j, s in enumerate(scores):
-                own = qids[:, None] == ids[None, :]
-                low = np.where(own, np.iinfo(np.int64).max, s).min(1)
-                s = np.where(own, np.iinfo(np.int64).min, s)
-                top = np.argpartition(-s, min(k, len(ids)) - 1, axis=1)[:, :k]
-                for i, qid in enumerate(qids):
-                    t = top[i][~own[i][top[i]]]
-                    got.append((qid, j, low[i], ids[t], s[i][t]))
-            return got
-
-        for got in lists_of(batches, pick):
-            yield pd.DataFrame(got, columns=["query_id", "list", "low", "ids", "scores"])
-
-    pairs = pairs.withColumnRenamed("values", "values_")
-    seen = materialize(pairs.repartition(tasks, "block", "qb").mapInPandas(first, "query_id long, list int, low long, ids array<long>, scores array<long>"), "phase1")
-    lows = seen.groupBy("query_id", "list").agg(F.min("low").alias("low"))
-    lows = lows.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("list", "low"))).alias("lows"))  # an entry a list
-    floor_sum = F.aggregate(F.map_values("lows"), F.lit(0).cast("long"), lambda a, x: a + x)
-    entries = seen.select("query_id", "list", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", "list", "x.ids", "x.scores")
-    best = W.partitionBy("query_id", "list").orderBy(F.desc("scores"), "ids")
-    entries = entries.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
-    partial = entries.join(lows, "query_id").withColumn("above", F.col("scores") - F.element_at("lows", F.col("list")))
-    partial = partial.groupBy("query_id", "ids").agg(F.sum("above").alias("seen"))
-    ranked = partial.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("seen"), "ids")))
-    bound = ranked.groupBy("query_id").agg(F.coalesce(F.max(F.when(F.col("r") == k, F.col("seen"))), F.lit(0)).alias("bound"))
-    n = len(lists)
-    share = F.when(F.col("bound") > 0, F.ceil(F.col("bound") / F.lit(n)).cast("long")).otherwise(F.lit(0))
-    cutoff = materialize(lows.join(bound, "query_id", "left").select("query_id", "lows", floor_sum.alias("floor"), F.coalesce("bound", F.lit(0)).alias("bound"), F.coalesce(share, F.lit(0)).alias("share")), "cutoffs")
-    # The cutoffs travel with the query blocks, a few numbers a query.
-    ordered = queries.select("qb", F.posexplode("qids").alias("i", "query_id")).join(cutoff, "query_id").groupBy("qb").agg(F.array_sort(F.collect_list(F.struct("i", "share", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.element_at("lows", j)).alias("lows")))).alias("cut"))
-    asked = pairs.join(ordered, "qb")
-
-    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pick(qids, ids, scores, x):
-            # every query of the block has a cutoff unless it has no other vector
-            got = []
-            for c in x.cut:
-                i = c["i"]
-                above = np.array([s[i] - low for s, low in zip(scores, c["lows"])])
-                reach = above >= c["share"]
-                at = np.flatnonzero(reach.any(0) & (ids != qids[i]))
-                for t in at:
-                    got.append((qids[i], ids[t], int(above[:, t][reach[:, t]].sum()), int(reach[:, t].sum())))
-            return got
-
-        for got in lists_of(batches, pick):
-            yield pd.DataFrame(got, columns=["query_id", "vec_id", "seen", "known"])
-
-    sent = materialize(asked.repartition(tasks, "block", "qb").mapInPandas(second, "query_id long, vec_id long, seen long, known int"), "phase2")
-    # Entries of one vector come from one block, so their sum is there already; what a list did not send is below the share.
-    kth = W.partitionBy("query_id").orderBy(F.desc("seen"), "vec_id")
-    lower = sent.withColumn("r", F.row_number().over(kth)).filter(F.col("r") == k).select("query_id", F.col("seen").alias("kth"))
-    left = sent.join(cutoff.select("query_id", "share"), "query_id").join(lower, "query_id", "left")
-    left = left.filter(F.col("seen") + (F.lit(n) - F.col("known")) * F.col("share") >= F.coalesce("kth", F.lit(0)))
-    q = rows.select(F.col("id").alias("query_id"), F.col("q").alias("qq"))
-    v = rows.select(F.col("id").alias("vec_id"), F.col("q").alias("vq"))
-    product = F.aggregate(F.zip_with("qq", "vq", lambda a, b: a * b), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    exact = left.select("query_id", "vec_id").join(q, "query_id").join(v, "vec_id").select("query_id", "vec_id", product.alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
-    return exact.select("query_id", rank, "vec_id", "score").filter(F.col("rank") <= k)
+            dims = batch["q"].map(len)
+            for d, part in batch.groupby(dims):
+                pivots = [(i, x / max(1.0, np.linalg.norm(x))) for i, x in enumerate(sample) if len(x) == d] or [(0, np.zeros(d))]
+                near = (np.array(part["q"].tolist(), np.float64) @ np.stack([x for _, x in pivots]).T).argmax(1)
+                yield part.assign(dims=d, pivot=np.array([i for i, _ in pivots])[near])
+
+    placed = classes.select("rep", "q").mapInPandas(place, "rep long, q array<long>, dims int, pivot int")
+    placed = materialize(placed, "placed")
+
+    def gathered(df: DataFrame, size: int, name: str, *columns) -> DataFrame:
+        """Rows of a pivot in parts of about ``size``: (dims, pivot, part, ids, values, ...)."""
+        parts = df.groupBy("dims", "pivot").agg(F.ceil(F.count("*") / F.lit(float(size))).cast("int").alias("parts"))
+        df = df.join(materialize(parts, "parts"), ["dims", "pivot"]).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts")).cast("int"))
+        return materialize(df.groupBy("dims", "pivot", "part").agg(F.collect_list("rep").alias("ids"), F.flatten(F.collect_list("q")).alias("values"), *columns), name)
+
+    stored = gathered(placed, vector_block, "stored").withColumnRenamed("part", "block")
+    own = materialize(placed.join(asked.select("rep").distinct(), "rep", "left_semi"), "queries")
+    n_blocks = stored.count()
+
+    def met(groups: DataFrame, near: bool, schema: str, f) -> DataFrame:
+        """f on each group of queries and some blocks at a time: those of its own pivot, or all."""
+        n = groups.count()
+        shares = max(-(-n_blocks // BLOCKS), min(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")) // n), 1)
+        share = F.pmod(F.xxhash64("pivot", "block"), F.lit(shares)).cast("int").alias("share")
+        keys = ["dims", "pivot", "part", "share"]
+        heads = groups.select("dims", "pivot", "part")
+        if near:
+            left = stored.join(heads, ["dims", "pivot"])
+        else:
+            left = stored.withColumnRenamed("pivot", "p").join(heads, "dims")
+            share = F.pmod(F.xxhash64("p", "block"), F.lit(shares)).cast("int").alias("share")
+        left = left.withColumn("share", share)
+        own_keys = ["g_dims", "g_pivot", "g_part", "g_share"]
+        right = groups.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumnsRenamed(dict(zip(keys, own_keys)))
+        right = right.select(*(F.col(c).alias(c) for c in right.columns))
+        tasks = max(1, min(n * shares, 100_000))
+        left, right = left.repartition(tasks, *keys), right.repartition(tasks, *own_keys)
+        return left.groupBy(*keys).cogroup(right.groupBy(*own_keys)).applyInPandas(f, schema)
+
+    def first(blocks: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks) or not len(group):
+            return pd.DataFrame(columns=["rep", "kth", "totals"])
+        ids, q = _matrix(group["ids"].iloc[0], group["values"].iloc[0])
+        kth, totals = local_lists(q, [_matrix(*x) for x in zip(blocks["ids"], blocks["values"])], best, lists)
+        return pd.DataFrame({"rep": ids, "kth": list(kth), "totals": [t[t > _LOWEST] for t in totals]})
+
+    seen = materialize(met(gathered(own, query_group, "groups"), True, "rep long, kth array<long>, totals array<long>", first), "phase1")
+    kth = seen.select("rep", F.posexplode("kth").alias("j", "x")).groupBy("rep", "j").agg(F.max("x").alias("x"))
+    kth = kth.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda y: y["x"]).alias("kth"))  # an entry a list
+    ranked = seen.select("rep", F.explode("totals").alias("total"))
+    ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("total")))).filter(F.col("r") <= best)
+    bound = ranked.groupBy("rep").agg(F.max(F.when(F.col("r") == best, F.col("total"))).alias("bound"))
+    cut = own.join(kth.join(bound, "rep", "left"), "rep").withColumn("bound", F.coalesce("bound", F.lit(_LOWEST)))
+    groups = gathered(cut, query_group, "cutoffs", F.collect_list("bound").alias("bounds"), F.flatten(F.collect_list("kth")).alias("kths"))
+
+    def second(blocks: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
+        if not len(blocks) or not len(group):
+            return pd.DataFrame(columns=["query", "reps", "scores"])
+        ids, q = _matrix(group["ids"].iloc[0], group["values"].iloc[0])
+        bounds, kths = np.asarray(group["bounds"].iloc[0]), np.asarray(group["kths"].iloc[0]).reshape(len(ids), -1)
+        at, reps, scores = resolve(q, bounds, thresholds(kths, bounds), [_matrix(*x) for x in zip(blocks["ids"], blocks["values"])], best, lists)
+        start = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
+        return pd.DataFrame({"query": ids[at[start]], "reps": np.split(reps, start[1:])[: len(start)], "scores": np.split(scores, start[1:])[: len(start)]})
+
+    sent = materialize(met(groups, False, "query long, reps array<long>, scores array<long>", second), "phase2")
+    entries = sent.select("query", F.explode(F.arrays_zip("reps", "scores")).alias("x")).select("query", F.col("x.reps").alias("rep"), F.col("x.scores").alias("score"))
+    order = W.partitionBy("query").orderBy(F.desc("score"), "rep")
+    entries = entries.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= best).join(classes.select("rep", "ids"), "rep")
+    each = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("below"), i.alias("id")))
+    top = entries.groupBy("query").agg(F.flatten(F.collect_list(each)).alias("x")).select(F.col("query").alias("rep"), F.slice(F.array_sort("x"), 1, best).alias("x"))  # (k + 1) ** 2 at most
+    out = asked.join(top, "rep").select("query_id", F.posexplode(F.slice(F.filter("x", lambda y: y["id"] != F.col("query_id")), 1, k)).alias("at", "y"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("y.id").alias("vec_id"), (-F.col("y.below")).alias("score"))

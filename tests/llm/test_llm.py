@@ -244,3 +244,48 @@ def test_pipeline(spark):
     assert corpus_pipeline.keep_first_of_near_duplicates(spark, docs, SF).count() == minhash.near_duplicates(docs).filter("kept").count()
     last = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(last.columns) and last.count() > 0
+
+
+def brute_top_k(rows, k, every):
+    """{query: [(vec_id, score), ...]} over rows of (id, components)."""
+    known = {}
+    for i, x in rows:
+        if i is not None and x and all(c is not None and np.isfinite(c) and abs(c) < embeddings.TOO_LARGE for c in x):
+            known[i] = min(known.get(i, x), x)
+    q = {i: [int(np.floor(1024 * float(c))) for c in x] for i, x in known.items()}
+    found = {}
+    for i in q:
+        if i % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i and len(q[j]) == len(q[i]))
+            found[i] = [(j, -s) for s, j in scores[:k]]
+    return found
+
+
+@pytest.mark.parametrize(("group", "block", "lists"), [(16_384, 2048, 2), (7, 20, 3)])
+def test_top_k_equals_brute_force(spark, group, block, lists):
+    """Copies, ties, clusters, other lengths, odd and too large vectors, repeated rows; one group, and many groups, pivots and blocks."""
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=8)
+    rows = [(int(i), [round(float(c), 2) for c in rng.integers(-2, 3, 8) / 2]) for i in range(150)]  # many ties
+    rows += [(200 + i, [0.5] * 8) for i in range(60)] + [(300 + i, (near + rng.normal(size=8) / 20).tolist()) for i in range(100)]
+    rows += [(500 + i, rng.normal(size=3).tolist()) for i in range(15)] + [(600, [1e300] * 8), (601, None), (602, []), (603, [float("nan")] * 8), (604, [None] * 8), (None, [1.0] * 8)]
+    rows += [rows[5], (20, [9.0] * 8), (605, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rep", F.lit(1)).withColumn("q", F.lit("x"))
+    got = {}
+    for r in embeddings.nearest_vectors(df, every=5, lists=lists, query_group=group, vector_block=block).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    assert got == brute_top_k(rows, 10, 5)
+
+
+def test_thresholds_are_safe_and_send_few():
+    x = np.floor(1024 * vectors(2000, 32)).astype(np.int64)
+    q, blocks = x[:40], [(np.arange(i, i + 500), x[i : i + 500]) for i in range(0, 2000, 500)]
+    kth, totals = embeddings.local_lists(q, blocks, 11, 2)
+    exact = -np.sort(-(q @ x.T), 1)[:, 10]
+    limit = embeddings.thresholds(kth, totals[:, 10])
+    assert (totals[:, 10] <= exact).all() and (limit.sum(1) <= totals[:, 10]).all()
+    sent = ((q[:, :16] @ x[:, :16].T >= limit[:, :1]) | (q[:, 16:] @ x[:, 16:].T >= limit[:, 1:])).mean()
+    assert sent < 0.15
+    at, _, score = embeddings.resolve(q, totals[:, 10], limit, blocks, 11, 2)
+    assert (score[np.r_[np.flatnonzero(np.diff(at)), len(at) - 1]] == exact).all()
