@@ -1,14 +1,26 @@
-"""A new folder that all executors share."""
+"""Folders and tables that all executors share."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """Below ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, a temporary one on local masters only, where there is one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='pointmill-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="pointmill-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to a new shared folder and read again: they are computed once, and a lost executor costs one re-read."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,34 +2,39 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointmill.functions.ranking import quantiles, range_ranked
 from pointmill.operators.points import XYZ, bounds
 
-FIELDS = ("point_count", "extent_x", "extent_y", "extent_z", "volume", "density", "aspect_xy", "aspect_xz")
+# The audited fields, in the order of their reasons.
+FIELDS = ("point_count", "x_extent", "y_extent", "z_extent", "volume", "density", "aspect_xy", "aspect_xz")
 
 
 def shape_stats(points: DataFrame) -> DataFrame:
-    """Extents, volume (at least 1e-9), density and two aspect ratios per cloud."""
+    """Extents, volume (at least 1e-9), density and two aspect ratios per cloud: the longer side in the plane by the shorter one, and by the height."""
     b = bounds(points)
     e = {c: F.col("max_" + c) - F.col("min_" + c) for c in XYZ}
+    long = F.greatest(e["x"], e["y"])
     volume = F.greatest(e["x"] * e["y"] * e["z"], F.lit(1e-9))
     return b.select(
-        "cloud_id", "n_finite", "n_points", *(e[c].alias("extent_" + c) for c in XYZ), volume.alias("volume"), (F.col("n_finite") / volume).alias("density"),
-        (e["x"] / F.greatest(e["y"], F.lit(1e-9))).alias("aspect_xy"), (e["x"] / F.greatest(e["z"], F.lit(1e-9))).alias("aspect_xz"),
+        "cloud_id", "n_finite", "n_points", *(e[c].alias(c + "_extent") for c in XYZ), volume.alias("volume"), (F.col("n_finite") / volume).alias("density"),
+        (long / F.greatest(F.least(e["x"], e["y"]), F.lit(1e-9))).alias("aspect_xy"), (long / F.greatest(e["z"], F.lit(1e-9))).alias("aspect_xz"),
     )
 
 
 def hard_checks(manifest: DataFrame, stats: DataFrame) -> DataFrame:
-    """Adds ``hard_score`` and ``hard_reasons``: missing +100, unreadable +100, no finite points +100, some non-finite +20."""
+    """Adds ``hard_score`` and ``hard_reasons``: unreadable +100 (and nothing else), missing +100, some points non-finite +20, no finite point +100."""
     df = manifest.join(stats, "cloud_id", "left")
+    unread = F.coalesce(F.col("read_error"), F.lit(False))
     rules = [
-        ("missing_pcd", F.col("n_points").isNull(), 100),
-        ("unreadable_pcd", F.coalesce(F.col("read_error"), F.lit(False)), 100),
-        ("no_finite_points", (F.col("n_points") >= 0) & (F.col("n_finite") == 0), 100),
-        ("non_finite_points", (F.col("n_finite") > 0) & (F.col("n_finite") < F.col("n_points")), 20),
+        ("pcd_read_error", unread, 100),
+        ("missing_pcd", ~unread & F.col("n_points").isNull(), 100),
+        ("non_finite_xyz", ~unread & (F.col("n_finite") != F.col("n_points")), 20),
+        ("empty_or_invalid_xyz", ~unread & (F.col("n_finite") == 0), 100),
     ]
     hit = [(name, F.coalesce(c, F.lit(False)), s) for name, c, s in rules]
     score = sum((F.when(c, s).otherwise(0) for _, c, s in hit[1:]), F.when(hit[0][1], hit[0][2]).otherwise(0))
@@ -39,10 +44,10 @@ def hard_checks(manifest: DataFrame, stats: DataFrame) -> DataFrame:
 def label_checks(df: DataFrame, least_conf: float, least_points: int) -> DataFrame:
     """predicted <> dataset class +80; confidence < c: 25 + (c - conf) * 50; manifest or file points below the minimum +25 each."""
     rules = [
-        ("prediction_mismatch", F.col("predicted_class") != F.col("dataset_class"), F.lit(80.0)),
+        ("dataset_class_ne_predicted_class", (F.col("predicted_class") != "") & (F.col("predicted_class") != F.col("dataset_class")), F.lit(80.0)),
         ("low_confidence", F.col("confidence") < least_conf, 25 + (least_conf - F.col("confidence")) * 50),
-        ("low_manifest_points", F.col("point_count") < least_points, F.lit(25.0)),
-        ("low_file_points", F.col("file_points") < least_points, F.lit(25.0)),
+        ("low_manifest_point_count", F.col("point_count") < least_points, F.lit(25.0)),
+        ("low_pcd_point_count", F.col("file_points") < least_points, F.lit(25.0)),
     ]
     hit = [(name, F.coalesce(c, F.lit(False)), s) for name, c, s in rules]
     score = sum((F.when(c, s).otherwise(0.0) for _, c, s in hit[1:]), F.when(hit[0][1], hit[0][2]).otherwise(0.0))
@@ -53,9 +58,10 @@ def robust_z(df: DataFrame, key: str, by: str, fields: tuple[str, ...], limit: f
     """(key, outlier_score, outlier_reasons): log1p of the fields against median and 1.4826 * MAD of the class (``least`` values or more);
     z >= limit adds min(40, 4z) and ``<field>_outlier_z<z>``."""
     long = df.select(key, by, *(F.log1p(F.greatest(F.col(f).cast("double"), F.lit(0.0))).alias(f) for f in fields)).unpivot([key, by], list(fields), "field", "v").filter("v IS NOT NULL")
-    middle = long.groupBy(by, "field").agg(F.median("v").alias("m"), F.count("*").alias("k"))
+    k = long.groupBy(by, "field").agg(F.count("*").alias("k"))
+    middle = quantiles(long, "v", [0.5], [by, "field"]).select(by, "field", F.get("q", F.lit(0)).alias("m")).join(k, [by, "field"])
     dev = long.join(middle, [by, "field"]).withColumn("d", F.abs(F.col("v") - F.col("m")))
-    mad = dev.groupBy(by, "field").agg(F.greatest(F.median("d") * 1.4826, F.lit(1e-9)).alias("s"))
+    mad = quantiles(dev, "d", [0.5], [by, "field"]).select(by, "field", F.greatest(F.get("q", F.lit(0)) * 1.4826, F.lit(1e-9)).alias("s"))
     z = dev.join(mad, [by, "field"]).withColumn("z", F.round(F.col("d") / F.col("s"), 6)).filter((F.col("k") >= least) & (F.col("z") >= limit))
     place = F.coalesce(*(F.when(F.col("field") == f, i) for i, f in enumerate(fields)))
     reason = F.format_string("%s_outlier_z%.1f", F.col("field"), F.col("z"))
@@ -68,17 +74,29 @@ def join_reasons(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("reasons", F.array_join(F.array_distinct(F.concat(*(F.coalesce(c, none) for c in columns))), ";"))
 
 
-HARD = r"(^|;)(unreadable_pcd|no_finite_points|non_finite_points|prediction_mismatch|low_confidence|low_)"
+# Beginnings of the reasons that make a sample a case of high priority.
+HARD = ("dataset_class_ne_predicted_class", "low_confidence", "low_pcd_point_count", "non_finite_xyz", "empty_or_invalid_xyz", "pcd_read_error")
 
 
 def queue(df: DataFrame, score: str, by: str, key: str) -> DataFrame:
-    """suspicious, high_priority and rank by score, class, sample. High priority: a hard reason, or an outlier with a score of 80 or more."""
+    """suspicious, high_priority and rank by score, class, sample. High priority: a reason that begins like one of HARD, or an outlier with a score of 80 or more."""
     df = df.withColumn("suspicious", F.col(score) > 0)
-    high = F.col("suspicious") & (F.regexp_like("reasons", F.lit(HARD)) | (F.contains("reasons", F.lit("_outlier_")) & (F.col(score) >= 80)))
-    return df.withColumn("high_priority", high).withColumn("rank", F.row_number().over(W.orderBy(F.desc(score), by, key)).cast("bigint"))
+    hard = F.exists(F.split("reasons", ";"), lambda r: reduce(lambda a, b: a | b, (r.startswith(h) for h in HARD)))
+    high = F.col("suspicious") & (hard | (F.contains("reasons", F.lit("_outlier_z")) & (F.col(score) >= 80)))
+    return range_ranked(df.withColumn("high_priority", high), [F.desc(score), F.asc(by), F.asc(key)])
 
 
 def report(df: DataFrame, n: int = 20) -> DataFrame:
-    """The n most frequent reasons; numbers of outlier reasons are left out."""
-    r = df.filter("reasons <> ''").select(F.explode(F.split("reasons", ";")).alias("reason")).withColumn("reason", F.regexp_replace("reason", r"_z[0-9.]+$", ""))
+    """The n most frequent reasons of suspicious samples."""
+    r = df.filter("suspicious AND reasons <> ''").select(F.explode(F.split("reasons", ";")).alias("reason"))
     return r.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(n)
+
+
+def class_report(df: DataFrame, by: str) -> DataFrame:
+    """Samples, suspicious and high-priority ones per class."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.count_if("suspicious").alias("suspicious"), F.count_if("high_priority").alias("high_priority"))
+
+
+def top_samples(df: DataFrame, n: int = 25) -> DataFrame:
+    """The first n suspicious samples of the queue."""
+    return df.filter("suspicious").orderBy("rank").limit(n)

@@ -53,15 +53,24 @@ def union_labels(parts: dict[str, DataFrame], columns: list[str]) -> DataFrame:
     for name, df in parts.items():
         own = df.select(*(F.col(c).cast("string").alias(c) if c in df.columns else F.lit("").alias(c) for c in columns)).withColumn("source_dataset", F.lit(name))
         both = own if both is None else both.unionByName(own)
-    return both.join(F.broadcast(class_index(both)), "class_name")
+    return both.join(class_index(both), "class_name")
 
 
 def plain_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
 
 
-def resolve_label(df: DataFrame, fields: list[str], known: list[str], path: str) -> DataFrame:
-    """``label`` and ``label_source``: the first field that names a known class, else the path part nearest the leaf that does."""
+# The metadata fields that name a class, in the order in which a label is looked for; and those that its provenance is looked for in, with what it is called.
+LABEL_FIELDS = ("review_final_class_name", "final_class_name", "class_name", "gt_class_name", "obj_class", "predicted_class_name")
+SOURCE_FIELDS = (
+    ("review_final_class_name", "review.final_class_name"), ("final_class_name", "final_class_name"), ("gt_class_name", "gt_class_name"), ("gt_obj_class", "gt_obj_class"),
+    ("obj_class", "obj_class"), ("class_name", "class_name_pseudo"), ("predicted_class_name", "predicted_class_name_pseudo"),
+)
+
+
+def resolve_label(df: DataFrame, known: list[str], path: str, fields: tuple[str, ...] = LABEL_FIELDS, sources: tuple[tuple[str, str], ...] = SOURCE_FIELDS) -> DataFrame:
+    """``label``: the first of ``fields`` that names a known class, else the path part nearest the leaf that does. ``label_source``: the first of ``sources`` that is
+    filled, whatever it names, else ``path``. The two orders differ. Fields that the table lacks are empty."""
     names = F.array(*(F.lit(k) for k in known))
     plain = F.transform(names, plain_name)
 
@@ -69,9 +78,9 @@ def resolve_label(df: DataFrame, fields: list[str], known: list[str], path: str)
         return F.get(names, (F.array_position(plain, plain_name(c)) - 1).cast("int"))
 
     parts = F.filter(F.transform(F.reverse(F.split(path, "/")), match), lambda x: x.isNotNull())
-    found = [F.when(F.array_contains(plain, plain_name(F.col(f))), F.struct(match(F.col(f)).alias("label"), F.lit(f).alias("label_source"))) for f in fields]
-    last = F.when(F.size(parts) > 0, F.struct(F.get(parts, F.lit(0)).alias("label"), F.lit("path").alias("label_source")))
-    return df.withColumn("__l", F.coalesce(*found, last)).withColumns({"label": F.col("__l.label"), "label_source": F.col("__l.label_source")}).drop("__l")
+    found = [F.when(F.array_contains(plain, plain_name(F.col(f))), match(F.col(f))) for f in fields if f in df.columns]
+    filled = [F.when(F.col(f) != "", F.lit(name)) for f, name in sources if f in df.columns]
+    return df.withColumns({"label": F.coalesce(*found, F.get(parts, F.lit(0))), "label_source": F.coalesce(*filled, F.lit("path"))})
 
 
 def all_pseudo(df: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -117,19 +126,25 @@ def best_frame(df: DataFrame, group: str, key: str) -> DataFrame:
     return df.groupBy(group).agg(F.max_by(F.struct(*(c for c in df.columns if c != group)), _best_order(key)).alias("b")).select(group, "b.*")
 
 
+def frame_order(frame: str) -> list[Column]:
+    """Frames by number, then those whose id is no number, by text."""
+    number = F.col(frame).cast("string").try_cast("bigint")
+    return [number.isNull(), number, F.col(frame)]
+
+
 def views_uniform(df: DataFrame, v: int, group: str, order: str) -> DataFrame:
-    """Up to v frames per group at evenly spaced places of the order, with their new index."""
-    w = W.partitionBy(group)
-    df = df.withColumn("__i", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count("*").over(w))
+    """Up to v frames per group at evenly spaced places of the frame order, with their new index."""
+    w, by = W.partitionBy(group), frame_order(order)
+    df = df.withColumn("__i", F.row_number().over(w.orderBy(*by)) - 1).withColumn("__n", F.count("*").over(w))
     places = F.transform(F.sequence(F.lit(0), F.lit(v - 1)), lambda i: F.floor(i * (F.col("__n") - 1) / F.lit(max(v - 1, 1))))
     keep = (F.col("__n") <= v) | F.array_contains(places, F.col("__i").cast("bigint"))
-    return df.filter(keep).withColumn("view_idx", _long(F.row_number().over(w.orderBy(order)) - 1)).drop("__i", "__n")
+    return df.filter(keep).withColumn("view_idx", _long(F.row_number().over(w.orderBy(*by)) - 1)).drop("__i", "__n")
 
 
 def views_largest(df: DataFrame, v: int, group: str, key: str) -> DataFrame:
     """The v best frames per group, numbered in frame order."""
     best = cap(df, v, group, [F.desc("extent"), F.desc("point_count"), F.desc(hash_key(key)), F.desc(key)])
-    return best.withColumn("view_idx", _long(F.row_number().over(W.partitionBy(group).orderBy(key)) - 1))
+    return best.withColumn("view_idx", _long(F.row_number().over(W.partitionBy(group).orderBy(*frame_order(key))) - 1))
 
 
 def assemble_objects(df: DataFrame, group: str, key: str, distance: str) -> DataFrame:

@@ -5,48 +5,83 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pointmill.operators import catalog, split
 
-# Column aliases of rule files.
+# Column aliases and columns of rule files, and the names of their keys, the first present one counts.
 ALIASES = {"class_name": "current_class", "json_class": "current_class"}
-COLUMNS = ("current_class", "predicted_class", "folder_class")
-_BODY = T.StructType(
-    [T.StructField(n, T.ArrayType(T.StringType())) for n in ("allow_sources", "allow", "disallow_sources", "deny", "require_equal")] + [T.StructField("match_mode", T.StringType()), T.StructField("mode", T.StringType())]
-)
+COLUMNS = ("bucket", "current_class", "predicted_class", "folder_class")
+ALLOW = ("allow_sources", "sources", "allowed_sources")
+DENY = ("disallow_sources", "deny_sources", "disallowed_sources")
+EQUAL = ("require_equal", "must_equal", "strict_columns")
+MODE = ("match_mode", "mode")
 
 
-def rule_table(texts: DataFrame) -> DataFrame:
-    """rules(target, allow, deny, require_equal, mode) from JSON texts {"target": [allowed...] | {...}}; unknown columns or modes are errors."""
-    each = texts.select(F.explode(F.from_json("text", "map<string,string>")).alias("target", "body"))
-    short = F.when(F.ltrim("body").startswith("["), F.from_json("body", "array<string>"))
-    long = F.from_json("body", _BODY)
+def _column(c: Column) -> Column:
+    c = F.trim(c)
+    return F.coalesce(*(F.when(c == a, F.lit(b)) for a, b in ALIASES.items()), c)
+
+
+def _names(text: Column) -> Column:
+    """A list, a single name, or none (null, false) of a rule file's value."""
     none = F.array().cast("array<string>")
-    equal = F.transform(F.coalesce(long["require_equal"], none), lambda c: F.coalesce(*(F.when(c == a, F.lit(b)) for a, b in ALIASES.items()), c))
+    return F.when(text.isNull() | (text == "false"), none).when(F.ltrim(text).startswith("["), F.coalesce(F.from_json(text, "array<string>"), none)).otherwise(F.array(text))
+
+
+def _first(body: Column, keys: tuple[str, ...], default: Column) -> Column:
+    """The value of the first key that is there, even if it is null."""
+    out = default
+    for k in reversed(keys):
+        out = F.when(F.map_contains_key(body, k), F.element_at(body, k)).otherwise(out)
+    return out
+
+
+def rule_table(texts: DataFrame) -> DataFrame:
+    """rules(target, allow, deny, require_equal, mode) from JSON texts: {"rules": {target: rule, ...}, ...} or the rules alone.
+
+    A rule is an object with the keys ALLOW (default ``*``), DENY, EQUAL and MODE (``and``, ``or``), or just its allowed sources. A list, one name, ``*``, null
+    and false stand for names. Unknown columns or modes are errors.
+    """
+    file = F.from_json("text", "map<string,string>")
+    each = texts.select(F.explode(F.when(F.map_contains_key(file, "rules"), F.from_json(F.element_at(file, "rules"), "map<string,string>")).otherwise(file)).alias("target", "body"))
+    each = each.withColumn("rule", F.when(F.ltrim("body").startswith("{"), F.from_json("body", "map<string,string>")))
+    rule, none = F.col("rule"), F.lit(None).cast("string")
+    long = rule.isNotNull()
     rules = each.select(
         "target",
-        F.coalesce(short, long["allow_sources"], long["allow"], none).alias("allow"),
-        F.coalesce(long["disallow_sources"], long["deny"], none).alias("deny"),
-        equal.alias("require_equal"),
-        F.coalesce(long["match_mode"], long["mode"], F.lit("all")).alias("mode"),
+        F.when(long, _names(_first(rule, ALLOW, F.lit("*")))).otherwise(_names(F.col("body"))).alias("allow"),
+        _names(F.when(long, _first(rule, DENY, none))).alias("deny"),
+        F.transform(_names(F.when(long, _first(rule, EQUAL, none))), _column).alias("require_equal"),
+        F.when(long, F.lower(_first(rule, MODE, F.lit("and")))).otherwise("and").alias("mode"),
     )
-    bad = F.exists("require_equal", lambda c: ~c.isin(*COLUMNS)) | ~F.col("mode").isin("all", "any")
+    bad = F.exists("require_equal", lambda c: ~c.isin(*COLUMNS)) | ~F.coalesce(F.col("mode").isin("and", "or"), F.lit(False))
     check = F.assert_true(~bad, F.concat(F.lit("unsupported rule for "), F.col("target")))
     return rules.withColumn("__ok", check).filter("__ok IS NULL").drop("__ok")
 
 
+def rule_columns(texts: DataFrame, target: str = "predicted_class", source: str = "current_class") -> dict[str, str]:
+    """The target and source columns that a rule file with ``rules`` names, else the given ones; aliases resolved, others are errors."""
+    file = F.from_json("text", "map<string,string>")
+    named = lambda key, other: _column(F.coalesce(F.when(F.map_contains_key(file, "rules"), F.nullif(F.element_at(file, key), F.lit(""))), F.lit(other)))
+    row = texts.select(named("target_column", target).alias("target"), named("source_column", source).alias("source")).first()  # one file
+    found = row.asDict() if row else {"target": target, "source": source}
+    if found["target"] not in COLUMNS or found["source"] not in (*COLUMNS, "is_match"):
+        raise ValueError(f"unsupported rule columns {found}")
+    return found
+
+
 def apply_rules(df: DataFrame, rules: DataFrame, target: str = "predicted_class", source: str = "current_class") -> DataFrame:
-    """Rows that the rule of their target, else that of ``*``, lets pass; no rule rejects. Deny beats allow; ``*`` in allow is any; then all or any
-    of the require_equal columns must equal the target. The rule table is small and broadcast by Spark's own size check."""
+    """Rows that the rule of their target, else that of ``*``, lets pass; no rule rejects. Deny beats allow; ``*`` in either is any; then all (and) or any (or)
+    of the require_equal columns must equal the target; a column that the table lacks is empty. The rule table is small and broadcast by Spark's own size
+    check."""
     own = rules.filter("target <> '*'").select(F.col("target").alias("__t"), F.struct("allow", "deny", "require_equal", "mode").alias("__own"))
     other = rules.filter("target = '*'").agg(F.first(F.struct("allow", "deny", "require_equal", "mode")).alias("__any"))
-    df = df.join(own, F.col(target) == F.col("__t"), "left").crossJoin(F.broadcast(other)).withColumn("__r", F.coalesce("__own", "__any"))
-    s = F.col(source)
-    allowed = F.array_contains("__r.allow", s) | F.array_contains("__r.allow", "*")
-    denied = F.array_contains("__r.deny", s)
-    flags = F.transform("__r.require_equal", lambda c: F.coalesce(*(F.when(c == name, F.col(name) == F.col(target)) for name in COLUMNS if name in df.columns), F.lit(False)))
-    equal = (F.size(flags) == 0) | F.when(F.col("__r.mode") == "any", F.exists(flags, lambda x: x)).otherwise(F.forall(flags, lambda x: x))
+    df = df.join(own, F.col(target) == F.col("__t"), "left").crossJoin(F.broadcast(other)).withColumn("__r", F.coalesce("__own", "__any"))  # one row
+    s = F.coalesce(F.trim(F.col(source).cast("string")), F.lit(""))
+    allowed, denied = (F.array_contains(f"__r.{k}", s) | F.array_contains(f"__r.{k}", "*") for k in ("allow", "deny"))
+    value = {c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) if c in df.columns else F.lit("") for c in COLUMNS}
+    flags = F.transform("__r.require_equal", lambda c: F.coalesce(*(F.when(c == name, v == F.col(target)) for name, v in value.items()), F.lit(False)))
+    equal = (F.size(flags) == 0) | F.when(F.col("__r.mode") == "or", F.exists(flags, lambda x: x)).otherwise(F.forall(flags, lambda x: x))
     return df.filter(F.col("__r").isNotNull() & allowed & ~denied & equal).drop("__t", "__own", "__any", "__r")
 
 
@@ -86,8 +121,8 @@ def review_build(df: DataFrame, ratios: tuple[float, float, float], exclude: lis
 
 
 def flat_build(df: DataFrame, ratios: tuple[float, float, float]) -> DataFrame:
-    """Leak-free split by object, checked, with unique names."""
-    parts = split.split_objects(df, split.with_minimum, ratios, ["object_id"])
+    """Leak-free split by object, checked (an error if any object stands in two splits), with unique names."""
+    parts = split.assert_no_leaks(split.split_objects(df, split.with_minimum, ratios, ["object_id"]), ["object_id"])
     return unique_names(parts, ["split", "class_name"], "object_id", "stem")
 
 

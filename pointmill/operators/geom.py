@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointmill.functions.ranking import join_same
+from pointmill.functions.ranking import quantiles as exact_quantiles
+from pointmill.functions.scratch import materialize
 from pointmill.operators.points import XYZ, bounds
 
 VOXEL = ("vx", "vy", "vz")
@@ -60,38 +63,97 @@ def visible(df: DataFrame, origin: tuple[float, float, float], cell: float, mode
     return df.withColumn("__r", F.row_number().over(w.orderBy(key, "pt"))).filter("__r = 1").drop("__r", "__m")
 
 
-#: Clouds of up to so many points are compared whole; larger ones through a grid.
+#: Clouds of up to so many points are met whole; larger ones through a grid.
 WHOLE_UP_TO = 4096
+#: Clouds of up to so many points meet in a join, which is cheaper for many tiny clouds than a group each.
+FEW = 64
+_STEPS = (-1, 0, 1)
 
 
-def _ranked(met: DataFrame, k: int) -> DataFrame:
-    w = W.partitionBy("cloud_id", "pt").orderBy(F.round("d2", 9), "n_pt")
-    return met.filter("pt <> n_pt").withColumn("d2", _d2()).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def nearest(points: DataFrame, others: DataFrame, keys: list[str], ids: list[str], k: int, whole_up_to: int = WHOLE_UP_TO, distance_only: bool = False) -> DataFrame:
+    """The k nearest of ``others`` (keys, n_pt, n_x, n_y, n_z) with equal keys for each of ``points`` (keys, ids, x, y, z): both sides' columns, d2 and rank; ties by
+    smaller n_pt. Rows of others that carry the own id as n_pt are left out where ``ids`` is ["pt"]. ``distance_only``, for k = 1: no more than (keys, ids, x, y, z, d2),
+    by a hash aggregate.
 
+    Clouds of others of up to ``whole_up_to`` points are met whole, in an equi join. For larger ones a grid of about 2k points per cell makes the candidates: a point
+    meets its cell and the 26 around it. It is settled if its k-th distance is below the cell size, or if those cells hold the whole cloud. The others try
+    again with cells of twice the size, each time fewer, so the answer is exact and only points far from all others ever meet a whole cloud.
+    """
+    own = keys + ids
+    n_cols = ["n_pt", "n_x", "n_y", "n_z"]
+    lo, hi = ([f(f"n_{c}").alias(f"__{n}{c}") for c in XYZ] for n, f in (("l", F.min), ("h", F.max)))
+    size = F.greatest(*(F.col(f"__h{c}") - F.col(f"__l{c}") for c in XYZ)) / F.greatest(F.lit(1.0), F.floor(F.cbrt(F.col("__n") / F.lit(2.0 * k))))
+    about = others.groupBy(*keys).agg(F.count("*").alias("__n"), *lo, *hi).withColumn("__s", F.greatest(size, F.lit(1e-9)))
+
+    def ranked(met: DataFrame) -> DataFrame:
+        met = met.filter("pt <> n_pt") if ids == ["pt"] else met
+        if distance_only:
+            extra = [c for c in ("__w", "__side") if c in met.columns]
+            return met.groupBy(*own, *XYZ, *extra).agg(F.min(_d2()).alias("d2"))
+        return met.withColumn("d2", _d2()).withColumn("rank", F.row_number().over(W.partitionBy(*own).orderBy(F.round("d2", 9), "n_pt"))).filter(F.col("rank") <= k)
+
+    out_cols = [*own, *XYZ, *([] if distance_only else n_cols), "d2", *([] if distance_only else ["rank"])]
+    points, others = points.select(*own, *XYZ), others.select(*keys, *n_cols)
+    small, large = about.filter(F.col("__n") <= whole_up_to).select(*keys), about.filter(F.col("__n") > whole_up_to)
+    found = ranked(points.join(small, keys).join(others, keys)).select(*out_cols)
+    if large.isEmpty():
+        return found
+    left, grid = materialize(points.join(large, keys), "unsettled"), materialize(others.join(large.select(*keys, *(f"__l{c}" for c in XYZ), "__s"), keys), "grid")
+    scale = 1.0
+    while True:
+        side = F.col("__s") * F.lit(scale)
+        cell = lambda c, side=side: F.floor((F.col(c) - F.col("__l" + c[-1])) / side).cast("bigint")
+        cells = grid.select(*keys, *n_cols, *(cell("n_" + c).alias(v) for c, v in zip(XYZ, VOXEL)))
+        top = {c: F.floor((F.col("__h" + c) - F.col("__l" + c)) / side) for c in XYZ}
+        whole = F.lit(True)
+        for c in XYZ:
+            whole = whole & (cell(c) <= 1) & (cell(c) >= top[c] - 1)
+        near = left.withColumns({"__w": whole, "__side": side} | {v: cell(c) for c, v in zip(XYZ, VOXEL)})
+        for i, v in enumerate(VOXEL):
+            near = near.withColumn(f"__i{i}", F.explode(F.array(*map(F.lit, _STEPS)))).withColumn(v, F.col(v) + F.col(f"__i{i}")).drop(f"__i{i}")
+        met = ranked(near.join(cells, [*keys, *VOXEL]))
+        w = W.partitionBy(*own)
+        sure = F.col("__w") | ((F.count("*").over(w) == k) & (F.max("d2").over(w) < F.col("__side") * F.col("__side")))
+        met = materialize(met.withColumn("__sure", sure).filter("__sure").select(*out_cols), "settled")
+        found = found.unionByName(met)
+        far = left.withColumn("__w", whole).filter("NOT __w").drop("__w")
+        left = materialize(far.join(met.select(*own).distinct(), own, "left_anti"), "unsettled")
+        if left.isEmpty():
+            return found
+        scale *= 2
 
-def neighbours(df: DataFrame, k: int, whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
-    """The k nearest other points of the same cloud: (cloud_id, pt, x, y, z, n_pt, n_x, n_y, n_z, d2, rank); ties by smaller n_pt.
 
-    Small clouds meet whole, in an equi join. For larger ones a grid of about 2k points per cell makes the candidates: a point meets its cell and
-    the 26 around it. Where its k-th distance exceeds the cell size, others could be nearer outside, and the point meets its whole
-    cloud instead, so the answer is exact.
-    """
-    cols = ["cloud_id", "pt", *XYZ, "n_pt", "n_x", "n_y", "n_z", "d2", "rank"]
-    b = bounds(df)
-    size = F.greatest(*(F.col("max_" + c) - F.col("min_" + c) for c in XYZ)) / F.greatest(F.lit(1.0), F.floor(F.cbrt(F.col("n_points") / F.lit(2.0 * k))))
-    grid = df.select("cloud_id", "pt", *XYZ).join(b.select("cloud_id", F.greatest(size, F.lit(1e-9)).alias("__s"), "n_points"), "cloud_id")
-    grid = grid.withColumns({v: F.floor(F.col(c) / F.col("__s")).cast("bigint") for v, c in zip(VOXEL, XYZ)})
-    other = grid.select("cloud_id", *VOXEL, F.col("pt").alias("n_pt"), *(F.col(c).alias("n_" + c) for c in XYZ))
-    small, large = grid.filter(F.col("n_points") <= whole_up_to), grid.filter(F.col("n_points") > whole_up_to)
-    step = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    near = large.withColumn("__i", F.explode(step)).withColumn("__j", F.explode(step)).withColumn("__k", F.explode(step))
-    near = near.withColumns({v: F.col(v) + F.col(i) for v, i in zip(VOXEL, ("__i", "__j", "__k"))}).drop("__i", "__j", "__k")
-    met = _ranked(near.join(other, ["cloud_id", *VOXEL]), k)
-    w = W.partitionBy("cloud_id", "pt")
-    met = met.withColumn("__sure", (F.count("*").over(w) == k) & (F.max("d2").over(w) < F.col("__s") * F.col("__s"))).filter("__sure")
-    rest = large.select("cloud_id", "pt", *XYZ).join(met.select("cloud_id", "pt").distinct(), ["cloud_id", "pt"], "left_anti")
-    whole = small.select("cloud_id", "pt", *XYZ).unionByName(rest)
-    return met.select(*cols).unionByName(_ranked(whole.join(other.drop(*VOXEL), "cloud_id"), k).select(*cols))
+def neighbours(df: DataFrame, k: int, whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
+    """The k nearest other points of the same cloud: (cloud_id, pt, x, y, z, n_pt, n_x, n_y, n_z, d2, rank); ties by smaller n_pt. See :func:`nearest`."""
+    sizes = df.groupBy("cloud_id").agg(F.count("*").alias("__n"))
+    df = df.select("cloud_id", "pt", *(F.col(c).cast("double").alias(c) for c in XYZ)).join(sizes, "cloud_id")
+    middle = df.filter(F.col("__n").between(FEW + 1, whole_up_to)).drop("__n")
+    rest = df.filter(~F.col("__n").between(FEW + 1, whole_up_to)).drop("__n")
+    others = rest.select("cloud_id", F.col("pt").alias("n_pt"), *(F.col(c).alias("n_" + c) for c in XYZ))
+    found = nearest(rest, others, ["cloud_id"], ["pt"], k, whole_up_to)
+    return found.unionByName(middle.groupBy("cloud_id").applyInPandas(_of_cloud(k), found.schema)) if whole_up_to > FEW else found
+
+
+def _of_cloud(k: int):
+    """The neighbours within one cloud of a bounded number of points, by its distances, some rows of them at a time."""
+
+    def of_cloud(cloud: pd.DataFrame) -> pd.DataFrame:
+        pt, x = cloud["pt"].to_numpy(), cloud[list(XYZ)].to_numpy(float)
+        near, gaps = [], []
+        for i in range(0, len(x), 512):
+            d = np.zeros((len(x[i : i + 512]), len(x)))
+            for c in range(3):
+                d += (x[i : i + 512, None, c] - x[None, :, c]) ** 2
+            order = np.lexsort((np.broadcast_to(pt, d.shape), np.floor(d * 1e9 + 0.5)), axis=1)
+            order = order[order != np.arange(i, i + len(d))[:, None]].reshape(len(d), -1)[:, :k]
+            near.append(order)
+            gaps.append(np.take_along_axis(d, order, 1))
+        near, gaps = np.concatenate(near), np.concatenate(gaps)
+        own, m = np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
+        out = {"cloud_id": cloud["cloud_id"].iloc[0], "pt": pt[own], "n_pt": pt[m], "d2": gaps.ravel(), "rank": np.tile(np.arange(1, near.shape[1] + 1), len(x))}
+        return pd.DataFrame(out | {p + c: x[rows, j] for p, rows in (("", own), ("n_", m)) for j, c in enumerate(XYZ)})
+
+    return of_cloud
 
 
 def _eigen(m: dict[str, Column]) -> tuple[Column, Column, Column]:
@@ -150,7 +212,7 @@ def normal_difference(nb: DataFrame, shapes: DataFrame) -> DataFrame:
 def transfer_threshold(df: DataFrame, a: str, t: float, b: str) -> DataFrame:
     """The quantile of b that marks as large a share as a >= t does."""
     ratio = df.agg(F.avg((F.col(a) >= t).cast("double"))).first()[0] or 0.0  # one scalar
-    return df.agg(F.round(F.lit(ratio), 6).alias("ratio"), F.round(F.percentile(b, F.lit(1 - ratio)), 6).alias("threshold"))
+    return exact_quantiles(df, b, [1 - ratio]).select(F.round(F.lit(ratio), 6).alias("ratio"), F.round(F.get("q", F.lit(0)), 6).alias("threshold"))
 
 
 def sweep(df: DataFrame, score: str, thresholds: list[float]) -> DataFrame:
@@ -159,7 +221,7 @@ def sweep(df: DataFrame, score: str, thresholds: list[float]) -> DataFrame:
 
 
 def quantiles(df: DataFrame, score: str, at: list[float]) -> DataFrame:
-    return df.agg(F.percentile(score, F.array(*(F.lit(p) for p in at))).alias("q")).select(*(F.round(F.get("q", F.lit(i)), 6).alias(f"p{round(100 * p)}") for i, p in enumerate(at)))
+    return exact_quantiles(df, score, at).select(*(F.round(F.get("q", F.lit(i)), 6).alias(f"p{round(100 * p)}") for i, p in enumerate(at)))
 
 
 def jaccard(df: DataFrame, a: Column, b: Column, by: list[str]) -> DataFrame:
@@ -171,16 +233,18 @@ def jaccard(df: DataFrame, a: Column, b: Column, by: list[str]) -> DataFrame:
 def score_summary(df: DataFrame, metrics: list[str], by: str = "class_name") -> DataFrame:
     """mean, median, p10, p90 of every metric per class and over all."""
     long = df.unpivot([by], metrics, "metric", "value")
-    cube = long.groupingSets([[F.col("metric"), F.col(by)], [F.col("metric")]], "metric", by)
-    out = cube.agg(F.avg("value").alias("mean"), F.percentile("value", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("q"), F.grouping(by).alias("g"))
-    return out.select("metric", F.when(F.col("g") == 1, "overall").otherwise(F.col(by)).alias("class_name"), F.round("mean", 6).alias("mean"), *(F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("median", "p10", "p90"))))
+    long = long.select("metric", F.explode(F.array(F.struct(F.lit(False).alias("all"), F.col(by).alias("c")), F.struct(F.lit(True).alias("all"), F.lit("overall").alias("c")))).alias("g"), "value")
+    long = long.select("metric", "g.all", F.col("g.c").alias("class_name"), "value")
+    keys = ["metric", "all", "class_name"]
+    out = join_same(long.groupBy(*keys).agg(F.avg("value").alias("mean")), exact_quantiles(long, "value", [0.5, 0.1, 0.9], keys), keys)
+    return out.select("metric", "class_name", F.round("mean", 6).alias("mean"), *(F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("median", "p10", "p90"))))
 
 
-def nearest_other(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+def nearest_other(pairs: DataFrame, a: DataFrame, b: DataFrame, whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
     """For each pair (pair_id, a_id, b_id) and point of cloud a_id, the distance to the nearest point of b_id."""
     left = pairs.join(a.select(F.col("cloud_id").alias("a_id"), "pt", *XYZ), "a_id")
-    right = b.select(F.col("cloud_id").alias("b_id"), *(F.col(c).alias("n_" + c) for c in XYZ))
-    return left.join(right, "b_id").groupBy("pair_id", "pt").agg(F.sqrt(F.min(_d2())).alias("d"))
+    right = b.select(F.col("cloud_id").alias("b_id"), F.col("pt").alias("n_pt"), *(F.col(c).alias("n_" + c) for c in XYZ))
+    return nearest(left, right, ["b_id"], ["pair_id", "pt"], 1, whole_up_to, distance_only=True).select("pair_id", "pt", F.sqrt("d2").alias("d"))
 
 
 def chamfer(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -196,8 +260,8 @@ def registration_residual(df: DataFrame, most: float = 0.0) -> DataFrame:
     pairs = v.alias("p").join(v.alias("q"), "cloud_id").filter("p.view_id < q.view_id").select("cloud_id", F.col("p.view_id").alias("va"), F.col("q.view_id").alias("vb"))
     both = pairs.unionByName(pairs.selectExpr("cloud_id", "vb AS va", "va AS vb")).withColumn("pair", F.concat_ws("-", F.least("va", "vb"), F.greatest("va", "vb")))
     left = both.join(df.select("cloud_id", F.col("view_id").alias("va"), "pt", *XYZ), ["cloud_id", "va"])
-    right = df.select("cloud_id", F.col("view_id").alias("vb"), *(F.col(c).alias("n_" + c) for c in XYZ))
-    d = left.join(right, ["cloud_id", "vb"]).groupBy("cloud_id", "pair", "va", "pt").agg(F.min(_d2()).alias("d2"))
+    right = df.select("cloud_id", F.col("view_id").alias("vb"), F.col("pt").alias("n_pt"), *(F.col(c).alias("n_" + c) for c in XYZ))
+    d = nearest(left, right, ["cloud_id", "vb"], ["pair", "va", "pt"], 1, distance_only=True)
     inside = F.lit(True) if most <= 0 else F.col("d2") <= most * most
     n = F.count_if(inside)
     out = d.groupBy("cloud_id", "pair").agg(F.count("*").alias("n"), n.alias("inliers"), F.sqrt(F.sum(F.when(inside, F.col("d2"))) / n).alias("rmse"))
@@ -290,4 +354,5 @@ def confidence_histogram(df: DataFrame, bins: int = 20, c: str = "confidence") -
 
 
 def confidence_summary(df: DataFrame, least: float, c: str = "confidence") -> DataFrame:
-    return df.agg(F.round(F.avg(c), 6).alias("mean"), F.round(F.median(c), 6).alias("median"), F.count_if(F.col(c) < least).alias("rejected"))
+    own = df.agg(F.round(F.avg(c), 6).alias("mean"), F.count_if(F.col(c) < least).alias("rejected"))
+    return own.join(exact_quantiles(df, c, [0.5]).select(F.round(F.get("q", F.lit(0)), 6).alias("median")), F.lit(True), "left").select("mean", "median", "rejected")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointmill.functions.hashing import hash_key
-from pointmill.operators.geom import centreline
+from pointmill.functions.ranking import hash_ranked
+from pointmill.operators.geom import centreline, principal_axis
 from pointmill.operators.points import XYZ, bounds
 
 
@@ -23,22 +26,22 @@ def seconds_between(a_ns: Column, b_ns: Column) -> Column:
 
 
 def box_gap_score(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """gap_xy + 0.15 * centre distance + 0.5 * gap_z of the bounding boxes of a_id and b_id."""
+    """gap_xy + 0.15 * centre + 0.5 * gap_z of the bounding boxes of a_id and b_id; centre is the distance of their means in the plane."""
     b = bounds(points)
-    a = b.select(F.col("cloud_id").alias("a_id"), *(F.col(f"{s}_{c}").alias(f"a_{s}_{c}") for s in ("min", "max") for c in XYZ))
-    o = b.select(F.col("cloud_id").alias("b_id"), *(F.col(f"{s}_{c}").alias(f"b_{s}_{c}") for s in ("min", "max") for c in XYZ))
+    a = b.select(F.col("cloud_id").alias("a_id"), *(F.col(f"{s}_{c}").alias(f"a_{s}_{c}") for s in ("min", "max", "mean") for c in XYZ))
+    o = b.select(F.col("cloud_id").alias("b_id"), *(F.col(f"{s}_{c}").alias(f"b_{s}_{c}") for s in ("min", "max", "mean") for c in XYZ))
     df = pairs.join(a, "a_id").join(o, "b_id")
     gap = {c: F.greatest(F.lit(0.0), F.col(f"b_min_{c}") - F.col(f"a_max_{c}"), F.col(f"a_min_{c}") - F.col(f"b_max_{c}")) for c in XYZ}
-    mid = {c: (F.col(f"a_min_{c}") + F.col(f"a_max_{c}") - F.col(f"b_min_{c}") - F.col(f"b_max_{c}")) / 2 for c in XYZ}
-    gap_xy, centre = F.sqrt(gap["x"] ** 2 + gap["y"] ** 2), F.sqrt(mid["x"] ** 2 + mid["y"] ** 2 + mid["z"] ** 2)
+    mid = {c: F.col(f"a_mean_{c}") - F.col(f"b_mean_{c}") for c in "xy"}
+    gap_xy, centre = F.sqrt(gap["x"] ** 2 + gap["y"] ** 2), F.sqrt(mid["x"] ** 2 + mid["y"] ** 2)
     return df.select(*pairs.columns, gap_xy.alias("gap_xy"), gap["z"].alias("gap_z"), centre.alias("centre"), (gap_xy + 0.15 * centre + 0.5 * gap["z"]).alias("score"))
 
 
-def candidates_in_time(a: DataFrame, b: DataFrame, keys: list[str], limit: int, time: str = "us") -> DataFrame:
+def candidates_in_time(a: DataFrame, b: DataFrame, keys: list[str], limit: int, time: str = "us", salt: int = 16) -> DataFrame:
     """Pairs of equal keys whose times differ by at most ``limit``; unknown times pass. Columns get the prefixes a_ and b_.
 
     Known times meet through buckets of ``limit`` (own and the two beside), so a key's rows are not all compared; rows of unknown
-    time take the plain equi join on the keys.
+    time meet all rows of their keys, as they must, those of a hot key in ``salt`` parts.
     """
     a, b = (df.select(*(F.col(c).alias(p + c) for c in df.columns)) for df, p in ((a, "a_"), (b, "b_")))
     on = [F.col("a_" + k) == F.col("b_" + k) for k in keys]
@@ -46,9 +49,35 @@ def candidates_in_time(a: DataFrame, b: DataFrame, keys: list[str], limit: int,
     near = a.filter(F.col("a_" + time).isNotNull()).withColumn("__c", F.explode(F.array(*(cell("a_" + time) + i for i in (-1, 0, 1)))))
     known = b.filter(F.col("b_" + time).isNotNull()).withColumn("__d", cell("b_" + time))
     met = near.join(known, [*on, F.col("__c") == F.col("__d")]).filter(F.abs(F.col("a_" + time) - F.col("b_" + time)) <= limit).drop("__c", "__d")
-    some = a.filter(F.col("a_" + time).isNull()).join(b, on)
-    rest = a.filter(F.col("a_" + time).isNotNull()).join(b.filter(F.col("b_" + time).isNull()), on)
-    return met.unionByName(some).unionByName(rest)
+    part = F.expr(f"sequence(0, {salt - 1})")
+    on = [*on, F.col("__c") == F.col("__d")]
+    spread = lambda df, c: df.withColumn(c, F.pmod(F.xxhash64(*df.columns), F.lit(salt)).cast("int"))
+    some = a.filter(F.col("a_" + time).isNull()).withColumn("__c", F.explode(part)).join(spread(b, "__d"), on)
+    rest = spread(a.filter(F.col("a_" + time).isNotNull()), "__c").join(b.filter(F.col("b_" + time).isNull()).withColumn("__d", F.explode(part)), on)
+    return met.unionByName(some.drop("__c", "__d")).unionByName(rest.drop("__c", "__d"))
+
+
+def within_limits(pairs: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """Pairs whose named measures (frames, gap_xy, gap_z, centre) are at most their limits. Unknown frames pass, unknown geometry does not."""
+    for name, limit in limits.items():
+        pairs = pairs.filter(F.coalesce(F.col(name) <= limit, F.lit(name == "frames")))
+    return pairs
+
+
+def match_boxes(a: DataFrame, b: DataFrame, points: DataFrame, keys: list[str], limit: int, limits: dict[str, float], frames: Column | None = None, time: str = "us", salt: int = 16) -> DataFrame:
+    """Each row of a with its best partner in b: of equal keys, within ``limit`` in time, another object, within ``limits``; the lowest box-gap score wins, then
+    the smaller b_cloud_id. a and b have cloud_id, object_id and the keys; a_ and b_ mark their columns. Unknown times, objects, frames and
+    confidences pass; a cloud without points has no partner.
+
+    ``limits`` on a_confidence and b_confidence (at least), frames, gap_xy, gap_z and centre (at most); catalogue columns are judged before points are met.
+    """
+    least = {p: limits.get(p + "_confidence") for p in "ab"}
+    a, b = (df if least[p] is None else df.filter(F.coalesce(F.col("confidence") >= least[p], F.lit(True))) for p, df in (("a", a), ("b", b)))
+    pairs = candidates_in_time(a, b, keys, limit, time, salt).filter("coalesce(a_object_id <> b_object_id, true)")
+    pairs = pairs.withColumn("frames", frames if frames is not None else F.lit(None).cast("double"))
+    pairs = within_limits(pairs, {k: v for k, v in limits.items() if k == "frames"}).withColumns({"a_id": F.col("a_cloud_id"), "b_id": F.col("b_cloud_id")})
+    scored = within_limits(box_gap_score(pairs, points), {k: v for k, v in limits.items() if k in ("gap_xy", "gap_z", "centre")})
+    return best_match(scored.drop("a_id", "b_id"), "a_cloud_id", "score", "b_cloud_id")
 
 
 def best_match(pairs: DataFrame, key: str, score: str, tie: str) -> DataFrame:
@@ -59,17 +88,17 @@ def best_match(pairs: DataFrame, key: str, score: str, tie: str) -> DataFrame:
 
 def hash_match(a: DataFrame, b: DataFrame, keys: list[str], a_key: str, b_key: str, seed: int, draw: str | None = None) -> DataFrame:
     """One candidate of equal keys per row of a, at an evenly distributed hash place, without listing the pairs."""
-    ranked = b.withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy(hash_key(seed, b_key), b_key)) - 1)
+    ranked = hash_ranked(b, keys, hash_key(seed, b_key), [b_key]).withColumn("__i", F.col("__r") - 1)
     size = b.groupBy(*keys).agg(F.count("*").alias("__n"))
     parts = [seed, a_key] + ([draw] if draw else [])
     place = F.pmod(F.conv(F.substring(hash_key(*parts), 1, 8), 16, 10).cast("bigint"), F.col("__n"))
-    own = a.select(*keys, a_key, *([draw] if draw else [])).join(F.broadcast(size), keys).withColumn("__i", place)
+    own = a.select(*keys, a_key, *([draw] if draw else [])).join(size, keys).withColumn("__i", place)
     return own.join(ranked.select(*keys, F.col(b_key), "__i"), [*keys, "__i"]).drop("__i", "__n")
 
 
 def draw_pairs(a: DataFrame, b: DataFrame, keys: list[str], a_key: str, b_key: str, n: int, seed: int) -> DataFrame:
     """Exactly n draws per key group with replacement: a hash place in a, then :func:`hash_match` into b with the draw in the hash."""
-    ranked = a.withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy(hash_key(seed, a_key), a_key)) - 1)
+    ranked = hash_ranked(a, keys, hash_key(seed, a_key), [a_key]).withColumn("__i", F.col("__r") - 1)
     size = a.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     place = F.pmod(F.conv(F.substring(hash_key(seed, *keys, "draw"), 1, 8), 16, 10).cast("bigint"), F.col("__n"))
     drawn = size.withColumn("__i", place).join(ranked.select(*keys, a_key, "__i"), [*keys, "__i"]).drop("__i", "__n")
@@ -80,26 +109,44 @@ def unmatched(a: DataFrame, matched: DataFrame, key: str) -> DataFrame:
     return a.join(matched.select(key), key, "left_anti").select(key, F.lit("no_candidate").alias("reason"))
 
 
-def align_pairs(pairs: DataFrame, points: DataFrame, gap: float) -> DataFrame:
-    """Trailer points (a_id) turned to the vehicle's axis (b_id), front at the vehicle's rear less ``gap``, lateral centres and ground
-    aligned; united with the vehicle's points, with source_id."""
-    lines = centreline(points)
+def _alignment(pairs: DataFrame, points: DataFrame, gap: float, flipped: bool) -> tuple[DataFrame, DataFrame]:
+    """Turned points of the trailers (a_id), and per pair the turn and the shifts that bring them behind the vehicles (b_id)."""
+    ids = pairs.select(F.explode(F.array("a_id", "b_id")).alias("cloud_id")).distinct()
+    lines = centreline(points.join(ids, "cloud_id", "left_semi"))  # of the paired clouds only
     v = lines.select(F.col("cloud_id").alias("b_id"), F.atan2("ay", "ax").alias("vt"), F.col("ax").alias("vax"), F.col("ay").alias("vay"), F.col("u_min").alias("rear"), F.col("v_mid").alias("mid"), F.col("ground").alias("vg"))
     t = lines.select(F.col("cloud_id").alias("a_id"), F.atan2("ay", "ax").alias("tt"))
-    turn = pairs.join(v, "b_id").join(t, "a_id").withColumn("d", F.col("vt") - F.col("tt"))
+    turn = pairs.join(v, "b_id").join(t, "a_id").withColumn("d", F.col("vt") - F.col("tt") + F.lit(math.pi if flipped else 0.0))
     own = turn.join(points.select(F.col("cloud_id").alias("a_id"), "pt", *XYZ), "a_id")
     own = own.withColumns({"x": F.col("x") * F.cos("d") - F.col("y") * F.sin("d"), "y": F.col("x") * F.sin("d") + F.col("y") * F.cos("d")})
     u, w = F.col("x") * F.col("vax") + F.col("y") * F.col("vay"), F.col("y") * F.col("vax") - F.col("x") * F.col("vay")
     ends = F.array(F.lit(0.01), F.lit(0.99))
-    fit = own.groupBy("pair_id").agg(F.percentile(u, ends).alias("u"), F.percentile(w, ends).alias("w"), F.min("z").alias("g"), *(F.first(c).alias(c) for c in ("rear", "mid", "vg", "vax", "vay")))
+    kept = ("a_id", "b_id", "d", "rear", "mid", "vg", "vax", "vay")
+    fit = own.groupBy("pair_id").agg(F.percentile(u, ends).alias("u"), F.percentile(w, ends).alias("w"), F.min("z").alias("g"), *(F.first(c).alias(c) for c in kept))
     du = F.col("rear") - F.lit(gap) - F.get("u", F.lit(1))
     dv = F.col("mid") - (F.get("w", F.lit(0)) + F.get("w", F.lit(1))) / 2
-    fit = fit.select("pair_id", (du * F.col("vax") - dv * F.col("vay")).alias("dx"), (du * F.col("vay") + dv * F.col("vax")).alias("dy"), (F.col("vg") - F.col("g")).alias("dz"))
-    moved = own.join(fit, "pair_id").select("pair_id", F.col("a_id").alias("source_id"), "pt", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), (F.col("z") + F.col("dz")).alias("z"))
+    fit = fit.select("pair_id", *kept, du.alias("du"), dv.alias("dv"), (du * F.col("vax") - dv * F.col("vay")).alias("dx"), (du * F.col("vay") + dv * F.col("vax")).alias("dy"), (F.col("vg") - F.col("g")).alias("dz"))
+    return own, fit
+
+
+def align_pairs(pairs: DataFrame, points: DataFrame, gap: float, flipped: bool = False) -> DataFrame:
+    """Trailer points (a_id) turned to the vehicle's axis (b_id), front at the vehicle's rear less ``gap``, lateral centres and ground
+    aligned; united with the vehicle's points, with source_id. ``flipped`` turns the trailer by half a circle more."""
+    own, fit = _alignment(pairs, points, gap, flipped)
+    moved = own.join(fit.select("pair_id", "dx", "dy", "dz"), "pair_id").select("pair_id", F.col("a_id").alias("source_id"), "pt", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), (F.col("z") + F.col("dz")).alias("z"))
     still = pairs.join(points.select(F.col("cloud_id").alias("b_id"), "pt", *XYZ), "b_id").select("pair_id", F.col("b_id").alias("source_id"), "pt", *XYZ)
     return moved.unionByName(still)
 
 
+def alignment_report(pairs: DataFrame, points: DataFrame, gap: float, flipped: bool = False) -> DataFrame:
+    """Per pair: the turn in degrees from -180 to 180, the shifts along the axis, across it and upwards, and the angle left between the axes of the
+    moved trailer and the vehicle, 0 to 90 degrees."""
+    own, fit = _alignment(pairs, points, gap, flipped)
+    axis = principal_axis(own.select(F.col("pair_id").alias("cloud_id"), *XYZ)).select(F.col("cloud_id").alias("pair_id"), "ax", "ay")
+    dot = F.least(F.abs(F.col("ax") * F.col("vax") + F.col("ay") * F.col("vay")), F.lit(1.0))
+    turn = F.degrees(F.atan2(F.sin("d"), F.cos("d")))
+    return fit.join(axis, "pair_id").select("pair_id", "a_id", "b_id", turn.alias("turn"), F.col("du").alias("along"), F.col("dv").alias("across"), F.col("dz").alias("up"), F.degrees(F.acos(dot)).alias("angle_error"))
+
+
 def merged_class(vehicle: Column, style: str = "snake") -> Column:
     names = {"snake": ("truck_with_trailer", "car_with_trailer"), "title": ("TRUCK WITH TRAILER", "CAR WITH TRAILER")}[style]
     return F.when(F.lower(vehicle).contains("truck"), names[0]).otherwise(names[1])
@@ -114,25 +161,28 @@ def ground_truth_score(path: Column, declared: Column, role: Column, review: Col
 
 
 def resolve_ground_truth(samples: DataFrame, truth: DataFrame) -> DataFrame:
-    """(stem, path, tier, ambiguous) by exact stem, else (run, object), else the only candidate of the object; same class +40; best score,
-    then the greatest path; ambiguous if the best score is shared. Samples without a candidate keep nulls."""
+    """(stem, class_name, path, tier, ambiguous) of every sample: candidates by exact stem, else by (run, object), else the only candidate of its class among those of
+    the object. Of the candidates, those of the sample's class if there are any; of these the best score, then the greatest path; ambiguous if
+    that score is shared. A candidate is known by its stem and by its sample_id, where there is one. Samples without a candidate keep nulls.
+    """
     s = samples.select(F.col("stem").alias("s_stem"), F.col("run_id").alias("s_run"), F.col("object_id").alias("s_object"), F.col("class_name").alias("s_class"))
-    only = truth.groupBy("object_id").agg(F.count("*").alias("__n")).filter("__n = 1").select("object_id")
+    t = truth.select("stem", "run_id", "object_id", "class_name", "path", "score")
+    named = t if "sample_id" not in truth.columns else t.unionByName(truth.withColumn("stem", F.col("sample_id")).select(*t.columns)).distinct()
+    only = t.groupBy("object_id", "class_name").agg(F.count("*").alias("__n"), F.first(F.struct(*t.columns)).alias("__t")).filter("__n = 1").select("__t.*")
     tiers = [
-        (truth, F.col("s_stem") == F.col("stem")),
-        (truth, (F.col("s_run") == F.col("run_id")) & (F.col("s_object") == F.col("object_id"))),
-        (truth.join(only, "object_id"), F.col("s_object") == F.col("object_id")),
+        (named, F.col("s_stem") == F.col("stem")),
+        (t, (F.col("s_run") == F.col("run_id")) & (F.col("s_object") == F.col("object_id"))),
+        (only, (F.col("s_object") == F.col("object_id")) & (F.col("s_class") == F.col("class_name"))),
     ]
     met = None
-    for k, (t, on) in enumerate(tiers, 1):
-        part = s.join(t.select("stem", "run_id", "object_id", "class_name", "path", "score"), on)
-        part = part.select("s_stem", "path", (F.col("score") + F.when(F.col("class_name") == F.col("s_class"), 40).otherwise(0)).alias("score"), F.lit(k).alias("tier"))
+    for k, (candidates, on) in enumerate(tiers, 1):
+        part = s.join(candidates, on).select("s_stem", "path", "score", F.lit(k).alias("tier"), F.coalesce(F.col("class_name") == F.col("s_class"), F.lit(False)).alias("same"))
         met = part if met is None else met.unionByName(part)
-    low = met.groupBy("s_stem").agg(F.min("tier").alias("tier"))
-    met = met.join(low, ["s_stem", "tier"])
-    best = met.groupBy("s_stem", "tier").agg(F.max(F.struct("score", "path")).alias("b"), F.max("score").alias("__s"))
-    ties = met.groupBy("s_stem", "score").agg(F.count("*").alias("__k"))
-    best = best.join(ties, (best["s_stem"] == ties["s_stem"]) & (best["__s"] == ties["score"])).select(best["s_stem"].alias("stem"), "b.path", F.col("tier").cast("bigint").alias("tier"), (F.col("__k") > 1).alias("ambiguous"))
+    # The lowest tier, then the sample's class, then score and path: the greatest struct; how many share all but the path comes with it.
+    rank = F.struct((-F.col("tier")).alias("t"), "same", "score")
+    ties = met.groupBy("s_stem", rank.alias("k")).agg(F.count("*").alias("n"), F.max("path").alias("path"))
+    best = ties.groupBy("s_stem").agg(F.max(F.struct("k", "path", "n")).alias("b"))
+    best = best.select(F.col("s_stem").alias("stem"), "b.path", (-F.col("b.k.t")).cast("bigint").alias("tier"), (F.col("b.n") > 1).alias("ambiguous"))
     return samples.select("stem", "class_name").join(best, "stem", "left")
 
 

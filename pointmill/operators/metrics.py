@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointmill.functions.ranking import join_same, quantiles
+from pointmill.operators.catalog import cap
+from pointmill.operators.geom import consolidate
+
 
 def confusion(df: DataFrame, true: str, pred: str, by: list[str] = ()) -> DataFrame:
     """Dense (true, pred, n): every pair of classes seen on either side, zeros included."""
     n = df.groupBy(*by, F.col(true).alias("true"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
     names = df.select(F.explode(F.array(true, pred)).alias("true")).distinct()  # classes only
-    grid = names.crossJoin(F.broadcast(names.withColumnRenamed("true", "pred")))
+    grid = names.crossJoin(names.select(F.col("true").alias("pred")))
     if by:
-        grid = grid.crossJoin(F.broadcast(df.select(*by).distinct()))
+        grid = df.select(*by).distinct().crossJoin(grid)
     return grid.join(n, [*by, "true", "pred"], "left").na.fill(0, ["n"])
 
 
@@ -68,7 +72,7 @@ def shape_iou(df: DataFrame, shape: str, category: str, label: str, pred: str, p
     """Per shape the mean IoU (percent) over the parts of its category, empty unions 100; and the instance mean with the mean over all categories of
     ``parts`` (category, part), where absent categories count 0."""
     both = df.groupBy(shape, category, F.col(label).alias("l"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
-    own = df.select(shape, category).distinct().join(F.broadcast(parts), category)
+    own = df.select(shape, category).distinct().join(parts, category)
     t = own.join(both, [shape, category], "left")
     inter = F.sum(F.when((F.col("l") == F.col("part")) & (F.col("p") == F.col("part")), F.col("n")).otherwise(0))
     union = F.sum(F.when((F.col("l") == F.col("part")) | (F.col("p") == F.col("part")), F.col("n")).otherwise(0))
@@ -95,8 +99,11 @@ def best_epoch(df: DataFrame, epoch: str, value: str, by: list[str] = ()) -> Dat
 
 
 def latency(df: DataFrame, c: str, by: list[str] = ()) -> DataFrame:
-    q = F.percentile(c, F.array(F.lit(0.5), F.lit(0.95)))
-    return df.groupBy(*by).agg(F.round(F.get(q, F.lit(0)), 6).alias("median"), F.round(F.get(q, F.lit(1)), 6).alias("p95"), F.round(F.stddev_pop(c), 6).alias("std"), F.count(c).alias("n"))
+    """Median, 95th percentile, deviation and number of the non-null values of a group; groups without any keep nulls."""
+    own = df.groupBy(*by).agg(F.round(F.stddev_pop(c), 6).alias("std"), F.count(c).alias("n"))
+    q = quantiles(df, c, [0.5, 0.95], by)
+    both = join_same(own, q, list(by), "left")
+    return both.select(*by, F.round(F.get("q", F.lit(0)), 6).alias("median"), F.round(F.get("q", F.lit(1)), 6).alias("p95"), "std", "n")
 
 
 def timing_summary(df: DataFrame, first: str, second: str, by: list[str] = ()) -> DataFrame:
@@ -104,7 +111,7 @@ def timing_summary(df: DataFrame, first: str, second: str, by: list[str] = ()) -
     df = df.withColumn("__s", F.coalesce(first, second))
     missing = df.groupBy(*by).agg(F.count_if(F.col("__s").isNull()).alias("missing"))
     out = latency(df, "__s", by)
-    return out.join(missing, by) if by else out.crossJoin(F.broadcast(missing))
+    return join_same(out, missing, list(by))
 
 
 def result_table(df: DataFrame, run: str, true: str, pred: str, classes: list[str]) -> DataFrame:
@@ -121,10 +128,13 @@ def run_matrix(runs: DataFrame, results: DataFrame, run: str) -> tuple[DataFrame
     return df, df.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def export_manifest(points: DataFrame, size: float, least: float) -> DataFrame:
-    """Per cloud: views, points before and after consolidation, rejected by confidence, mean confidence of the kept."""
-    from pointmill.operators.geom import consolidate
-
+def export_manifest(points: DataFrame, size: float, least: float, classes: DataFrame | None = None, per_class: int = 0, by: str = "class_name") -> DataFrame:
+    """Per cloud: views, points before and after consolidation, rejected by confidence, mean confidence of the kept. With ``classes`` (cloud_id, class, in the
+    order of cloud_id) and ``per_class`` above 0, at most so many clouds of a class, and their class."""
+    if classes is not None:
+        classes = cap(classes.select("cloud_id", by), per_class, by, ["cloud_id"])
+        points = points.join(classes.select("cloud_id"), "cloud_id", "left_semi")
     before = points.groupBy("cloud_id").agg(F.count_distinct("view_id").alias("views"), F.count("*").alias("fused"), F.count_if(F.col("conf") < least).alias("rejected"))
     after = consolidate(points, size, least).groupBy("cloud_id").agg(F.count("*").alias("kept"), F.round(F.avg("conf") + 1e-10, 6).alias("mean_conf"))
-    return before.join(after, "cloud_id", "left").na.fill(0, ["kept"])
+    out = before.join(after, "cloud_id", "left").na.fill(0, ["kept"])
+    return out if classes is None else out.join(classes, "cloud_id")

@@ -61,6 +61,13 @@ def pair_normalise(df: DataFrame, partial: Column) -> DataFrame:
     return df.join(r, "cloud_id").withColumns({c: F.col(c) / F.col("radius") for c in XYZ}).drop("cx", "cy", "cz", "radius")
 
 
+def joint_rescale(df: DataFrame) -> DataFrame:
+    """All points of a cloud_id, partial and complete, divided by their largest norm (by 1 if it is 1e-8 or less), as after resampling a normalised pair."""
+    r = df.groupBy("cloud_id").agg(F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).alias("radius"))
+    r = r.withColumn("radius", F.when(F.col("radius") <= 1e-8, 1.0).otherwise(F.col("radius")))
+    return df.join(r, "cloud_id").withColumns({c: F.col(c) / F.col("radius") for c in XYZ}).drop("radius")
+
+
 def object_features(df: DataFrame, most: tuple[float, float, float], distance: Column, scale: float = 20.0) -> DataFrame:
     """Extents over fixed maximal sizes, and sensor distance / 20."""
     b = bounds(df)
@@ -102,14 +109,23 @@ def add_noise(df: DataFrame, ratio: float, grow: float, seed: int = 0) -> DataFr
     return df.select(*_PT, *XYZ, F.lit(0).alias("is_noise")).unionByName(noise)
 
 
-def top_down(df: DataFrame, keep: float, squash: float, bias: float = 1.0, seed: int = 0) -> DataFrame:
-    """A z-biased weighted subset (largest ln(u)/w first), z squashed about its mean."""
-    b = bounds(df).select("cloud_id", "min_z", "max_z", F.greatest(F.lit(1), F.floor(F.col("n_points") * keep)).alias("__k"))
-    w = 1.0 + bias * (F.col("z") - F.col("min_z")) / F.greatest(F.col("max_z") - F.col("min_z"), F.lit(1e-9))
-    chance = F.log(F.greatest(uniform(seed, "cloud_id", "pt"), F.lit(1e-12))) / w
+def _between(bounds: float | tuple[float, float], *key) -> Column:
+    """The number, or a hash uniform of the key between two."""
+    low, high = bounds if isinstance(bounds, tuple) else (bounds, bounds)
+    return F.lit(float(low)) if low == high else low + uniform(*key) * (high - low)
+
+
+def top_down(df: DataFrame, keep: float | tuple[float, float], squash: float | tuple[float, float], bias: float = 1.0, seed: int = 0, xy_sigma: float = 0.0) -> DataFrame:
+    """A z-biased weighted subset of round(n * keep) points (largest ln(u)/w first), z squashed about its mean, and optionally Gaussian noise of ``xy_sigma``
+    on x and y. Weights are 1 - bias + bias * height from 0 to 1, equal ones in a flat cloud. Ranges of keep and squash are drawn per cloud."""
+    b = bounds(df).select("cloud_id", "min_z", "max_z", F.greatest(F.lit(1), F.bround(F.col("n_points") * _between(keep, seed, "cloud_id", F.lit("keep")))).alias("__k"))
+    span = F.col("max_z") - F.col("min_z")
+    w = F.when(span > 1e-6, 1.0 - bias + bias * (F.col("z") - F.col("min_z")) / span).otherwise(1.0) if bias > 0 else F.lit(1.0)
+    chance = F.log(F.greatest(uniform(seed, "cloud_id", "pt"), F.lit(1e-12))) / F.greatest(w, F.lit(1e-12))
     df = df.join(b, "cloud_id").withColumn("__r", F.row_number().over(W.partitionBy("cloud_id").orderBy(F.desc(chance), "pt"))).filter("__r <= __k")
     mean = F.avg("z").over(W.partitionBy("cloud_id"))
-    return df.withColumn("__m", mean).withColumn("z", F.col("__m") + (F.col("z") - F.col("__m")) * squash).select(*_PT, *XYZ)
+    df = df.withColumn("__m", mean).withColumn("z", F.col("__m") + (F.col("z") - F.col("__m")) * _between(squash, seed, "cloud_id", F.lit("squash")))
+    return (df.withColumns({c: F.col(c) + _gauss(c, xy_sigma, seed) for c in "xy"}) if xy_sigma > 0 else df).select(*_PT, *XYZ)
 
 
 def rigid(df: DataFrame, angles: tuple[Column, Column, Column], scale: Column, shift: tuple[Column, Column, Column]) -> DataFrame:
@@ -128,15 +144,15 @@ def augment(df: DataFrame, max_angle: float, scales: tuple[float, float], max_sh
     return rigid(df, angles, scales[0] + u[3] * (scales[1] - scales[0]), tuple((2 * x - 1) * max_shift for x in u[4:]))
 
 
-def jitter(df: DataFrame, sigma: float, clip: float, seed: int = 0) -> DataFrame:
-    """Clipped Gaussian noise per coordinate, by Box-Muller on two hash uniforms."""
+def _gauss(c: str, sigma: float, seed: int) -> Column:
+    """Gaussian noise for a coordinate of a point, by Box-Muller on two hash uniforms."""
+    u, v = uniform(seed, "cloud_id", "pt", F.lit(c), F.lit("u")), uniform(seed, "cloud_id", "pt", F.lit(c), F.lit("v"))
+    return F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(2 * math.pi * v) * sigma
 
-    def noise(c: str) -> Column:
-        u, v = uniform(seed, "cloud_id", "pt", F.lit(c), F.lit("u")), uniform(seed, "cloud_id", "pt", F.lit(c), F.lit("v"))
-        g = F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-12)))) * F.cos(2 * math.pi * v) * sigma
-        return F.greatest(F.least(g, F.lit(clip)), F.lit(-clip))
 
-    return df.withColumns({c: F.col(c) + noise(c) for c in XYZ})
+def jitter(df: DataFrame, sigma: float, clip: float, seed: int = 0) -> DataFrame:
+    """Clipped Gaussian noise per coordinate."""
+    return df.withColumns({c: F.col(c) + F.greatest(F.least(_gauss(c, sigma, seed), F.lit(clip)), F.lit(-clip)) for c in XYZ})
 
 
 def rotate_z(df: DataFrame, degrees: float) -> DataFrame:
@@ -145,14 +161,15 @@ def rotate_z(df: DataFrame, degrees: float) -> DataFrame:
 
 
 def mirror(df: DataFrame, axis: str = "x", side: str = "both", centre: Column | None = None) -> DataFrame:
-    """Points of a side of the plane with their reflections; points on the plane belong to both sides. ``larger``: the side of more points."""
+    """Points of a side of the plane with their reflections; points on the plane belong to both sides. ``larger``: the side of more
+    points, of equal ones the negative."""
     mid = (F.min(axis).over(W.partitionBy("cloud_id")) + F.max(axis).over(W.partitionBy("cloud_id"))) / 2
     df = df.withColumn("__m", F.coalesce(centre, mid) if centre is not None else mid)
     low, high = F.col(axis) <= F.col("__m"), F.col(axis) >= F.col("__m")
     if side == "larger":
         w = W.partitionBy("cloud_id")
         df = df.withColumns({"__a": F.count_if(low).over(w), "__b": F.count_if(high).over(w)})
-        df = df.filter(F.when(F.col("__a") > F.col("__b"), low).otherwise(high)).drop("__a", "__b")
+        df = df.filter(F.when(F.col("__a") >= F.col("__b"), low).otherwise(high)).drop("__a", "__b")
     elif side != "both":
         df = df.filter(low if side == "negative" else high)
     kept = df.withColumn("mirrored", F.lit(0))
@@ -176,16 +193,22 @@ def partial_view(df: DataFrame, delta: float, group: str, distance: str, key: st
     return df.withColumn("__p", F.row_number().over(w.orderBy(*order))).filter("__p = 1").drop("__r", "__far", "__any", "__p")
 
 
-def occlude(df: DataFrame, share: float, parts: int, seed: int = 0) -> DataFrame:
-    """Remove round(n * share / parts) nearest points around each of ``parts`` successive hash-picked centres."""
-    df = df.withColumn("__take", F.round(F.count("*").over(W.partitionBy("cloud_id")) * F.lit(share / parts)).cast("bigint"))
+def occlude(df: DataFrame, keep: tuple[float, float], parts: int, seed: int = 0) -> DataFrame:
+    """Keep max(1, round(n * r)) points of a cloud, r a hash uniform in the range ``keep`` per cloud: ``parts`` times a hash-picked centre among the points left
+    takes its nearest, an equal share of what is still to be removed (rounded up)."""
+    low = max(0.05, min(1.0, keep[0]))
+    w = W.partitionBy("cloud_id")
+    n = F.count("*").over(w)
+    share = _between((low, max(low, min(1.0, keep[1]))), seed, "cloud_id", F.lit("keep"))
+    df = df.withColumn("__n", n).withColumn("__left", F.when(F.col("__n") > 1, F.col("__n") - F.greatest(F.lit(1), F.bround(F.col("__n") * share).cast("bigint"))).otherwise(0))
     for i in range(parts):
-        w = W.partitionBy("cloud_id")
         h = hash_key(seed, i, "cloud_id", "pt")
         centre = df.groupBy("cloud_id").agg(F.min_by(F.struct(*XYZ), F.struct(h, "pt")).alias("__c"))
         d = sum(((F.col(c) - F.col("__c." + c)) ** 2 for c in XYZ[1:]), (F.col("x") - F.col("__c.x")) ** 2)
-        df = df.join(centre, "cloud_id").withColumn("__r", F.row_number().over(w.orderBy(F.round(d, 9), "pt"))).filter("__r > __take").drop("__r", "__c")
-    return df.drop("__take")
+        take = F.ceil(F.col("__left") / F.lit(float(parts - i)))
+        df = df.join(centre, "cloud_id").withColumn("__r", F.row_number().over(w.orderBy(F.round(d, 9), "pt"))).withColumn("__t", take).filter("__r > __t")
+        df = df.withColumn("__left", F.col("__left") - F.col("__t")).drop("__r", "__c", "__t")
+    return df.drop("__n", "__left")
 
 
 def silhouette(df: DataFrame, a: str, b: str, bins: int) -> DataFrame:
@@ -207,8 +230,26 @@ def silhouette(df: DataFrame, a: str, b: str, bins: int) -> DataFrame:
 def apply_pose(points: DataFrame, poses: DataFrame, required: bool = True) -> DataFrame:
     """Move points by the accepted 4x4 pose (array of 12 row-major numbers) of their frame; frames without one are dropped if required."""
     own = poses.filter("accepted").select("cloud_id", F.col("transform").alias("__t"))
-    df = points.join(own, "cloud_id", "inner" if required else "left")
+    return _moved(points.join(own, "cloud_id", "inner" if required else "left"))
 
+
+def frame_poses(metadata: DataFrame, poses: str = "final_frame_poses") -> DataFrame:
+    """(stem, frame, transform): one row per accepted pose of the arrays ``poses`` of struct(frame_id, accepted, pose_6d_radians, transform), a 4x4 matrix as nested
+    rows, that has both numbers and matrix; transform becomes the 12 numbers of its first three rows. The last of several poses of a frame counts."""
+    each = metadata.select("stem", F.posexplode(poses).alias("at", "p")).filter("p.accepted AND p.pose_6d_radians IS NOT NULL AND p.transform IS NOT NULL")
+    each = each.withColumn("frame", F.col("p.frame_id").cast("string").try_cast("bigint")).filter("frame IS NOT NULL")
+    return each.groupBy("stem", "frame").agg(F.max_by(F.slice(F.flatten("p.transform"), 1, 12), "at").alias("transform"))
+
+
+def apply_frame_poses(points: DataFrame, metadata: DataFrame, required: bool = True) -> DataFrame:
+    """Move the points of (stem, frame_id, x, y, z, ...) by the accepted pose of their frame: that of the stem without its frame, by the integer frame id, so
+    that 007 is 7. Points of frames without one are dropped if required, else they stay where they are."""
+    own = frame_poses(metadata).select(F.col("stem").alias("__s"), F.col("frame").alias("__f"), F.col("transform").alias("__t"))
+    group, frame = F.regexp_replace("stem", "__frame_[^_]+$", ""), F.col("frame_id").cast("string").try_cast("bigint")
+    return _moved(points.join(own, (group == F.col("__s")) & (frame == F.col("__f")), "inner" if required else "left")).drop("__s", "__f")
+
+
+def _moved(df: DataFrame) -> DataFrame:
     def row(k: int) -> Column:
         t = [F.get("__t", F.lit(4 * k + j)) for j in range(4)]
         return t[0] * F.col("x") + t[1] * F.col("y") + t[2] * F.col("z") + t[3]
@@ -216,6 +257,13 @@ def apply_pose(points: DataFrame, poses: DataFrame, required: bool = True) -> Da
     return df.withColumns({c: F.coalesce(row(k), F.col(c)) for k, c in enumerate(XYZ)}).drop("__t")
 
 
+def normalised_pose(df: DataFrame, centre: tuple[Column, Column, Column], radius: Column, pose: str = "relative") -> DataFrame:
+    """A pose of 12 row-major numbers in the coordinates (p - centre) / radius: the rotation stays, the translation is (R c + t - c) / radius."""
+    t = lambda i, j: F.get(pose, F.lit(4 * i + j))
+    rows = [[t(i, 0), t(i, 1), t(i, 2), (t(i, 0) * centre[0] + t(i, 1) * centre[1] + t(i, 2) * centre[2] + t(i, 3) - centre[i]) / radius] for i in range(3)]
+    return df.withColumn(pose, F.array(*(x for row in rows for x in row)))
+
+
 def relative_pose(poses: DataFrame, group: str, order: str) -> DataFrame:
     """inv(T0) * Ti for every pose of a group, T0 the first one: arrays of 12 row-major numbers."""
     first = poses.groupBy(group).agg(F.min_by("transform", order).alias("__a"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointmill.functions.hashing import hash_key, uniform
+from pointmill.functions.ranking import hash_ranked
 
 
 def largest_remainder(n: Column, ratios: tuple[float, float, float]) -> list[Column]:
@@ -45,8 +46,7 @@ def split_objects(df: DataFrame, counts, ratios: tuple[float, float, float], gro
     """
     own = F.array_join(F.array_sort(F.collect_set("class_name")), "::") if stratum is None else F.first(stratum)
     objects = df.groupBy(*group).agg(own.alias("__stratum"))
-    w = W.partitionBy("__stratum")
-    objects = objects.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy(hash_key(*group), *group)))
+    objects = hash_ranked(objects, ["__stratum"], hash_key(*group), group)
     train, val, _ = counts(F.col("__n"), ratios)
     side = F.when(F.col("__r") <= train, "train").when(F.col("__r") <= train + val, "val").otherwise("test")
     return df.join(objects.select(*group, side.alias("split")), group)
@@ -56,9 +56,10 @@ def split_review(df: DataFrame, ratios: tuple[float, float, float], key: str, by
     """Curated rows train; review rows fill val and test up to the counts of both sources together; the rest of them train."""
     total = df.groupBy(by).agg(F.count("*").alias("__n"))
     val, test = (F.floor(F.col("__n") * F.lit(r) + F.lit(1e-9)) for r in ratios[1:])
-    rank = F.row_number().over(W.partitionBy(by, "source").orderBy(hash_key(key), key))
+    rank = F.col("__r")
     side = F.when(F.col("source") == "curated", "train").when(rank <= val, "val").when(rank <= val + test, "test").otherwise("train")
-    return df.join(F.broadcast(total), by).withColumn("split", side).drop("__n")
+    ranked = hash_ranked(df, [by, "source"], hash_key(key), [key]).drop("__n")
+    return ranked.join(total, by).withColumn("split", side).drop("__n", "__r")
 
 
 def split_report(df: DataFrame, ratios: tuple[float, float, float], by: str = "class_name") -> DataFrame:
@@ -89,11 +90,10 @@ def overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _dealt(df: DataFrame, target: Column, key: str, by: str) -> DataFrame:
-    """Rows in hash order repeated or cut to ``target`` per class, with a 0-based place."""
-    n = F.count("*").over(W.partitionBy(by))
-    df = df.withColumn("__n", n).withColumn("__r", F.row_number().over(W.partitionBy(by).orderBy(hash_key(key), key)) - 1)
+    """Rows in hash order repeated or cut to ``target`` per class (of __n rows), with a 0-based place."""
+    df = hash_ranked(df, [by], hash_key(key), [key])
     df = df.withColumn("__t", target).withColumn("__c", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__t") / F.col("__n")).cast("int") - 1)))
-    return df.withColumn("place", F.col("__c") * F.col("__n") + F.col("__r")).filter("place < __t").drop("__n", "__r", "__t", "__c")
+    return df.withColumn("place", F.col("__c") * F.col("__n") + F.col("__r") - 1).filter("place < __t").drop("__n", "__r", "__t", "__c")
 
 
 def balanced_epoch(df: DataFrame, batch: int, k: int, max_repeat: int, key: str, by: str = "class_name") -> DataFrame:
@@ -110,29 +110,24 @@ def balanced_epoch(df: DataFrame, batch: int, k: int, max_repeat: int, key: str,
 def oversampled_epoch(df: DataFrame, repeat: int, key: str, by: str = "class_name") -> DataFrame:
     """Every class repeated to the largest one's size, at most ``repeat`` times."""
     size = df.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n").alias("__hi"))
-    return _dealt(df.crossJoin(F.broadcast(size)), F.least(F.col("__hi"), F.count("*").over(W.partitionBy(by)) * repeat), key, by).drop("__hi")
+    return _dealt(df.crossJoin(F.broadcast(size)), F.least(F.col("__hi"), F.col("__n") * repeat), key, by).drop("__hi")
 
 
-def class_weights(df: DataFrame, mode: str = "inverse_sqrt", by: str = "class_name") -> DataFrame:
-    """1/sqrt(n), 1/n or 1 by class, divided by their mean."""
+def class_weights(df: DataFrame, mode: str = "inverse_sqrt", by: str = "class_name", classes: list[str] | None = None) -> DataFrame:
+    """1/sqrt(n), 1/n or 1 by class, divided by their mean. A class of the list ``classes`` without rows is an error."""
     n = df.groupBy(by).agg(F.count("*").alias("n"))
+    if classes is not None:
+        named = df.sparkSession.createDataFrame([(c,) for c in classes], f"{by} string")
+        n = named.join(n, by, "left")
+        n = n.withColumn("n", F.when(F.col("n").isNull(), F.raise_error(F.concat(F.lit("no rows of class "), F.col(by))).cast("bigint")).otherwise(F.col("n")))
     raw = {"inverse_sqrt": 1 / F.sqrt("n"), "inverse": 1 / F.col("n"), "none": F.lit(1.0)}[mode]
     return n.withColumn("w", raw).withColumn("weight", F.round(F.col("w") / F.avg("w").over(W.partitionBy()), 6)).drop("w")  # a row a class
 
 
 def permute_labels(df: DataFrame, key: str, seed: int, label: str = "class_name") -> DataFrame:
-    """The same labels re-paired with rows: the i-th row by key takes the label of the i-th by hash. Places are global: they
-    come from per-cell counts and ranks within cells, so no single task orders the table."""
-
-    def placed(order: Column, name: str, *cols) -> DataFrame:
-        cell = df.select(*cols, order.alias("__o"), F.col(key).alias("__k")).withColumn("__c", F.substring("__o", 1, 3))
-        sizes = cell.groupBy("__c").agg(F.count("*").alias("__n"))
-        before = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(W.orderBy("__c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # 4,096 cells at most
-        rank = F.row_number().over(W.partitionBy("__c").orderBy("__o", "__k"))
-        return cell.join(F.broadcast(before), "__c").withColumn(name, rank + F.col("__b")).drop("__o", "__c", "__n", "__b")
-
-    a = placed(hash_key(key), "__i", *df.columns).drop("__k")
-    b = placed(hash_key(seed, key), "__i", F.col(label).alias("random_label")).drop("__k")
+    """The same labels re-paired with rows: the i-th row by key takes the label of the i-th by hash."""
+    a = hash_ranked(df, [], hash_key(key), [key], "__i").drop("__n")
+    b = hash_ranked(df.select(key, F.col(label).alias("random_label")), [], hash_key(seed, key), [key], "__i").select("__i", "random_label")
     return a.join(b, "__i").drop("__i")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pointmill.operators import catalog as b
+from pointmill.functions.scratch import scratch_folder
 from pointmill.operators import curate, points, split
 from pointmill.plans.base import query
 from pointmill.plans.base import uniform_sql as u
@@ -36,22 +37,64 @@ def a4(paths):
 
 @query("a5_sidecars", "events", sql="""
 WITH c AS (SELECT event_id, 's'||(event_id%500)||'__frame_'||event_id AS stem FROM events), m AS (
-  SELECT CASE WHEN event_id%2=0 THEN 's'||event_id ELSE 's'||(event_id%500)||'__frame_'||event_id END AS stem, cast(json_extract_string(props,'$.k') AS int) AS k FROM events WHERE event_id < 1000)
+  SELECT CASE WHEN event_id%2=0 THEN 's'||event_id ELSE 's'||(event_id%500)||'__frame_'||event_id END AS stem, cast(json_extract_string(props,'$.k') AS int) AS k FROM events WHERE event_id%5<>2 AND event_id%7<>3)
 SELECT c.event_id, coalesce(a.k, b.k) AS k FROM c LEFT JOIN m a ON a.stem=c.stem LEFT JOIN m b ON b.stem=regexp_replace(c.stem,'__frame_[^_]+$','')""")
 def a5(events):
+    """A fifth of the sidecars is missing and a seventh is no JSON: these are the cases under test."""
     clouds = events.select("event_id", F.expr("'s'||(event_id%500)||'__frame_'||event_id").alias("stem"))
-    meta = events.filter("event_id < 1000").select(F.expr("CASE WHEN event_id%2=0 THEN 's'||event_id ELSE 's'||(event_id%500)||'__frame_'||event_id END").alias("stem"), F.col("props").alias("text"))
+    text = F.expr("CASE WHEN event_id%7=3 THEN '{\"k\": 1, broken' ELSE props END").alias("text")
+    meta = events.filter("event_id%5<>2").select(F.expr("CASE WHEN event_id%2=0 THEN 's'||event_id ELSE 's'||(event_id%500)||'__frame_'||event_id END").alias("stem"), text)
     return ingest.attach_sidecars(clouds, meta, "k int").select("event_id", F.col("meta.k").alias("k"))
 
 
 @query("a5_sidecars_all", "events")
 def a5_all(events):
-    """Every event as a sidecar; without a twin, since that of a5_sidecars holds a fixed part of the events."""
+    """Every event as a sidecar, none missing or broken."""
     clouds = events.select("event_id", F.expr("'s'||(event_id%500)||'__frame_'||event_id").alias("stem"))
     meta = events.select(F.expr("CASE WHEN event_id%2=0 THEN 's'||event_id ELSE 's'||(event_id%500)||'__frame_'||event_id END").alias("stem"), F.col("props").alias("text"))
     return ingest.attach_sidecars(clouds, meta, "k int").select("event_id", F.col("meta.k").alias("k"))
 
 
+def _files(big, name: str) -> str:
+    """A folder of ascii PCD files made of the clouds: split/class/<cloud>.pcd, by Spark's text writer, one file a cloud."""
+    head = F.concat(F.lit("VERSION .7\nFIELDS x y z\nSIZE 8 8 8\nTYPE F F F\nCOUNT 1 1 1\nWIDTH "), F.col("n").cast("string"), F.lit("\nHEIGHT 1\nPOINTS "), F.col("n").cast("string"), F.lit("\nDATA ascii\n"))
+    line = F.concat_ws(" ", *(F.col(c).cast("string") for c in "xyz"))
+    body = big.groupBy("cloud_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pt", line.alias("l")))), lambda p: p["l"]), "\n").alias("body"), F.count("*").alias("n"))
+    folder = scratch_folder(big.sparkSession, name)
+    body.select(F.concat(head, "body").alias("value"), F.lit("train").alias("split"), F.concat(F.lit("c"), F.col("cloud_id") % 5).alias("class"), "cloud_id").write.option("lineSep", "\n").partitionBy("split", "class", "cloud_id").text(folder)
+    return folder
+
+
+@query("a1_cloud_files", "big", sql="SELECT cloud_id, count(*) AS n, 0::BIGINT AS errors, round(sum(x),4) AS sx, round(sum(y),4) AS sy, round(sum(z),4) AS sz FROM big GROUP BY 1")
+def a1(big):
+    """Every cloud written as a file and read back."""
+    read = ingest.read_clouds(big.sparkSession, _files(big, "clouds"), glob="*.txt", kind="pcd")
+    by = read.groupBy(F.regexp_extract("path", "cloud_id=([0-9]+)", 1).cast("bigint").alias("cloud_id"))
+    return by.agg(F.count("pt").alias("n"), F.count("error").alias("errors"), *(F.round(F.sum(c), 4).alias("s" + c) for c in "xyz"))
+
+
+@query("a2_header_counts", "big", sql="SELECT cloud_id, count(*) AS n_points FROM big GROUP BY 1")
+def a2(big):
+    counts = ingest.header_counts(big.sparkSession, _files(big, "headers"), glob="*.txt")
+    return counts.select(F.regexp_extract("path", "cloud_id=([0-9]+)", 1).cast("bigint").alias("cloud_id"), "n_points")
+
+
+@query("a8_manifest", "cat", sql="SELECT source AS split, class_name AS dataset_class, stem AS sample_id FROM cat")
+def a8(cat):
+    """A manifest written as JSON lines and read back."""
+    folder = scratch_folder(cat.sparkSession, "manifest")
+    cat.select(F.col("source").alias("split"), F.col("class_name").alias("dataset_class"), F.col("stem").alias("sample_id")).write.json(f"{folder}/manifest.jsonl")
+    return ingest.read_manifest(cat.sparkSession, folder, "split string, dataset_class string, sample_id string")
+
+
+@query("a10_dataset", "cat", sql="SELECT split, dataset_class, count(*) AS n FROM (SELECT source AS split, class_name AS dataset_class FROM cat) GROUP BY ALL")
+def a10(cat):
+    """A dataset written as a split/class tree and counted by its folders."""
+    folder = scratch_folder(cat.sparkSession, "dataset")
+    curate.write_dataset(cat.withColumns({"split": F.col("source"), "dataset_class": F.col("class_name")}), folder)
+    return cat.sparkSession.read.parquet(folder).groupBy("split", "dataset_class").agg(F.count("*").alias("n"))
+
+
 @query("a6_identity", "cat", sql="""SELECT ord, object_id AS p_object, object_id AS p_track, split_part(stem,'__track_',1) AS p_run, cast(ord AS varchar) AS p_frame, split_part(stem,'__frame_',1) AS p_group FROM cat""")
 def a6(cat):
     return cat.select("ord", *(c.alias(n) for n, c in ingest.identity(F.col("stem")).items()))
@@ -64,21 +107,22 @@ def a7(pred):
 
 
 @query("a9_surface", "big", sql=f"""
-WITH v AS (SELECT cloud_id AS m, (pt-1)//3 AS f, (pt-1)%3 AS i, x, y, z FROM big WHERE pt <= 60),
+WITH v AS (SELECT cloud_id AS m, (pt-1)//3 AS f, (pt-1)%3 AS i, x, y, z FROM big),
 t AS (SELECT a.m, a.f, a.x x0,a.y y0,a.z z0,b.x x1,b.y y1,b.z z1,c.x x2,c.y y2,c.z z2 FROM v a JOIN v b ON a.m=b.m AND a.f=b.f AND a.i=0 AND b.i=1 JOIN v c ON a.m=c.m AND a.f=c.f AND c.i=2),
 w AS (SELECT *, sqrt(power((y1-y0)*(z2-z0)-(z1-z0)*(y2-y0),2)+power((z1-z0)*(x2-x0)-(x1-x0)*(z2-z0),2)+power((x1-x0)*(y2-y0)-(y1-y0)*(x2-x0),2))/2 AS area FROM t),
-c AS (SELECT *, sum(area) OVER (PARTITION BY m ORDER BY f ROWS UNBOUNDED PRECEDING)/sum(area) OVER (PARTITION BY m) AS hi FROM w WHERE area > 1e-12),
+c0 AS (SELECT *, sum(area) OVER (PARTITION BY m ORDER BY f ROWS UNBOUNDED PRECEDING)/sum(area) OVER (PARTITION BY m) AS hi, f=max(f) OVER (PARTITION BY m) AS tail FROM w WHERE area > 1e-12),
+c AS (SELECT * REPLACE (CASE WHEN tail THEN 1.0 ELSE hi END AS hi) FROM c0),
 g AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY m ORDER BY f),0.0) AS lo FROM c),
 d AS (SELECT m, pt, {u("'0::'||m||'::'||pt")} AS u, sqrt({u("'0::'||m||'::'||pt||'::a'")}) AS r1, {u("'0::'||m||'::'||pt||'::b'")} AS r2 FROM (SELECT DISTINCT m FROM g), (SELECT unnest(range(16)) AS pt))
 SELECT g.m AS mesh_id, CAST(d.pt AS BIGINT) AS pt, round((1-r1)*x0+r1*(1-r2)*x1+r1*r2*x2,6) AS x, round((1-r1)*y0+r1*(1-r2)*y1+r1*r2*y2,6) AS y, round((1-r1)*z0+r1*(1-r2)*z1+r1*r2*z2,6) AS z
 FROM d JOIN g ON d.m=g.m AND u>=lo AND u<hi""")
 def a9(big):
-    return _surface(big.filter("pt <= 60"))
+    return _surface(big)
 
 
 @query("a9_surface_all", "big")
 def a9_all(big):
-    """Every point of a cloud; without a twin, since that of a9_surface holds a fixed part of the points."""
+    """The same as a9_surface, which meets every point of a cloud too; held against brute force in the tests."""
     return _surface(big)
 
 
@@ -136,11 +180,16 @@ def b5(cat, frm):
     return b.union_labels({"cat": cat, "frm": frm}, ["class_name", "object_id", "stem"])
 
 
-@query("b6_labels", "cat", sql="""SELECT ord, CASE WHEN ord%4=3 THEN 'MACHINERY' ELSE class_name END AS label, CASE ord%4 WHEN 0 THEN 'final' WHEN 1 THEN 'class_name' WHEN 2 THEN 'predicted_pseudo' ELSE 'path' END AS label_source FROM cat""")
+@query("b6_labels", "cat", sql="""SELECT ord, CASE WHEN ord%6 IN (3,5) THEN 'MACHINERY' WHEN ord%6=4 THEN 'BUILDING' ELSE class_name END AS label,
+CASE ord%6 WHEN 0 THEN 'final_class_name' WHEN 1 THEN 'gt_class_name' WHEN 2 THEN 'predicted_class_name_pseudo' WHEN 3 THEN 'gt_obj_class' WHEN 4 THEN 'gt_class_name' ELSE 'path' END AS label_source FROM cat""")
 def b6(cat):
+    """final before class_name; class_name before gt_class_name for the label but behind it for the provenance, which a field that names nothing fills too; path."""
     known = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    t = cat.selectExpr("ord", "CASE WHEN ord%4=0 THEN lower(class_name) END AS final", "CASE WHEN ord%4=1 THEN concat(' ',class_name,'-') WHEN ord%4=0 THEN 'BUILDING' END AS class_name", "CASE WHEN ord%4=2 THEN class_name ELSE 'unknown' END AS predicted_pseudo", "'root/furniture/Machinery/x.pcd' AS path")
-    return b.resolve_label(t, ["final", "class_name", "predicted_pseudo"], known, "path").select("ord", "label", "label_source")
+    t = cat.selectExpr(
+        "ord", "CASE WHEN ord%6=0 THEN lower(class_name) END AS final_class_name", "CASE ord%6 WHEN 0 THEN 'BUILDING' WHEN 1 THEN concat(' ',class_name,'-') WHEN 4 THEN 'building' END AS class_name",
+        "CASE ord%6 WHEN 1 THEN 'unknown' WHEN 4 THEN class_name END AS gt_class_name", "CASE WHEN ord%6=3 THEN 'AUTOMOBILE' END AS gt_obj_class", "CASE WHEN ord%6=2 THEN class_name ELSE '' END AS predicted_class_name", "'root/furniture/Machinery/x.pcd' AS path",
+    )
+    return b.resolve_label(t, known, "path").select("ord", "label", "label_source")
 
 
 @query("b7_pseudo_guard", "cat", sql="""SELECT bucket, bool_and(ord%4 > 0 OR bucket='gt-pred-same') AS all_pseudo FROM cat GROUP BY bucket""")
@@ -184,11 +233,15 @@ def b13(frm):
     return b.best_frame(frm, "group_key", "frame_id").select("group_key", "frame_id")
 
 
-@query("b14_views_uniform", "frm", sql="""
-WITH r AS (SELECT group_key, frame_id, row_number() OVER (PARTITION BY group_key ORDER BY frame_id)-1 i, count(*) OVER (PARTITION BY group_key) n FROM frm)
-SELECT group_key, frame_id, row_number() OVER (PARTITION BY group_key ORDER BY frame_id)-1 AS view_idx FROM r WHERE n<=5 OR i IN (0, (n-1)*1//4, (n-1)*2//4, (n-1)*3//4, n-1)""")
+_FRAMES = "CASE WHEN frame_id%7=0 THEN 'f'||frame_id ELSE cast(frame_id AS varchar(20)) END"
+
+
+@query("b14_views_uniform", "frm", sql=f"""
+WITH t AS (SELECT group_key, {_FRAMES} AS frame FROM frm), o AS (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY TRY_CAST(frame AS BIGINT) IS NULL, TRY_CAST(frame AS BIGINT), frame)-1 i, count(*) OVER (PARTITION BY group_key) n FROM t)
+SELECT group_key, frame, row_number() OVER (PARTITION BY group_key ORDER BY i)-1 AS view_idx FROM o WHERE n<=5 OR i IN (0, (n-1)*1//4, (n-1)*2//4, (n-1)*3//4, n-1)""")
 def b14(frm):
-    return b.views_uniform(frm, 5, "group_key", "frame_id").select("group_key", "frame_id", "view_idx")
+    """Frame ids as texts, some of them no numbers: 9 comes before 10, and f7 behind all numbers."""
+    return b.views_uniform(frm.withColumn("frame", F.expr(_FRAMES)), 5, "group_key", "frame").select("group_key", "frame", "view_idx")
 
 
 @query("b15_views_largest", "frm", sql="""
@@ -304,6 +357,13 @@ def c10(cat):
     return split.class_weights(cat)
 
 
+@query("c10_effective", "cat", sql="WITH" + _EPOCH.format("20*least(ceil(hi/20.0),floor(lo*2/20.0))::BIGINT") + "SELECT class_name, n, round((1/sqrt(n))/avg(1/sqrt(n)) OVER (),6) AS weight FROM (SELECT cat.class_name, count(*) n FROM e JOIN cat USING (ord) WHERE place<t GROUP BY 1)")
+def c10e(cat):
+    """Weights from the rows of an epoch, after balancing; every class must have some."""
+    epoch = split.balanced_epoch(_some(cat), 100, 5, 2, "stem")
+    return split.class_weights(epoch, classes=["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+
+
 @query("c11_permuted", "cat", sql="""
 SELECT a.ord, b.class_name AS random_label FROM (SELECT ord, row_number() OVER (ORDER BY md5(stem), stem) i FROM cat) a JOIN (SELECT class_name, row_number() OVER (ORDER BY md5('3::'||stem), stem) i FROM cat) b USING (i)""")
 def c11(cat):

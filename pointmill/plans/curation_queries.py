@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pointmill.operators import audit, curate, fuse, match, metrics, split
+from pointmill.operators import audit, curate, fuse, match, metrics
 from pointmill.plans.base import query
 from pointmill.plans.catalog_queries import _C4, _M1, _ZA, split_sql
 from pointmill.plans.point_queries import _AX, _B, r6, r_sql
@@ -31,7 +31,7 @@ def f1(log):
 
 
 _BOX = f"""{_B}, p AS (SELECT a.cloud_id a_id, b.cloud_id b_id, greatest(0.0,b.nx-a.mx,a.nx-b.mx) gx, greatest(0.0,b.ny-a.my,a.ny-b.my) gy, greatest(0.0,b.nz-a.mz,a.nz-b.mz) gz,
-sqrt(power((a.nx+a.mx-b.nx-b.mx)/2,2)+power((a.ny+a.my-b.ny-b.my)/2,2)+power((a.nz+a.mz-b.nz-b.mz)/2,2)) ce FROM b a JOIN b ON b.cloud_id=a.cloud_id+1)"""
+sqrt(power(a.ax-b.ax,2)+power(a.ay-b.ay,2)) ce FROM b a JOIN b ON b.cloud_id=a.cloud_id+1)"""
 
 
 @query("f2_box_gap", "big", sql=f"WITH {_BOX} SELECT a_id, b_id, {r_sql('sqrt(gx*gx+gy*gy) AS gap_xy', 'gz AS gap_z', 'ce AS centre', 'sqrt(gx*gx+gy*gy)+0.15*ce+0.5*gz AS score')} FROM p")
@@ -48,6 +48,23 @@ def f3(log):
     return match.best_match(pairs, "a_event_id", "score", "b_event_id").select("a_event_id", "b_event_id", "score")
 
 
+_F3B = """sd AS (SELECT ord AS cloud_id, object_id, CASE WHEN ord%9=0 THEN NULL ELSE confidence END AS confidence, CASE WHEN ord%40=0 THEN NULL ELSE epoch_us(day) END AS us, prio, class_name, CASE WHEN ord%5>0 THEN ord%97 END AS frame FROM cat)"""
+
+
+@query("f3_boxes", "cat", "pts", sql=f"""WITH {_F3B}, bx AS (SELECT cloud_id, min(x) nx, max(x) mx, avg(x) ax, min(y) ny, max(y) my, avg(y) ay, min(z) nz, max(z) mz FROM pts GROUP BY 1),
+c AS (SELECT a.cloud_id a_cloud_id, b.cloud_id b_cloud_id FROM sd a JOIN sd b ON a.prio=b.prio AND a.class_name='AUTOMOBILE' AND b.class_name='MACHINERY' AND a.object_id<>b.object_id AND (a.us IS NULL OR b.us IS NULL OR abs(a.us-b.us)<=432000000000)
+  AND coalesce(b.confidence>=0.2,true) AND coalesce(abs(a.frame-b.frame)<=50,true)),
+g AS (SELECT c.*, sqrt(power(greatest(0.0,b.nx-a.mx,a.nx-b.mx),2)+power(greatest(0.0,b.ny-a.my,a.ny-b.my),2)) gxy, greatest(0.0,b.nz-a.mz,a.nz-b.mz) gz, sqrt(power(a.ax-b.ax,2)+power(a.ay-b.ay,2)) ce FROM c JOIN bx a ON a.cloud_id=a_cloud_id JOIN bx b ON b.cloud_id=b_cloud_id)
+SELECT a_cloud_id, b_cloud_id, {r_sql('gxy+0.15*ce+0.5*gz AS score')} FROM g WHERE gxy<=20 AND ce<=40 QUALIFY row_number() OVER (PARTITION BY a_cloud_id ORDER BY gxy+0.15*ce+0.5*gz, b_cloud_id)=1""")
+def f3b(cat, pts):
+    """Box-gap matching with limits on confidence, time, frames, gap and centres; unknown ones pass."""
+    t = cat.selectExpr("ord AS cloud_id", "object_id", "CASE WHEN ord%9=0 THEN NULL ELSE confidence END AS confidence", "CASE WHEN ord%40=0 THEN NULL ELSE unix_micros(cast(day AS timestamp)) END AS us", "prio", "class_name", "CASE WHEN ord%5>0 THEN ord%97 END AS frame")
+    a, b = t.filter("class_name='AUTOMOBILE'"), t.filter("class_name='MACHINERY'")
+    limits = {"b_confidence": 0.2, "frames": 50, "gap_xy": 20.0, "centre": 40.0}
+    found = match.match_boxes(a, b, pts, ["prio"], 432_000_000_000, limits, F.abs(F.col("a_frame") - F.col("b_frame")))
+    return r6(found, "a_cloud_id", "b_cloud_id", cols=["score"])
+
+
 _H = "('0x'||substr(md5({}),1,8))::BIGINT"
 _HM = f"""a AS (SELECT bucket, stem FROM cat WHERE source='curated' AND ord%10=0), b AS (SELECT bucket, stem, row_number() OVER (PARTITION BY bucket ORDER BY md5('9::'||stem), stem)-1 i FROM cat WHERE ord%3=0), n AS (SELECT bucket, count(*) n FROM b GROUP BY 1)"""
 
@@ -95,6 +112,18 @@ def f7_all(big):
     return r6(match.align_pairs(pairs, big, 0.5), "pair_id", "source_id", "pt")
 
 
+@query("f7_report", "big", sql=f"""WITH {_AX}, ln AS (SELECT cloud_id, ax, ay, quantile_cont(u,0.01) rear, (quantile_cont(v,0.01)+quantile_cont(v,0.99))/2 mid, min(z) vg FROM pr GROUP BY 1,2,3),
+pp AS (SELECT a.cloud_id a_id, b.cloud_id b_id, b.ax vax, b.ay vay, b.rear, b.mid, b.vg, atan2(b.ay,b.ax)-atan2(a.ay,a.ax)+pi() d FROM ln a JOIN ln b ON b.cloud_id=a.cloud_id+1),
+o AS (SELECT a_id, b_id, d, vax, vay, rear, mid, vg, x*cos(d)-y*sin(d) x, x*sin(d)+y*cos(d) y, z FROM pp JOIN big ON cloud_id=a_id)
+SELECT a_id AS pair_id, b_id, {r_sql('degrees(atan2(sin(any_value(d)),cos(any_value(d)))) AS turn', 'any_value(rear)-0.5-quantile_cont(x*vax+y*vay,0.99) AS along', 'any_value(mid)-(quantile_cont(y*vax-x*vay,0.01)+quantile_cont(y*vax-x*vay,0.99))/2 AS across', 'any_value(vg)-min(z) AS up')},
+round(degrees(acos(least(1.0,abs(cos(atan2(2*covar_samp(x,y),var_samp(x)-var_samp(y))/2)*any_value(vax)+sin(atan2(2*covar_samp(x,y),var_samp(x)-var_samp(y))/2)*any_value(vay))))),3)+0.0 AS angle_error FROM o GROUP BY a_id, b_id""")
+def f7r(big):
+    """Every cloud turned round behind the next one."""
+    pairs = big.select("cloud_id").distinct().selectExpr("cloud_id AS pair_id", "cloud_id AS a_id", "cloud_id+1 AS b_id")
+    found = match.alignment_report(pairs, big, 0.5, flipped=True).withColumn("angle_error", F.round("angle_error", 3) + F.lit(0.0))
+    return r6(found, "pair_id", "b_id", "angle_error", cols=["turn", "along", "across", "up"])
+
+
 @query("f8_merged_class", "cat", sql="SELECT ord, CASE WHEN ord%3=0 THEN 'truck_with_trailer' ELSE 'car_with_trailer' END AS merged FROM cat")
 def f8(cat):
     return cat.select("ord", match.merged_class(F.expr("CASE WHEN ord%3=0 THEN 'Box Truck' ELSE class_name END")).alias("merged"))
@@ -109,16 +138,19 @@ def f9(paths):
     return t.select("page_id", match.ground_truth_score(F.col("path"), F.expr("CASE WHEN page_id%4=0 THEN path END"), F.expr("CASE WHEN page_id%5=0 THEN 'ground_truth' END"), F.expr("page_id%2=0")).alias("score"))
 
 
-_F10 = """s AS (SELECT stem, 'run_'||(ord%20) run_id, object_id, class_name FROM cat WHERE ord%2=0), t AS (SELECT stem, 'run_'||(ord%20) run_id, object_id, class_name, 'gt/'||stem||'.pcd' AS path, ord%2*10 AS score FROM cat WHERE ord%3=0),
-o AS (SELECT object_id FROM t GROUP BY 1 HAVING count(*)=1), m AS (SELECT s.stem ss, 1 tier, t.path, t.score+CASE WHEN s.class_name=t.class_name THEN 40 ELSE 0 END sc FROM s JOIN t USING (stem) UNION ALL SELECT s.stem, 2, t.path, t.score+CASE WHEN s.class_name=t.class_name THEN 40 ELSE 0 END FROM s JOIN t ON s.run_id=t.run_id AND s.object_id=t.object_id
-UNION ALL SELECT s.stem, 3, t.path, t.score+CASE WHEN s.class_name=t.class_name THEN 40 ELSE 0 END FROM s JOIN t ON s.object_id=t.object_id WHERE t.object_id IN (SELECT object_id FROM o)),
-l AS (SELECT *, min(tier) OVER (PARTITION BY ss) lo FROM m), b AS (SELECT ss, tier, arg_max(path, struct_pack(a:=sc,b:=path)) path, max(sc) sc FROM l WHERE tier=lo GROUP BY 1,2), k AS (SELECT b.*, (SELECT count(*) FROM l WHERE l.ss=b.ss AND l.tier=l.lo AND l.sc=b.sc)>1 AS ambiguous FROM b),
-res AS (SELECT s.stem, s.class_name, k.path, CAST(k.tier AS BIGINT) AS tier, k.ambiguous FROM s LEFT JOIN k ON k.ss=s.stem)"""
+_F10 = """s AS (SELECT stem, 'run_'||(ord%20) run_id, object_id, class_name FROM cat WHERE ord%2=0), t AS (SELECT stem, 'run_'||(ord%20) run_id, object_id, CASE WHEN ord%5=0 THEN 'BUILDING' ELSE class_name END AS class_name, 'gt/'||stem||'.pcd' AS path, CASE WHEN ord%5=0 THEN 120 ELSE ord%2*10 END AS score FROM cat WHERE ord%3=0),
+c1 AS (SELECT s.stem ss, s.class_name sc, t.* FROM s JOIN t ON t.stem=s.stem), c2 AS (SELECT s.stem ss, s.class_name sc, t.* FROM s JOIN t ON t.run_id=s.run_id AND t.object_id=s.object_id WHERE s.stem NOT IN (SELECT ss FROM c1)),
+c3 AS (SELECT s.stem ss, s.class_name sc, t.* FROM s JOIN t ON t.object_id=s.object_id AND t.class_name=s.class_name WHERE s.stem NOT IN (SELECT ss FROM c1 UNION ALL SELECT ss FROM c2) QUALIFY count(*) OVER (PARTITION BY s.stem)=1),
+m AS (SELECT 1 tier, * FROM c1 UNION ALL SELECT 2, * FROM c2 UNION ALL SELECT 3, * FROM c3), k AS (SELECT *, bool_or(class_name=sc) OVER (PARTITION BY ss) own FROM m), f AS (SELECT * FROM k WHERE NOT own OR class_name=sc),
+b AS (SELECT ss, any_value(tier) tier, max(score) score, arg_max(path, struct_pack(a:=score, b:=path)) path FROM f GROUP BY 1), z AS (SELECT b.*, (SELECT count(*) FROM f WHERE f.ss=b.ss AND f.score=b.score)>1 AS ambiguous FROM b),
+res AS (SELECT s.stem, s.class_name, z.path, CAST(z.tier AS BIGINT) AS tier, z.ambiguous FROM s LEFT JOIN z ON z.ss=s.stem)"""
 
 
 def _truth(cat):
+    """A fifth of the candidates is of another class with a better score: only samples without one of their own class take them."""
     c = cat.withColumn("run_id", F.expr("concat('run_', ord%20)"))
-    return match.resolve_ground_truth(c.filter("ord%2=0"), c.filter("ord%3=0").withColumn("path", F.expr("concat('gt/',stem,'.pcd')")).withColumn("score", F.expr("ord%2*10")))
+    truth = c.filter("ord%3=0").withColumn("path", F.expr("concat('gt/',stem,'.pcd')")).withColumn("class_name", F.expr("CASE WHEN ord%5=0 THEN 'BUILDING' ELSE class_name END"))
+    return match.resolve_ground_truth(c.filter("ord%2=0"), truth.withColumn("score", F.expr("CASE WHEN ord%5=0 THEN 120 ELSE ord%2*10 END")))
 
 
 @query("f10_ground_truth", "cat", sql=f"WITH {_F10} SELECT * FROM res")
@@ -131,15 +163,17 @@ def f10r(cat):
     return match.ground_truth_report(_truth(cat))
 
 
-@query("f11_tracks", "frm", sql="WITH g AS (SELECT group_key, object_id AS track, max(frame_id) f FROM frm GROUP BY ALL), l AS (SELECT track, arg_max(group_key, f) AS group_key FROM g GROUP BY 1) SELECT CAST(i AS BIGINT) AS sample, CAST(i AS VARCHAR) AS track, group_key FROM (SELECT unnest(range(0,400,3)) i) JOIN l ON track=CAST(i AS VARCHAR)")
+@query("f11_tracks", "frm", sql="WITH g AS (SELECT group_key, object_id AS track, max(frame_id) f FROM frm WHERE class_name IN ('view','click') GROUP BY ALL), l AS (SELECT track, arg_max(group_key, f) AS group_key FROM g GROUP BY 1) SELECT s.class_name, track, group_key FROM (SELECT DISTINCT class_name, object_id AS track FROM frm) s JOIN l USING (track)")
 def f11(frm):
-    groups = frm.groupBy("group_key", F.col("object_id").alias("track")).agg(F.max("frame_id").alias("f"))
-    samples = frm.sparkSession.range(0, 400, 3).select(F.col("id").alias("sample"), F.col("id").cast("string").alias("track"))
-    return match.match_tracks(samples, groups, "track", "f").select("sample", "track", "group_key")
+    """Every (class, object) as an aggregate, the groups of two classes as raw ones."""
+    groups = frm.filter("class_name IN ('view','click')").groupBy("group_key", F.col("object_id").alias("track")).agg(F.max("frame_id").alias("f"))
+    samples = frm.select("class_name", F.col("object_id").alias("track")).distinct()
+    return match.match_tracks(samples, groups, "track", "f").select("class_name", "track", "group_key")
 
 
-RULES = """{"AUTOMOBILE": ["AUTOMOBILE", "MACHINERY"], "BUILDING": {"allow_sources": ["*"], "disallow_sources": ["AUTOMOBILE"]}, "FURNITURE": {"allow": ["*"], "require_equal": ["class_name", "folder_class"], "match_mode": "any"},
- "HOUSEHOLD": {"allow_sources": ["HOUSEHOLD"], "require_equal": ["folder_class"]}, "*": []}"""
+RULES = """{"target_column": "predicted_class", "source_column": "class_name", "rules": {"AUTOMOBILE": ["AUTOMOBILE", "MACHINERY"], "BUILDING": {"disallow_sources": "AUTOMOBILE"},
+ "FURNITURE": {"sources": ["*"], "must_equal": ["class_name", "folder_class"], "mode": "OR"}, "HOUSEHOLD": {"allowed_sources": "HOUSEHOLD", "require_equal": "folder_class", "match_mode": "and"},
+ "MACHINERY": {"allow_sources": null}, "*": []}}"""
 _PASS = """(predicted_class='AUTOMOBILE' AND current_class IN ('AUTOMOBILE','MACHINERY') OR predicted_class='BUILDING' AND current_class<>'AUTOMOBILE' OR predicted_class='FURNITURE' AND (current_class=predicted_class OR folder_class=predicted_class)
  OR predicted_class='HOUSEHOLD' AND current_class='HOUSEHOLD' AND folder_class='HOUSEHOLD')"""
 
@@ -148,6 +182,15 @@ def rules_of(df):
     return curate.rule_table(df.sparkSession.createDataFrame([(RULES,)], "text string"))
 
 
+@query("g1_rule_table", "pred", sql="""SELECT * FROM (VALUES ('AUTOMOBILE','AUTOMOBILE,MACHINERY','','','and','current_class'), ('BUILDING','*','AUTOMOBILE','','and','current_class'), ('FURNITURE','*','','current_class,folder_class','or','current_class'),
+ ('HOUSEHOLD','HOUSEHOLD','','folder_class','and','current_class'), ('MACHINERY','','','','and','current_class')) t(target, allow, deny, require_equal, mode, source) WHERE target IN (SELECT DISTINCT predicted_class FROM pred)""")
+def g1(pred):
+    """The rules of the classes that the table predicts."""
+    texts = pred.sparkSession.createDataFrame([(RULES,)], "text string")
+    rules = curate.rule_table(texts).withColumn("source", F.lit(curate.rule_columns(texts)["source"])).join(pred.select(F.col("predicted_class").alias("target")).distinct(), "target")
+    return rules.select("target", *(F.array_join(c, ",").alias(c) for c in ("allow", "deny", "require_equal")), "mode", "source")
+
+
 @query("g2_rule_filter", "pred", sql=f"SELECT ord FROM pred WHERE {_PASS}")
 def g2(pred):
     return curate.apply_rules(pred, rules_of(pred)).select("ord")
@@ -188,21 +231,21 @@ def g6(cat):
 
 @query("g7_flat_build", "cat", sql=split_sql(_M1, "cat") + "SELECT ord, s.split, object_id||CASE WHEN q>1 THEN '__dup'||(q-1) ELSE '' END AS output_name FROM (SELECT cat.ord, cat.object_id, s.split, row_number() OVER (PARTITION BY s.split, class_name, cat.object_id ORDER BY stem) q FROM cat JOIN s USING (object_id)) s")
 def g7(cat):
-    return split.assert_no_leaks(curate.flat_build(cat, R), ["object_id"]).select("ord", "split", "output_name")
+    return curate.flat_build(cat, R).select("ord", "split", "output_name")
 
 
 _ST = f"""{_B}, st AS (SELECT cloud_id, n, mx-nx ex, my-ny ey, mz-nz ez, greatest((mx-nx)*(my-ny)*(mz-nz),1e-9) vol FROM b)"""
-_SCOLS = ["extent_x", "extent_y", "extent_z", "volume", "density", "aspect_xy", "aspect_xz"]
+_SCOLS = ["x_extent", "y_extent", "z_extent", "volume", "density", "aspect_xy", "aspect_xz"]
 
 
-@query("h1_shape_stats", "big", sql=f"WITH {_ST} SELECT cloud_id, {r_sql('ex AS extent_x', 'ey AS extent_y', 'ez AS extent_z', 'vol AS volume', 'n/vol AS density', 'ex/greatest(ey,1e-9) AS aspect_xy', 'ex/greatest(ez,1e-9) AS aspect_xz')} FROM st")
+@query("h1_shape_stats", "big", sql=f"WITH {_ST} SELECT cloud_id, {r_sql('ex AS x_extent', 'ey AS y_extent', 'ez AS z_extent', 'vol AS volume', 'n/vol AS density', 'greatest(ex,ey)/greatest(least(ex,ey),1e-9) AS aspect_xy', 'greatest(ex,ey)/greatest(ez,1e-9) AS aspect_xz')} FROM st")
 def h1(big):
     return r6(audit.shape_stats(big), "cloud_id", cols=_SCOLS)
 
 
 @query("h2_hard_checks", "cat", "pts", sql="""WITH p AS (SELECT cloud_id, count(*) n, count(*) FILTER (cloud_id%11>0 AND NOT (cloud_id%13=0 AND pt=1)) k FROM pts WHERE cloud_id%7>0 GROUP BY 1),
-q AS (SELECT ord, n, k, ord%17=0 e FROM cat LEFT JOIN p ON cloud_id=ord) SELECT ord, (CASE WHEN n IS NULL THEN 100 ELSE 0 END+CASE WHEN e THEN 100 ELSE 0 END+CASE WHEN k=0 THEN 100 ELSE 0 END+CASE WHEN k>0 AND k<n THEN 20 ELSE 0 END)::DOUBLE AS hard_score,
-concat_ws(';', CASE WHEN n IS NULL THEN 'missing_pcd' END, CASE WHEN e THEN 'unreadable_pcd' END, CASE WHEN k=0 THEN 'no_finite_points' END, CASE WHEN k>0 AND k<n THEN 'non_finite_points' END) AS reasons FROM q""")
+q AS (SELECT ord, n, k, ord%17=0 e FROM cat LEFT JOIN p ON cloud_id=ord) SELECT ord, (CASE WHEN e OR n IS NULL THEN 100 WHEN k=0 THEN 120 WHEN k<n THEN 20 ELSE 0 END)::DOUBLE AS hard_score,
+CASE WHEN e THEN 'pcd_read_error' WHEN n IS NULL THEN 'missing_pcd' WHEN k=0 THEN 'non_finite_xyz;empty_or_invalid_xyz' WHEN k<n THEN 'non_finite_xyz' ELSE '' END AS reasons FROM q""")
 def h2(cat, pts):
     bad = pts.filter("cloud_id%7>0").withColumn("x", F.expr("CASE WHEN cloud_id%11=0 OR (cloud_id%13=0 AND pt=1) THEN double('NaN') ELSE x END"))
     m = cat.select("ord", F.col("ord").alias("cloud_id"), F.expr("ord%17=0").alias("read_error"))
@@ -210,7 +253,7 @@ def h2(cat, pts):
 
 
 @query("h3_label_checks", "pred", sql="""SELECT ord, round(CASE WHEN predicted_class<>class_name THEN 80.0 ELSE 0 END+CASE WHEN confidence<0.3 THEN 25+(0.3-confidence)*50 ELSE 0 END+CASE WHEN point_count<50 THEN 25 ELSE 0 END+CASE WHEN ord%90<20 THEN 25 ELSE 0 END+1e-10,6) AS label_score,
-concat_ws(';', CASE WHEN predicted_class<>class_name THEN 'prediction_mismatch' END, CASE WHEN confidence<0.3 THEN 'low_confidence' END, CASE WHEN point_count<50 THEN 'low_manifest_points' END, CASE WHEN ord%90<20 THEN 'low_file_points' END) AS reasons FROM pred""")
+concat_ws(';', CASE WHEN predicted_class<>class_name THEN 'dataset_class_ne_predicted_class' END, CASE WHEN confidence<0.3 THEN 'low_confidence' END, CASE WHEN point_count<50 THEN 'low_manifest_point_count' END, CASE WHEN ord%90<20 THEN 'low_pcd_point_count' END) AS reasons FROM pred""")
 def h3(pred):
     return audit.join_reasons(_labelled(pred), ["label_reasons"]).select("ord", F.round(F.col("label_score") + 1e-10, 6).alias("label_score"), "reasons")
 
@@ -220,7 +263,7 @@ def _labelled(pred):
     return audit.label_checks(t, 0.3, 50)
 
 
-_LOGS = "SELECT cloud_id, cloud_id%5 AS g, unnest(['point_count','extent_x','extent_y','extent_z','volume','density','aspect_xy','aspect_xz']) field, unnest(range(8)) i, ln(1+greatest(unnest([n::DOUBLE,ex,ey,ez,vol,n/vol,ex/greatest(ey,1e-9),ex/greatest(ez,1e-9)]),0)) v FROM st"
+_LOGS = "SELECT cloud_id, cloud_id%5 AS g, unnest(['point_count','x_extent','y_extent','z_extent','volume','density','aspect_xy','aspect_xz']) field, unnest(range(8)) i, ln(1+greatest(unnest([n::DOUBLE,ex,ey,ez,vol,n/vol,greatest(ex,ey)/greatest(least(ex,ey),1e-9),greatest(ex,ey)/greatest(ez,1e-9)]),0)) v FROM st"
 _Z = f"""l AS ({_LOGS}), md AS (SELECT g, field, median(v) m, count(*) k FROM l GROUP BY 1,2), dv AS (SELECT l.*, k, abs(v-m) d FROM l JOIN md USING (g, field)), sd AS (SELECT g, field, greatest(median(d)*1.4826,1e-9) s FROM dv GROUP BY 1,2),
 zz AS (SELECT cloud_id, field, i, round(d/s,6) z FROM dv JOIN sd USING (g, field) WHERE k>=8 AND round(d/s,6)>=2.5)"""
 
@@ -235,30 +278,42 @@ def h4(big):
     return audit.join_reasons(_outliers(big), ["outlier_reasons"]).select("cloud_id", "outlier_score", "reasons")
 
 
-@query("h5_reasons", "pred", sql="SELECT ord, CASE WHEN predicted_class<>class_name AND ord%2=0 THEN 'prediction_mismatch;seen' WHEN ord%2=0 THEN 'seen' WHEN predicted_class<>class_name THEN 'prediction_mismatch' ELSE '' END AS reasons FROM pred")
+@query("h5_reasons", "pred", sql="SELECT ord, CASE WHEN predicted_class<>class_name AND ord%2=0 THEN 'dataset_class_ne_predicted_class;seen' WHEN ord%2=0 THEN 'seen' WHEN predicted_class<>class_name THEN 'dataset_class_ne_predicted_class' ELSE '' END AS reasons FROM pred")
 def h5(pred):
-    t = pred.withColumn("a", F.expr("CASE WHEN predicted_class<>class_name THEN array('prediction_mismatch') END")).withColumn("b", F.expr("CASE WHEN ord%2=0 THEN array('seen','seen') END"))
+    t = pred.withColumn("a", F.expr("CASE WHEN predicted_class<>class_name THEN array('dataset_class_ne_predicted_class') END")).withColumn("b", F.expr("CASE WHEN ord%2=0 THEN array('seen','seen') END"))
     return audit.join_reasons(t.withColumn("c", F.col("a")), ["a", "b", "c"]).select("ord", "reasons")
 
 
-_Q = """q AS (SELECT ord, class_name, CASE WHEN ord%4=0 THEN 'low_file_points' WHEN ord%4=1 THEN 'volume_outlier_z5.0' WHEN ord%4=2 THEN 'missing_pcd' ELSE '' END reasons, CASE WHEN ord%4=3 THEN 0 ELSE ord%200 END score FROM cat)"""
+_REASONS = "CASE ord%6 WHEN 0 THEN 'low_pcd_point_count' WHEN 1 THEN 'volume_outlier_z5.0' WHEN 2 THEN 'missing_pcd' WHEN 3 THEN 'low_manifest_point_count' WHEN 4 THEN 'low_manifest_point_count;non_finite_xyz' ELSE '' END"
+_Q = f"""q AS (SELECT ord, class_name, {_REASONS} reasons, CASE WHEN ord%6=5 THEN 0 ELSE ord%200 END score FROM cat),
+qq AS (SELECT *, score>0 AS suspicious, score>0 AND (ord%6 IN (0,4) OR (ord%6=1 AND score>=80)) AS high_priority, row_number() OVER (ORDER BY score DESC, class_name, ord) AS rank FROM q)"""
 
 
 def _queued(cat):
-    t = cat.select("ord", "class_name", F.expr("CASE WHEN ord%4=0 THEN 'low_file_points' WHEN ord%4=1 THEN 'volume_outlier_z5.0' WHEN ord%4=2 THEN 'missing_pcd' ELSE '' END").alias("reasons"), F.expr("CASE WHEN ord%4=3 THEN 0 ELSE ord%200 END").alias("score"))
+    t = cat.select("ord", "class_name", F.expr(_REASONS).alias("reasons"), F.expr("CASE WHEN ord%6=5 THEN 0 ELSE ord%200 END").alias("score"))
     return audit.queue(t, "score", "class_name", "ord")
 
 
-@query("h6_queue", "cat", sql=f"WITH {_Q} SELECT ord, score>0 AS suspicious, score>0 AND (ord%4=0 OR (ord%4=1 AND score>=80)) AS high_priority, row_number() OVER (ORDER BY score DESC, class_name, ord) AS rank FROM q")
+@query("h6_queue", "cat", sql=f"WITH {_Q} SELECT ord, suspicious, high_priority, rank FROM qq")
 def h6(cat):
     return _queued(cat).select("ord", "suspicious", "high_priority", "rank")
 
 
-@query("h7_reason_report", "cat", sql=f"WITH {_Q} SELECT regexp_replace(reasons,'_z[0-9.]+$','') AS reason, count(*) AS n FROM q WHERE reasons<>'' GROUP BY 1")
+@query("h7_reason_report", "cat", sql=f"WITH {_Q} SELECT r AS reason, count(*) AS n FROM (SELECT unnest(string_split(reasons,';')) r FROM qq WHERE suspicious AND reasons<>'') GROUP BY 1 ORDER BY n DESC, reason LIMIT 20")
 def h7(cat):
     return audit.report(_queued(cat))
 
 
+@query("h7_class_report", "cat", sql=f"WITH {_Q} SELECT class_name, count(*) AS n, count(*) FILTER (suspicious) AS suspicious, count(*) FILTER (high_priority) AS high_priority FROM qq GROUP BY 1")
+def h7c(cat):
+    return audit.class_report(_queued(cat), "class_name")
+
+
+@query("h7_top_samples", "cat", sql=f"WITH {_Q} SELECT rank, ord, class_name, score, reasons FROM qq WHERE suspicious AND rank<=25")
+def h7t(cat):
+    return audit.top_samples(_queued(cat)).select("rank", "ord", "class_name", "score", "reasons")
+
+
 def _logits(e, a=1):
     return e.select("vec_id", "label", F.transform(F.slice("embedding", a, 10), lambda x: x.cast("double")).alias("logits"))
 
@@ -442,6 +497,14 @@ def j14(big):
     return metrics.export_manifest(big, 5.0, 0.4)
 
 
+@query("j14_capped", "big", sql="""WITH k AS (SELECT cloud_id, conf FROM big WHERE conf>=0.4 QUALIFY row_number() OVER (PARTITION BY cloud_id, floor(x/5), floor(y/5), floor(z/5) ORDER BY conf DESC, pt)=1), a AS (SELECT cloud_id, count(*) kept FROM k GROUP BY 1)
+SELECT cloud_id, cloud_id%5 AS class_name, count(*) AS fused, coalesce(any_value(kept),0) AS kept FROM big LEFT JOIN a USING (cloud_id) GROUP BY 1 QUALIFY row_number() OVER (PARTITION BY cloud_id%5 ORDER BY cloud_id)<=7""")
+def j14c(big):
+    """At most seven clouds of a class, the first ones."""
+    classes = big.select("cloud_id", (F.col("cloud_id") % 5).alias("class_name")).distinct()
+    return metrics.export_manifest(big, 5.0, 0.4, classes, 7).select("cloud_id", "class_name", "fused", "kept")
+
+
 _RUNS = "WITH r AS (SELECT area AS run, avg((current_class=predicted_class)::INT) a FROM pred WHERE area<>3 GROUP BY 1), x AS (SELECT m AS run, CASE WHEN m<>5 THEN round(a,6) END AS oa, CASE WHEN m<>5 AND a IS NOT NULL THEN 'done' WHEN m=5 THEN 'failed' ELSE 'missing' END AS status FROM (SELECT unnest([1,2,3,4,5,6,7]::BIGINT[]) m) LEFT JOIN r ON run=m) "
 
 

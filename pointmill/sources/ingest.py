@@ -82,16 +82,16 @@ def _npy(data: bytes) -> dict[str, np.ndarray]:
     return {k: x[:, i].astype(float) for i, k in enumerate(["x", "y", "z", *(f"f{i}" for i in range(3, x.shape[1]))])}
 
 
-def read_clouds(spark: SparkSession, folder: str) -> DataFrame:
+def read_clouds(spark: SparkSession, folder: str, glob: str = "*.{pcd,ply,npy}", kind: str | None = None) -> DataFrame:
     """Points of every PCD, PLY and NPY file below ``folder``: (path, pt, x, y, z, extra, error). A bad or empty file gives one row with its error; NaN coordinates
-    arrive as nulls."""
+    arrive as nulls. ``kind`` is the format of files whose names don't end with it."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         readers = {"pcd": _pcd, "ply": _ply, "npy": _npy}
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"]):
                 try:
-                    cols = readers[path.rsplit(".", 1)[-1].lower()](bytes(data))
+                    cols = readers[kind or path.rsplit(".", 1)[-1].lower()](bytes(data))
                     if not len(cols["x"]) or not {"x", "y", "z"} <= set(cols):
                         raise ValueError("empty cloud")
                     more = [k for k in cols if k not in XYZ]
@@ -100,13 +100,13 @@ def read_clouds(spark: SparkSession, folder: str) -> DataFrame:
                 except Exception as e:  # a bad file must not fail the job
                     yield pd.DataFrame({"path": [path], "pt": [None], "x": [None], "y": [None], "z": [None], "extra": [None], "error": [f"{type(e).__name__}: {e}"[:200]]})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{pcd,ply,npy}").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     return files.select("path", "content").mapInPandas(parse, POINTS)
 
 
-def header_counts(spark: SparkSession, folder: str) -> DataFrame:
+def header_counts(spark: SparkSession, folder: str, glob: str = "*.pcd") -> DataFrame:
     """(path, n_points) from the first 4 KB of every PCD; null where the header can't be read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pcd").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
     head = F.decode(F.substring(F.col("content"), 1, 4096), "ISO-8859-1")
     number = lambda k: F.regexp_extract(head, rf"(?m)^{k} (\d+)", 1)
     n = F.coalesce(F.expr("try_cast(p AS bigint)"), F.expr("try_cast(w AS bigint) * try_cast(h AS bigint)"))
@@ -152,8 +152,9 @@ def layout(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def attach_sidecars(clouds: DataFrame, sidecars: DataFrame, schema: str, stem: str = "stem") -> DataFrame:
-    """``meta`` from the JSON of the same stem, else from that of the stem without its frame; unreadable text gives null."""
-    parsed = sidecars.select(F.col("stem").alias("__s"), F.from_json("text", schema, {"mode": "PERMISSIVE"}).alias("__m"))
+    """``meta`` from the JSON of the same stem, else from that of the stem without its frame: the first that is JSON; else null."""
+    readable = sidecars.filter(F.expr("try_parse_json(text)").isNotNull())
+    parsed = readable.select(F.col("stem").alias("__s"), F.from_json("text", schema, {"mode": "PERMISSIVE"}).alias("__m"))
     group = F.regexp_replace(stem, "__frame_[^_]+$", "")
     a, b = (parsed.select(F.col("__s").alias(s), F.col("__m").alias(m)) for s, m in (("__s1", "__m1"), ("__s2", "__m2")))
     df = clouds.join(a, F.col(stem) == F.col("__s1"), "left").join(b, group == F.col("__s2"), "left")
@@ -185,7 +186,7 @@ def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_manifest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """manifest.jsonl where there is one, else rows from split/class/*.pcd."""
     files = list_files(spark, folder)
-    if not files.filter(F.col("path").endswith("/manifest.jsonl")).isEmpty():
+    if not files.filter(F.regexp_like("path", F.lit(r"/manifest\.jsonl(/part-[^/]*)?$"))).isEmpty():
         return spark.read.schema(schema).json(f"{folder}/manifest.jsonl")
     clouds = layout(files.filter(F.col("path").endswith(".pcd"))).filter("layout = 'flat'")
     return clouds.select(F.col("split"), F.col("class_name").alias("dataset_class"), F.regexp_extract("path", r"([^/]+)\.pcd$", 1).alias("sample_id"), F.col("path").alias("dataset_pcd"))
@@ -205,6 +206,7 @@ def sample_surface(vertices: DataFrame, faces: DataFrame, n: int, seed: int = 0)
     total = F.sum("area").over(W.partitionBy("mesh_id"))
     t = t.withColumns({"hi": F.sum("area").over(w.rowsBetween(W.unboundedPreceding, 0)) / total, "__n": F.row_number().over(w)})
     t = t.withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0)))
+    t = t.withColumn("hi", F.when(F.lead("face").over(w).isNull(), 1.0).otherwise(F.col("hi")))  # the last sum may round below 1
     draws = t.select("mesh_id").distinct().withColumn("pt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
     draws = draws.withColumn("u", uniform(seed, "mesh_id", "pt"))
     hit = draws.alias("d").join(t.alias("t"), (F.col("d.mesh_id") == F.col("t.mesh_id")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))

@@ -1,5 +1,6 @@
 """Quirks and properties on small hand-made tables."""
 
+import hashlib
 import json
 import math
 
@@ -7,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointmill.operators import catalog, curate, geom, match, metrics, points, split
+from pointmill.functions import ranking
+from pointmill.operators import audit, catalog, curate, geom, match, metrics, points, split
 from pointmill.plans import fixtures
 from pointmill.sources import ingest
 
@@ -59,10 +61,91 @@ def test_rules(spark):
     df = spark.createDataFrame([("A", "A"), ("A", "B"), ("C", "A")], "predicted_class string, current_class string")
     rules = lambda t: curate.rule_table(spark.createDataFrame([(t,)], "text string"))
     assert curate.apply_rules(df, rules('{"A": ["*"], "*": []}')).count() == 2
-    assert curate.apply_rules(df, rules('{"A": {"allow": ["*"], "deny": ["B"]}}')).count() == 1
+    assert curate.apply_rules(df, rules('{"A": {"allow_sources": ["*"], "deny_sources": ["B"]}}')).count() == 1
+    assert curate.apply_rules(df, rules('{"A": {"disallowed_sources": "*"}}')).count() == 0
     assert curate.apply_rules(df, rules('{"*": ["A"]}')).count() == 2
-    with pytest.raises(Exception, match="unsupported"):
-        rules('{"A": {"require_equal": ["nope"]}}').collect()
+    for bad in ('{"A": {"require_equal": ["nope"]}}', '{"A": {"mode": "any"}}'):
+        with pytest.raises(Exception, match="unsupported"):
+            rules(bad).collect()
+
+
+def test_rule_file_with_header_and_defaults(spark):
+    """A file of the full format: header, list and single names, or and and, a rule without allowed sources, alias columns, default rule."""
+    text = json.dumps(
+        {
+            "target_column": "predicted_class", "source_column": "folder_class",
+            "rules": {"BUS": {"allow_sources": ["*"], "require_equal": ["folder_class", "predicted_class"], "match_mode": "or"}, "CAR": {"allow_sources": ["CAR"], "require_equal": ["folder_class", "class_name"], "match_mode": "and"}, "VAN": {"must_equal": "json_class"}, "*": []},
+        }
+    )
+    texts = spark.createDataFrame([(text,)], "text string")
+    rows = [(1, "BUS", "CAR", "X"), (2, "CAR", "CAR", "CAR"), (3, "CAR", "CAR", "BUS"), (4, "CAR", "BUS", "CAR"), (5, "VAN", "VAN", "CAR"), (6, "VAN", "CAR", "VAN"), (7, "TRAM", "TRAM", "TRAM")]
+    df = spark.createDataFrame(rows, "i int, predicted_class string, current_class string, folder_class string")
+    columns = curate.rule_columns(texts)
+    assert columns == {"target": "predicted_class", "source": "folder_class"}
+    assert sorted(r["i"] for r in curate.apply_rules(df, curate.rule_table(texts), **columns).collect()) == [1, 2, 5]
+    with pytest.raises(ValueError, match="unsupported"):
+        curate.rule_columns(spark.createDataFrame([('{"rules": {}, "target_column": "nope"}',)], "text string"))
+
+
+def test_ground_truth_prefers_the_class(spark):
+    truth = [("t1", "r", "o1", "car", "a", 0), ("t2", "r", "o1", "bus", "b", 120), ("t3", "r3", "o2", "car", "c", 0), ("t4", "r4", "o2", "bus", "d", 9), ("t5", "r5", "o3", "bus", "e", 0), ("t6", "r6", "o4", "car", "f", 5), ("t7", "r6", "o4", "car", "g", 5)]
+    truth = spark.createDataFrame(truth, "stem string, run_id string, object_id string, class_name string, path string, score int")
+    samples = spark.createDataFrame([("s1", "r", "o1", "car"), ("s2", "x", "o2", "car"), ("s3", "x", "o3", "car"), ("s4", "r6", "o4", "car"), ("t2", None, None, "car"), ("s6", None, None, "car")], "stem string, run_id string, object_id string, class_name string")
+    got = {r["stem"]: (r["path"], r["tier"], r["ambiguous"]) for r in match.resolve_ground_truth(samples, truth).collect()}
+    assert got == {"s1": ("a", 2, False), "s2": ("c", 3, False), "s3": (None, None, None), "s4": ("g", 2, True), "t2": ("b", 1, False), "s6": (None, None, None)}
+
+
+def test_unreadable_sidecars_fall_back(spark):
+    clouds = spark.createDataFrame([("a__frame_1",), ("b__frame_1",), ("c__frame_1",)], "stem string")
+    cars = spark.createDataFrame([("a__frame_1", "{broken"), ("a", '{"k": 5}'), ("b__frame_1", "{}"), ("b", '{"k": 6}'), ("c", "")], "stem string, text string")
+    got = {r["stem"]: r["meta"] for r in ingest.attach_sidecars(clouds, cars, "k int").collect()}
+    assert got["a__frame_1"]["k"] == 5 and got["b__frame_1"]["k"] is None and got["c__frame_1"] is None
+
+
+def test_audit_cases(spark):
+    nan = float("nan")
+    cloud = [(1, nan, 0.0, 0.0), (2, 0.0, 0.0, 0.0), (2, 1.0, 4.0, 2.0), (3, nan, 1.0, 1.0), (3, 1.0, 1.0, 1.0)]
+    stats = audit.shape_stats(spark.createDataFrame(cloud, "cloud_id long, x double, y double, z double"))
+    two = stats.filter("cloud_id = 2").first()
+    assert (two["aspect_xy"], two["aspect_xz"]) == (4.0, 2.0)
+    manifest = spark.createDataFrame([(1, False), (2, True), (3, None), (4, None)], "cloud_id long, read_error boolean")
+    got = {r["cloud_id"]: (r["hard_score"], ";".join(r["hard_reasons"])) for r in audit.hard_checks(manifest, stats).collect()}
+    assert got == {1: (120.0, "non_finite_xyz;empty_or_invalid_xyz"), 2: (100.0, "pcd_read_error"), 3: (20.0, "non_finite_xyz"), 4: (100.0, "missing_pcd")}
+    queued = spark.createDataFrame([(1, "low_manifest_point_count", 25.0), (2, "low_pcd_point_count", 25.0), (3, "x_extent_outlier_z9.0", 90.0), (4, "", 0.0)], "s int, reasons string, score double")
+    got = {r["s"]: (r["high_priority"], r["rank"]) for r in audit.queue(queued.withColumn("c", F.lit("car")), "score", "c", "s").collect()}
+    assert got == {1: (False, 2), 2: (True, 3), 3: (True, 1), 4: (False, 4)}
+
+
+def test_ranks_and_quantiles_of_groups(spark):
+    rng = np.random.default_rng(1)
+    rows = [(None if i % 5 == 0 else f"g{i % 3}", i, float(rng.integers(0, 40)) if i % 7 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i int, v double")
+    ranked = ranking.hash_ranked(df, ["g"], F.md5(F.col("i").cast("string")), ["i"]).toPandas()
+    want = ranked.assign(h=[hashlib.md5(str(i).encode()).hexdigest() for i in ranked["i"]]).sort_values("h").groupby("g", dropna=False).cumcount() + 1
+    assert len(ranked) == 500 and (ranked["__r"] == want.reindex(ranked.index)).all() and (ranked["__n"] == ranked.groupby("g", dropna=False)["i"].transform("size")).all()
+    by_value = ranking.range_ranked(df, [F.desc_nulls_last("v"), F.asc("i")]).toPandas().sort_values("rank")
+    assert by_value["rank"].tolist() == list(range(1, 501)) and by_value["v"].dropna().is_monotonic_decreasing
+    for g, q in ((r["g"], r["q"]) for r in ranking.quantiles(df, "v", [0, 0.1, 0.5, 0.95, 1], ["g"]).collect()):
+        own = [v for h, _, v in rows if h == g and v is not None]
+        assert np.allclose(q, np.quantile(own, [0, 0.1, 0.5, 0.95, 1]))
+    assert ranking.quantiles(df.limit(0), "v", [0.5]).first()["q"] == [None] and ranking.quantiles(df.limit(0), "v", [0.5], ["g"]).count() == 0
+
+
+def test_nearest_through_the_grid_equals_brute_force(spark):
+    """Clumps, outliers outside the other cloud's box, and equal points; other clouds met through the grid and whole."""
+    rng = np.random.default_rng(5)
+    a = [(1, i, *map(float, p)) for i, p in enumerate(np.vstack([rng.normal(size=(60, 3)), rng.normal(size=(5, 3)) * 300, np.zeros((3, 3))]))]
+    b = [(2, i, *map(float, p)) for i, p in enumerate(np.vstack([rng.normal(size=(300, 3)) * 0.01, rng.normal(size=(40, 3)) * 3]))]
+    schema = "cloud_id long, pt long, x double, y double, z double"
+    a, b = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    pairs = spark.createDataFrame([(7, 1, 2)], "pair_id long, a_id long, b_id long")
+    x, y = (df.toPandas().sort_values("pt")[["x", "y", "z"]].to_numpy() for df in (a, b))
+    want = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2).min(1))
+    for limit in (0, 4096):
+        got = geom.nearest_other(pairs, a, b, limit).toPandas().sort_values("pt")["d"].to_numpy()
+        assert len(got) == len(want) and np.allclose(got, want)
+    whole, grid = (sorted(map(tuple, geom.neighbours(b, 5, n).select("pt", "n_pt", "rank").collect())) for n in (4096, 0))
+    assert whole == grid
 
 
 def test_split_properties(spark):
