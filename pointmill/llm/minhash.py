@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointmill.llm.common import connected_components, materialize, mix, word_hashes
@@ -137,25 +136,31 @@ def _links_between(key: int, left: list, right: list, same: bool, idf: np.ndarra
     return found
 
 
+def text_digest(text: Column) -> Column:
+    """The key of a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document of (doc_id, text): doc_id, copy_of, class_id, kept.
+    """One row per document of (doc_id, text): doc_id, digest, copy_of, class_id, kept.
 
     copy_of is the smallest doc_id with the very same text; class_id is the smallest doc_id reachable through exact copies
-    and verified pairs of weighted Jaccard similarity >= ``similarity``; kept is doc_id = class_id. Weights are occurrences
-    of a five-word shingle times the mean inverse document frequency of its words.
+    and verified pairs of weighted Jaccard similarity >= ``similarity``. Weights are occurrences of a five-word shingle times the mean inverse
+    document frequency of its words. kept marks the rows of one (doc_id, digest) of each class: the smallest doc_id, then digest.
 
-    Defined cases: null text counts as empty; texts without a word are alike only if they are equal; rows that repeat a
-    doc_id with the same text get equal classes; rows with a null doc_id stay apart (class null, kept); no rows give no rows;
-    columns beyond doc_id and text are ignored. Very long texts are sampled in slices, never cut.
+    Defined cases: null text counts as empty; texts without a word are alike only if they are equal; decisions are by doc_id and text, so
+    rows that repeat a doc_id with another text are documents of their own, and rows that repeat both get equal results; rows with a null doc_id take part
+    and are kept only where their class has no other; no rows give no rows; columns beyond doc_id and text are ignored. Very
+    long texts are sampled in slices, never cut.
 
-    Exact copies are collapsed first. Within a bucket no pairs are listed: three rounds compare everyone outside a pivot's
+    Exact copies are collapsed first, to one node per digest. Within a bucket no pairs are listed: three rounds compare everyone outside a pivot's
     component with that pivot, then only buckets with members in different components stay open. Their members meet each other:
     in small buckets by pairs, in larger ones by blocks, each pair of blocks in one row that yields links only. So every pair of a
     bucket is either verified or already joined, and no task gets more of a bucket than two blocks at once.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = rows.filter("doc_id IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("digest", text_digest(F.col("text")))
     idf = spark.sparkContext.broadcast(inverse_document_frequencies(docs))
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,17 +170,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             for text in batch["text"]:
                 s = _shingles(word_hashes(text), idf.value)
                 keys.append(_bands(sampler(*s), BANDS, ROWS) if len(s[0]) else np.empty(0, np.int64))
-            digest = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": digest, "keys": keys})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": batch["digest"], "keys": keys})
 
     signed = materialize(docs.mapInPandas(signatures, "doc_id long, digest binary, keys array<long>"), "signatures")
-    first = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    copies = materialize(signed.select("doc_id", "digest").join(first, "digest").select("doc_id", "rep"), "copies")
-    reps = signed.join(first.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).select("doc_id", "keys")
-    entries = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key")).distinct()
+    nodes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    nodes = materialize(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    reps = nodes.select("id", "keys")
+    entries = reps.select("id", F.explode("keys").alias("key")).distinct()
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     entries = materialize(entries.join(shared, "key"), "buckets")
-    texts = materialize(docs.join(entries.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    wanted = nodes.join(entries.select("id").distinct(), "id", "left_semi").select("id", "rep", F.col("digest").alias("d"))
+    texts = docs.join(wanted, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("id", "text")  # a hot text is spread by doc_id
+    texts = materialize(texts.dropDuplicates(["id"]), "texts")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = {}
@@ -194,7 +200,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         return materialize(labels.join(merged, "component", "left").select("id", F.coalesce("low", "component").alias("component")), "labels")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+        a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(a, "a").join(b, "b").mapInPandas(verify, "ca long, cb long")
 
     def open_buckets(labels: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -219,7 +225,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         large = left.filter(F.col("n") > PAIRS_UP_TO)
         blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
         large = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int"))
-        large = large.join(reps.withColumnRenamed("doc_id", "id"), "id").join(texts.withColumnRenamed("doc_id", "id"), "id")
+        large = large.join(reps, "id").join(texts, "id")
         large = materialize(large.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("id", "component", "keys", "text")).alias("rows")), "blocks")
         one = large.select("key", F.col("rows").alias("left_rows"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"))
         met = one.join(large.select("key", "block", "rows"), ["key", "block"])
@@ -231,7 +237,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
                     yield pd.DataFrame(found, columns=["ca", "cb"], dtype="int64")
 
         labels = relabel(links.unionByName(met.mapInPandas(meet, "ca long, cb long")), labels)
-    out = copies.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    out = out.select("doc_id", F.col("rep").alias("copy_of"), F.coalesce("component", "rep").alias("class_id"))
-    alone = rows.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    nodes = nodes.join(labels, "id", "left").select("digest", "rep", F.coalesce("component", "id").alias("component"))
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest")).alias("first")
+    classes = nodes.groupBy("component").agg(first)
+    told = nodes.join(classes, "component").select("digest", "rep", F.col("first.rep").alias("class_id"), (F.col("digest") == F.col("first.digest")).alias("best"))
+    out = signed.select("doc_id", "digest").join(told, "digest")
+    return out.select("doc_id", "digest", F.col("rep").alias("copy_of"), "class_id", (F.col("best") & F.col("doc_id").eqNullSafe(F.col("rep"))).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps: exactly one of each class. Of rows that repeat doc_id and text, any one
+    stays."""
+    found = near_duplicates(docs, similarity).filter("kept").groupBy(F.col("doc_id").alias("__i"), F.col("digest").alias("__d")).agg(F.count("*").alias("__n"))
+    found = materialize(found, "kept")
+    left = docs.withColumn("__t", text_digest(F.col("text")))
+    left = left.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__d")))
+    once = left.filter("__n = 1")
+    if not found.filter("__n > 1").isEmpty():
+        once = once.unionByName(left.filter("__n > 1").dropDuplicates(["__i", "__d"]))
+    return once.select(*docs.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointmill.llm.common import materialize
+from pointmill.llm.common import materialize, unused
 
 # The base kinds in their listed order, their patterns, the group whose length counts and its least length.
 # A match of the last two is a whole run of characters, so asking for the least length in the pattern finds the same ones.
@@ -26,31 +26,80 @@ TOKEN, TOKEN_LENGTH = r"[A-Za-z0-9+/_=-]{20,}", 20
 #: A token is a secret if its log-likelihood ratio per character, random against ordinary, is at least this many nats.
 MARGIN = 0.35
 _CLASSES = 64
+#: Characters of the slices that a masked text is put together from.
+STEP = 256
+_END = 2**31 - 1
 PULL = 4.0
 _QUICK = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|[A-Za-z0-9+/_=-]{20}"""
 _SPAN = "array<struct<start:int,kind:int,name:string,end:int,value:string>>"
 
 
+def _let(value: Column, f) -> Column:
+    """f of the value, which is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _scan(values: Column, merge, start: int) -> Column:
+    """Prefixes of a short array; every step copies what is there."""
+
+    def step(acc: Column, x: Column) -> Column:
+        now = merge(acc["at"], x)
+        return F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+    return F.aggregate(values, F.struct(F.lit(start).alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+
+
+def _in_parts(values: Column, size: Column, merge, start: int, outer) -> Column:
+    """Prefixes within parts of ``size``, each merged with those before it, which ``outer`` gives from the parts' last ones."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda j: _scan(F.slice(values, j * size + 1, size), merge, start))
+
+    def joined(parts: Column) -> Column:
+        before = F.concat(F.array(F.lit(start)), outer(F.transform(parts, lambda p: F.element_at(p, -1))))
+        return F.flatten(F.zip_with(parts, F.slice(before, 1, F.size(parts)), lambda p, o: F.transform(p, lambda x: merge(o, x))))
+
+    return _let(parts, joined)
+
+
+def running(values: Column, merge, start: int) -> Column:
+    """merge(start, values[0]), merge(that, values[1]), ...: by parts of parts, so that n values cost n ** (4 / 3) copied integers; merge is associative."""
+    root = lambda v, f: F.ceil(f(F.size(v).cast("double"))).cast("int")
+    two = lambda v: _let(v, lambda w: _in_parts(w, root(w, F.sqrt), merge, start, lambda x: _scan(x, merge, start)))
+    return _let(values, lambda v: F.when(F.size(v) <= 32, _scan(v, merge, start)).otherwise(_in_parts(v, root(v, F.cbrt), merge, start, two)))
+
+
 def _found(text: Column, kind: int, name: str, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches as spans in code points; those whose group is shorter than ``least`` are dropped.
 
-    The pieces between the matches give the positions: a match starts after all pieces and matches before it.
+    The pieces between the matches give the positions: a match ends after all pieces and matches up to it.
     """
     pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     judged = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    both = F.arrays_zip(pieces.alias("p"), whole.alias("w"), judged.alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["p"])
-        end = at + F.coalesce(F.length(x["w"]), F.lit(0))
-        span = F.struct(at.alias("start"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), end.alias("end"), x["g"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def spans(both: Column) -> Column:
+        long = F.zip_with(F.slice(pieces, 1, F.size(both)), both, lambda p, x: F.length(p) + F.length(x["w"]))
+
+        def span(x: Column, end: Column) -> Column:
+            return F.struct((end - F.length(x["w"])).alias("start"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), end.alias("end"), x["g"].alias("value"))
+
+        return F.filter(F.zip_with(both, running(long, lambda x, y: x + y, 0), span), lambda s: F.length(s["value"]) >= least)
 
-    return F.when(text.rlike(pattern), F.aggregate(both, start, step)["out"]).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), _let(F.arrays_zip(whole.alias("w"), judged.alias("g")), spans)).otherwise(F.array().cast(_SPAN))
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
+def _untouched(spans: Column, tokens: Column) -> Column:
+    """The tokens that no base match overlaps, by one pass over both in order: the furthest base end before, the nearest base start behind."""
+
+    def pick(both: Column) -> Column:
+        is_base = lambda s: s["kind"] < len(BASE)
+        ends = running(F.transform(both, lambda s: F.when(is_base(s), s["end"]).otherwise(F.lit(0))), F.greatest, 0)
+        starts = F.reverse(running(F.reverse(F.transform(both, lambda s: F.when(is_base(s), s["start"]).otherwise(F.lit(_END)))), F.least, _END))
+        free = F.filter(F.arrays_zip(both.alias("s"), ends.alias("e"), starts.alias("b")), lambda x: ~is_base(x["s"]) & (x["e"] <= x["s"]["start"]) & (x["b"] >= x["s"]["end"]))
+        return F.transform(free, lambda x: x["s"])
+
+    return F.when((F.size(spans) == 0) | (F.size(tokens) == 0), tokens).otherwise(_let(F.array_sort(F.concat(spans, tokens)), pick))
+
+
+def base_spans(docs: DataFrame, spans: str = "spans", tokens: str = "tokens") -> DataFrame:
     """``docs`` (text not null) with ``spans``, the base matches by start, then kind, and ``tokens``, the spans that the models judge.
 
     A token that touches a base match is not judged.
@@ -59,9 +108,9 @@ def base_spans(docs: DataFrame) -> DataFrame:
     quick = text.rlike(_QUICK)
     none = F.array().cast(_SPAN)
     base = F.concat(*(_found(text, k, *kind) for k, kind in enumerate(BASE)))
-    out = docs.withColumn("spans", F.when(quick, F.array_sort(base)).otherwise(none))
-    free = F.filter(_found(text, len(BASE), METHOD, TOKEN, 0, TOKEN_LENGTH), lambda t: ~F.exists("spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return out.withColumn("tokens", F.when(quick, free).otherwise(none))
+    out = docs.withColumn(spans, F.when(quick, F.array_sort(base)).otherwise(none))
+    out = out.withColumn(tokens, F.when(quick, _found(text, len(BASE), METHOD, TOKEN, 0, TOKEN_LENGTH)).otherwise(none))
+    return out.withColumn(tokens, _untouched(F.col(spans), F.col(tokens)))
 
 
 def _char_class(code: Column) -> Column:
@@ -196,41 +245,59 @@ def fit(samples: DataFrame) -> DataFrame:
     return ratio.agg(F.transform(cells, lambda x: x["r"]).alias("ratio"))
 
 
-def find_secrets(docs: DataFrame, samples: DataFrame | None = None, margin: float = MARGIN) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with null texts as empty, plus ``spans`` of struct(start, kind, name, end, value) by start, then kind.
-
-    Base matches always stay. The method adds tokens of 20 characters or more that touch no base match and are likelier, by ``margin`` nats a
-    character, under the Markov model of random strings than under that of ordinary identifiers. Both models are fitted on ``samples`` (value, secret), by default on :func:`representative_samples`. Defined cases: null or empty text has no spans;
-    without any sample the ratio is 0 and the method adds nothing; repeated rows get equal spans; spans count code points over whole texts.
-    """
-    taken = {"spans", "tokens", "ratio"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are taken")
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    found = base_spans(docs)
+def _judged(docs: DataFrame, spans: str, samples: DataFrame | None, margin: float) -> DataFrame:
+    """``docs`` with null texts as empty, and the spans of both in the column ``spans``."""
+    tokens, ratio = unused(docs, "tokens"), unused(docs, "ratio")
+    found = base_spans(docs.withColumn("text", F.coalesce("text", F.lit(""))), spans, tokens)
     model = fit(representative_samples(docs.sparkSession) if samples is None else samples)
 
     def per_char(value: Column) -> Column:
-        return F.aggregate(_steps(value), F.lit(0.0), lambda acc, i: acc + F.element_at("ratio", i + 1)) / F.length(value)
+        return F.aggregate(_steps(value), F.lit(0.0), lambda acc, i: acc + F.element_at(ratio, i + 1)) / F.length(value)
+
+    secret = F.filter(tokens, lambda t: per_char(t["value"]) >= margin)
+    out = found.crossJoin(F.broadcast(model.withColumnRenamed("ratio", ratio)))  # one row of 4,096 numbers
+    return out.withColumn(spans, F.array_sort(F.concat(spans, secret))).select(*docs.columns, *([] if spans in docs.columns else [spans]))
 
-    secret = F.filter("tokens", lambda t: per_char(t["value"]) >= margin)
-    out = found.crossJoin(F.broadcast(model))  # one row of 4,096 numbers
-    return out.withColumn("spans", F.array_sort(F.concat("spans", secret))).select(*docs.columns, "spans")
 
+def find_secrets(docs: DataFrame, samples: DataFrame | None = None, margin: float = MARGIN) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with null texts as empty, plus ``spans`` of struct(start, kind, name, end, value) by start, then kind.
+
+    Base matches always stay. The method adds tokens of 20 characters or more that touch no base match and are likelier, by ``margin`` nats a
+    character, under the Markov model of random strings than under that of ordinary identifiers. Both models are fitted on ``samples`` (value,
+    secret), by default on :func:`representative_samples`. Time grows as n ** (4 / 3) with the matches of a text. Defined cases: null or empty text
+    has no spans; without any sample the ratio is 0 and the method adds nothing; repeated rows get equal spans; spans count code points over
+    whole texts; a column ``spans`` of the input is replaced, all others stay.
+    """
+    return _judged(docs, "spans", samples, margin)
 
-def redact(docs: DataFrame, mask: str = "[SECRET]", **options) -> DataFrame:
-    """``docs`` with every secret of their texts replaced by ``mask``; overlapping spans count as one. Other columns stay."""
-    found = find_secrets(docs, **options)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mask))).alias("out"))
+def redact(docs: DataFrame, mask: str = "[SECRET]", samples: DataFrame | None = None, margin: float = MARGIN) -> DataFrame:
+    """``docs`` with every secret of their texts replaced by ``mask``; overlapping spans count as one. Other columns stay, whatever their names.
 
-    made = F.aggregate("spans", start, step)
-    clean = F.concat(made["out"], F.substring(F.col("text"), made["at"] + 1, F.length("text")))
-    return found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).drop("spans")
+    The text is put together from slices of STEP characters, so that no gap is looked for from the start of the text again. Defined cases as for
+    :func:`find_secrets`; a null text stays null.
+    """
+    spans, slices, null = unused(docs, "spans"), unused(docs, "slices"), unused(docs, "null")
+    found = _judged(docs.withColumn(null, F.col("text").isNull()), spans, samples, margin)
+    found = found.withColumn(slices, F.when(F.size(spans) > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STEP}}}"), F.lit(0))))
+
+    def between(start: Column, end: Column) -> Column:
+        """The text from start to end, from the slices they lie in and those between."""
+        a, b = F.floor(start / STEP).cast("int"), F.floor(end / STEP).cast("int")
+        at = lambda k: F.coalesce(F.get(slices, k), F.lit(""))
+        head, tail = F.substring(at(a), start - a * STEP + 1, F.lit(STEP)), F.substring(at(b), F.lit(1), end - b * STEP)
+        inner = F.array_join(F.slice(slices, a + 2, F.greatest(b - a - 1, F.lit(0))), "")
+        return F.when(a == b, F.substring(at(a), start - a * STEP + 1, end - start)).otherwise(F.concat(head, inner, tail))
+
+    def clean(ends: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
+        gaps = F.filter(F.zip_with(spans, before, lambda s, b: F.struct(b.alias("b"), s["start"].alias("e"))), lambda g: g["e"] >= g["b"])
+        whole = F.transform(gaps, lambda g: F.concat(between(g["b"], g["e"]), F.lit(mask)))
+        return F.concat(F.array_join(whole, ""), between(F.element_at(ends, -1), F.length("text")))
+
+    masked = _let(running(F.transform(spans, lambda s: s["end"]), F.greatest, 0), clean)
+    text = F.when(~F.col(null), F.when(F.size(spans) > 0, masked).otherwise(F.col("text")))
+    return found.withColumn("text", text).select(*docs.columns)
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
