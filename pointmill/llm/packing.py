@@ -31,7 +31,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: A text that holds this is encoded whole: special tokens are found before anything is split.
 _SPECIAL = b"<|"
 #: Words in the table, and bytes of text that are taken together; they bound memory, not results.
-_WORDS, _CHUNK = 1_000_000, 4 << 20
+_WORDS, _CHUNK = 250_000, 1 << 21
 
 # What a byte is: 0 other (control, beyond Latin-1), 1 white space, 2 letter, 3 digit, 4 apostrophe, 5 other ASCII mark.
 _OTHER, _SPACE, _LETTER, _DIGIT, _APOSTROPHE, _MARK = range(6)
