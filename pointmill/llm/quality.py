@@ -58,27 +58,39 @@ def text_features(text: str | None) -> np.ndarray:
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Largest share of positives that the scores of the unlabelled allow: P(U below t) >= (1 - prior) + prior * P(P below t).
-
-    The lower envelope over thresholds t that leave at least a twentieth of the positives above them, less one standard error.
-    """
+    """Largest share of positives that the scores of the unlabelled allow: the least ratio of P(U above t) to P(P above t) over thresholds t that leave at least
+    three tenths of the positives above them (the unlabelled hold prior * P and others, which can only add to it)."""
     p, u = np.sort(positive), np.sort(unlabelled)
-    at = np.quantile(p, np.linspace(0, 0.95, 96))
+    at = np.quantile(p, np.linspace(0, 0.7, 96))
     above_p = 1 - np.searchsorted(p, at, "left") / len(p)
     above_u = 1 - np.searchsorted(u, at, "left") / len(u)
-    ratio = above_u / above_p + np.sqrt(above_u * (1 - above_u) / len(u)) / above_p
-    return float(np.clip(ratio.min(), 0.05, 0.99))
+    return float(np.clip((above_u / above_p).min(), 0.05, 0.99))
+
+
+def pu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The two terms of the unbiased logistic risk, prior * E_p[l(g, +)] and E_u[l(g, -)] - prior * E_p[l(g, -)], and the step's gradient: of their sum, or, where
+    the second is negative, of its negation alone (Kiryo et al. 2017)."""
+    gp, gu = p @ w, u @ w
+    positive = prior * np.logaddexp(0, -gp).mean()
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    sp, su = _sigmoid(gp), _sigmoid(gu)
+    g_negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
+    return positive, negative, -prior * (p.T @ (1 - sp)) / len(p) + g_negative if negative >= 0 else -g_negative
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 class PuClassifier:
     """Logistic scorer fitted to the non-negative unbiased risk (Kiryo et al. 2017) by full-batch gradient steps.
 
     risk = prior * E_p[l(g, +)] + max(0, E_u[l(g, -)] - prior * E_p[l(g, -)]); when the second term is negative, its
-    gradient is reversed, as in the paper. Without a given prior it is estimated from a first fit of positives against
-    unlabelled rows, scored on the half of the rows that the fit has not seen.
+    gradient is reversed, as in the paper. Without a given prior it is estimated from positives and unlabelled rows
+    alone, by fits of the ones against the others.
     """
 
-    def __init__(self, prior: float | None = None, steps: int = 400, rate: float = 0.3, l2: float = 1e-4):
+    def __init__(self, prior: float | None = None, steps: int = 400, rate: float = 0.3, l2: float = 1e-2):
         self.prior, self.steps, self.rate, self.l2 = prior, steps, rate, l2
 
     def _design(self, x: np.ndarray) -> np.ndarray:
@@ -98,23 +110,22 @@ class PuClassifier:
         both = np.vstack([positive, unlabelled])
         self.mean, self.std = both.mean(0), both.std(0) + 1e-6
         p, u = self._design(positive), self._design(unlabelled)
-        sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if self.prior is None:
-            hp, hu = p[::2], u[::2]
-            first = self._descend(lambda w: -hp.T @ (1 - sig(hp @ w)) / len(hp) + hu.T @ sig(hu @ w) / len(hu))
-            self.prior = class_prior(p[1::2] @ first, u[1::2] @ first) if min(len(p), len(u)) > 1 else 0.5
-
-        def gradient(w: np.ndarray) -> np.ndarray:
-            sp, su = sig(p @ w), sig(u @ w)
-            negative = np.logaddexp(0, u @ w).mean() - self.prior * np.logaddexp(0, p @ w).mean()
-            g_negative = u.T @ su / len(u) - self.prior * (p.T @ sp) / len(p)
-            return -self.prior * (p.T @ (1 - sp)) / len(p) + g_negative if negative >= 0 else -g_negative
-
-        self.w = self._descend(gradient)
+            self.prior = self._estimate(p, u) if min(len(p), len(u)) > 1 else 0.5
+        self.w = self._descend(lambda w: pu_risk(w, p, u, self.prior)[2])
         return self
 
+    def _estimate(self, p: np.ndarray, u: np.ndarray) -> float:
+        """The class prior by scorers of positives against unlabelled, each fitted on one half of the rows and read on the other."""
+        scores = []
+        for k in (0, 1):
+            hp, hu = p[k::2], u[k::2]
+            w = self._descend(lambda w, hp=hp, hu=hu: -hp.T @ (1 - _sigmoid(hp @ w)) / len(hp) + hu.T @ _sigmoid(hu @ w) / len(hu))
+            scores.append((p[1 - k :: 2] @ w, u[1 - k :: 2] @ w))
+        return class_prior(*(np.concatenate(x) for x in zip(*scores)))
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self._design(x) @ self.w, -30, 30)))
+        return _sigmoid(self._design(x) @ self.w)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -130,22 +141,19 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> PuClassifier | None:
     """Fit on at most ``rows`` trusted positives (quality 1) and ``rows`` texts as unlabelled, both outside the held-out fold.
 
-    The class prior is the share of quality 1 among all rows labelled outside that fold, and is estimated from positives and
-    unlabelled texts alone where no row is labelled 0. None if there are no positives. Texts enter as features only, so the
-    driver gets at most 2 * rows short vectors.
+    The class prior is estimated from both (see :class:`PuClassifier`); rows labelled 0 are never learnt from. None if there are no positives. Texts enter
+    as features only, so the driver gets at most 2 * rows short vectors.
     """
     train = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(~held_out(F.col("id")))
     order = [F.xxhash64("id", F.lit(3)), F.col("id")]
     good = labels.filter("quality = 1").select(F.col("doc_id").alias("id")).filter(~held_out(F.col("id"))).distinct().orderBy(*order).limit(rows)
     some = train.select("id").orderBy(*order).limit(rows)
-    share = labels.filter(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).agg(F.avg("quality")).first()[0]
-    prior = min(share, 0.99) if share is not None and share < 1 else None
     got = {}
     for name, ids in (("p", good), ("u", some)):
         wanted = train.join(F.broadcast(ids.distinct()), "id", "left_semi")  # at most ``rows`` ids
         one = wanted.mapInPandas(_features, "id long, x array<double>").groupBy("id").agg(F.min("x").alias("x")).orderBy("id")  # repeated rows count once
         got[name] = np.array(one.toPandas()["x"].tolist()).reshape(-1, N_FEATURES)
-    return PuClassifier(prior).fit(got["p"], got["u"]) if len(got["p"]) and len(got["u"]) else None
+    return PuClassifier().fit(got["p"], got["u"]) if len(got["p"]) and len(got["u"]) else None
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

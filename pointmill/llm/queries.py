@@ -12,44 +12,54 @@ from pointmill.llm.common import read
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url of ``pages``, judged; the lexicon is counted over the html of all pages."""
     pages = read(spark, sf_dir, "pages")
     return urls.filter_urls(pages, pages.select(F.col("html").alias("text")))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every row of ``documents``."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("digest")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every text of ``documents``."""
     return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op4_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every row of ``embeddings``."""
     return embeddings.linked_vectors(read(spark, sf_dir, "embeddings"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every text of ``documents``."""
     return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("blocks")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of ``documents`` in the mixture of their sources."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs).drop("text")
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth row of ``embeddings`` with all others."""
     return embeddings.nearest_vectors(read(spark, sf_dir, "embeddings"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of all ``documents`` in sequences."""
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The severity of every text of ``documents``."""
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in every text of ``documents``."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.secret_digest(secrets.find_secrets(docs))
 

@@ -15,6 +15,8 @@ from pointmill.llm.common import word_hashes
 FEATURES = 1 << 18
 #: At most so many labelled rows of each label are fitted on, taken in hash order.
 FIT_ROWS = 4000
+#: Of a fitted text at most so many distinct words enter the fit, those of the smallest hashes, so that what the driver gets is bounded in bytes too.
+FIT_WORDS = 4096
 #: Grades: 0 clean, 1 toxic, 2 severely toxic.
 GRADES = 3
 
@@ -28,6 +30,21 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def ordinal_loss(w: np.ndarray, b: np.ndarray, flat: np.ndarray, row: np.ndarray, grade: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted negative log-likelihood of the grades and its gradients by w and b. Text ``row[i]`` holds the word ``flat[i]``; b is the first threshold and the
+    logarithms of the steps to the next ones."""
+    n, at = len(grade), np.arange(len(grade))
+    z = np.bincount(row, w[flat], n)
+    cuts = np.concatenate(([b[0]], b[0] + np.cumsum(np.exp(b[1:]))))
+    above = np.column_stack([np.ones(n), *(_sigmoid(z - c) for c in cuts), np.zeros(n)])
+    p = np.maximum(above[at, grade] - above[at, grade + 1], 1e-9)
+    slope = above * (1 - above)  # of P(>= j) by z; zero at both ends
+    dz = -weight * (slope[at, grade] - slope[at, grade + 1]) / p
+    dc = np.array([(weight / p * slope[:, j + 1] * ((grade == j + 1).astype(float) - (grade == j))).sum() for j in range(len(cuts))])
+    db = np.concatenate(([dc.sum()], [dc[j:].sum() * np.exp(b[j]) for j in range(1, len(b))]))
+    return float(-(weight * np.log(p)).sum()), np.bincount(flat, dz[row], len(w)), db
+
+
 class OrdinalModel:
     """P(grade >= j) = sigmoid(w . x - b_j) with one weight vector and ordered thresholds b_1 < b_2 < ... .
 
@@ -47,21 +64,14 @@ class OrdinalModel:
         off = (bad - share * number) / np.sqrt(np.maximum(number * share * (1 - share), 1e-9))
         keep = ((number >= self.least) & (np.abs(off) >= self.deviations))[flat]
         used, flat = np.unique(flat[keep], return_inverse=True)
-        row, m, n = row[keep], len(used), len(texts)
+        row, m = row[keep], len(used)
         self.w, self.steps_b = np.zeros(FEATURES), np.zeros(GRADES - 1)
         w, b = np.zeros(m), np.concatenate(([2.0], np.full(GRADES - 2, 0.5)))  # b_1 and logs of the steps
         gw, gb = np.full(m, 1e-6), np.full(GRADES - 1, 1e-6)
         weight = weight / weight.sum()
         for _ in range(self.steps):
-            z = np.bincount(row, w[flat], n)
-            cuts = np.concatenate(([b[0]], b[0] + np.cumsum(np.exp(b[1:]))))
-            above = np.column_stack([np.ones(n), *(_sigmoid(z - c) for c in cuts), np.zeros(n)])
-            p = np.maximum(above[np.arange(n), grade] - above[np.arange(n), grade + 1], 1e-9)
-            slope = above * (1 - above)  # of P(>= j) by z; zero at both ends
-            dz = -weight * (slope[np.arange(n), grade] - slope[np.arange(n), grade + 1]) / p
-            dc = np.array([(weight / p * slope[:, j + 1] * ((grade == j + 1).astype(float) - (grade == j))).sum() for j in range(GRADES - 1)])
-            g = np.bincount(flat, dz[row], m) + self.l2 * w
-            db = np.concatenate(([dc.sum()], [dc[j:].sum() * np.exp(b[j]) for j in range(1, GRADES - 1)]))
+            _, g, db = ordinal_loss(w, b, flat, row, grade, weight)
+            g = g + self.l2 * w
             gw, gb = gw + g * g, gb + db * db
             w, b = w - self.rate * g / np.sqrt(gw), b - self.rate * db / np.sqrt(gb)
         self.w[used] = w
@@ -90,7 +100,8 @@ def _grades(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalModel | None:
-    """Fit on at most ``rows`` labelled texts of either label; each label weighs as it does among all labelled rows. None without both."""
+    """Fit on at most ``rows`` labelled texts of either label and FIT_WORDS words of each; each label weighs as it does among all labelled rows. None
+    without both. Scores are by all words of whole texts."""
     known = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
     share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(share) < 2:
@@ -102,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> OrdinalMode
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [text_features(t) for t in batch["text"]]
+            made = [tuple(x[:FIT_WORDS] for x in text_features(t)) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "toxic": batch["toxic"], "w": [m[0].astype(np.int32).tobytes() for m in made], "n": [m[1].astype(np.int32).tobytes() for m in made]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(some), "id")  # 2 * rows ids at most

@@ -29,8 +29,10 @@ BLOCK_SEEDS = (
 )
 #: Share of tokens that a blocked address has in common with all others.
 ORDINARY = 0.9
-#: Longest piece of a host label that is looked up as a word.
-WORD_LENGTH = 24
+#: Probability of block before a token is seen.
+PRIOR = 0.5
+#: The longest label that a host name can have. Longer runs of letters are no labels and stay whole.
+LABEL_LENGTH = 63
 #: Naive Bayes counts tokens in this many hash buckets, so the model has a fixed size.
 BUCKETS = 1 << 16
 
@@ -64,7 +66,7 @@ def viterbi(label: str, log_p: dict[tuple[int, int], float], total: float) -> li
     n = len(label)
     best, cut = [0.0] + [-math.inf] * n, [0] * (n + 1)
     for end in range(1, n + 1):
-        for start in range(max(0, end - WORD_LENGTH), end):
+        for start in range(end):
             score = best[start] + log_p.get((start, end), math.log(10 / total) - (end - start) * math.log(10))
             if score > best[end]:
                 best[end], cut[end] = score, start
@@ -78,13 +80,15 @@ def viterbi(label: str, log_p: dict[tuple[int, int], float], total: float) -> li
 def segment_labels(labels: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(label, words) for every distinct ``label``: unigram Viterbi over the words of ``lexicon`` (word, n).
 
-    The pieces of a label meet the lexicon in a join, so neither side is broadcast; a label yields at most WORD_LENGTH pieces a character.
+    The pieces of a label meet the lexicon in a join, so neither side is broadcast; a label has at most LABEL_LENGTH characters, so at most 2,016
+    pieces, and all of them are looked up. What is longer is one word.
     """
     total = lexicon.agg(F.sum("n")).first()[0] or 1
     labels = labels.select("label").distinct()
+    short = F.length("label") <= LABEL_LENGTH
     starts = F.sequence(F.lit(0), F.length("label") - 1)
-    spans = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(s + 1, F.least(s + WORD_LENGTH, F.length("label"))), lambda e: F.struct(s.alias("s"), e.alias("e")))))
-    cut = labels.filter("label <> ''").select("label", F.explode(spans).alias("x")).select("label", "x.s", "x.e", F.substring(F.col("label"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("word"))
+    spans = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(s + 1, F.length("label")), lambda e: F.struct(s.alias("s"), e.alias("e")))))
+    cut = labels.filter((F.col("label") != "") & short).select("label", F.explode(spans).alias("x")).select("label", "x.s", "x.e", F.substring(F.col("label"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("word"))
     known = cut.join(lexicon, "word").groupBy("label").agg(F.collect_list(F.struct("s", "e", "n")).alias("found"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,7 +99,8 @@ def segment_labels(labels: DataFrame, lexicon: DataFrame) -> DataFrame:
                 words.append(viterbi(label, log_p, total))
             yield pd.DataFrame({"label": batch["label"], "words": words})
 
-    return labels.join(known, "label", "left").mapInPandas(split, "label string, words array<string>")
+    long = labels.filter(~short).select("label", F.array("label").alias("words"))
+    return labels.filter(short).join(known, "label", "left").mapInPandas(split, "label string, words array<string>").unionByName(long)
 
 
 def _tokens(host_words: Column, path: Column) -> Column:
@@ -104,16 +109,16 @@ def _tokens(host_words: Column, path: Column) -> Column:
     return F.concat(F.transform(host_words, lambda x: F.concat(F.lit("h:"), x)), F.transform(pieces, lambda x: F.concat(F.lit("p:"), x)))
 
 
-def filter_urls(pages: DataFrame, lexicon_texts: DataFrame, rules=RULES, seeds=BLOCK_SEEDS) -> DataFrame:
+def filter_urls(pages: DataFrame, lexicon_texts: DataFrame, rules=RULES, seeds=BLOCK_SEEDS, prior: float = PRIOR) -> DataFrame:
     """(page_id, host, path, rule, verdict, block_score, words) for every row of ``pages`` (page_id, url).
 
     Where a rule fits, it decides. Elsewhere multinomial naive Bayes does: tokens of all pages give the ordinary distribution, and
     blocked pages draw a token from it with probability ORDINARY, else from the labelled names ``seeds``. block_score is the probability
-    of block at even odds; block needs more than one half. Host labels are segmented once per distinct host. ``lexicon_texts`` has
+    of block, ``prior`` before a token is seen; block needs more than one half. Host labels are segmented once per distinct host. ``lexicon_texts`` has
     the column ``text`` whose words give the unigram frequencies; the words of the seeds are added to them.
 
-    Defined cases: a null url or one without ``://`` has empty host and path and no tokens, so its score is one half and it is allowed;
-    repeated rows are judged alike; other columns are ignored.
+    Defined cases: a null url or one without ``://`` has empty host and path and no tokens, so its score is the prior; with the default it is allowed;
+    repeated rows are judged alike; urls of any length are read whole; other columns are ignored, whatever their names.
     """
     parsed = split_url(pages)
     rule, said = rule_columns(F.col("host"), F.col("path"), rules)
@@ -138,11 +143,11 @@ def filter_urls(pages: DataFrame, lexicon_texts: DataFrame, rules=RULES, seeds=B
     marked = pages.sparkSession.createDataFrame([(m + w,) for w in seed_words for m in ("h:", "p:")], "token string").select(bucket).toPandas()
     np.add.at(blocked, marked["bucket"].to_numpy(int), 1.0)
     weight = np.log(ORDINARY + (1 - ORDINARY) * (blocked / max(1, blocked.sum())) / (ordinary / ordinary.sum()))
-    model = pages.sparkSession.sparkContext.broadcast(weight)
+    model, odds = pages.sparkSession.sparkContext.broadcast(weight), math.log(prior / (1 - prior))
 
     @F.pandas_udf("double")
     def score(buckets: pd.Series) -> pd.Series:
-        z = np.array([model.value[np.asarray(b, int)].sum() for b in buckets])
+        z = np.array([model.value[np.asarray(b, int)].sum() + odds for b in buckets])
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
     buckets = F.transform("tokens", lambda token: F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int"))
