@@ -15,7 +15,7 @@ from pointmill.functions.hashing import uniform
 from pointmill.operators.points import XYZ
 
 _TYPES = {("F", 4): "<f4", ("F", 8): "<f8", **{("I", n): f"<i{n}" for n in (1, 2, 4, 8)}, **{("U", n): f"<u{n}" for n in (1, 2, 4, 8)}}
-IGNORED = (".git", "exports", "wandb", "checkpoint", "checkpoints")
+IGNORED = (".git", "__pycache__", "exports", "wandb", "checkpoint", "checkpoints")
 POINTS = "path string, pt long, x double, y double, z double, extra map<string,double>, error string"
 
 
