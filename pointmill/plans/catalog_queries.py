@@ -65,12 +65,12 @@ def _files(big, name: str) -> str:
     return folder
 
 
-@query("a1_cloud_files", "big", sql="SELECT cloud_id, count(*) AS n, 0::BIGINT AS errors, round(sum(x),4) AS sx, round(sum(y),4) AS sy, round(sum(z),4) AS sz FROM big GROUP BY 1")
+@query("a1_cloud_files", "big", sql="SELECT cloud_id, count(*) AS n, 0::BIGINT AS errors, round(sum(x)+1e-6,3) AS sx, round(sum(y)+1e-6,3) AS sy, round(sum(z)+1e-6,3) AS sz FROM big GROUP BY 1")
 def a1(big):
     """Every cloud written as a file and read back."""
     read = ingest.read_clouds(big.sparkSession, _files(big, "clouds"), glob="*.txt", kind="pcd")
     by = read.groupBy(F.regexp_extract("path", "cloud_id=([0-9]+)", 1).cast("bigint").alias("cloud_id"))
-    return by.agg(F.count("pt").alias("n"), F.count("error").alias("errors"), *(F.round(F.sum(c), 4).alias("s" + c) for c in "xyz"))
+    return by.agg(F.count("pt").alias("n"), F.count("error").alias("errors"), *(F.round(F.sum(c) + 1e-6, 3).alias("s" + c) for c in "xyz"))
 
 
 @query("a2_header_counts", "big", sql="SELECT cloud_id, count(*) AS n_points FROM big GROUP BY 1")
