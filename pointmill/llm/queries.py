@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointmill.llm import embeddings, licenses, minhash, mixing, packing, quality, secrets, toxicity, urls
+from pointmill.llm import embeddings, infill, licenses, minhash, mixing, packing, pieces, quality, secrets, toxicity, urls
 from pointmill.llm.common import read
 
 
@@ -64,12 +64,26 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.find_secrets(docs))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text of ``documents``, and the text they decode to, as digests."""
+    decoded = pieces.decode_pieces(pieces.encode_pieces(read(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` in its fill-in-middle form and restored from it, as digests."""
+    restored = infill.restore(infill.fill_in_middle(read(spark, sf_dir, "documents")))
+    digests = [F.sha2(c, 256).alias(c + "_sha256") for c in ("output", "restored")]
+    return restored.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_near_duplicates, op3_quality, op4_embedding_duplicates, op5_license_scan, op6_mixing, op7_top_k, op8_packing, op9_toxicity, op10_secrets)
+    for f in (op1_url_filter, op2_near_duplicates, op3_quality, op4_embedding_duplicates, op5_license_scan, op6_mixing, op7_top_k, op8_packing, op9_toxicity, op10_secrets, op11_sentencepiece, op12_fill_in_middle)
 }
 
-#: Exact in SQL: the search over all pairs. The other methods are tested against brute force.
+#: Exact in SQL: searches over all pairs, and the fill-in-middle forms. The other methods are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op7_top_k": """
 WITH q AS (
@@ -80,5 +94,17 @@ s AS (
   FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op12_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS k FROM d),
+c AS (
+  SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k[3] % 100 >= 90 THEN 'plain' WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
 """,
 }
