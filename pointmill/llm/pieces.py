@@ -19,7 +19,7 @@ from pointmill.llm.common import unused
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of text, or ids, that are taken together; they bound memory, not results. A longer text comes alone.
-_CHUNK = 1 << 23
+_CHUNK = 1 << 21
 #: Rounds after which the words that still have pairs, long ones without a sure cut, go to a queue; either way gives the same symbols.
 ROUNDS = 64
 _NONE = np.iinfo(np.int32).max
