@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointmill.functions.ranking import quantiles, range_ranked
+from pointmill.functions.ranking import fits, quantiles, range_ranked
 from pointmill.operators.points import XYZ, bounds
 
 # The audited fields, in the order of their reasons.
@@ -27,7 +27,8 @@ def shape_stats(points: DataFrame) -> DataFrame:
 
 
 def hard_checks(manifest: DataFrame, stats: DataFrame) -> DataFrame:
-    """Adds ``hard_score`` and ``hard_reasons``: unreadable +100 (and nothing else), missing +100, some points non-finite +20, no finite point +100."""
+    """Adds ``hard_score`` and ``hard_reasons``: unreadable +100 (and nothing else), missing +100, some points non-finite +20, no finite point +100.
+    A column error_type of the manifest is named in the reason, pcd_read_error:<type>."""
     df = manifest.join(stats, "cloud_id", "left")
     unread = F.coalesce(F.col("read_error"), F.lit(False))
     rules = [
@@ -36,9 +37,11 @@ def hard_checks(manifest: DataFrame, stats: DataFrame) -> DataFrame:
         ("non_finite_xyz", ~unread & (F.col("n_finite") != F.col("n_points")), 20),
         ("empty_or_invalid_xyz", ~unread & (F.col("n_finite") == 0), 100),
     ]
-    hit = [(name, F.coalesce(c, F.lit(False)), s) for name, c, s in rules]
+    hit = [(F.lit(name), F.coalesce(c, F.lit(False)), s) for name, c, s in rules]
+    if "error_type" in manifest.columns:
+        hit[0] = (F.concat_ws(":", hit[0][0], "error_type"), *hit[0][1:])
     score = sum((F.when(c, s).otherwise(0) for _, c, s in hit[1:]), F.when(hit[0][1], hit[0][2]).otherwise(0))
-    return df.withColumns({"hard_score": score.cast("double"), "hard_reasons": F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c, _ in hit)))})
+    return df.withColumns({"hard_score": score.cast("double"), "hard_reasons": F.array_compact(F.array(*(F.when(c, n) for n, c, _ in hit)))})
 
 
 def label_checks(df: DataFrame, least_conf: float, least_points: int) -> DataFrame:
@@ -59,9 +62,10 @@ def robust_z(df: DataFrame, key: str, by: str, fields: tuple[str, ...], limit: f
     z >= limit adds min(40, 4z) and ``<field>_outlier_z<z>``."""
     long = df.select(key, by, *(F.log1p(F.greatest(F.col(f).cast("double"), F.lit(0.0))).alias(f) for f in fields)).unpivot([key, by], list(fields), "field", "v").filter("v IS NOT NULL")
     k = long.groupBy(by, "field").agg(F.count("*").alias("k"))
-    middle = quantiles(long, "v", [0.5], [by, "field"]).select(by, "field", F.get("q", F.lit(0)).alias("m")).join(k, [by, "field"])
+    bounded = fits(df, [by])
+    middle = quantiles(long, "v", [0.5], [by, "field"], bounded).select(by, "field", F.get("q", F.lit(0)).alias("m")).join(k, [by, "field"])
     dev = long.join(middle, [by, "field"]).withColumn("d", F.abs(F.col("v") - F.col("m")))
-    mad = quantiles(dev, "d", [0.5], [by, "field"]).select(by, "field", F.greatest(F.get("q", F.lit(0)) * 1.4826, F.lit(1e-9)).alias("s"))
+    mad = quantiles(dev, "d", [0.5], [by, "field"], bounded).select(by, "field", F.greatest(F.get("q", F.lit(0)) * 1.4826, F.lit(1e-9)).alias("s"))
     z = dev.join(mad, [by, "field"]).withColumn("z", F.round(F.col("d") / F.col("s"), 6)).filter((F.col("k") >= least) & (F.col("z") >= limit))
     place = F.coalesce(*(F.when(F.col("field") == f, i) for i, f in enumerate(fields)))
     reason = F.format_string("%s_outlier_z%.1f", F.col("field"), F.col("z"))

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointmill.functions.ranking import join_same
+from pointmill.functions.ranking import fits, join_same, quantiles_of
 from pointmill.functions.ranking import quantiles as exact_quantiles
 from pointmill.functions.scratch import materialize
-from pointmill.operators.points import XYZ, bounds
+from pointmill.operators.points import XYZ, bounds, jitter
+from pointmill.operators.tree import Tree
 
 VOXEL = ("vx", "vy", "vz")
 
@@ -67,7 +68,6 @@ def visible(df: DataFrame, origin: tuple[float, float, float], cell: float, mode
 WHOLE_UP_TO = 4096
 #: Clouds of up to so many points meet in a join, which is cheaper for many tiny clouds than a group each.
 FEW = 64
-_STEPS = (-1, 0, 1)
 
 
 def nearest(points: DataFrame, others: DataFrame, keys: list[str], ids: list[str], k: int, whole_up_to: int = WHOLE_UP_TO, distance_only: bool = False) -> DataFrame:
@@ -75,52 +75,28 @@ def nearest(points: DataFrame, others: DataFrame, keys: list[str], ids: list[str
     smaller n_pt. Rows of others that carry the own id as n_pt are left out where ``ids`` is ["pt"]. ``distance_only``, for k = 1: no more than (keys, ids, x, y, z, d2),
     by a hash aggregate.
 
-    Clouds of others of up to ``whole_up_to`` points are met whole, in an equi join. For larger ones a grid of about 2k points per cell makes the candidates: a point
-    meets its cell and the 26 around it. It is settled if its k-th distance is below the cell size, or if those cells hold the whole cloud. The others try
-    again with cells of twice the size, each time fewer, so the answer is exact and only points far from all others ever meet a whole cloud.
+    Clouds of others of up to ``whole_up_to`` points are met whole, in an equi join; larger ones through a k-d tree with leaves of a bounded number of points, see
+    :class:`pointmill.operators.tree.Tree`.
     """
     own = keys + ids
     n_cols = ["n_pt", "n_x", "n_y", "n_z"]
-    lo, hi = ([f(f"n_{c}").alias(f"__{n}{c}") for c in XYZ] for n, f in (("l", F.min), ("h", F.max)))
-    size = F.greatest(*(F.col(f"__h{c}") - F.col(f"__l{c}") for c in XYZ)) / F.greatest(F.lit(1.0), F.floor(F.cbrt(F.col("__n") / F.lit(2.0 * k))))
-    about = others.groupBy(*keys).agg(F.count("*").alias("__n"), *lo, *hi).withColumn("__s", F.greatest(size, F.lit(1e-9)))
+    about = others.groupBy(*keys).agg(F.count("*").alias("__n"))
 
     def ranked(met: DataFrame) -> DataFrame:
         met = met.filter("pt <> n_pt") if ids == ["pt"] else met
         if distance_only:
-            extra = [c for c in ("__w", "__side") if c in met.columns]
-            return met.groupBy(*own, *XYZ, *extra).agg(F.min(_d2()).alias("d2"))
-        return met.withColumn("d2", _d2()).withColumn("rank", F.row_number().over(W.partitionBy(*own).orderBy(F.round("d2", 9), "n_pt"))).filter(F.col("rank") <= k)
+            return met.groupBy(*own, *XYZ).agg(F.min("d2").alias("d2"))
+        return met.withColumn("rank", F.row_number().over(W.partitionBy(*own).orderBy(F.round("d2", 9), "n_pt"))).filter(F.col("rank") <= k)
 
     out_cols = [*own, *XYZ, *([] if distance_only else n_cols), "d2", *([] if distance_only else ["rank"])]
     points, others = points.select(*own, *XYZ), others.select(*keys, *n_cols)
-    small, large = about.filter(F.col("__n") <= whole_up_to).select(*keys), about.filter(F.col("__n") > whole_up_to)
-    found = ranked(points.join(small, keys).join(others, keys)).select(*out_cols)
+    small, large = about.filter(F.col("__n") <= whole_up_to).select(*keys), about.filter(F.col("__n") > whole_up_to).select(*keys)
+    found = ranked(points.join(small, keys).join(others, keys).withColumn("d2", _d2())).select(*out_cols)
     if large.isEmpty():
         return found
-    left, grid = materialize(points.join(large, keys), "unsettled"), materialize(others.join(large.select(*keys, *(f"__l{c}" for c in XYZ), "__s"), keys), "grid")
-    scale = 1.0
-    while True:
-        side = F.col("__s") * F.lit(scale)
-        cell = lambda c, side=side: F.floor((F.col(c) - F.col("__l" + c[-1])) / side).cast("bigint")
-        cells = grid.select(*keys, *n_cols, *(cell("n_" + c).alias(v) for c, v in zip(XYZ, VOXEL)))
-        top = {c: F.floor((F.col("__h" + c) - F.col("__l" + c)) / side) for c in XYZ}
-        whole = F.lit(True)
-        for c in XYZ:
-            whole = whole & (cell(c) <= 1) & (cell(c) >= top[c] - 1)
-        near = left.withColumns({"__w": whole, "__side": side} | {v: cell(c) for c, v in zip(XYZ, VOXEL)})
-        for i, v in enumerate(VOXEL):
-            near = near.withColumn(f"__i{i}", F.explode(F.array(*map(F.lit, _STEPS)))).withColumn(v, F.col(v) + F.col(f"__i{i}")).drop(f"__i{i}")
-        met = ranked(near.join(cells, [*keys, *VOXEL]))
-        w = W.partitionBy(*own)
-        sure = F.col("__w") | ((F.count("*").over(w) == k) & (F.max("d2").over(w) < F.col("__side") * F.col("__side")))
-        met = materialize(met.withColumn("__sure", sure).filter("__sure").select(*out_cols), "settled")
-        found = found.unionByName(met)
-        far = left.withColumn("__w", whole).filter("NOT __w").drop("__w")
-        left = materialize(far.join(met.select(*own).distinct(), own, "left_anti"), "unsettled")
-        if left.isEmpty():
-            return found
-        scale *= 2
+    tree = Tree(others.join(large, keys), keys, k)
+    asked = materialize(points.join(large, keys), "asked")
+    return found.unionByName(ranked(tree.nearest(asked, ids)).select(*out_cols))
 
 
 def neighbours(df: DataFrame, k: int, whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
@@ -230,6 +206,67 @@ def jaccard(df: DataFrame, a: Column, b: Column, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.when(either == 0, 1.0).otherwise(both / either).alias("jaccard"))
 
 
+#: The scores of a point that labels are made of.
+SCORES = ("curvature", "cv", "angle")
+
+
+def shape_scores(nb: DataFrame) -> DataFrame:
+    """(cloud_id, pt, curvature, cv, angle) of every point with neighbours."""
+    s = shape(nb)
+    keys = ["cloud_id", "pt"]
+    return s.select(*keys, "curvature").join(distance_cv(nb), keys).join(normal_difference(nb, s), keys)
+
+
+def _flags(scores: DataFrame, thresholds: dict[str, float], keys: list[str]) -> DataFrame:
+    """(keys, label, flag): whether each score, to nine places, is at its threshold or above."""
+    made = [F.struct(F.lit(n).alias("label"), F.coalesce(F.round(n, 9) >= t, F.lit(False)).alias("flag")) for n, t in thresholds.items()]
+    return scores.select(*keys, F.explode(F.array(*made)).alias("x")).select(*keys, "x.label", "x.flag")
+
+
+def method_agreement(nb: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """(cloud_id, a, b, jaccard): how far the labels of every two scores agree in each cloud."""
+    flags = shape_scores(nb).select("cloud_id", *((F.coalesce(F.round(n, 9) >= t, F.lit(False))).alias(n) for n, t in thresholds.items()))
+    pairs = [(a, b) for i, a in enumerate(thresholds) for b in list(thresholds)[i + 1 :]]
+    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("fa"), F.col(b).alias("fb")) for a, b in pairs]
+    return jaccard(flags.select("cloud_id", F.explode(F.array(*each)).alias("x")).select("cloud_id", "x.*"), F.col("fa"), F.col("fb"), ["cloud_id", "a", "b"])
+
+
+def jitter_stability(points: DataFrame, k: int, thresholds: dict[str, float], repeats: int, sigma: float, clip: float, whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
+    """(cloud_id, view_id, label, jaccard): the mean, over ``repeats`` of clipped noise, of the Jaccard index of each label of a view before and after.
+
+    Labels are scores of the k nearest of the same view, see :func:`shape_scores`, at ``thresholds`` or above. Neighbours are searched once: noise moves a point by at most
+    clip * sqrt(3), so the k nearest of every repeat lie within the k-th distance and four times that of each point; only these meet in the repeats.
+    """
+    keys = ["cloud_id", "pt"]
+    whole = points.select(F.concat_ws("/", "cloud_id", "view_id").alias("__view"), "cloud_id", "view_id", "pt", *(F.col(c).cast("double").alias(c) for c in XYZ))
+    whole = materialize(whole, "views")
+    base = whole.select(F.col("__view").alias("cloud_id"), "pt", *XYZ)
+    nb = materialize(neighbours(base, k, whole_up_to), "neighbours")
+    wanted = SCORES if set(thresholds) - {"cv"} else ("cv",)
+    scores = shape_scores if len(wanted) > 1 else distance_cv
+    before = _flags(scores(nb), thresholds, keys)
+    slack = 4 * 3**0.5 * clip
+    around = nb.groupBy(*keys).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.first("z").alias("z"), F.pow(F.sqrt(F.max("d2")) + slack, 2).alias("square"))
+    others = base.select("cloud_id", F.col("pt").alias("n_pt"), *(F.col(c).alias("n_" + c) for c in XYZ))
+    sizes = base.groupBy("cloud_id").agg(F.count("*").alias("__n"))
+    small, large = sizes.filter(F.col("__n") <= whole_up_to).select("cloud_id"), sizes.filter(F.col("__n") > whole_up_to).select("cloud_id")
+    near = around.join(small, "cloud_id").join(others, "cloud_id").filter((F.col("pt") != F.col("n_pt")) & (_d2() <= F.col("square") * (1 + 1e-12) + 1e-12)).select(*keys, "n_pt")
+    if not large.isEmpty():
+        tree = Tree(others.join(large, "cloud_id"), ["cloud_id"], k, all_copies=True)
+        near = near.unionByName(tree.within(materialize(around.join(large, "cloud_id"), "around"), ["pt"], "square").select(*keys, "n_pt"))
+    near = materialize(near, "candidates")
+    moved = jitter(whole.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))), sigma, clip, F.col("rep"))
+    moved = materialize(moved.select(F.col("__view").alias("cloud_id"), "rep", "pt", *XYZ), "moved")
+    met = near.join(moved, keys).join(moved.select("cloud_id", "rep", F.col("pt").alias("n_pt"), *(F.col(c).alias("n_" + c) for c in XYZ)), ["cloud_id", "rep", "n_pt"])
+    rank = F.row_number().over(W.partitionBy("cloud_id", "rep", "pt").orderBy(F.round("d2", 9), "n_pt"))
+    again = met.withColumn("d2", _d2()).withColumn("rank", rank).filter(F.col("rank") <= k)
+    again = again.withColumn("cloud_id", F.struct("cloud_id", "rep"))
+    after = _flags(scores(materialize(again, "again") if len(wanted) > 1 else again), thresholds, keys).select(F.col("cloud_id.cloud_id").alias("cloud_id"), F.col("cloud_id.rep").alias("rep"), "pt", "label", F.col("flag").alias("after"))
+    per = jaccard(after.join(before, [*keys, "label"]), F.col("flag"), F.col("after"), ["cloud_id", "rep", "label"])
+    mean = per.groupBy(F.col("cloud_id").alias("__view"), "label").agg(F.avg("jaccard").alias("jaccard"))
+    return whole.select("__view", "cloud_id", "view_id").distinct().join(mean, "__view").drop("__view")
+
+
 def score_summary(df: DataFrame, metrics: list[str], by: str = "class_name") -> DataFrame:
     """mean, median, p10, p90 of every metric per class and over all."""
     long = df.unpivot([by], metrics, "metric", "value")
@@ -283,43 +320,50 @@ def principal_axis(df: DataFrame) -> DataFrame:
     return c.select("cloud_id", F.when(few, 1.0).otherwise(F.cos(t) * sign).alias("ax"), F.when(few, 0.0).otherwise(F.sin(t) * sign).alias("ay"))
 
 
-def centreline(df: DataFrame, axis: DataFrame | None = None) -> DataFrame:
-    """1st/99th percentiles along and across the axis: ends, centre across, length and width."""
+def _projected(df: DataFrame, axis: DataFrame) -> DataFrame:
+    return df.join(axis, "cloud_id").select("cloud_id", "ax", "ay", "z", (F.col("x") * F.col("ax") + F.col("y") * F.col("ay")).alias("u"), (F.col("y") * F.col("ax") - F.col("x") * F.col("ay")).alias("v"))
+
+
+def centreline(df: DataFrame, axis: DataFrame | None = None, bounded: bool | None = None) -> DataFrame:
+    """1st/99th percentiles along and across the axis: ends, centre across, length and width. ``bounded``: see :func:`quantiles_of`."""
+    bounded = fits(df, ["cloud_id"]) if bounded is None else bounded
     axis = principal_axis(df) if axis is None else axis
-    p = df.join(axis, "cloud_id").select("cloud_id", "ax", "ay", "z", (F.col("x") * F.col("ax") + F.col("y") * F.col("ay")).alias("u"), (F.col("y") * F.col("ax") - F.col("x") * F.col("ay")).alias("v"))
-    ends = F.array(F.lit(0.01), F.lit(0.99))
-    g = p.groupBy("cloud_id", "ax", "ay").agg(F.percentile("u", ends).alias("u"), F.percentile("v", ends).alias("v"), F.min("z").alias("ground"))
+    ends = [0.01, 0.99]
+    g = quantiles_of(_projected(df, axis), {"u": ends, "v": ends}, ["cloud_id", "ax", "ay"], [F.min("z").alias("ground")], bounded)
     lo, hi = (lambda c: F.get(c, F.lit(0))), (lambda c: F.get(c, F.lit(1)))
     return g.select("cloud_id", "ax", "ay", lo("u").alias("u_min"), hi("u").alias("u_max"), ((lo("v") + hi("v")) / 2).alias("v_mid"), (hi("u") - lo("u")).alias("length"), (hi("v") - lo("v")).alias("width"), "ground")
 
 
-def centreline_slope(df: DataFrame, least: int = 20) -> DataFrame:
+def centreline_slope(df: DataFrame, least: int = 20, bounded: bool | None = None) -> DataFrame:
     """Least squares through 0 of median-centred v on u between p5 and p95 of u; null under ``least`` points."""
-    p = df.join(principal_axis(df), "cloud_id").select("cloud_id", (F.col("x") * F.col("ax") + F.col("y") * F.col("ay")).alias("u"), (F.col("y") * F.col("ax") - F.col("x") * F.col("ay")).alias("v"))
-    q = p.groupBy("cloud_id").agg(F.percentile("u", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    p = p.join(q, "cloud_id").filter((F.col("u") >= F.get("q", F.lit(0))) & (F.col("u") <= F.get("q", F.lit(1))))
-    m = p.groupBy("cloud_id").agg(F.median("u").alias("mu"), F.median("v").alias("mv"))
-    p = p.join(m, "cloud_id").select("cloud_id", (F.col("u") - F.col("mu")).alias("u"), (F.col("v") - F.col("mv")).alias("v"))
-    s = p.groupBy("cloud_id").agg(F.count("*").alias("n"), (F.sum(F.col("u") * F.col("v")) / F.sum(F.col("u") * F.col("u"))).alias("slope"))
+    bounded = fits(df, ["cloud_id"]) if bounded is None else bounded
+    p = _projected(df, principal_axis(df)).select("cloud_id", "u", "v")
+    p = p.join(quantiles_of(p.select("cloud_id", F.col("u").alias("q")), {"q": [0.05, 0.95]}, ["cloud_id"], (), bounded), "cloud_id")
+    p = p.filter((F.col("u") >= F.get("q", F.lit(0))) & (F.col("u") <= F.get("q", F.lit(1)))).drop("q")
+    m = quantiles_of(p.select("cloud_id", F.col("u").alias("mu"), F.col("v").alias("mv")), {"mu": [0.5], "mv": [0.5]}, ["cloud_id"], (), bounded)
+    centred = [(F.col(c) - F.get("m" + c, F.lit(0))).alias(c) for c in "uv"]
+    s = p.join(m, "cloud_id").select("cloud_id", *centred).groupBy("cloud_id").agg(F.count("*").alias("n"), (F.sum(F.col("u") * F.col("v")) / F.sum(F.col("u") * F.col("u"))).alias("slope"))
     return s.select("cloud_id", F.when(F.col("n") >= least, F.col("slope")).alias("slope"))
 
 
 def straighten(df: DataFrame) -> DataFrame:
     """The centreline model after turning the axis by the slope's angle."""
-    axis = principal_axis(df).join(centreline_slope(df), "cloud_id")
+    bounded = fits(df, ["cloud_id"])
+    axis = principal_axis(df).join(centreline_slope(df, bounded=bounded), "cloud_id")
     t = F.atan(F.coalesce("slope", F.lit(0.0)))
     turned = axis.select("cloud_id", (F.col("ax") * F.cos(t) - F.col("ay") * F.sin(t)).alias("ax"), (F.col("ay") * F.cos(t) + F.col("ax") * F.sin(t)).alias("ay"))
-    return centreline(df, turned)
+    return centreline(df, turned, bounded)
 
 
-def best_yaw(df: DataFrame, degrees: list[float]) -> DataFrame:
+def best_yaw(df: DataFrame, degrees: list[float], bounded: bool | None = None) -> DataFrame:
     """The first offset of the principal axis with the least robust width."""
+    bounded = fits(df, ["cloud_id"]) if bounded is None else bounded
     grid = df.sparkSession.createDataFrame([(d,) for d in degrees], "yaw double")
     p = df.join(principal_axis(df), "cloud_id").crossJoin(F.broadcast(grid))
     t = F.atan2("ay", "ax") + F.radians("yaw")
     p = p.select("cloud_id", "yaw", (F.col("y") * F.cos(t) - F.col("x") * F.sin(t)).alias("v"))
-    w = p.groupBy("cloud_id", "yaw").agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    w = w.withColumn("width", F.round(F.get("q", F.lit(1)) - F.get("q", F.lit(0)), 6))
+    w = quantiles_of(p, {"v": [0.01, 0.99]}, ["cloud_id", "yaw"], (), bounded)
+    w = w.withColumn("width", F.round(F.get("v", F.lit(1)) - F.get("v", F.lit(0)), 6))
     return w.groupBy("cloud_id").agg(F.min_by("yaw", F.struct("width", "yaw")).alias("yaw"), F.min("width").alias("width"))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointmill.functions.hashing import hash_key
-from pointmill.functions.ranking import hash_ranked
+from pointmill.functions.ranking import fits, hash_ranked, quantiles_of
+from pointmill.functions.scratch import materialize
 from pointmill.operators.geom import centreline, principal_axis
 from pointmill.operators.points import XYZ, bounds
 
@@ -25,16 +26,64 @@ def seconds_between(a_ns: Column, b_ns: Column) -> Column:
     return F.abs(a_ns - b_ns) / F.lit(1e9)
 
 
-def box_gap_score(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """gap_xy + 0.15 * centre + 0.5 * gap_z of the bounding boxes of a_id and b_id; centre is the distance of their means in the plane."""
+def boxes(points: DataFrame) -> DataFrame:
+    """(cloud_id, box): the bounds and means of every cloud's finite points."""
     b = bounds(points)
-    a = b.select(F.col("cloud_id").alias("a_id"), *(F.col(f"{s}_{c}").alias(f"a_{s}_{c}") for s in ("min", "max", "mean") for c in XYZ))
-    o = b.select(F.col("cloud_id").alias("b_id"), *(F.col(f"{s}_{c}").alias(f"b_{s}_{c}") for s in ("min", "max", "mean") for c in XYZ))
-    df = pairs.join(a, "a_id").join(o, "b_id")
-    gap = {c: F.greatest(F.lit(0.0), F.col(f"b_min_{c}") - F.col(f"a_max_{c}"), F.col(f"a_min_{c}") - F.col(f"b_max_{c}")) for c in XYZ}
-    mid = {c: F.col(f"a_mean_{c}") - F.col(f"b_mean_{c}") for c in "xy"}
+    return b.select("cloud_id", F.struct(*(F.col(f"{s}_{c}").alias(f"{s}_{c}") for s in ("min", "max", "mean") for c in XYZ)).alias("box"))
+
+
+def _gaps(a: Column, b: Column) -> dict[str, Column]:
+    """gap_xy, gap_z, centre and score of two boxes."""
+    gap = {c: F.greatest(F.lit(0.0), b["min_" + c] - a["max_" + c], a["min_" + c] - b["max_" + c]) for c in XYZ}
+    mid = {c: a["mean_" + c] - b["mean_" + c] for c in "xy"}
     gap_xy, centre = F.sqrt(gap["x"] ** 2 + gap["y"] ** 2), F.sqrt(mid["x"] ** 2 + mid["y"] ** 2)
-    return df.select(*pairs.columns, gap_xy.alias("gap_xy"), gap["z"].alias("gap_z"), centre.alias("centre"), (gap_xy + 0.15 * centre + 0.5 * gap["z"]).alias("score"))
+    return {"gap_xy": gap_xy, "gap_z": gap["z"], "centre": centre, "score": gap_xy + 0.15 * centre + 0.5 * gap["z"]}
+
+
+def box_gap_score(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """gap_xy + 0.15 * centre + 0.5 * gap_z of the bounding boxes of a_id and b_id; centre is the distance of their means in the plane."""
+    b = boxes(points)
+    df = pairs.join(b.select(F.col("cloud_id").alias("a_id"), F.col("box").alias("__a")), "a_id").join(b.select(F.col("cloud_id").alias("b_id"), F.col("box").alias("__b")), "b_id")
+    return df.select(*pairs.columns, *(c.alias(n) for n, c in _gaps(F.col("__a"), F.col("__b")).items()))
+
+
+def _in_cells(df: DataFrame, grow: float, level: Column) -> DataFrame:
+    """A row for each cell of the plane's grid of side 2 ** ``level`` that the box, grown by ``grow`` and the rounding of its numbers, meets: __l, __cx, __cy, and the first cell __fx, __fy."""
+    df = df.withColumn("__l", level)
+    side = F.pow(F.lit(2.0), F.col("__l"))
+    for c in "xy":
+        lo, hi = F.col(f"box.min_{c}"), F.col(f"box.max_{c}")
+        more = grow + (F.abs(lo) + F.abs(hi) + grow) * 1e-9
+        cell = lambda v: F.floor(v / side).cast("long")
+        df = df.withColumn("__f" + c, cell(lo - more)).withColumn("__c" + c, F.explode(F.sequence(F.col("__f" + c), cell(hi + more))))
+    return df
+
+
+def near_in_time(a: DataFrame, b: DataFrame, keys: list[str], limit: int, gap: float, time: str = "us", salt: int = 16) -> DataFrame:
+    """The pairs of :func:`candidates_in_time` whose boxes, in the column ``box`` of both sides, may be within ``gap`` in the plane.
+
+    The boxes of a are grown by the gap. Every box has a level, the power of two that its longer side fits, and meets four cells or so of that side. Two boxes meet in
+    the cells of the larger one's level, a pair in its first common cell, so candidates are in proportion to near pairs whatever the sizes of the boxes are.
+    """
+    long = lambda more: F.greatest(*(F.col(f"box.max_{c}") - F.col(f"box.min_{c}") for c in "xy"), F.lit(1e-9)) + more
+    own = F.col("__own")
+    a, b = (df.filter("box IS NOT NULL").withColumn("__own", F.ceil(F.log2(long(2 * gap if grown else 0.0))).cast("int")) for df, grown in ((a, True), (b, False)))
+    least = math.floor(math.log2(gap)) if gap > 0 else -30
+    a, b = (df.withColumn("__own", F.greatest(own, F.lit(least))) for df in (a, b))
+    levels = sorted(r[0] for r in a.select("__own").union(b.select("__own")).distinct().collect())  # powers of two: a few dozen numbers
+    if not levels:
+        return candidates_in_time(a.drop("__own"), b.drop("__own"), keys, limit, time, salt)
+    coarser = F.array(*map(F.lit, levels))
+    sides = []
+    for df, grow, ranks in ((a, gap, ("own", "above")), (b, 0.0, ("own and above", "own"))):
+        parts = []
+        for way, rank in enumerate(ranks):  # way 0: a is not the smaller one; way 1: b is the larger one
+            level = {"own": F.array(own), "above": F.filter(coarser, lambda x: x > own), "own and above": F.filter(coarser, lambda x: x >= own)}[rank]
+            parts.append(_in_cells(df.withColumn("__x", F.explode(level)), grow, F.col("__x")).withColumn("__way", F.lit(way)).drop("__x"))
+        sides.append(parts[0].unionByName(parts[1]).drop("__own"))
+    met = candidates_in_time(*sides, [*keys, "__way", "__l", "__cx", "__cy"], limit, time, salt)
+    first = (F.col("a___cx") == F.greatest("a___fx", "b___fx")) & (F.col("a___cy") == F.greatest("a___fy", "b___fy"))
+    return met.filter(first).drop(*(f"{p}___{c}" for p in "ab" for c in ("way", "l", "cx", "cy", "fx", "fy")))
 
 
 def candidates_in_time(a: DataFrame, b: DataFrame, keys: list[str], limit: int, time: str = "us", salt: int = 16) -> DataFrame:
@@ -69,21 +118,25 @@ def match_boxes(a: DataFrame, b: DataFrame, points: DataFrame, keys: list[str],
     the smaller b_cloud_id. a and b have cloud_id, object_id and the keys; a_ and b_ mark their columns. Unknown times, objects, frames and
     confidences pass; a cloud without points has no partner.
 
-    ``limits`` on a_confidence and b_confidence (at least), frames, gap_xy, gap_z and centre (at most); catalogue columns are judged before points are met.
+    ``limits`` on a_confidence and b_confidence (at least), frames, gap_xy, gap_z and centre (at most); confidences are judged before points are met, and a limit on gap_xy
+    makes the candidates by :func:`near_in_time`.
     """
     least = {p: limits.get(p + "_confidence") for p in "ab"}
     a, b = (df if least[p] is None else df.filter(F.coalesce(F.col("confidence") >= least[p], F.lit(True))) for p, df in (("a", a), ("b", b)))
-    pairs = candidates_in_time(a, b, keys, limit, time, salt).filter("coalesce(a_object_id <> b_object_id, true)")
-    pairs = pairs.withColumn("frames", frames if frames is not None else F.lit(None).cast("double"))
-    pairs = within_limits(pairs, {k: v for k, v in limits.items() if k == "frames"}).withColumns({"a_id": F.col("a_cloud_id"), "b_id": F.col("b_cloud_id")})
-    scored = within_limits(box_gap_score(pairs, points), {k: v for k, v in limits.items() if k in ("gap_xy", "gap_z", "centre")})
-    return best_match(scored.drop("a_id", "b_id"), "a_cloud_id", "score", "b_cloud_id")
+    ids = a.select("cloud_id").unionByName(b.select("cloud_id")).distinct()
+    box = boxes(points.join(ids, "cloud_id", "left_semi"))
+    a, b = a.join(box, "cloud_id"), b.join(box, "cloud_id")
+    gap = limits.get("gap_xy")
+    pairs = candidates_in_time(a, b, keys, limit, time, salt) if gap is None or math.isinf(gap) else near_in_time(a, b, keys, limit, float(gap), time, salt)
+    pairs = pairs.filter("coalesce(a_object_id <> b_object_id, true)").withColumn("frames", frames if frames is not None else F.lit(None).cast("double"))
+    pairs = pairs.withColumns(_gaps(F.col("a_box"), F.col("b_box"))).drop("a_box", "b_box")
+    return best_match(within_limits(pairs, {k: v for k, v in limits.items() if k in ("frames", "gap_xy", "gap_z", "centre")}), "a_cloud_id", "score", "b_cloud_id")
 
 
 def best_match(pairs: DataFrame, key: str, score: str, tie: str) -> DataFrame:
-    """Lowest score per key, first on ties."""
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.col(score).asc_nulls_last(), tie))
-    return pairs.withColumn("__r", rank).filter("__r = 1").drop("__r")
+    """Lowest score per key, first on ties, by a map-side minimum."""
+    least = F.min(F.struct(F.col(score).isNull().alias("u"), F.col(score).alias("s"), F.col(tie).alias("t"), F.struct(*pairs.columns).alias("row"))).alias("b")
+    return pairs.groupBy(key).agg(least).select("b.row.*")
 
 
 def hash_match(a: DataFrame, b: DataFrame, keys: list[str], a_key: str, b_key: str, seed: int, draw: str | None = None) -> DataFrame:
@@ -118,10 +171,11 @@ def _alignment(pairs: DataFrame, points: DataFrame, gap: float, flipped: bool) -
     turn = pairs.join(v, "b_id").join(t, "a_id").withColumn("d", F.col("vt") - F.col("tt") + F.lit(math.pi if flipped else 0.0))
     own = turn.join(points.select(F.col("cloud_id").alias("a_id"), "pt", *XYZ), "a_id")
     own = own.withColumns({"x": F.col("x") * F.cos("d") - F.col("y") * F.sin("d"), "y": F.col("x") * F.sin("d") + F.col("y") * F.cos("d")})
+    bounded = fits(points, ["cloud_id"])
     u, w = F.col("x") * F.col("vax") + F.col("y") * F.col("vay"), F.col("y") * F.col("vax") - F.col("x") * F.col("vay")
-    ends = F.array(F.lit(0.01), F.lit(0.99))
-    kept = ("a_id", "b_id", "d", "rear", "mid", "vg", "vax", "vay")
-    fit = own.groupBy("pair_id").agg(F.percentile(u, ends).alias("u"), F.percentile(w, ends).alias("w"), F.min("z").alias("g"), *(F.first(c).alias(c) for c in kept))
+    kept, ends = ("a_id", "b_id", "d", "rear", "mid", "vg", "vax", "vay"), [0.01, 0.99]
+    wide = own.select("pair_id", *kept, "z", u.alias("u"), w.alias("w"))
+    fit = quantiles_of(wide, {"u": ends, "w": ends}, ["pair_id"], [F.min("z").alias("g"), *(F.first(c).alias(c) for c in kept)], bounded)
     du = F.col("rear") - F.lit(gap) - F.get("u", F.lit(1))
     dv = F.col("mid") - (F.get("w", F.lit(0)) + F.get("w", F.lit(1))) / 2
     fit = fit.select("pair_id", *kept, du.alias("du"), dv.alias("dv"), (du * F.col("vax") - dv * F.col("vay")).alias("dx"), (du * F.col("vay") + dv * F.col("vax")).alias("dy"), (F.col("vg") - F.col("g")).alias("dz"))
@@ -165,25 +219,31 @@ def resolve_ground_truth(samples: DataFrame, truth: DataFrame) -> DataFrame:
     the object. Of the candidates, those of the sample's class if there are any; of these the best score, then the greatest path; ambiguous if
     that score is shared. A candidate is known by its stem and by its sample_id, where there is one. Samples without a candidate keep nulls.
     """
-    s = samples.select(F.col("stem").alias("s_stem"), F.col("run_id").alias("s_run"), F.col("object_id").alias("s_object"), F.col("class_name").alias("s_class"))
     t = truth.select("stem", "run_id", "object_id", "class_name", "path", "score")
     named = t if "sample_id" not in truth.columns else t.unionByName(truth.withColumn("stem", F.col("sample_id")).select(*t.columns)).distinct()
-    only = t.groupBy("object_id", "class_name").agg(F.count("*").alias("__n"), F.first(F.struct(*t.columns)).alias("__t")).filter("__n = 1").select("__t.*")
-    tiers = [
-        (named, F.col("s_stem") == F.col("stem")),
-        (t, (F.col("s_run") == F.col("run_id")) & (F.col("s_object") == F.col("object_id"))),
-        (only, (F.col("s_object") == F.col("object_id")) & (F.col("s_class") == F.col("class_name"))),
-    ]
-    met = None
-    for k, (candidates, on) in enumerate(tiers, 1):
-        part = s.join(candidates, on).select("s_stem", "path", "score", F.lit(k).alias("tier"), F.coalesce(F.col("class_name") == F.col("s_class"), F.lit(False)).alias("same"))
-        met = part if met is None else met.unionByName(part)
-    # The lowest tier, then the sample's class, then score and path: the greatest struct; how many share all but the path comes with it.
-    rank = F.struct((-F.col("tier")).alias("t"), "same", "score")
-    ties = met.groupBy("s_stem", rank.alias("k")).agg(F.count("*").alias("n"), F.max("path").alias("path"))
-    best = ties.groupBy("s_stem").agg(F.max(F.struct("k", "path", "n")).alias("b"))
-    best = best.select(F.col("s_stem").alias("stem"), "b.path", (-F.col("b.k.t")).cast("bigint").alias("tier"), (F.col("b.n") > 1).alias("ambiguous"))
-    return samples.select("stem", "class_name").join(best, "stem", "left")
+
+    def summaries(df: DataFrame, keys: list[str]) -> DataFrame:
+        """(keys, best): the best score of the candidates of a key, the greatest path that has it, and how many do. Partial ones add up map-side."""
+        ties = df.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.max("path").alias("path"))
+        return ties.groupBy(*keys).agg(F.max(F.struct(F.col("score").isNotNull().alias("known"), "score", "path", "n")).alias("best"))
+
+    def met(left: DataFrame, df: DataFrame, keys: list[str], tier: int) -> DataFrame:
+        """The samples with the summary of their key and class, else of their key."""
+        of_class = summaries(df, [*keys, "class_name"]).withColumnRenamed("best", "own")
+        found = left.join(of_class, [*keys, "class_name"], "left").join(summaries(df, keys), keys, "left")
+        return found.withColumn("b", F.coalesce("own", "best")).drop("own", "best").withColumn("tier", F.when(F.col("b").isNotNull(), F.lit(tier)).cast("bigint"))
+
+    left = samples.select("stem", "run_id", "object_id", "class_name")
+    settled = None
+    for tier, (df, keys) in enumerate(((named, ["stem"]), (t, ["run_id", "object_id"])), 1):
+        found = materialize(met(left, df, keys, tier), "tier")
+        done = found.filter("b IS NOT NULL")
+        settled = done if settled is None else settled.unionByName(done)
+        left = found.filter("b IS NULL").drop("b", "tier")
+    only = summaries(t, ["object_id", "class_name"]).join(t.groupBy("object_id", "class_name").agg(F.count("*").alias("k")).filter("k = 1").drop("k"), ["object_id", "class_name"])
+    last = left.join(only.withColumnRenamed("best", "b"), ["object_id", "class_name"], "left").withColumn("tier", F.when(F.col("b").isNotNull(), F.lit(3)).cast("bigint"))
+    every = settled.unionByName(last)
+    return every.select("stem", "class_name", "b.path", "tier", (F.col("b.n") > 1).alias("ambiguous"))
 
 
 def ground_truth_report(resolved: DataFrame) -> DataFrame:

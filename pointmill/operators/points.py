@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointmill.functions.hashing import hash_key, uniform
+from pointmill.functions.ranking import first_of, fits
+from pointmill.functions.scratch import materialize
 
 XYZ = ("x", "y", "z")
 _PT = ("cloud_id", "pt")
@@ -94,11 +96,11 @@ def resample(df: DataFrame, n: int, bins: int = 8, seed: int = 0) -> DataFrame:
 
 
 def dropout(df: DataFrame, low: float, high: float, seed: int = 0) -> DataFrame:
-    """Drop rate per cloud in [low, high]; a cloud keeps its first point in hash order if none is left."""
+    """Drop rate per cloud in [low, high]; a cloud of which none is left keeps the point of the greatest number, of equal ones the smaller pt."""
     rate = low + uniform(seed, "cloud_id") * (high - low)
     u = uniform(seed, "cloud_id", "pt")
-    rank = F.row_number().over(W.partitionBy("cloud_id").orderBy(F.desc(u), "pt"))
-    return df.withColumn("__k", (u > rate) | (rank == 1)).filter("__k").drop("__k")
+    last = df.groupBy("cloud_id").agg(F.max(F.struct(u.alias("u"), (-F.col("pt")).alias("p"))).alias("__l")).select("cloud_id", (-F.col("__l.p")).alias("__pt"))
+    return df.join(last, "cloud_id").filter((u > rate) | (F.col("pt") == F.col("__pt"))).select(*df.columns)
 
 
 def add_noise(df: DataFrame, ratio: float, grow: float, seed: int = 0) -> DataFrame:
@@ -115,16 +117,16 @@ def _between(bounds: float | tuple[float, float], *key) -> Column:
     return F.lit(float(low)) if low == high else low + uniform(*key) * (high - low)
 
 
-def top_down(df: DataFrame, keep: float | tuple[float, float], squash: float | tuple[float, float], bias: float = 1.0, seed: int = 0, xy_sigma: float = 0.0) -> DataFrame:
+def top_down(df: DataFrame, keep: float | tuple[float, float], squash: float | tuple[float, float], bias: float = 1.0, seed: int = 0, xy_sigma: float = 0.0, bounded: bool | None = None) -> DataFrame:
     """A z-biased weighted subset of round(n * keep) points (largest ln(u)/w first), z squashed about its mean, and optionally Gaussian noise of ``xy_sigma``
     on x and y. Weights are 1 - bias + bias * height from 0 to 1, equal ones in a flat cloud. Ranges of keep and squash are drawn per cloud."""
     b = bounds(df).select("cloud_id", "min_z", "max_z", F.greatest(F.lit(1), F.bround(F.col("n_points") * _between(keep, seed, "cloud_id", F.lit("keep")))).alias("__k"))
     span = F.col("max_z") - F.col("min_z")
     w = F.when(span > 1e-6, 1.0 - bias + bias * (F.col("z") - F.col("min_z")) / span).otherwise(1.0) if bias > 0 else F.lit(1.0)
     chance = F.log(F.greatest(uniform(seed, "cloud_id", "pt"), F.lit(1e-12))) / F.greatest(w, F.lit(1e-12))
-    df = df.join(b, "cloud_id").withColumn("__r", F.row_number().over(W.partitionBy("cloud_id").orderBy(F.desc(chance), "pt"))).filter("__r <= __k")
-    mean = F.avg("z").over(W.partitionBy("cloud_id"))
-    df = df.withColumn("__m", mean).withColumn("z", F.col("__m") + (F.col("z") - F.col("__m")) * _between(squash, seed, "cloud_id", F.lit("squash")))
+    df = first_of(df.join(b, "cloud_id").withColumn("__c", -chance), ["cloud_id"], "__c", "__k", "pt", bounded)
+    mean = df.groupBy("cloud_id").agg(F.avg("z").alias("__m"))
+    df = df.join(mean, "cloud_id").withColumn("z", F.col("__m") + (F.col("z") - F.col("__m")) * _between(squash, seed, "cloud_id", F.lit("squash")))
     return (df.withColumns({c: F.col(c) + _gauss(c, xy_sigma, seed) for c in "xy"}) if xy_sigma > 0 else df).select(*_PT, *XYZ)
 
 
@@ -193,22 +195,28 @@ def partial_view(df: DataFrame, delta: float, group: str, distance: str, key: st
     return df.withColumn("__p", F.row_number().over(w.orderBy(*order))).filter("__p = 1").drop("__r", "__far", "__any", "__p")
 
 
-def occlude(df: DataFrame, keep: tuple[float, float], parts: int, seed: int = 0) -> DataFrame:
+def occlude(df: DataFrame, keep: tuple[float, float], parts: int, seed: int = 0, bounded: bool | None = None) -> DataFrame:
     """Keep max(1, round(n * r)) points of a cloud, r a hash uniform in the range ``keep`` per cloud: ``parts`` times a hash-picked centre among the points left
     takes its nearest, an equal share of what is still to be removed (rounded up)."""
     low = max(0.05, min(1.0, keep[0]))
-    w = W.partitionBy("cloud_id")
-    n = F.count("*").over(w)
+    bounded = fits(df, ["cloud_id"]) if bounded is None else bounded
+    columns = df.columns
     share = _between((low, max(low, min(1.0, keep[1]))), seed, "cloud_id", F.lit("keep"))
-    df = df.withColumn("__n", n).withColumn("__left", F.when(F.col("__n") > 1, F.col("__n") - F.greatest(F.lit(1), F.bround(F.col("__n") * share).cast("bigint"))).otherwise(0))
+    n = df.groupBy("cloud_id").agg(F.count("*").alias("__n"))
+    n = n.withColumn("__left", F.when(F.col("__n") > 1, F.col("__n") - F.greatest(F.lit(1), F.bround(F.col("__n") * share).cast("bigint"))).otherwise(0)).drop("__n")
+    df = df.join(n, "cloud_id")
     for i in range(parts):
         h = hash_key(seed, i, "cloud_id", "pt")
         centre = df.groupBy("cloud_id").agg(F.min_by(F.struct(*XYZ), F.struct(h, "pt")).alias("__c"))
-        d = sum(((F.col(c) - F.col("__c." + c)) ** 2 for c in XYZ[1:]), (F.col("x") - F.col("__c.x")) ** 2)
-        take = F.ceil(F.col("__left") / F.lit(float(parts - i)))
-        df = df.join(centre, "cloud_id").withColumn("__r", F.row_number().over(w.orderBy(F.round(d, 9), "pt"))).withColumn("__t", take).filter("__r > __t")
-        df = df.withColumn("__left", F.col("__left") - F.col("__t")).drop("__r", "__c", "__t")
-    return df.drop("__n", "__left")
+        d = F.round(sum(((F.col(c) - F.col("__c." + c)) ** 2 for c in XYZ[1:]), (F.col("x") - F.col("__c.x")) ** 2), 9)
+        df = df.join(centre, "cloud_id").withColumns({"__d": d, "__t": F.ceil(F.col("__left") / F.lit(float(parts - i)))}).drop("__c")
+        if bounded:
+            left = df.withColumn("__r", F.row_number().over(W.partitionBy("cloud_id").orderBy("__d", "pt"))).filter("__r > __t").drop("__r")
+        else:  # no cloud is ordered: the nearest are found by a cut-off
+            df = materialize(df, "occluded")
+            left = df.join(first_of(df, ["cloud_id"], "__d", "__t", "pt", False).select("cloud_id", "pt"), ["cloud_id", "pt"], "left_anti")
+        df = left.withColumn("__left", F.col("__left") - F.col("__t")).drop("__d", "__t")
+    return df.select(*columns)
 
 
 def silhouette(df: DataFrame, a: str, b: str, bins: int) -> DataFrame:

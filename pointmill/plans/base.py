@@ -24,5 +24,11 @@ def query(name: str, *views: str, sql: str | None = None):
     return add
 
 
+def again(name: str, of: str) -> None:
+    """A second name of a query, kept from when the first one met a part of its tables only."""
+    QUERIES[name] = QUERIES[of]
+    ORACLE_SQL[name] = ORACLE_SQL[of]
+
+
 def uniform_sql(key: str) -> str:
     return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0)"

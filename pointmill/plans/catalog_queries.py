@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pointmill.operators import catalog as b
 from pointmill.functions.scratch import scratch_folder
 from pointmill.operators import curate, points, split
-from pointmill.plans.base import query
+from pointmill.plans.base import again, query
 from pointmill.plans.base import uniform_sql as u
 from pointmill.sources import ingest
 
@@ -27,6 +27,14 @@ def a3(paths):
     return ingest.layout(made)
 
 
+@query("a3_validation", "paths", sql=f"""WITH l AS ({_LAYOUTS.replace("'root/train/'", "CASE WHEN page_id%2=0 THEN 'root/val/' ELSE 'root/train/' END").replace("'/test/'", "CASE WHEN page_id%3=0 THEN '/train/' ELSE '/test/' END")}) SELECT page_id, path FROM l WHERE page_id%14=0 OR (page_id%7=6 AND page_id%3>0)""")
+def a3v(paths):
+    """The files that validation reads: val of flat folders, test of mesh folders."""
+    sql = _LAYOUTS.replace("'root/train/'", "CASE WHEN page_id%2=0 THEN 'root/val/' ELSE 'root/train/' END").replace("'/test/'", "CASE WHEN page_id%3=0 THEN '/train/' ELSE '/test/' END")
+    made = paths.sparkSession.sql(sql.replace("FROM paths", "FROM {paths}"), paths=paths)
+    return ingest.of_split(made, "val").select("page_id", "path")
+
+
 @query("a4_discovery", "paths", sql="""
 SELECT path, page_id%3=0 AS is_frame FROM (SELECT page_id, CASE page_id%5 WHEN 0 THEN 'wandb/' WHEN 1 THEN '.git/' ELSE '' END || replace(path,'.pcd', CASE WHEN page_id%3=0 THEN '__frame_1.pcd' ELSE '.pcd' END) AS path FROM paths)
 WHERE page_id%5 > 1""")
@@ -35,23 +43,27 @@ def a4(paths):
     return made.filter(~ingest.ignored(F.col("path"))).select("path", ingest.is_frame(F.col("path")).alias("is_frame"))
 
 
-@query("a5_sidecars", "events", sql="""
-WITH c AS (SELECT event_id, 's'||(event_id%500)||'__frame_'||event_id AS stem FROM events), m AS (
-  SELECT CASE WHEN event_id%2=0 THEN 's'||event_id ELSE 's'||(event_id%500)||'__frame_'||event_id END AS stem, cast(json_extract_string(props,'$.k') AS int) AS k FROM events WHERE event_id%5<>2 AND event_id%7<>3)
-SELECT c.event_id, coalesce(a.k, b.k) AS k FROM c LEFT JOIN m a ON a.stem=c.stem LEFT JOIN m b ON b.stem=regexp_replace(c.stem,'__frame_[^_]+$','')""")
+_CLOUD = "'root/k'||(event_id%3)||'/pcds/s'||(event_id%500)||'__frame_'||event_id||'.pcd'"
+_SIDECAR = "'root/k'||(event_id%3)||CASE WHEN event_id%2=0 THEN '/json/s'||(event_id%500) ELSE '/pcds/s'||(event_id%500)||'__frame_'||event_id END||'.json'"
+_BESIDE = """{0} SELECT c.event_id, coalesce(a.k, b.k) AS k FROM c LEFT JOIN m a ON a.path=replace(c.path,'.pcd','.json') LEFT JOIN m b ON b.path=replace(regexp_replace(c.path,'__frame_[^_]+$','.json'),'/pcds/','/json/')"""
+_SIDES = "WITH c AS (SELECT event_id, {0} AS path FROM events), m AS (SELECT {1} AS path, cast(json_extract_string(min(props),'$.k') AS int) AS k FROM events {2} GROUP BY 1)"
+
+
+@query("a5_sidecars", "events", sql=_BESIDE.format(_SIDES.format(_CLOUD, _SIDECAR, "WHERE event_id%5<>2 AND event_id%7<>3")))
 def a5(events):
-    """A fifth of the sidecars is missing and a seventh is no JSON: these are the cases under test."""
-    clouds = events.select("event_id", F.expr("'s'||(event_id%500)||'__frame_'||event_id").alias("stem"))
+    """Folders share stems. A fifth of the sidecars is missing and a seventh is no JSON: these are the cases under test."""
     text = F.expr("CASE WHEN event_id%7=3 THEN '{\"k\": 1, broken' ELSE props END").alias("text")
-    meta = events.filter("event_id%5<>2").select(F.expr("CASE WHEN event_id%2=0 THEN 's'||event_id ELSE 's'||(event_id%500)||'__frame_'||event_id END").alias("stem"), text)
-    return ingest.attach_sidecars(clouds, meta, "k int").select("event_id", F.col("meta.k").alias("k"))
+    return _beside(events, events.filter("event_id%5<>2").select(F.expr(_SIDECAR).alias("path"), text))
 
 
-@query("a5_sidecars_all", "events")
+@query("a5_sidecars_all", "events", sql=_BESIDE.format(_SIDES.format(_CLOUD, _SIDECAR, "")))
 def a5_all(events):
     """Every event as a sidecar, none missing or broken."""
-    clouds = events.select("event_id", F.expr("'s'||(event_id%500)||'__frame_'||event_id").alias("stem"))
-    meta = events.select(F.expr("CASE WHEN event_id%2=0 THEN 's'||event_id ELSE 's'||(event_id%500)||'__frame_'||event_id END").alias("stem"), F.col("props").alias("text"))
+    return _beside(events, events.select(F.expr(_SIDECAR).alias("path"), F.col("props").alias("text")))
+
+
+def _beside(events, meta):
+    clouds = events.select("event_id", F.expr(_CLOUD).alias("path"))
     return ingest.attach_sidecars(clouds, meta, "k int").select("event_id", F.col("meta.k").alias("k"))
 
 
@@ -106,7 +118,7 @@ def a7(pred):
     return ingest.parse_predictions(text)
 
 
-@query("a9_surface", "big", sql=f"""
+_DRAWS = f"""
 WITH v AS (SELECT cloud_id AS m, (pt-1)//3 AS f, (pt-1)%3 AS i, x, y, z FROM big),
 t AS (SELECT a.m, a.f, a.x x0,a.y y0,a.z z0,b.x x1,b.y y1,b.z z1,c.x x2,c.y y2,c.z z2 FROM v a JOIN v b ON a.m=b.m AND a.f=b.f AND a.i=0 AND b.i=1 JOIN v c ON a.m=c.m AND a.f=c.f AND c.i=2),
 w AS (SELECT *, sqrt(power((y1-y0)*(z2-z0)-(z1-z0)*(y2-y0),2)+power((z1-z0)*(x2-x0)-(x1-x0)*(z2-z0),2)+power((x1-x0)*(y2-y0)-(y1-y0)*(x2-x0),2))/2 AS area FROM t),
@@ -115,15 +127,15 @@ c AS (SELECT * REPLACE (CASE WHEN tail THEN 1.0 ELSE hi END AS hi) FROM c0),
 g AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY m ORDER BY f),0.0) AS lo FROM c),
 d AS (SELECT m, pt, {u("'0::'||m||'::'||pt")} AS u, sqrt({u("'0::'||m||'::'||pt||'::a'")}) AS r1, {u("'0::'||m||'::'||pt||'::b'")} AS r2 FROM (SELECT DISTINCT m FROM g), (SELECT unnest(range(16)) AS pt))
 SELECT g.m AS mesh_id, CAST(d.pt AS BIGINT) AS pt, round((1-r1)*x0+r1*(1-r2)*x1+r1*r2*x2,6) AS x, round((1-r1)*y0+r1*(1-r2)*y1+r1*r2*y2,6) AS y, round((1-r1)*z0+r1*(1-r2)*z1+r1*r2*z2,6) AS z
-FROM d JOIN g ON d.m=g.m AND u>=lo AND u<hi""")
+FROM d JOIN g ON d.m=g.m AND u>=lo AND u<hi"""
+
+
+@query("a9_surface", "big", sql=_DRAWS)
 def a9(big):
     return _surface(big)
 
 
-@query("a9_surface_all", "big")
-def a9_all(big):
-    """The same as a9_surface, which meets every point of a cloud too; held against brute force in the tests."""
-    return _surface(big)
+again("a9_surface_all", "a9_surface")
 
 
 def _surface(big):
@@ -132,6 +144,36 @@ def _surface(big):
     return ingest.sample_surface(v, f, 16).select("mesh_id", "pt", *(F.round(c, 6).alias(c) for c in "xyz"))
 
 
+def _off_files(big) -> str:
+    """A folder of OFF files made of the clouds: a triangle for each three points and a square for each five, by Spark's text writer, one file a cloud."""
+    name = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pt", F.concat_ws(" ", *(F.col(c).cast("string") for c in "xyz")).alias("l")))), lambda p: p["l"]), "\n")
+    clouds = big.groupBy("cloud_id").agg(F.count("*").cast("int").alias("n"), name.alias("body")).filter("n >= 3")
+    face = lambda k, i: F.concat_ws(" ", F.lit(str(k)), *((i * 3 + j).cast("string") for j in range(k)))
+    threes = F.transform(F.expr("sequence(0, cast(n / 3 - 1 AS int))"), lambda i: F.when((i % 2 == 1) & (i * 3 + 3 < F.col("n")), face(4, i)).otherwise(face(3, i)))
+    text = F.concat(F.lit("OFF\n# made of a cloud\n"), F.concat_ws(" ", F.col("n").cast("string"), F.size(threes).cast("string"), F.lit("0")), F.lit("\n"), "body", F.lit("\n"), F.array_join(threes, "\n"), F.lit("\n"))
+    folder = scratch_folder(big.sparkSession, "meshes")
+    clouds.select(text.alias("value"), "cloud_id").write.option("lineSep", "\n").partitionBy("cloud_id").text(folder)
+    return folder
+
+
+@query("a9_off_meshes", "big", sql=f"""
+WITH v AS (SELECT cloud_id AS m, pt-1 AS i, x, y, z, count(*) OVER (PARTITION BY cloud_id) AS n FROM big),
+q AS (SELECT a.m, a.i//3 AS f, a.n, unnest(CASE WHEN a.i//3%2=1 AND a.i+3<a.n THEN [0, 1] ELSE [0] END) AS t, a.i FROM v a WHERE a.i%3=0 AND a.i+2<a.n),
+k AS (SELECT m, max(1+(f%2=1 AND i+3<n)::INT) AS most FROM q GROUP BY 1),
+t0 AS (SELECT q.m, q.f*most+t AS f, a.x x0,a.y y0,a.z z0,b.x x1,b.y y1,b.z z1,c.x x2,c.y y2,c.z z2 FROM q JOIN k USING (m) JOIN v a ON a.m=q.m AND a.i=q.i JOIN v b ON b.m=q.m AND b.i=q.i+1+t JOIN v c ON c.m=q.m AND c.i=q.i+2+t),
+ce AS (SELECT m, (avg(x0)+avg(x1)+avg(x2))/3 cx, (avg(y0)+avg(y1)+avg(y2))/3 cy, (avg(z0)+avg(z1)+avg(z2))/3 cz FROM t0 GROUP BY 1),
+t1 AS (SELECT m, f, x0-cx x0,y0-cy y0,z0-cz z0,x1-cx x1,y1-cy y1,z1-cz z1,x2-cx x2,y2-cy y2,z2-cz z2 FROM t0 JOIN ce USING (m)),
+sc AS (SELECT m, max(sqrt(greatest(x0*x0+y0*y0+z0*z0,x1*x1+y1*y1+z1*z1,x2*x2+y2*y2+z2*z2))) s FROM t1 GROUP BY 1),
+t AS (SELECT m, f, x0/s x0,y0/s y0,z0/s z0,x1/s x1,y1/s y1,z1/s z1,x2/s x2,y2/s y2,z2/s z2 FROM t1 JOIN sc USING (m)),
+w AS {_DRAWS.split("w AS ", 1)[1].replace("'0::'||m||'::'||pt", "'0::'||'c'||m||'::'||pt").replace("g.m AS mesh_id", "g.m AS cloud_id")}""")
+def a9_off(big):
+    """Every cloud written as an OFF file of triangles and squares, read back, scaled and sampled."""
+    v, f, _ = ingest.read_meshes(big.sparkSession, _off_files(big), glob="*.txt")
+    v, f = (df.withColumn("mesh_id", F.concat(F.lit("c"), F.regexp_extract("mesh_id", "cloud_id=([0-9]+)", 1))) for df in (v, f))
+    drawn = ingest.sample_surface(v, f, 16, scaled=True)
+    return drawn.select(F.substring("mesh_id", 2, 20).cast("bigint").alias("cloud_id"), "pt", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
 @query("a11_unique_names", "cat", sql="""SELECT ord, CAST(ord%50 AS VARCHAR)||CASE WHEN r>1 THEN '__dup'||(r-1) ELSE '' END AS output_name FROM (SELECT ord, row_number() OVER (PARTITION BY class_name, ord%50 ORDER BY ord) r FROM cat)""")
 def a11(cat):
     return curate.unique_names(cat.withColumn("s", (F.col("ord") % 50).cast("string")), ["class_name"], "s", "ord").select("ord", "output_name")
@@ -327,29 +369,30 @@ def c6(cat):
     return split.leaks(split.split_review(cat, R, "stem"), ["object_id"])
 
 
-@query("c7_overlap", "cat", sql="""SELECT count(*) AS n_shared FROM (SELECT class_name, object_id FROM cat WHERE ord%3=0 INTERSECT SELECT class_name, object_id FROM cat WHERE ord%3=1)""")
+@query("c7_overlap", "cat", sql="""SELECT count(*) AS n_shared FROM (SELECT class_name, object_id FROM cat WHERE source='curated' INTERSECT SELECT class_name, object_id FROM cat WHERE source='review')""")
 def c7(cat):
-    return split.overlap(cat.filter("ord%3=0"), cat.filter("ord%3=1"), ["class_name", "object_id"])
+    return split.overlap(cat.filter("source='curated'"), cat.filter("source='review'"), ["class_name", "object_id"])
 
 
 _EPOCH = """
-n AS (SELECT *, count(*) OVER (PARTITION BY class_name) n, row_number() OVER (PARTITION BY class_name ORDER BY md5(stem), stem)-1 r FROM cat WHERE class_name<'G' OR ord%5=0),
+n AS (SELECT *, count(*) OVER (PARTITION BY class_name) n, row_number() OVER (PARTITION BY class_name ORDER BY md5(stem), stem)-1 r FROM (SELECT * REPLACE (CASE WHEN prio<'3' THEN class_name ELSE 'AUTOMOBILE' END AS class_name) FROM cat)),
 h AS (SELECT max(n) hi, min(n) lo FROM n), t AS (SELECT n.*, {} AS t FROM n, h), e AS (SELECT ord, class_name, t, c*n+r AS place FROM (SELECT *, unnest(range(0, cast(ceil(t/n) AS BIGINT))) AS c FROM t))
 """
 
 
-def _some(cat):
-    return cat.filter("class_name<'G' OR ord%5=0")
+def _uneven(cat):
+    """All rows, most of them of one class."""
+    return cat.withColumn("class_name", F.expr("CASE WHEN prio<'3' THEN class_name ELSE 'AUTOMOBILE' END"))
 
 
 @query("c8_balanced", "cat", sql="WITH" + _EPOCH.format("20*least(ceil(hi/20.0),floor(lo*2/20.0))::BIGINT") + "SELECT ord, CAST(place AS BIGINT) AS place, CAST(place//20 AS BIGINT) AS batch FROM e WHERE place<t")
 def c8(cat):
-    return split.balanced_epoch(_some(cat), 100, 5, 2, "stem").select("ord", "place", "batch")
+    return split.balanced_epoch(_uneven(cat), 100, 5, 2, "stem").select("ord", "place", "batch")
 
 
 @query("c9_oversampled", "cat", sql="WITH" + _EPOCH.format("least(hi, n*3)") + "SELECT ord, CAST(place AS BIGINT) AS place FROM e WHERE place<t")
 def c9(cat):
-    return split.oversampled_epoch(_some(cat), 3, "stem").select("ord", "place")
+    return split.oversampled_epoch(_uneven(cat), 3, "stem").select("ord", "place")
 
 
 @query("c10_weights", "cat", sql="""SELECT class_name, n, round((1/sqrt(n))/avg(1/sqrt(n)) OVER (),6) AS weight FROM (SELECT class_name, count(*) n FROM cat GROUP BY 1)""")
@@ -360,7 +403,7 @@ def c10(cat):
 @query("c10_effective", "cat", sql="WITH" + _EPOCH.format("20*least(ceil(hi/20.0),floor(lo*2/20.0))::BIGINT") + "SELECT class_name, n, round((1/sqrt(n))/avg(1/sqrt(n)) OVER (),6) AS weight FROM (SELECT cat.class_name, count(*) n FROM e JOIN cat USING (ord) WHERE place<t GROUP BY 1)")
 def c10e(cat):
     """Weights from the rows of an epoch, after balancing; every class must have some."""
-    epoch = split.balanced_epoch(_some(cat), 100, 5, 2, "stem")
+    epoch = split.balanced_epoch(_uneven(cat), 100, 5, 2, "stem")
     return split.class_weights(epoch, classes=["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pointmill.operators import audit, curate, fuse, match, metrics
-from pointmill.plans.base import query
+from pointmill.plans.base import again, query
 from pointmill.plans.catalog_queries import _C4, _M1, _ZA, split_sql
 from pointmill.plans.point_queries import _AX, _B, r6, r_sql
 
@@ -66,11 +66,11 @@ def f3b(cat, pts):
 
 
 _H = "('0x'||substr(md5({}),1,8))::BIGINT"
-_HM = f"""a AS (SELECT bucket, stem FROM cat WHERE source='curated' AND ord%10=0), b AS (SELECT bucket, stem, row_number() OVER (PARTITION BY bucket ORDER BY md5('9::'||stem), stem)-1 i FROM cat WHERE ord%3=0), n AS (SELECT bucket, count(*) n FROM b GROUP BY 1)"""
+_HM = f"""a AS (SELECT bucket, stem FROM cat WHERE source='curated'), b AS (SELECT bucket, stem, row_number() OVER (PARTITION BY bucket ORDER BY md5('9::'||stem), stem)-1 i FROM cat WHERE prio<'4'), n AS (SELECT bucket, count(*) n FROM b GROUP BY 1)"""
 
 
 def _two(cat):
-    return cat.filter("source='curated' AND ord%10=0").select("bucket", F.col("stem").alias("a_stem")), cat.filter("ord%3=0").select("bucket", F.col("stem").alias("b_stem"))
+    return cat.filter("source='curated'").select("bucket", F.col("stem").alias("a_stem")), cat.filter("prio<'4'").select("bucket", F.col("stem").alias("b_stem"))
 
 
 @query("f4_hash_match", "cat", sql=f"WITH {_HM} SELECT a.stem AS a_stem, b.stem AS b_stem FROM a JOIN n USING (bucket) JOIN b ON b.bucket=a.bucket AND b.i={_H.format(chr(39) + '9::' + chr(39) + '||a.stem')}%n")
@@ -95,21 +95,18 @@ def f6(log):
 
 
 @query("f7_align", "big", sql=f"""WITH {_AX}, ln AS (SELECT cloud_id, ax, ay, quantile_cont(u,0.01) rear, (quantile_cont(v,0.01)+quantile_cont(v,0.99))/2 mid, min(z) vg FROM pr GROUP BY 1,2,3),
-pp AS (SELECT a.cloud_id a_id, b.cloud_id b_id, b.ax vax, b.ay vay, b.rear, b.mid, b.vg, atan2(b.ay,b.ax)-atan2(a.ay,a.ax) d FROM ln a JOIN ln b ON b.cloud_id=a.cloud_id+1 WHERE a.cloud_id%5=0),
+pp AS (SELECT a.cloud_id a_id, b.cloud_id b_id, b.ax vax, b.ay vay, b.rear, b.mid, b.vg, atan2(b.ay,b.ax)-atan2(a.ay,a.ax) d FROM ln a JOIN ln b ON b.cloud_id=a.cloud_id+1),
 o AS (SELECT a_id, b_id, pt, vax, vay, rear, mid, vg, x*cos(d)-y*sin(d) x, x*sin(d)+y*cos(d) y, z FROM pp JOIN big ON cloud_id=a_id),
 f AS (SELECT a_id, any_value(vax) vax, any_value(vay) vay, any_value(rear)-0.5-quantile_cont(x*vax+y*vay,0.99) du, any_value(mid)-(quantile_cont(y*vax-x*vay,0.01)+quantile_cont(y*vax-x*vay,0.99))/2 dv, any_value(vg)-min(z) dz FROM o GROUP BY 1)
 SELECT a_id AS pair_id, a_id AS source_id, pt, {r_sql('x+du*f.vax-dv*f.vay AS x', 'y+du*f.vay+dv*f.vax AS y', 'z+dz AS z')} FROM o JOIN f USING (a_id)
 UNION ALL SELECT a_id, b_id, pt, {r_sql('x AS x', 'y AS y', 'z AS z')} FROM pp JOIN big ON cloud_id=b_id""")
 def f7(big):
-    pairs = big.select("cloud_id").distinct().filter("cloud_id%5=0").selectExpr("cloud_id AS pair_id", "cloud_id AS a_id", "cloud_id+1 AS b_id")
+    """Every cloud behind the one of the next id."""
+    pairs = big.select("cloud_id").distinct().selectExpr("cloud_id AS pair_id", "cloud_id AS a_id", "cloud_id+1 AS b_id")
     return r6(match.align_pairs(pairs, big, 0.5), "pair_id", "source_id", "pt")
 
 
-@query("f7_align_all", "big")
-def f7_all(big):
-    """Every cloud with the one of the next id; without a twin, since that of f7_align holds a part of the clouds."""
-    pairs = big.select("cloud_id").distinct().selectExpr("cloud_id AS pair_id", "cloud_id AS a_id", "cloud_id+1 AS b_id")
-    return r6(match.align_pairs(pairs, big, 0.5), "pair_id", "source_id", "pt")
+again("f7_align_all", "f7_align")
 
 
 @query("f7_report", "big", sql=f"""WITH {_AX}, ln AS (SELECT cloud_id, ax, ay, quantile_cont(u,0.01) rear, (quantile_cont(v,0.01)+quantile_cont(v,0.99))/2 mid, min(z) vg FROM pr GROUP BY 1,2,3),
@@ -138,7 +135,7 @@ def f9(paths):
     return t.select("page_id", match.ground_truth_score(F.col("path"), F.expr("CASE WHEN page_id%4=0 THEN path END"), F.expr("CASE WHEN page_id%5=0 THEN 'ground_truth' END"), F.expr("page_id%2=0")).alias("score"))
 
 
-_F10 = """s AS (SELECT stem, 'run_'||(ord%20) run_id, object_id, class_name FROM cat WHERE ord%2=0), t AS (SELECT stem, 'run_'||(ord%20) run_id, object_id, CASE WHEN ord%5=0 THEN 'BUILDING' ELSE class_name END AS class_name, 'gt/'||stem||'.pcd' AS path, CASE WHEN ord%5=0 THEN 120 ELSE ord%2*10 END AS score FROM cat WHERE ord%3=0),
+_F10 = """s AS (SELECT stem, 'run_'||(ord%20) run_id, object_id, class_name FROM cat WHERE source='review'), t AS (SELECT stem, 'run_'||(ord%20) run_id, object_id, CASE WHEN ord%5=0 THEN 'BUILDING' ELSE class_name END AS class_name, 'gt/'||stem||'.pcd' AS path, CASE WHEN ord%5=0 THEN 120 ELSE ord%2*10 END AS score FROM cat WHERE source='curated' OR prio<'3'),
 c1 AS (SELECT s.stem ss, s.class_name sc, t.* FROM s JOIN t ON t.stem=s.stem), c2 AS (SELECT s.stem ss, s.class_name sc, t.* FROM s JOIN t ON t.run_id=s.run_id AND t.object_id=s.object_id WHERE s.stem NOT IN (SELECT ss FROM c1)),
 c3 AS (SELECT s.stem ss, s.class_name sc, t.* FROM s JOIN t ON t.object_id=s.object_id AND t.class_name=s.class_name WHERE s.stem NOT IN (SELECT ss FROM c1 UNION ALL SELECT ss FROM c2) QUALIFY count(*) OVER (PARTITION BY s.stem)=1),
 m AS (SELECT 1 tier, * FROM c1 UNION ALL SELECT 2, * FROM c2 UNION ALL SELECT 3, * FROM c3), k AS (SELECT *, bool_or(class_name=sc) OVER (PARTITION BY ss) own FROM m), f AS (SELECT * FROM k WHERE NOT own OR class_name=sc),
@@ -147,10 +144,10 @@ res AS (SELECT s.stem, s.class_name, z.path, CAST(z.tier AS BIGINT) AS tier, z.a
 
 
 def _truth(cat):
-    """A fifth of the candidates is of another class with a better score: only samples without one of their own class take them."""
+    """Reviewed samples, curated and urgent clouds as candidates. A fifth of the candidates is of another class with a better score: only samples without one of their own class take them."""
     c = cat.withColumn("run_id", F.expr("concat('run_', ord%20)"))
-    truth = c.filter("ord%3=0").withColumn("path", F.expr("concat('gt/',stem,'.pcd')")).withColumn("class_name", F.expr("CASE WHEN ord%5=0 THEN 'BUILDING' ELSE class_name END"))
-    return match.resolve_ground_truth(c.filter("ord%2=0"), truth.withColumn("score", F.expr("CASE WHEN ord%5=0 THEN 120 ELSE ord%2*10 END")))
+    truth = c.filter("source='curated' OR prio<'3'").withColumn("path", F.expr("concat('gt/',stem,'.pcd')")).withColumn("class_name", F.expr("CASE WHEN ord%5=0 THEN 'BUILDING' ELSE class_name END"))
+    return match.resolve_ground_truth(c.filter("source='review'"), truth.withColumn("score", F.expr("CASE WHEN ord%5=0 THEN 120 ELSE ord%2*10 END")))
 
 
 @query("f10_ground_truth", "cat", sql=f"WITH {_F10} SELECT * FROM res")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pointmill.functions.scratch import scratch_folder
 from pointmill.plans.base import ORACLE_SQL, QUERIES
-from pointmill.streaming.feed import feed
+from pointmill.streaming.feed import feed, read_feed
 
 
 def _logits(df: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def a14_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_folder(spark, "feed")
     schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
     feed(spark, source, schema, "label", out, f"{out}/state", _logits).awaitTermination()
-    tables = [spark.read.parquet(f"{out}/{t}").select(F.lit(t).alias("kind"), "pred", "vec_id") for t in ("predictions", "mismatches")]
+    tables = [read_feed(spark, out, t).select(F.lit(t).alias("kind"), "pred", "vec_id") for t in ("predictions", "mismatches")]
     return tables[0].unionByName(tables[1]).groupBy("kind", "pred").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pointmill.operators import geom as g
 from pointmill.operators import points as p
-from pointmill.plans.base import query
+from pointmill.plans.base import again, query
 from pointmill.plans.base import uniform_sql as u
 
 XYZ = p.XYZ
@@ -88,8 +88,8 @@ def d9(big):
     return r6(p.add_noise(big, 0.05, 1.1), "cloud_id", "pt", "is_noise")
 
 
-def _gauss(c: str) -> str:
-    h = f"'0::'||cloud_id||'::'||pt||'::{c}::"
+def _gauss(c: str, seed: str = "0") -> str:
+    h = f"{seed}||'::'||cloud_id||'::'||pt||'::{c}::"
     return f"sqrt(-2*ln(greatest({u(h + 'u' + chr(39))},1e-12)))*cos(2*pi()*{u(h + 'v' + chr(39))})*0.02"
 
 
@@ -269,9 +269,7 @@ def e5(big):
     return g.neighbours(big, 8).select("cloud_id", "pt", "n_pt", F.round("d2", 6).alias("d2"))
 
 
-@query("e5_neighbours_all", "big")
-def e5_all(big):
-    return g.neighbours(big, 8).select("cloud_id", "pt", "n_pt", F.round("d2", 6).alias("d2"))
+again("e5_neighbours_all", "e5_neighbours")
 
 
 @query("e6_curvature", "big", sql=f"""WITH {_ALL}, {_NB.format('f', 12)}, s AS (SELECT cloud_id, pt, avg(nx) mx, avg(ny) my, avg(nz) mz, avg(nx*nx)-avg(nx)*avg(nx) a, avg(ny*ny)-avg(ny)*avg(ny) b, avg(nz*nz)-avg(nz)*avg(nz) c, avg(nx*ny)-avg(nx)*avg(ny) d, avg(nx*nz)-avg(nx)*avg(nz) e, avg(ny*nz)-avg(ny)*avg(nz) f FROM nb GROUP BY 1,2),
@@ -282,9 +280,7 @@ def e6(big):
     return g.shape(g.neighbours(big, 12)).select("cloud_id", "pt", F.round("curvature", 4).alias("curvature"))
 
 
-@query("e6_curvature_all", "big")
-def e6_all(big):
-    return g.shape(g.neighbours(big, 12)).select("cloud_id", "pt", F.round("curvature", 4).alias("curvature"))
+again("e6_curvature_all", "e6_curvature")
 
 
 @query("e6_normals", "big")
@@ -324,6 +320,37 @@ def e11(big):
     return g.jaccard(big, F.col("x") > 25, F.col("y") > 50, ["cloud_id", "view_id"]).withColumn("jaccard", F.round("jaccard", 6))
 
 
+def _moved(c: str) -> str:
+    return f"{c}+greatest(least({_gauss(c, seed='rep')},0.05),-0.05)"
+
+
+_VIEWS = """v AS (SELECT cloud_id||'/'||view_id vw, cloud_id, view_id, pt, x, y, z FROM big)"""
+_CV = """{0} AS (SELECT vw, rep, pt, round(stddev_pop(sqrt(d))/avg(sqrt(d)),9)>=0.5 AS flag FROM (SELECT a.vw, a.rep, a.pt, (a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x) d
+FROM {1} a JOIN {1} b ON a.vw=b.vw AND a.rep=b.rep AND a.pt<>b.pt QUALIFY row_number() OVER (PARTITION BY a.vw, a.rep, a.pt ORDER BY round(d,9), b.pt)<=6) GROUP BY 1,2,3)"""
+
+
+@query("e11_stability", "big", sql=f"""WITH {_VIEWS}, m0 AS (SELECT *, 0 AS rep FROM v), m1 AS (SELECT vw, rep, pt, {', '.join(f'{_moved(c)} AS {c}' for c in XYZ)} FROM v, (SELECT unnest([1,2]) AS rep)),
+{_CV.format('f0', 'm0')}, {_CV.format('f1', 'm1')},
+j AS (SELECT vw, f1.rep, CASE WHEN sum((f0.flag OR f1.flag)::INT)=0 THEN 1.0 ELSE sum((f0.flag AND f1.flag)::INT)/sum((f0.flag OR f1.flag)::INT) END AS j FROM f0 JOIN f1 USING (vw, pt) GROUP BY 1,2)
+SELECT cloud_id, view_id, 'cv' AS label, round(avg(j)+1e-10,6) AS jaccard FROM j JOIN (SELECT DISTINCT vw, cloud_id, view_id FROM v) USING (vw) GROUP BY 1,2""")
+def e11s(big):
+    """How far the label of the neighbour distances' variation outlives two repeats of noise, in every view of every cloud."""
+    return r6(g.jitter_stability(big, 6, {"cv": 0.5}, 2, 0.02, 0.05), "cloud_id", "view_id", "label", cols=["jaccard"])
+
+
+@query("e11_stability_shape", "pts")
+def e11p(pts):
+    """The same for curvature and normal difference, of whole clouds; held against brute force in the tests."""
+    views = pts.withColumn("view_id", F.lit(0))
+    return r6(g.jitter_stability(views, 4, {"curvature": 0.02, "angle": 20.0}, 2, 0.5, 1.0), "cloud_id", "label", cols=["jaccard"])
+
+
+@query("e11_methods", "pts")
+def e11m(pts):
+    """How far labels of two scores agree in each cloud; held against brute force in the tests."""
+    return r6(g.method_agreement(g.neighbours(pts, 4), {"curvature": 0.02, "cv": 0.5, "angle": 20.0}), "cloud_id", "a", "b", cols=["jaccard"])
+
+
 _SUM = "round(avg({0}),6) AS mean, round(quantile_cont({0},0.5),6) AS median, round(quantile_cont({0},0.1),6) AS p10, round(quantile_cont({0},0.9),6) AS p90 FROM cat"
 
 
@@ -352,9 +379,7 @@ def e14(big):
     return r6(g.registration_residual(big, 10.0), "cloud_id", "pair", "n", "inliers", cols=["rmse", "inlier_ratio"])
 
 
-@query("e14_residual_all", "big")
-def e14_all(big):
-    return r6(g.registration_residual(big, 10.0), "cloud_id", "pair", "n", "inliers", cols=["rmse", "inlier_ratio"])
+again("e14_residual_all", "e14_residual")
 
 
 @query("e15_gain", "big", sql=f"WITH {_ALL}, {_RES.format(1, 'true')}, {_RES.format(2, 'd<=100')} SELECT cloud_id, pair, round(r1.rmse+1e-10,6) AS pre, round(r2.rmse+1e-10,6) AS post, round(r1.rmse-r2.rmse+1e-10,6) AS gain, round(100*(r1.rmse-r2.rmse)/r1.rmse+1e-10,6) AS percent FROM r1 JOIN r2 USING (cloud_id, pair)")
@@ -362,9 +387,7 @@ def e15(big):
     return r6(g.residual_gain(g.registration_residual(big), g.registration_residual(big, 10.0)), "cloud_id", "pair", cols=["pre", "post", "gain", "percent"])
 
 
-@query("e15_gain_all", "big")
-def e15_all(big):
-    return r6(g.residual_gain(g.registration_residual(big), g.registration_residual(big, 10.0)), "cloud_id", "pair", cols=["pre", "post", "gain", "percent"])
+again("e15_gain_all", "e15_gain")
 
 
 _AX = """th AS (SELECT cloud_id, count(*) n, atan2(2*covar_samp(x,y), var_samp(x)-var_samp(y))/2 t FROM big GROUP BY 1), ax AS (SELECT cloud_id, CASE WHEN n<3 THEN 1.0 WHEN sin(t)<0 THEN -cos(t) ELSE cos(t) END ax, CASE WHEN n<3 THEN 0.0 ELSE abs(sin(t)) END ay FROM th),

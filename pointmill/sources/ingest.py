@@ -1,121 +1,16 @@
-"""Scans and sinks: cloud files, layouts, sidecars, identities, prediction tables, manifests, meshes."""
+"""Layouts, sidecars, identities, prediction tables and manifests; clouds and meshes are read by ``ranges`` and ``mesh``."""
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointmill.functions.hashing import uniform
-from pointmill.operators.points import XYZ
+from pointmill.sources.mesh import read_meshes, sample_surface
+from pointmill.sources.ranges import header_counts, list_files, read_clouds
+
+__all__ = ["read_meshes", "sample_surface", "header_counts", "list_files", "read_clouds"]
 
-_TYPES = {("F", 4): "<f4", ("F", 8): "<f8", **{("I", n): f"<i{n}" for n in (1, 2, 4, 8)}, **{("U", n): f"<u{n}" for n in (1, 2, 4, 8)}}
 IGNORED = (".git", "__pycache__", "exports", "wandb", "checkpoint", "checkpoints")
-POINTS = "path string, pt long, x double, y double, z double, extra map<string,double>, error string"
-
-
-def parse_header(head: bytes) -> tuple[dict[str, list[str]], int]:
-    """PCD header fields and where the body starts."""
-    fields, at = {}, 0
-    while True:
-        end = head.index(b"\n", at)
-        line = head[at:end].decode("ascii", "replace").strip()
-        at = end + 1
-        if line and not line.startswith("#"):
-            name, *rest = line.split()
-            fields[name.upper()] = rest
-            if name.upper() == "DATA":
-                return fields, at
-
-
-def declared_count(fields: dict[str, list[str]]) -> int:
-    """POINTS, else WIDTH x HEIGHT."""
-    return int(fields["POINTS"][0]) if "POINTS" in fields else int(fields["WIDTH"][0]) * int(fields["HEIGHT"][0])
-
-
-def _pcd(data: bytes) -> dict[str, np.ndarray]:
-    fields, at = parse_header(data)
-    counts = [int(c) for c in fields.get("COUNT", ["1"] * len(fields["FIELDS"]))]
-    names = [n if c == 1 else f"{n}_{i}" for n, c in zip(fields["FIELDS"], counts) for i in range(c)]
-    n = declared_count(fields)
-    if fields["DATA"][0] == "ascii":
-        table = np.loadtxt(io.BytesIO(data[at:]), ndmin=2, max_rows=n) if data[at:].strip() else np.empty((0, len(names)))
-        if len(table) < n or table.shape[1] != len(names):
-            raise ValueError("truncated body")
-        return {k: table[:, i] for i, k in enumerate(names)}
-    if fields["DATA"][0] != "binary":
-        raise ValueError(f"unsupported DATA {fields['DATA'][0]}")
-    kinds = [_TYPES[t, int(s)] for t, s, c in zip(fields["TYPE"], fields["SIZE"], counts) for _ in range(c)]
-    kind = np.dtype(list(zip(names, kinds)))
-    if len(data) - at < n * kind.itemsize:
-        raise ValueError("truncated body")
-    rows = np.frombuffer(data, kind, n, at)
-    return {k: rows[k].astype(float) for k in names}
-
-
-def _ply(data: bytes) -> dict[str, np.ndarray]:
-    head, _, body = data.partition(b"end_header\n")
-    lines = [x.split() for x in head.decode("ascii", "replace").splitlines()]
-    if ["format", "ascii", "1.0"] not in lines:
-        raise ValueError("only ascii PLY is read")
-    n = next(int(x[2]) for x in lines if x[:2] == ["element", "vertex"])
-    names, inside = [], False
-    for x in lines:
-        inside = x[1] == "vertex" if x and x[0] == "element" else inside
-        if inside and x and x[0] == "property":
-            names.append(x[-1])
-    table = np.loadtxt(io.BytesIO(b"\n".join(body.splitlines()[:n])), ndmin=2) if n else np.empty((0, len(names)))
-    if len(table) < n:
-        raise ValueError("truncated body")
-    return {k: table[:, i] for i, k in enumerate(names)}
-
-
-def _npy(data: bytes) -> dict[str, np.ndarray]:
-    x = np.load(io.BytesIO(data), allow_pickle=False)
-    if x.ndim != 2 or x.shape[1] < 3:
-        raise ValueError("N x 3 or wider is needed")
-    return {k: x[:, i].astype(float) for i, k in enumerate(["x", "y", "z", *(f"f{i}" for i in range(3, x.shape[1]))])}
-
-
-def read_clouds(spark: SparkSession, folder: str, glob: str = "*.{pcd,ply,npy}", kind: str | None = None) -> DataFrame:
-    """Points of every PCD, PLY and NPY file below ``folder``: (path, pt, x, y, z, extra, error). A bad or empty file gives one row with its error; NaN coordinates
-    arrive as nulls. ``kind`` is the format of files whose names don't end with it."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        readers = {"pcd": _pcd, "ply": _ply, "npy": _npy}
-        for batch in batches:
-            for path, data in zip(batch["path"], batch["content"]):
-                try:
-                    cols = readers[kind or path.rsplit(".", 1)[-1].lower()](bytes(data))
-                    if not len(cols["x"]) or not {"x", "y", "z"} <= set(cols):
-                        raise ValueError("empty cloud")
-                    more = [k for k in cols if k not in XYZ]
-                    extra = [dict(zip(more, row)) for row in zip(*(cols[k] for k in more))] if more else [{}] * len(cols["x"])
-                    yield pd.DataFrame({"path": path, "pt": np.arange(len(cols["x"])), **{c: cols[c] for c in XYZ}, "extra": extra, "error": None})
-                except Exception as e:  # a bad file must not fail the job
-                    yield pd.DataFrame({"path": [path], "pt": [None], "x": [None], "y": [None], "z": [None], "extra": [None], "error": [f"{type(e).__name__}: {e}"[:200]]})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    return files.select("path", "content").mapInPandas(parse, POINTS)
-
-
-def header_counts(spark: SparkSession, folder: str, glob: str = "*.pcd") -> DataFrame:
-    """(path, n_points) from the first 4 KB of every PCD; null where the header can't be read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    head = F.decode(F.substring(F.col("content"), 1, 4096), "ISO-8859-1")
-    number = lambda k: F.regexp_extract(head, rf"(?m)^{k} (\d+)", 1)
-    n = F.coalesce(F.expr("try_cast(p AS bigint)"), F.expr("try_cast(w AS bigint) * try_cast(h AS bigint)"))
-    return files.select("path", number("POINTS").alias("p"), number("WIDTH").alias("w"), number("HEIGHT").alias("h")).select("path", n.alias("n_points"))
-
-
-def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, length); contents are never read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder).select("path", "length")
 
 
 def ignored(path: Column, names: tuple[str, ...] = IGNORED) -> Column:
@@ -151,13 +46,22 @@ def layout(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.withColumn("layout", kind).withColumns({"class_name": name, "bucket": bucket, "split": side})
 
 
-def attach_sidecars(clouds: DataFrame, sidecars: DataFrame, schema: str, stem: str = "stem") -> DataFrame:
-    """``meta`` from the JSON of the same stem, else from that of the stem without its frame: the first that is JSON; else null."""
-    readable = sidecars.filter(F.expr("try_parse_json(text)").isNotNull())
-    parsed = readable.select(F.col("stem").alias("__s"), F.from_json("text", schema, {"mode": "PERMISSIVE"}).alias("__m"))
-    group = F.regexp_replace(stem, "__frame_[^_]+$", "")
+def of_split(paths: DataFrame, split: str, path: str = "path") -> DataFrame:
+    """The files that a split reads of flat folders, split/class/file, and of mesh folders, class/{train,test}/file.off, where every split but train reads test."""
+    mesh = F.regexp_like(path, F.lit(r"(^|/)(train|test)/[^/]*\.off$"))
+    own = F.regexp_like(path, F.lit(rf"(^|/){'train' if split == 'train' else 'test'}/[^/]*\.off$"))
+    return paths.filter(F.when(mesh, own).otherwise(F.regexp_like(path, F.lit(rf"(^|/){split}/[^/]+/[^/]+$"))))
+
+
+def attach_sidecars(clouds: DataFrame, sidecars: DataFrame, schema: str, path: str = "path") -> DataFrame:
+    """``meta`` from the JSON (path, text) beside the cloud, <folder>/<stem>.json; else, where the cloud's folder is pcds, from ../json/<stem without its frame>.json: the first
+    that is JSON; else null. Each cloud keeps one row, whatever sidecars there are: of several rows of one sidecar path the least text counts."""
+    readable = sidecars.filter(F.expr("try_parse_json(text)").isNotNull()).groupBy(F.regexp_replace("path", r"\.json$", "").alias("__s")).agg(F.min("text").alias("__t"))
+    parsed = readable.select("__s", F.from_json("__t", schema, {"mode": "PERMISSIVE"}).alias("__m"))
+    own = F.regexp_replace(path, r"\.[^./]*$", "")
+    shared = F.when(F.regexp_like(path, F.lit(r"(^|/)pcds/[^/]+$")), F.regexp_replace(F.regexp_replace(own, "__frame_[^_/]+$", ""), r"(^|/)pcds/([^/]+)$", "$1json/$2"))
     a, b = (parsed.select(F.col("__s").alias(s), F.col("__m").alias(m)) for s, m in (("__s1", "__m1"), ("__s2", "__m2")))
-    df = clouds.join(a, F.col(stem) == F.col("__s1"), "left").join(b, group == F.col("__s2"), "left")
+    df = clouds.join(a, own == F.col("__s1"), "left").join(b, shared == F.col("__s2"), "left")
     return df.withColumn("meta", F.coalesce("__m1", "__m2")).drop("__s1", "__s2", "__m1", "__m2")
 
 
@@ -184,34 +88,11 @@ def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """manifest.jsonl where there is one, else rows from split/class/*.pcd."""
+    """manifest.jsonl of the folder itself where there is one, else rows from split/class/*.pcd."""
     files = list_files(spark, folder)
-    if not files.filter(F.regexp_like("path", F.lit(r"/manifest\.jsonl(/part-[^/]*)?$"))).isEmpty():
+    top = F.regexp_like("path", F.lit(r"/manifest\.jsonl(/part-[^/]*)?$"))
+    names = F.regexp_replace(F.regexp_replace("path", r"/manifest\.jsonl(/part-[^/]*)?$", ""), "^[a-z0-9]+:/+", "/")
+    if not files.filter(top & (names == F.regexp_replace(F.lit(folder.rstrip("/")), "^[a-z0-9]+:/+", "/"))).isEmpty():
         return spark.read.schema(schema).json(f"{folder}/manifest.jsonl")
     clouds = layout(files.filter(F.col("path").endswith(".pcd"))).filter("layout = 'flat'")
     return clouds.select(F.col("split"), F.col("class_name").alias("dataset_class"), F.regexp_extract("path", r"([^/]+)\.pcd$", 1).alias("sample_id"), F.col("path").alias("dataset_pcd"))
-
-
-def sample_surface(vertices: DataFrame, faces: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n area-weighted points per mesh. vertices (mesh_id, v, x, y, z), faces (mesh_id, face, v0, v1, v2); faces without area are dropped; a mesh
-    without any gives its vertices."""
-    v = [vertices.select("mesh_id", F.col("v").alias(f"v{i}"), *(F.col(c).alias(f"{c}{i}") for c in XYZ)) for i in range(3)]
-    t = faces
-    for i in range(3):
-        t = t.join(v[i], ["mesh_id", f"v{i}"])
-    e, f = ({c: F.col(f"{c}{i}") - F.col(f"{c}0") for c in XYZ} for i in (1, 2))
-    cross = (e["y"] * f["z"] - e["z"] * f["y"], e["z"] * f["x"] - e["x"] * f["z"], e["x"] * f["y"] - e["y"] * f["x"])
-    t = t.withColumn("area", F.sqrt(cross[0] ** 2 + cross[1] ** 2 + cross[2] ** 2) / 2).filter("area > 1e-12")
-    w = W.partitionBy("mesh_id").orderBy("face")
-    total = F.sum("area").over(W.partitionBy("mesh_id"))
-    t = t.withColumns({"hi": F.sum("area").over(w.rowsBetween(W.unboundedPreceding, 0)) / total, "__n": F.row_number().over(w)})
-    t = t.withColumn("lo", F.coalesce(F.lag("hi").over(w), F.lit(0.0)))
-    t = t.withColumn("hi", F.when(F.lead("face").over(w).isNull(), 1.0).otherwise(F.col("hi")))  # the last sum may round below 1
-    draws = t.select("mesh_id").distinct().withColumn("pt", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")))
-    draws = draws.withColumn("u", uniform(seed, "mesh_id", "pt"))
-    hit = draws.alias("d").join(t.alias("t"), (F.col("d.mesh_id") == F.col("t.mesh_id")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-    r1, r2 = F.sqrt(uniform(seed, "d.mesh_id", "pt", F.lit("a"))), uniform(seed, "d.mesh_id", "pt", F.lit("b"))
-    at = [((1 - r1) * F.col(f"{c}0") + r1 * (1 - r2) * F.col(f"{c}1") + r1 * r2 * F.col(f"{c}2")).alias(c) for c in XYZ]
-    sampled = hit.select(F.col("d.mesh_id").alias("mesh_id"), "pt", *at)
-    bare = vertices.join(t.select("mesh_id").distinct(), "mesh_id", "left_anti").select("mesh_id", F.col("v").cast("bigint").alias("pt"), *XYZ)
-    return sampled.unionByName(bare)
