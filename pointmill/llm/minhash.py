@@ -248,11 +248,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps: exactly one of each class. Of rows that repeat doc_id and text, any one
     stays."""
-    found = near_duplicates(docs, similarity).filter("kept").groupBy(F.col("doc_id").alias("__i"), F.col("digest").alias("__d")).agg(F.count("*").alias("__n"))
+    found = near_duplicates(docs, similarity).filter("kept").groupBy(F.col("doc_id").alias("i"), F.col("digest").alias("d")).agg(F.count("*").alias("n"))
     found = materialize(found, "kept")
-    left = docs.withColumn("__t", text_digest(F.col("text")))
-    left = left.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__d")))
-    once = left.filter("__n = 1")
-    if not found.filter("__n > 1").isEmpty():
-        once = once.unionByName(left.filter("__n > 1").dropDuplicates(["__i", "__d"]))
-    return once.select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own"), text_digest(F.col("text")).alias("t"))  # columns clash with none
+    left = rows.join(found, F.col("own").eqNullSafe(F.col("i")) & (F.col("t") == F.col("d")))
+    once = left.filter("n = 1")
+    if not found.filter("n > 1").isEmpty():
+        once = once.unionByName(left.filter("n > 1").dropDuplicates(["i", "d"]))
+    return once.select("row.*")

@@ -11,7 +11,7 @@ import corpus_pipeline
 from pointmill.llm import common, minhash, mixing, secrets
 
 SF = "/root/testdata/sf0.001"
-CLASH = ("epoch", "block", "tokens", "weight", "spans", "ratio", "slices", "null", "digest", "score", "held_out", "id", "rep", "component", "keys", "piece_", "n")
+CLASH = ("epoch", "block", "tokens", "weight", "spans", "ratio", "slices", "null", "digest", "score", "held_out", "id", "rep", "component", "keys", "piece_", "n", "__t", "__i", "__d", "__n", "__row", "own", "i", "d", "t")
 
 
 def prose(n, seed, words=tuple(f"word{i}" for i in range(400))):
