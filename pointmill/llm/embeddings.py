@@ -151,17 +151,39 @@ def _repeats(rows: DataFrame, key: str = "vec_id") -> bool:
 #: Queries of a group, vectors of a block, blocks that a task gets of one group at once, queries scored together, and lists a vector is cut into.
 QUERY_GROUP, VECTOR_BLOCK, BLOCKS, SLICE, LISTS = 16_384, 2048, 16, 256, 2
 BITS = 1024.0
-#: Components of this size or more could overflow a score; such vectors take no part.
-TOO_LARGE = float(1 << 24) / BITS
+#: Scores are exact below this size; one among the results that is not is an error.
+LIMIT = 1 << 61
 _LOWEST = -(1 << 62)
 
 
+def whole(x: Column, scale: float) -> Column:
+    """floor(scale * x) as a double, which holds it exactly whatever its size."""
+    y = x.cast("double") * scale
+    return F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)
+
+
+def exact_products(u: np.ndarray, v: np.ndarray, limit: int = LIMIT) -> np.ndarray:
+    """Inner products of integers held as doubles: by floats where they hold all that can occur, by 64-bit or by Python's integers else. What reaches the limit comes as the limit."""
+    most = np.abs(u).max(initial=0) * np.abs(v).max(initial=0) * float(u.shape[1])
+    if most < 2**53:
+        return (u @ v.T).astype(np.int64)
+    if most < 2**61:
+        return u.astype(np.int64) @ v.astype(np.int64).T
+    exact = np.frompyfunc(int, 1, 1)
+    return np.clip(exact(u) @ exact(v).T, -limit, limit).astype(np.int64)
+
+
 def _partial_scores(q: np.ndarray, v: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Exact partial inner products of every query with every vector, one matrix a list; floats where they hold all integers that can occur."""
+    """Exact partial inner products of every query with every vector, one matrix a list. Where they might not fit 64 bits, the first one holds the whole products and the others nothing;
+    thresholds hold for any way to share a score out over the lists."""
     cut = np.linspace(0, q.shape[1], min(lists, q.shape[1]) + 1).astype(int)
-    if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * float(q.shape[1]) < 2**53:
-        q, v = q.astype(np.float64), v.astype(np.float64)
-    return [q[:, i:j] @ v[:, i:j].T for i, j in zip(cut, cut[1:])]
+    most = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * float(q.shape[1])
+    if most < 2**53:
+        return [q[:, i:j] @ v[:, i:j].T for i, j in zip(cut, cut[1:])]
+    if most < 2**61:
+        q, v = q.astype(np.int64), v.astype(np.int64)
+        return [q[:, i:j] @ v[:, i:j].T for i, j in zip(cut, cut[1:])]
+    return [exact_products(q, v), *(np.zeros((len(q), len(v)), np.int64) for _ in cut[2:])]
 
 
 def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -215,6 +237,7 @@ def resolve(q: np.ndarray, bound: np.ndarray, limit: np.ndarray, blocks: list[tu
         radius = [np.linalg.norm(v[:, i:j] - centre[i:j], axis=1).max() for i, j in zip(cut, cut[1:])]
         most = np.stack([q[:, i:j] @ centre[i:j] for i, j in zip(cut, cut[1:])], 1) + norm * radius
         most += 1 + 1e-9 * np.abs(most)
+        most = np.where(np.isnan(most), np.inf, most)  # too large for floats
         serves = np.flatnonzero((most >= limit).any(1) & (most.sum(1) >= bound))
         for at in range(0, len(serves), SLICE):
             own = serves[at : at + SLICE]
@@ -230,7 +253,7 @@ def resolve(q: np.ndarray, bound: np.ndarray, limit: np.ndarray, blocks: list[tu
 
 
 def _matrix(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.asarray(ids), np.asarray(values).reshape(len(ids), -1)
+    return np.asarray(ids), np.asarray(values, np.float64).reshape(len(ids), -1)
 
 
 def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, lists: int = LISTS, query_group: int = QUERY_GROUP, vector_block: int = VECTOR_BLOCK) -> DataFrame:
@@ -243,14 +266,13 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, lists: in
     be among the best. Phase 3 resolves the missing lists of the others exactly, in the block, and only what reaches the bound leaves it: a
     number of entries that does not grow with the pairs. Ties go to the smaller vec_id.
 
-    Defined cases: vectors that are null, empty or hold null, non-finite or too large components (|x| >= TOO_LARGE, whose scores might not fit) take no
-    part; vectors of different lengths never meet; rows that repeat a vec_id count once; with fewer than k others all are returned;
+    Defined cases: vectors that are null, empty or hold null or non-finite components take no part; those of any size do, and a score among the results of LIMIT
+    or more is an error; vectors of different lengths never meet; rows that repeat a vec_id count once; with fewer than k others all are returned;
     other columns are ignored; no rows, no result.
     """
     spark, best = vectors.sparkSession, k + 1  # a query is among its own best
-    e = F.col("embedding").cast("array<double>")
-    rows = vectors.filter(F.col("vec_id").isNotNull() & valid(F.col("embedding")) & F.forall(e, lambda x: F.abs(x) < TOO_LARGE))
-    rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.transform(e, lambda x: F.floor(x * BITS).cast("long")).alias("q"))
+    rows = vectors.filter(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
+    rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: whole(x, BITS)).alias("q"))
     rows = materialize(rows.groupBy("id").agg(F.min("q").alias("q")) if _repeats(rows, "id") else rows, "vectors")
     first_ids = rows.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("id"))).filter(F.col("r") <= best)
     classes = materialize(first_ids.groupBy("q").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids")), "classes")
@@ -274,7 +296,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, lists: in
                 near = (np.array(part["q"].tolist(), np.float64) @ np.stack([x for _, x in pivots]).T).argmax(1)
                 yield part.assign(dims=d, pivot=np.array([i for i, _ in pivots])[near])
 
-    placed = classes.select("rep", "q").mapInPandas(place, "rep long, q array<long>, dims int, pivot int")
+    placed = classes.select("rep", "q").mapInPandas(place, "rep long, q array<double>, dims int, pivot int")
     placed = materialize(placed, "placed")
 
     def gathered(df: DataFrame, size: int, name: str, *columns) -> DataFrame:
@@ -330,7 +352,8 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, lists: in
         bounds, kths = np.asarray(group["bounds"].iloc[0]), np.asarray(group["kths"].iloc[0]).reshape(len(ids), -1)
         at, reps, scores = resolve(q, bounds, thresholds(kths, bounds), [_matrix(*x) for x in zip(blocks["ids"], blocks["values"])], best, lists)
         start = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, np.int64)
-        return pd.DataFrame({"query": ids[at[start]], "reps": np.split(reps, start[1:])[: len(start)], "scores": np.split(scores, start[1:])[: len(start)]})
+        cut = lambda x: pd.Series(np.split(x, start[1:])[: len(start)], dtype=object)
+        return pd.DataFrame({"query": ids[at[start]], "reps": cut(reps), "scores": cut(scores)})
 
     sent = materialize(met(groups, False, "query long, reps array<long>, scores array<long>", second), "phase2")
     entries = sent.select("query", F.explode(F.arrays_zip("reps", "scores")).alias("x")).select("query", F.col("x.reps").alias("rep"), F.col("x.scores").alias("score"))
@@ -339,4 +362,5 @@ def nearest_vectors(vectors: DataFrame, k: int = 10, every: int = 100, lists: in
     each = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("below"), i.alias("id")))
     top = entries.groupBy("query").agg(F.flatten(F.collect_list(each)).alias("x")).select(F.col("query").alias("rep"), F.slice(F.array_sort("x"), 1, best).alias("x"))  # (k + 1) ** 2 at most
     out = asked.join(top, "rep").select("query_id", F.posexplode(F.slice(F.filter("x", lambda y: y["id"] != F.col("query_id")), 1, k)).alias("at", "y"))
-    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("y.id").alias("vec_id"), (-F.col("y.below")).alias("score"))
+    out = out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("y.id").alias("vec_id"), (-F.col("y.below")).alias("score"))
+    return out.filter(F.when(F.abs("score") < LIMIT, True).otherwise(F.raise_error(F.lit("a score does not fit 62 bits")).cast("boolean")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pointmill.llm.common import materialize
-from pointmill.llm.embeddings import valid
+from pointmill.llm.embeddings import exact_products, valid, whole
 
 SCALE = 256.0
 #: Anchors of a group, vectors of a block, blocks that a task gets of one group at once, anchors of a cluster, list entries walked at once, and parts of a hot class.
@@ -20,17 +20,6 @@ MAX_PIVOTS = 1024
 _LOWEST, _LIMIT = -(1 << 62), (1 << 63) - 1
 
 
-def exact_products(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of integers held as doubles: by floats where they hold all that can occur, by 64-bit or by Python's integers else. What does not fit 64 bits comes as the limit."""
-    most = np.abs(u).max(initial=0) * np.abs(v).max(initial=0) * float(u.shape[1])
-    if most < 2**53:
-        return (u @ v.T).astype(np.int64)
-    if most < 2**62:
-        return u.astype(np.int64) @ v.astype(np.int64).T
-    whole = np.frompyfunc(int, 1, 1)
-    return np.clip(whole(u) @ whole(v).T, -_LIMIT, _LIMIT).astype(np.int64)
-
-
 def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors, zero for zero, and norms."""
     with np.errstate(over="ignore"):
@@ -78,7 +67,7 @@ def walk(q: np.ndarray, v: np.ndarray, threshold: Callable[[np.ndarray], np.ndar
             if not len(members):
                 break
             entries = listed[at : at + step]
-            visit(members, entries, exact_products(q[members], v[entries]))
+            visit(members, entries, exact_products(q[members], v[entries], _LIMIT))
             done += len(members) * len(entries)
     return done
 
@@ -186,10 +175,8 @@ def mine_negatives(
     fewer rows; a score among the results that does not fit 64 bits is an error; other columns are ignored; no rows, no result.
     """
     spark, k = vectors.sparkSession, positives + 1  # an anchor is among its own label
-    y = lambda x: x.cast("double") * scale
-    whole = lambda x: F.when(F.abs(y(x)) < 2.0**52, F.floor(y(x)).cast("double")).otherwise(y(x))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & valid(F.col("embedding")))
-    rows = materialize(rows.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), F.transform("embedding", whole).alias("q")).distinct(), "vectors")
+    rows = materialize(rows.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), F.transform("embedding", lambda x: whole(x, scale)).alias("q")).distinct(), "vectors")
     firsts = rows.withColumn("r", F.row_number().over(W.partitionBy("label", "q").orderBy("id"))).filter(F.col("r") <= max(k, negatives))
     classes = firsts.groupBy("label", "q").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("key", F.monotonically_increasing_id())
     classes = materialize(classes.withColumns({"first": F.col("ids")[0], "dims": F.size("q")}), "classes")

@@ -250,7 +250,7 @@ def brute_top_k(rows, k, every):
     """{query: [(vec_id, score), ...]} over rows of (id, components)."""
     known = {}
     for i, x in rows:
-        if i is not None and x and all(c is not None and np.isfinite(c) and abs(c) < embeddings.TOO_LARGE for c in x):
+        if i is not None and x and all(c is not None and np.isfinite(c) for c in x):
             known[i] = min(known.get(i, x), x)
     q = {i: [int(np.floor(1024 * float(c))) for c in x] for i, x in known.items()}
     found = {}
@@ -261,6 +261,19 @@ def brute_top_k(rows, k, every):
     return found
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [20000.0] + [0.0] * 7), (1, [20000.0, 1.0] + [0.0] * 6), (2, [1.0] * 8), (100, [1.0] * 8), (200, [float(2**18)] * 8), (3, [-float(2**18)] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in embeddings.nearest_vectors(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == brute_top_k(rows, 10, 100) and got[0][1] == (1, 20000 * 20000 * 1024 * 1024)
+    u, v = np.array([[2.0**40, 3.0], [1.0, -(2.0**70)]]), np.array([[2.0**19, 5.0], [7.0, 1.0]])
+    assert embeddings._partial_scores(u, v, 2)[0].tolist() == [[(1 << 59) + 15, 7 * (1 << 40) + 3], [-embeddings.LIMIT, -embeddings.LIMIT]]
+    with pytest.raises(Exception, match="62 bits"):
+        embeddings.nearest_vectors(spark.createDataFrame([(i, [1e300, 1.0]) for i in range(3)], "vec_id long, embedding array<double>")).collect()
+
+
 @pytest.mark.parametrize(("group", "block", "lists"), [(16_384, 2048, 2), (7, 20, 3)])
 def test_top_k_equals_brute_force(spark, group, block, lists):
     """Copies, ties, clusters, other lengths, odd and too large vectors, repeated rows; one group, and many groups, pivots and blocks."""
@@ -268,7 +281,7 @@ def test_top_k_equals_brute_force(spark, group, block, lists):
     near = rng.normal(size=8)
     rows = [(int(i), [round(float(c), 2) for c in rng.integers(-2, 3, 8) / 2]) for i in range(150)]  # many ties
     rows += [(200 + i, [0.5] * 8) for i in range(60)] + [(300 + i, (near + rng.normal(size=8) / 20).tolist()) for i in range(100)]
-    rows += [(500 + i, rng.normal(size=3).tolist()) for i in range(15)] + [(600, [1e300] * 8), (601, None), (602, []), (603, [float("nan")] * 8), (604, [None] * 8), (None, [1.0] * 8)]
+    rows += [(500 + i, rng.normal(size=3).tolist()) for i in range(15)] + [(600, [2e7] * 8), (601, None), (602, []), (603, [float("nan")] * 8), (604, [None] * 8), (None, [1.0] * 8)]
     rows += [rows[5], (20, [9.0] * 8), (605, [0.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rep", F.lit(1)).withColumn("q", F.lit("x"))
     got = {}

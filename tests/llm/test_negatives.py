@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from pointmill.llm import negatives
-from pointmill.llm.negatives import Best, exact_products, mine_negatives, upper_bounds, walk
+from pointmill.llm.embeddings import exact_products
+from pointmill.llm.negatives import Best, mine_negatives, upper_bounds, walk
 from pointmill.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -65,7 +66,7 @@ def test_large_components_are_exact(spark):
     with pytest.raises(Exception, match="64 bits"):
         mine_negatives(frame(spark, [(i, i % 2, [1e30, 1.0]) for i in range(8)])).collect()
     u = np.array([[2.0**60, 1.0], [3.0, -(2.0**70)]])
-    assert exact_products(u, np.array([[4.0, 5.0], [0.0, 1.0]])).tolist() == [[(1 << 62) + 5, 1], [-(2**63) + 1, -(2**63) + 1]]
+    assert exact_products(u, np.array([[4.0, 5.0], [0.0, 1.0]]), (1 << 63) - 1).tolist() == [[(1 << 62) + 5, 1], [-(2**63) + 1, -(2**63) + 1]]
 
 
 def test_share_is_a_parameter(spark, mixed):
