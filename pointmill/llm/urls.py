@@ -31,8 +31,6 @@ BLOCK_SEEDS = (
 ORDINARY = 0.9
 #: Probability of block before a token is seen.
 PRIOR = 0.5
-#: The longest label that a host name can have. Longer runs of letters are no labels and stay whole.
-LABEL_LENGTH = 63
 #: Naive Bayes counts tokens in this many hash buckets, so the model has a fixed size.
 BUCKETS = 1 << 16
 
@@ -62,14 +60,21 @@ def unigrams(texts: DataFrame) -> DataFrame:
 
 
 def viterbi(label: str, log_p: dict[tuple[int, int], float], total: float) -> list[str]:
-    """The likeliest split of a label into words; an unknown piece of k characters has probability 10 / (total * 10 ** k)."""
-    n = len(label)
+    """The likeliest split of a label into words; an unknown piece of k characters has probability 10 / (total * 10 ** k). ``log_p`` has the known pieces. Time
+    grows with the label and the known pieces only: the best start of an unknown piece is the same for all its ends."""
+    n, each = len(label), math.log(10)
+    known: dict[int, list[tuple[int, float]]] = {}
+    for (start, end), p in sorted(log_p.items()):
+        known.setdefault(end, []).append((start, p))
     best, cut = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    lead, lead_start = 0.0, 0  # the greatest best[start] + start * each so far
     for end in range(1, n + 1):
-        for start in range(end):
-            score = best[start] + log_p.get((start, end), math.log(10 / total) - (end - start) * math.log(10))
-            if score > best[end]:
-                best[end], cut[end] = score, start
+        if best[end - 1] + (end - 1) * each > lead:
+            lead, lead_start = best[end - 1] + (end - 1) * each, end - 1
+        best[end], cut[end] = lead + math.log(10 / total) - end * each, lead_start
+        for start, p in known.get(end, ()):
+            if best[start] + p > best[end]:
+                best[end], cut[end] = best[start] + p, start
     out = []
     while n:
         out.append(label[cut[n] : n])
@@ -80,15 +85,15 @@ def viterbi(label: str, log_p: dict[tuple[int, int], float], total: float) -> li
 def segment_labels(labels: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(label, words) for every distinct ``label``: unigram Viterbi over the words of ``lexicon`` (word, n).
 
-    The pieces of a label meet the lexicon in a join, so neither side is broadcast; a label has at most LABEL_LENGTH characters, so at most 2,016
-    pieces, and all of them are looked up. What is longer is one word.
+    The pieces of a label meet the lexicon in a join, so neither side is broadcast. Only pieces as long as some word of the lexicon are looked up, so a label of any length
+    gives a number of pieces in proportion to it.
     """
     total = lexicon.agg(F.sum("n")).first()[0] or 1
-    labels = labels.select("label").distinct()
-    short = F.length("label") <= LABEL_LENGTH
-    starts = F.sequence(F.lit(0), F.length("label") - 1)
-    spans = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(s + 1, F.length("label")), lambda e: F.struct(s.alias("s"), e.alias("e")))))
-    cut = labels.filter((F.col("label") != "") & short).select("label", F.explode(spans).alias("x")).select("label", "x.s", "x.e", F.substring(F.col("label"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("word"))
+    lengths = sorted(r[0] for r in lexicon.select(F.length("word").alias("k")).distinct().collect())  # a few dozen numbers
+    labels = labels.select("label").distinct().filter("label <> ''")
+    starts = labels.select("label", F.explode(F.sequence(F.lit(0), F.length("label") - 1)).alias("s"))
+    cut = starts.select("label", "s", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("k")).filter(F.col("s") + F.col("k") <= F.length("label"))
+    cut = cut.select("label", "s", (F.col("s") + F.col("k")).alias("e"), F.substring(F.col("label"), F.col("s") + 1, F.col("k")).alias("word"))
     known = cut.join(lexicon, "word").groupBy("label").agg(F.collect_list(F.struct("s", "e", "n")).alias("found"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,8 +104,7 @@ def segment_labels(labels: DataFrame, lexicon: DataFrame) -> DataFrame:
                 words.append(viterbi(label, log_p, total))
             yield pd.DataFrame({"label": batch["label"], "words": words})
 
-    long = labels.filter(~short).select("label", F.array("label").alias("words"))
-    return labels.filter(short).join(known, "label", "left").mapInPandas(split, "label string, words array<string>").unionByName(long)
+    return labels.join(known, "label", "left").mapInPandas(split, "label string, words array<string>")
 
 
 def _tokens(host_words: Column, path: Column) -> Column:
