@@ -99,9 +99,42 @@ def test_ordinal_gradient_is_that_of_the_likelihood():
     assert np.allclose(np.concatenate([g, db]), [(value(x + e) - value(x - e)) / 2e-5 for e in np.eye(8) * 1e-5], atol=1e-6)
 
 
-def test_long_texts_of_the_fit_are_bounded():
-    words = toxicity.text_features(" ".join(f"w{i}" for i in range(50_000)))[0][: toxicity.FIT_WORDS]
-    assert len(words) == toxicity.FIT_WORDS
+def test_marked_words_of_very_long_texts_enter_the_fit(spark):
+    """A text of 60,000 distinct words whose only marked word is one of the last: the model equals one fitted on all words in memory."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60_000)]
+    texts = [(i, " ".join(rng.choices(words[:300], k=40)) + (" vileword" * (1 + i % 3) if i % 2 else "")) for i in range(60)]
+    texts += [(100 + i, " ".join(words) + (" vileword" if i % 2 else "")) for i in range(4)]
+    docs, labels = spark.createDataFrame(texts + texts[:3], "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    got = toxicity.fit(docs, labels)
+    made, toxic = [toxicity.text_features(t) for _, t in texts], np.array([i % 2 for i, _ in texts])
+    want = toxicity.OrdinalModel().fit([m[0] for m in made], toxicity._grades(made, toxic), np.ones(len(toxic)))
+    assert np.allclose(got.w, want.w) and np.allclose(got.cuts, want.cuts) and got.w[toxicity.text_features("vileword")[0][0]] > 0
+    scored = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    for (i, _), m in zip(texts, made):
+        above = 1 / (1 + np.exp(-(want.w[m[0]].sum() - want.cuts)))
+        assert abs(scored[i]["severity"] - above.sum()) < 1e-6 and abs(scored[i]["p_toxic"] - above[0]) < 1e-6
+
+
+def test_long_labels_are_segmented(spark):
+    label = "".join(w * 3 for w in ("casino", "news", "zzqx")) * 12
+    lexicon = spark.createDataFrame([("casino", 30), ("news", 50), ("asi", 2), ("w" * 400, 1)], "word string, n long")
+    labels = spark.createDataFrame([(label,), ("w" * 400,), ("casino" * 12,), ("",), (label,)], "label string")
+    got = {r["label"]: r["words"] for r in urls.segment_labels(labels, lexicon).collect()}
+    assert got.keys() == {label, "w" * 400, "casino" * 12} and got["casino" * 12] == ["casino"] * 12 and got["w" * 400] == ["w" * 400]
+    assert got[label] == (["casino"] * 3 + ["news"] * 3 + ["zzqxzzqxzzqx"]) * 12
+
+
+def test_viterbi_equals_all_splits():
+    rng = random.Random(5)
+    for _ in range(200):
+        label = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+        log_p = {(i, j): math.log(rng.randint(1, 50) / 300) for i in range(len(label)) for j in range(i + 1, len(label) + 1) if rng.random() < 0.3}
+        p = lambda i, j: log_p.get((i, j), math.log(10 / 300) - (j - i) * math.log(10))
+        cuts = [[0, *c, len(label)] for k in range(len(label)) for c in itertools.combinations(range(1, len(label)), k)]
+        got = urls.viterbi(label, log_p, 300)
+        at = list(itertools.accumulate([0, *map(len, got)]))
+        assert "".join(got) == label and abs(sum(map(p, at, at[1:])) - max(sum(map(p, c, c[1:])) for c in cuts)) < 1e-9
 
 
 def test_markov_ratio_equals_direct_counts(spark):
