@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pointmill.operators import geom as g
 from pointmill.operators import points as p
+from pointmill.operators.sampling import farthest_resample
 from pointmill.plans.base import again, query
 from pointmill.plans.base import uniform_sql as u
 
@@ -71,6 +72,12 @@ def d6(big):
     return p.resample(big, 700).select("cloud_id", "pt", "bin", "place")
 
 
+@query("d6_farthest", "big")
+def d6f(big):
+    """64 points of every cloud in farthest-point order; held against the sequential order in the tests."""
+    return farthest_resample(big, 64).select("cloud_id", "pt", "bin", "place")
+
+
 @query("d7_voxel_representative", "big", sql="""SELECT cloud_id, pt FROM (SELECT cloud_id, pt, row_number() OVER (PARTITION BY cloud_id, floor(x/5), floor(y/5), floor(z/5) ORDER BY md5(cast(pt AS varchar)), pt) r FROM big) WHERE r=1""")
 def d7(big):
     return g.consolidate(big, 5.0, -1e9, [F.md5(F.col("pt").cast("string")), F.asc("pt")]).select("cloud_id", "pt")
