@@ -60,6 +60,8 @@ SMALL = 1 << 17
 DIGIT = 16
 #: Selections of up to so many rows are sent to all tasks.
 FEW = 100_000
+#: Bins of up to so many rows are put in order each by themselves, in place of further digits.
+BIN = 1 << 14
 
 
 def ordered_bits(v: Column) -> Column:
@@ -80,12 +82,12 @@ def fits(df: DataFrame, by: list[str], small: int = SMALL) -> bool:
     return df.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") > small).isEmpty()
 
 
-def select_ranks(rows: DataFrame, by: list[str], ranks) -> DataFrame:
+def select_ranks(rows: DataFrame, by: list[str], ranks, bin_rows: int = BIN) -> DataFrame:
     """(by, __n, __at): the size of each group of non-null doubles ``__v``, and the values at the places (from 0) that ``ranks``, a list of columns of ``__n``, gives.
 
     Radix selection: a histogram of the leading digit of the bits, summed map-side, tells in which bin each place lies; only rows of those bins are counted by the next
-    digit. After four digits a bin is one value. Nothing is sorted or ranked, equal values are a number in a bin, and what meets in one task are the bins of one
-    group, 65,536 at most for each place.
+    digit. After four digits a bin is one value; once all bins that hold a place have ``bin_rows`` or fewer, they are put in order one by one. No group is sorted or ranked, equal values are a
+    number in a bin, and what meets in one task are such a bin's rows, or the bins of one group, 65,536 at most for each place.
     """
     rows = materialize(rows.select(*by, "__v").withColumn("__key", ordered_bits(F.col("__v"))), "values")
     chosen = None
@@ -94,7 +96,6 @@ def select_ranks(rows: DataFrame, by: list[str], ranks) -> DataFrame:
         digit = F.shiftright("__key", low)
         if chosen is not None:
             keys, digit = [*by, "__p"], digit.bitwiseAND(F.lit((1 << DIGIT) - 1))
-            few = chosen.count() <= FEW
             part = join_same(rows.withColumn("__p", F.shiftright("__key", low + DIGIT)), F.broadcast(chosen.select(*keys)) if few else chosen.select(*keys), keys)
         bins = part.groupBy(*keys, digit.alias("__d")).agg(F.count("*").alias("__k"), F.min("__v").alias("__v"))
         w = W.partitionBy(*keys)
@@ -107,7 +108,16 @@ def select_ranks(rows: DataFrame, by: list[str], ranks) -> DataFrame:
             prefix = F.shiftleft("__p", DIGIT) + F.col("__d")
         inside = F.filter("__t", lambda x: (x["r"] >= F.col("__b")) & (x["r"] < F.col("__b") + F.col("__k")))
         bins = bins.withColumn("__t", F.transform(inside, lambda x: F.struct(x["i"].alias("i"), (x["r"] - F.col("__b")).alias("r")))).filter(F.size("__t") > 0)
-        chosen = materialize(bins.select(*by, prefix.cast("long").alias("__p"), "__n", "__t", "__v"), "chosen")
+        chosen = materialize(bins.select(*by, prefix.cast("long").alias("__p"), "__n", "__t", "__v", "__k"), "chosen")
+        n, most = chosen.agg(F.count("*"), F.max("__k")).first()
+        few = n <= FEW
+        if low and (most or 0) <= bin_rows:
+            keys = [*by, "__p"]
+            part = join_same(rows.withColumn("__p", F.shiftright("__key", low)), F.broadcast(chosen.select(*keys)) if few else chosen.select(*keys), keys)
+            ordered = join_same(chosen, part.groupBy(*keys).agg(F.array_sort(F.collect_list("__v")).alias("__all")), keys)  # a bin's rows
+            each = ordered.select(*by, "__n", "__all", F.explode("__t").alias("t"))
+            chosen = each.select(*by, "__n", F.array(F.struct(F.col("t.i").alias("i"))).alias("__t"), F.element_at("__all", (F.col("t.r") + 1).cast("int")).alias("__v"))
+            break
     found = chosen.select(*by, "__n", F.explode("__t.i").alias("__i"), "__v")
     return found.groupBy(*by).agg(F.first("__n").alias("__n"), F.map_from_entries(F.collect_list(F.struct("__i", "__v"))).alias("__at"))  # a value a place
 

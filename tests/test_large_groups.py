@@ -20,8 +20,9 @@ def test_bits_keep_the_order(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("by", [["g"], []])
-def test_quantiles_by_histograms(spark, by):
+@pytest.mark.parametrize(("by", "bin_rows"), [(["g"], 0), (["g"], 30), ([], 0), ([], 30)])
+def test_quantiles_by_histograms(spark, monkeypatch, by, bin_rows):
+    monkeypatch.setattr(ranking.select_ranks, "__defaults__", (bin_rows,))
     rng = np.random.default_rng(2)
     values = {None: rng.normal(size=400) * 1e-3, "constant": np.full(500, 7.25), "few": rng.integers(0, 50, 600) / 10.0, "wide": 10.0 ** rng.uniform(-200, 200, 300), "small": rng.normal(size=20), "one": np.array([3.5])}
     rows = [(g, float(x)) for g, own in values.items() for x in own] + [("few", None), ("none", None)]

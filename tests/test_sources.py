@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pointmill.functions.scratch import materialize, remove_scratch
 from pointmill.operators import audit
 from pointmill.sources import ingest, mesh, ranges
 from pointmill.streaming import feed as feeds
@@ -170,3 +171,12 @@ def test_half_a_batch_is_never_seen(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(f"{out}/predictions").count() == 2 and seen() == [[2], [2]]  # half of the second batch lies there
     start().awaitTermination()
     assert seen() == [[2, 4], [2, 4]]
+
+
+def test_scratch_is_removed(spark):
+    df = materialize(spark.range(5), "some")
+    assert df.count() == 5
+    path = df.inputFiles()[0]
+    remove_scratch(spark)
+    with pytest.raises(FileNotFoundError):
+        ranges.read_bytes(path, 0, 1)
