@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointmill.functions.hashing import hash_key, uniform
-from pointmill.functions.ranking import first_of, fits
+from pointmill.functions.ranking import first_of, fits, hash_ranked
 from pointmill.functions.scratch import materialize
 
 XYZ = ("x", "y", "z")
@@ -77,8 +77,10 @@ def object_features(df: DataFrame, most: tuple[float, float, float], distance: C
     return b.select("cloud_id", *size, (distance / scale).alias("range_feature"))
 
 
-def resample(df: DataFrame, n: int, bins: int = 8, seed: int = 0) -> DataFrame:
-    """n points per cloud: equal quotas from equal bins of the longest axis in hash order, the shortfall from the rest, repeats if the cloud is small."""
+def resample(df: DataFrame, n: int, bins: int = 8, seed: int = 0, bounded: bool | None = None) -> DataFrame:
+    """n points per cloud: equal quotas from equal bins of the longest axis in hash order, the shortfall from the rest, repeats if the cloud is small. Where a cloud is too large for
+    one task (``bounded`` is false, or found to be), ranks come from cells by hash."""
+    bounded = fits(df, ["cloud_id"]) if bounded is None else bounded
     b = bounds(df).select("cloud_id", *("min_" + c for c in XYZ), *((F.col("max_" + c) - F.col("min_" + c)).alias("e" + c) for c in XYZ))
     df = df.join(b, "cloud_id")
     use_x, use_y = (F.col("ex") >= F.col("ey")) & (F.col("ex") >= F.col("ez")), F.col("ey") >= F.col("ez")
@@ -86,10 +88,18 @@ def resample(df: DataFrame, n: int, bins: int = 8, seed: int = 0) -> DataFrame:
     width = F.greatest("ex", "ey", "ez")
     df = df.withColumn("bin", F.when(width <= 0, 0).otherwise(F.least(F.floor(value / width * bins), F.lit(bins - 1))).cast("int"))
     df = df.withColumn("__h", hash_key(seed, "cloud_id", "pt"))
-    filled = df.groupBy("cloud_id").agg(F.count_distinct("bin").alias("__b"), F.count("*").alias("__n"))
-    df = df.join(filled, "cloud_id").withColumn("__r", F.row_number().over(W.partitionBy("cloud_id", "bin").orderBy("__h", "pt")))
-    extra = F.col("__r") > F.floor(F.lit(n) / F.col("__b"))
-    df = df.withColumn("__p", F.row_number().over(W.partitionBy("cloud_id").orderBy(extra, "__h", "pt")) - 1)
+    filled = df.groupBy("cloud_id").agg(F.count_distinct("bin").alias("__bins"), F.count("*").alias("__n"))
+    df = df.join(filled, "cloud_id")
+    quota = F.floor(F.lit(n) / F.col("__bins"))
+    if bounded:
+        df = df.withColumn("__r", F.row_number().over(W.partitionBy("cloud_id", "bin").orderBy("__h", "pt")))
+        df = df.withColumn("__p", F.row_number().over(W.partitionBy("cloud_id").orderBy(F.col("__r") > quota, "__h", "pt")) - 1)
+    else:
+        df = hash_ranked(materialize(df, "binned").withColumnRenamed("__n", "__size"), ["cloud_id", "bin"], F.col("__h"), ["pt"]).drop("__n")
+        df = materialize(df.withColumn("__x", F.col("__r") > quota).drop("__r"), "quotas")
+        own = df.filter("NOT __x").groupBy("cloud_id").agg(F.count("*").alias("__own"))
+        df = hash_ranked(df, ["cloud_id", "__x"], F.col("__h"), ["pt"]).drop("__n").join(own, "cloud_id", "left")
+        df = df.withColumn("__p", F.col("__r") - 1 + F.when(F.col("__x"), F.coalesce("__own", F.lit(0))).otherwise(0)).withColumnRenamed("__size", "__n")
     copies = F.sequence(F.lit(0), F.greatest(F.ceil(F.lit(n) / F.col("__n")).cast("int") - 1, F.lit(0)))
     out = df.withColumn("__c", F.explode(copies)).withColumn("place", (F.col("__c") * F.col("__n") + F.col("__p")).cast("bigint")).filter(F.col("place") < n)
     return out.select("cloud_id", "pt", *XYZ, F.col("bin").cast("bigint").alias("bin"), "place")

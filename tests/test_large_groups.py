@@ -64,7 +64,7 @@ def test_clouds_above_the_bound_give_the_same(spark, monkeypatch):
 
     def everything():
         plain = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect())
-        found = [geom.centreline_slope(df), match.align_pairs(pairs, df, 0.5), points.occlude(df, (0.5, 0.8), 1), points.top_down(df, (0.3, 0.6), 0.5)]
+        found = [geom.centreline_slope(df), match.align_pairs(pairs, df, 0.5), points.occlude(df, (0.5, 0.8), 1), points.top_down(df, (0.3, 0.6), 0.5), points.resample(df, 64), points.resample(df, 3)]
         return [plain(d) for d in found]
 
     small = everything()
