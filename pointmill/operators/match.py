@@ -60,19 +60,25 @@ def _in_cells(df: DataFrame, grow: float, level: Column) -> DataFrame:
 
 
 def near_in_time(a: DataFrame, b: DataFrame, keys: list[str], limit: int, gap: float, time: str = "us", salt: int = 16) -> DataFrame:
-    """The pairs of :func:`candidates_in_time` whose boxes, in the column ``box`` of both sides, may be within ``gap`` in the plane.
+    """The pairs of :func:`candidates_in_time`, less their boxes, whose boxes, in the column ``box`` of both sides, may be within ``gap`` in the plane.
 
     The boxes of a are grown by the gap. Every box has a level, the power of two that its longer side fits, and meets four cells or so of that side. Two boxes meet in
-    the cells of the larger one's level, a pair in its first common cell, so candidates are in proportion to near pairs whatever the sizes of the boxes are.
+    the cells of the larger one's level, a pair in its first common cell, so candidates are in proportion to near pairs whatever the sizes of the boxes are. Where the middle box
+    of a spans half of all, all pairs in time are near ones, and no cells are made.
     """
     long = lambda more: F.greatest(*(F.col(f"box.max_{c}") - F.col(f"box.min_{c}") for c in "xy"), F.lit(1e-9)) + more
     own = F.col("__own")
     a, b = (df.filter("box IS NOT NULL").withColumn("__own", F.ceil(F.log2(long(2 * gap if grown else 0.0))).cast("int")) for df, grown in ((a, True), (b, False)))
     least = math.floor(math.log2(gap)) if gap > 0 else -30
     a, b = (df.withColumn("__own", F.greatest(own, F.lit(least))) for df in (a, b))
-    levels = sorted(r[0] for r in a.select("__own").union(b.select("__own")).distinct().collect())  # powers of two: a few dozen numbers
-    if not levels:
-        return candidates_in_time(a.drop("__own"), b.drop("__own"), keys, limit, time, salt)
+    ends = [f(f"box.{n}_{c}").alias(n + c) for c in "xy" for n, f in (("min", F.min), ("max", F.max))]
+    told = [df.groupBy("__own").agg(F.count("*").alias("n"), *ends).collect() for df in (a, b)]  # a row a power of two: a few dozen
+    levels = sorted({r["__own"] for rows in told for r in rows})
+    span = max((max(r["max" + c] for rows in told for r in rows) - min(r["min" + c] for rows in told for r in rows) for c in "xy"), default=0.0) if levels else 0.0
+    own_levels = sorted((r["__own"], r["n"]) for r in told[0])
+    middle = next((level for i, (level, _) in enumerate(own_levels) if 2 * sum(n for _, n in own_levels[: i + 1]) >= sum(n for _, n in own_levels)), -math.inf)
+    if span <= 2 * 2.0**middle:  # the middle box of a spans half of all: cells would part nothing
+        return candidates_in_time(a.drop("__own", "box"), b.drop("__own", "box"), keys, limit, time, salt)
     coarser = F.array(*map(F.lit, levels))
     sides = []
     for df, grow, ranks in ((a, gap, ("own", "above")), (b, 0.0, ("own and above", "own"))):
@@ -80,7 +86,7 @@ def near_in_time(a: DataFrame, b: DataFrame, keys: list[str], limit: int, gap: f
         for way, rank in enumerate(ranks):  # way 0: a is not the smaller one; way 1: b is the larger one
             level = {"own": F.array(own), "above": F.filter(coarser, lambda x: x > own), "own and above": F.filter(coarser, lambda x: x >= own)}[rank]
             parts.append(_in_cells(df.withColumn("__x", F.explode(level)), grow, F.col("__x")).withColumn("__way", F.lit(way)).drop("__x"))
-        sides.append(parts[0].unionByName(parts[1]).drop("__own"))
+        sides.append(parts[0].unionByName(parts[1]).drop("__own", "box"))
     met = candidates_in_time(*sides, [*keys, "__way", "__l", "__cx", "__cy"], limit, time, salt)
     first = (F.col("a___cx") == F.greatest("a___fx", "b___fx")) & (F.col("a___cy") == F.greatest("a___fy", "b___fy"))
     return met.filter(first).drop(*(f"{p}___{c}" for p in "ab" for c in ("way", "l", "cx", "cy", "fx", "fy")))
@@ -124,13 +130,17 @@ def match_boxes(a: DataFrame, b: DataFrame, points: DataFrame, keys: list[str],
     least = {p: limits.get(p + "_confidence") for p in "ab"}
     a, b = (df if least[p] is None else df.filter(F.coalesce(F.col("confidence") >= least[p], F.lit(True))) for p, df in (("a", a), ("b", b)))
     ids = a.select("cloud_id").unionByName(b.select("cloud_id")).distinct()
-    box = boxes(points.join(ids, "cloud_id", "left_semi"))
-    a, b = a.join(box, "cloud_id"), b.join(box, "cloud_id")
+    box = materialize(boxes(points.join(ids, "cloud_id", "left_semi")), "boxes")
+    a, b = (materialize(df.join(box, "cloud_id"), "boxed") for df in (a, b))
     gap = limits.get("gap_xy")
-    pairs = candidates_in_time(a, b, keys, limit, time, salt) if gap is None or math.isinf(gap) else near_in_time(a, b, keys, limit, float(gap), time, salt)
+    near = gap is not None and not math.isinf(gap)
+    pairs = near_in_time(a, b, keys, limit, float(gap), time, salt) if near else candidates_in_time(a.drop("box"), b.drop("box"), keys, limit, time, salt)
     pairs = pairs.filter("coalesce(a_object_id <> b_object_id, true)").withColumn("frames", frames if frames is not None else F.lit(None).cast("double"))
-    pairs = pairs.withColumns(_gaps(F.col("a_box"), F.col("b_box"))).drop("a_box", "b_box")
-    return best_match(within_limits(pairs, {k: v for k, v in limits.items() if k in ("frames", "gap_xy", "gap_z", "centre")}), "a_cloud_id", "score", "b_cloud_id")
+    pairs = within_limits(pairs, {k: v for k, v in limits.items() if k == "frames"})
+    for p in "ab":
+        pairs = pairs.join(box.select(F.col("cloud_id").alias(f"{p}_cloud_id"), F.col("box").alias(f"__{p}")), f"{p}_cloud_id")
+    pairs = pairs.withColumns(_gaps(F.col("__a"), F.col("__b"))).drop("__a", "__b")
+    return best_match(within_limits(pairs, {k: v for k, v in limits.items() if k in ("gap_xy", "gap_z", "centre")}), "a_cloud_id", "score", "b_cloud_id")
 
 
 def best_match(pairs: DataFrame, key: str, score: str, tie: str) -> DataFrame:
