@@ -400,7 +400,7 @@ def c10(cat):
     return split.class_weights(cat)
 
 
-@query("c10_effective", "cat", sql="WITH" + _EPOCH.format("20*least(ceil(hi/20.0),floor(lo*2/20.0))::BIGINT") + "SELECT class_name, n, round((1/sqrt(n))/avg(1/sqrt(n)) OVER (),6) AS weight FROM (SELECT cat.class_name, count(*) n FROM e JOIN cat USING (ord) WHERE place<t GROUP BY 1)")
+@query("c10_effective", "cat", sql="WITH" + _EPOCH.format("20*least(ceil(hi/20.0),floor(lo*2/20.0))::BIGINT") + "SELECT class_name, n, round((1/sqrt(n))/avg(1/sqrt(n)) OVER (),6) AS weight FROM (SELECT class_name, count(*) n FROM e WHERE place<t GROUP BY 1)")
 def c10e(cat):
     """Weights from the rows of an epoch, after balancing; every class must have some."""
     epoch = split.balanced_epoch(_uneven(cat), 100, 5, 2, "stem")
