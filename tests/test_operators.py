@@ -96,10 +96,10 @@ def test_ground_truth_prefers_the_class(spark):
 
 
 def test_unreadable_sidecars_fall_back(spark):
-    clouds = spark.createDataFrame([("a__frame_1",), ("b__frame_1",), ("c__frame_1",)], "stem string")
-    cars = spark.createDataFrame([("a__frame_1", "{broken"), ("a", '{"k": 5}'), ("b__frame_1", "{}"), ("b", '{"k": 6}'), ("c", "")], "stem string, text string")
-    got = {r["stem"]: r["meta"] for r in ingest.attach_sidecars(clouds, cars, "k int").collect()}
-    assert got["a__frame_1"]["k"] == 5 and got["b__frame_1"]["k"] is None and got["c__frame_1"] is None
+    clouds = spark.createDataFrame([("r/pcds/a__frame_1.pcd",), ("r/pcds/b__frame_1.pcd",), ("r/pcds/c__frame_1.pcd",)], "path string")
+    cars = [("r/pcds/a__frame_1.json", "{broken"), ("r/json/a.json", '{"k": 5}'), ("r/pcds/b__frame_1.json", "{}"), ("r/json/b.json", '{"k": 6}'), ("r/json/c.json", "")]
+    got = {r["path"][7]: r["meta"] for r in ingest.attach_sidecars(clouds, spark.createDataFrame(cars, "path string, text string"), "k int").collect()}
+    assert got["a"]["k"] == 5 and got["b"]["k"] is None and got["c"] is None
 
 
 def test_audit_cases(spark):
