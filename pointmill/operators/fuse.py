@@ -62,7 +62,7 @@ def refine_parts(df: DataFrame, label: str, least: int, allowed: DataFrame | Non
         bad = bad.filter(F.col("__n") < least)
     weak = df.join(bad.select("cloud_id", F.col("__l").alias(label)), ["cloud_id", label], "left_semi").select("cloud_id", "pt")
     clouds = df.join(bad.select("cloud_id").distinct(), "cloud_id", "left_semi")
-    nb = neighbours(clouds, least + 1).join(weak, ["cloud_id", "pt"], "left_semi").select("cloud_id", "pt", "n_pt")
+    nb = neighbours(clouds, least + 1, ids_only=True).join(weak, ["cloud_id", "pt"], "left_semi").select("cloud_id", "pt", "n_pt")
     own = df.select("cloud_id", "pt", F.col(label).alias("__own"))
     near = df.select("cloud_id", F.col("pt").alias("n_pt"), F.col(label).alias("__near"))
     votes = nb.join(own, ["cloud_id", "pt"]).join(near, ["cloud_id", "n_pt"]).filter("__near <> __own").groupBy("cloud_id", "pt", "__near").agg(F.count("*").alias("__v"))

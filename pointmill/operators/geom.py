@@ -7,11 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointmill.functions.ranking import fits, join_same, quantiles_of
 from pointmill.functions.ranking import quantiles as exact_quantiles
 from pointmill.functions.scratch import materialize
-from pointmill.operators.points import XYZ, bounds, jitter
+from pointmill.operators import clouds
+from pointmill.operators.points import XYZ, bounds, jitter, shifted
 from pointmill.operators.tree import Tree
 
 VOXEL = ("vx", "vy", "vz")
@@ -64,10 +66,8 @@ def visible(df: DataFrame, origin: tuple[float, float, float], cell: float, mode
     return df.withColumn("__r", F.row_number().over(w.orderBy(key, "pt"))).filter("__r = 1").drop("__r", "__m")
 
 
-#: Clouds of up to so many points are met whole; larger ones through a grid.
+#: Clouds of up to so many points are met whole; larger ones through a tree.
 WHOLE_UP_TO = 4096
-#: Clouds of up to so many points meet in a join, which is cheaper for many tiny clouds than a group each.
-FEW = 64
 
 
 def nearest(points: DataFrame, others: DataFrame, keys: list[str], ids: list[str], k: int, whole_up_to: int = WHOLE_UP_TO, distance_only: bool = False) -> DataFrame:
@@ -99,37 +99,56 @@ def nearest(points: DataFrame, others: DataFrame, keys: list[str], ids: list[str
     return found.unionByName(ranked(tree.nearest(asked, ids)).select(*out_cols))
 
 
-def neighbours(df: DataFrame, k: int, whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
-    """The k nearest other points of the same cloud: (cloud_id, pt, x, y, z, n_pt, n_x, n_y, n_z, d2, rank); ties by smaller n_pt. See :func:`nearest`."""
-    sizes = df.groupBy("cloud_id").agg(F.count("*").alias("__n"))
-    df = df.select("cloud_id", "pt", *(F.col(c).cast("double").alias(c) for c in XYZ)).join(sizes, "cloud_id")
-    middle = df.filter(F.col("__n").between(FEW + 1, whole_up_to)).drop("__n")
-    rest = df.filter(~F.col("__n").between(FEW + 1, whole_up_to)).drop("__n")
-    others = rest.select("cloud_id", F.col("pt").alias("n_pt"), *(F.col(c).alias("n_" + c) for c in XYZ))
-    found = nearest(rest, others, ["cloud_id"], ["pt"], k, whole_up_to)
-    return found.unionByName(middle.groupBy("cloud_id").applyInPandas(_of_cloud(k), found.schema)) if whole_up_to > FEW else found
+def _points(df: DataFrame) -> DataFrame:
+    return df.select("cloud_id", "pt", *(F.col(c).cast("double").alias(c) for c in XYZ))
 
 
-def _of_cloud(k: int):
-    """The neighbours within one cloud of a bounded number of points, by its distances, some rows of them at a time."""
+def _long_neighbours(df: DataFrame, k: int, whole_up_to: int) -> DataFrame:
+    others = df.select("cloud_id", F.col("pt").alias("n_pt"), *(F.col(c).alias("n_" + c) for c in XYZ))
+    return nearest(df, others, ["cloud_id"], ["pt"], k, whole_up_to)
 
-    def of_cloud(cloud: pd.DataFrame) -> pd.DataFrame:
-        pt, x = cloud["pt"].to_numpy(), cloud[list(XYZ)].to_numpy(float)
-        near, gaps = [], []
-        for i in range(0, len(x), 512):
-            d = np.zeros((len(x[i : i + 512]), len(x)))
-            for c in range(3):
-                d += (x[i : i + 512, None, c] - x[None, :, c]) ** 2
-            order = np.lexsort((np.broadcast_to(pt, d.shape), np.floor(d * 1e9 + 0.5)), axis=1)
-            order = order[order != np.arange(i, i + len(d))[:, None]].reshape(len(d), -1)[:, :k]
-            near.append(order)
-            gaps.append(np.take_along_axis(d, order, 1))
-        near, gaps = np.concatenate(near), np.concatenate(gaps)
-        own, m = np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
-        out = {"cloud_id": cloud["cloud_id"].iloc[0], "pt": pt[own], "n_pt": pt[m], "d2": gaps.ravel(), "rank": np.tile(np.arange(1, near.shape[1] + 1), len(x))}
-        return pd.DataFrame(out | {p + c: x[rows, j] for p, rows in (("", own), ("n_", m)) for j, c in enumerate(XYZ)})
 
-    return of_cloud
+def neighbours(df: DataFrame, k: int, whole_up_to: int = WHOLE_UP_TO, ids_only: bool = False) -> DataFrame:
+    """The k nearest other points of the same cloud: (cloud_id, pt, x, y, z, n_pt, n_x, n_y, n_z, d2, rank), without the coordinates if ``ids_only``; ties by smaller n_pt.
+
+    Clouds of up to ``whole_up_to`` points are searched within tasks that hold some of them, see :mod:`pointmill.operators.clouds`; larger ones by :func:`nearest`.
+    """
+    df = _points(df)
+    kinds = {f.name: f.dataType for f in df.schema.fields} | {"n_pt": df.schema["pt"].dataType, "d2": T.DoubleType(), "rank": T.IntegerType()} | {"n_" + c: T.DoubleType() for c in XYZ}
+    names = ["cloud_id", "pt", *XYZ, "n_pt", *("n_" + c for c in XYZ), "d2", "rank"]
+    names = [n for n in names if not ids_only or n.removeprefix("n_") not in XYZ]
+    small, large, rows = clouds.by_size(df, "cloud_id", whole_up_to)
+    found = clouds.within(small, "cloud_id", rows, clouds.neighbours_of(k, names), T.StructType([T.StructField(n, kinds[n]) for n in names]))
+    return found if large is None else found.unionByName(_long_neighbours(large, k, whole_up_to).select(*names))
+
+
+#: The scores of a point by its neighbours.
+POINT_SCORES = ("curvature", "normal_x", "normal_y", "normal_z", "cv", "angle")
+
+
+def point_scores(df: DataFrame, k: int, names: tuple[str, ...], whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
+    """(cloud_id, pt, names) of every point that has another in its cloud: those of POINT_SCORES that ``names`` has, by its k nearest others.
+
+    As :func:`shape`, :func:`distance_cv` and :func:`normal_difference` of :func:`neighbours`; within clouds of up to ``whole_up_to`` points no row of a neighbour leaves its task.
+    """
+    df = _points(df)
+    small, large, rows = clouds.by_size(df, "cloud_id", whole_up_to)
+    schema = T.StructType([*df.select("cloud_id", "pt").schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    found = clouds.within(small, "cloud_id", rows, clouds.scores_of(k, names), schema)
+    if large is None:
+        return found
+    nb, keys = materialize(_long_neighbours(large, k, whole_up_to), "neighbours"), ["cloud_id", "pt"]
+    parts = []
+    if set(names) - {"cv"}:
+        parts.append(shape(nb))
+    if "angle" in names:
+        parts.append(normal_difference(nb, parts[0]))
+    if "cv" in names:
+        parts.append(distance_cv(nb))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, keys)
+    return found.unionByName(out.select(*keys, *names))
 
 
 def _eigen(m: dict[str, Column]) -> tuple[Column, Column, Column]:
@@ -225,36 +244,52 @@ def _flags(scores: DataFrame, thresholds: dict[str, float], keys: list[str]) ->
 
 def method_agreement(nb: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """(cloud_id, a, b, jaccard): how far the labels of every two scores agree in each cloud."""
-    flags = shape_scores(nb).select("cloud_id", *((F.coalesce(F.round(n, 9) >= t, F.lit(False))).alias(n) for n, t in thresholds.items()))
-    pairs = [(a, b) for i, a in enumerate(thresholds) for b in list(thresholds)[i + 1 :]]
-    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("fa"), F.col(b).alias("fb")) for a, b in pairs]
-    return jaccard(flags.select("cloud_id", F.explode(F.array(*each)).alias("x")).select("cloud_id", "x.*"), F.col("fa"), F.col("fb"), ["cloud_id", "a", "b"])
+    return score_agreement(shape_scores(nb), thresholds)
+
+
+def score_agreement(scores: DataFrame, thresholds: dict[str, float]) -> DataFrame:
+    """The same of scores that are there, see :func:`point_scores`."""
+    flags = scores.select("cloud_id", *((F.coalesce(F.round(n, 9) >= t, F.lit(False))).alias(n) for n, t in thresholds.items()))
+    both = [(a, b) for i, a in enumerate(thresholds) for b in list(thresholds)[i + 1 :]]
+    counts = [f.alias(f"{n}{i}") for i, (a, b) in enumerate(both) for n, f in (("b", F.count_if(F.col(a) & F.col(b))), ("e", F.count_if(F.col(a) | F.col(b))))]
+    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(F.col(f"e{i}") == 0, 1.0).otherwise(F.col(f"b{i}") / F.col(f"e{i}")).alias("jaccard")) for i, (a, b) in enumerate(both)]
+    return flags.groupBy("cloud_id").agg(*counts).select("cloud_id", F.explode(F.array(*each)).alias("x")).select("cloud_id", "x.*")
 
 
 def jitter_stability(points: DataFrame, k: int, thresholds: dict[str, float], repeats: int, sigma: float, clip: float, whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
     """(cloud_id, view_id, label, jaccard): the mean, over ``repeats`` of clipped noise, of the Jaccard index of each label of a view before and after.
 
-    Labels are scores of the k nearest of the same view, see :func:`shape_scores`, at ``thresholds`` or above. Neighbours are searched once: noise moves a point by at most
-    clip * sqrt(3), so the k nearest of every repeat lie within the k-th distance and four times that of each point; only these meet in the repeats.
+    Labels are scores of the k nearest of the same view, see :func:`point_scores`, at ``thresholds`` or above. Views of up to ``whole_up_to`` points are judged within a task each, which gets
+    all their places in one row a point; so only points are shuffled. Larger ones: see :func:`_large_stability`.
     """
-    keys = ["cloud_id", "pt"]
     whole = points.select(F.concat_ws("/", "cloud_id", "view_id").alias("__view"), "cloud_id", "view_id", "pt", *(F.col(c).cast("double").alias(c) for c in XYZ))
+    small, large, rows = clouds.by_size(whole, "__view", whole_up_to)
+    places, moved = [list(XYZ)], small
+    for rep in range(1, repeats + 1):
+        own = [f"__{c}{rep}" for c in XYZ]
+        moved = moved.withColumns({n: shifted(c, sigma, clip, F.lit(rep)) for n, c in zip(own, XYZ)})
+        places.append(own)
+    keys = ["cloud_id", "view_id"]
+    schema = T.StructType([*whole.select(*keys).schema.fields, T.StructField("label", T.StringType()), T.StructField("jaccard", T.DoubleType())])
+    found = clouds.within(moved, "__view", rows, clouds.stability_of(k, thresholds, places, keys), schema)
+    return found if large is None else found.unionByName(_large_stability(large, k, thresholds, repeats, sigma, clip))
+
+
+def _large_stability(whole: DataFrame, k: int, thresholds: dict[str, float], repeats: int, sigma: float, clip: float) -> DataFrame:
+    """Stability in views that no task could hold. Neighbours are searched once: noise moves a point by at most clip * sqrt(3), so the k nearest of every repeat lie within the k-th
+    distance and four times that of each point; only these meet in the repeats."""
+    keys = ["cloud_id", "pt"]
     whole = materialize(whole, "views")
     base = whole.select(F.col("__view").alias("cloud_id"), "pt", *XYZ)
-    nb = materialize(neighbours(base, k, whole_up_to), "neighbours")
+    nb = materialize(_long_neighbours(base, k, 0), "neighbours")
     wanted = SCORES if set(thresholds) - {"cv"} else ("cv",)
     scores = shape_scores if len(wanted) > 1 else distance_cv
     before = _flags(scores(nb), thresholds, keys)
     slack = 4 * 3**0.5 * clip
     around = nb.groupBy(*keys).agg(F.first("x").alias("x"), F.first("y").alias("y"), F.first("z").alias("z"), F.pow(F.sqrt(F.max("d2")) + slack, 2).alias("square"))
     others = base.select("cloud_id", F.col("pt").alias("n_pt"), *(F.col(c).alias("n_" + c) for c in XYZ))
-    sizes = base.groupBy("cloud_id").agg(F.count("*").alias("__n"))
-    small, large = sizes.filter(F.col("__n") <= whole_up_to).select("cloud_id"), sizes.filter(F.col("__n") > whole_up_to).select("cloud_id")
-    near = around.join(small, "cloud_id").join(others, "cloud_id").filter((F.col("pt") != F.col("n_pt")) & (_d2() <= F.col("square") * (1 + 1e-12) + 1e-12)).select(*keys, "n_pt")
-    if not large.isEmpty():
-        tree = Tree(others.join(large, "cloud_id"), ["cloud_id"], k, all_copies=True)
-        near = near.unionByName(tree.within(materialize(around.join(large, "cloud_id"), "around"), ["pt"], "square").select(*keys, "n_pt"))
-    near = materialize(near, "candidates")
+    tree = Tree(others, ["cloud_id"], k, all_copies=True)
+    near = materialize(tree.within(materialize(around, "around"), ["pt"], "square").select(*keys, "n_pt"), "candidates")
     moved = jitter(whole.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))), sigma, clip, F.col("rep"))
     moved = materialize(moved.select(F.col("__view").alias("cloud_id"), "rep", "pt", *XYZ), "moved")
     met = near.join(moved, keys).join(moved.select("cloud_id", "rep", F.col("pt").alias("n_pt"), *(F.col(c).alias("n_" + c) for c in XYZ)), ["cloud_id", "rep", "n_pt"])
@@ -291,18 +326,38 @@ def chamfer(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return there.join(back, "pair_id").withColumn("chamfer", F.col("ab") + F.col("ba"))
 
 
+def registration_residuals(df: DataFrame, limits: list[float], whole_up_to: int = WHOLE_UP_TO) -> list[DataFrame]:
+    """All view pairs of an object, nearest neighbours both ways: counts, RMSE of inliers (d <= limit; <= 0: all) and inlier ratio, a table for each of ``limits``.
+
+    Distances are found once. Objects of up to ``whole_up_to`` points give a row a pair of views from within a task; of larger ones points meet by :func:`nearest`.
+    """
+    df = df.select("cloud_id", "view_id", "pt", *(F.col(c).cast("double").alias(c) for c in XYZ)).filter("view_id IS NOT NULL")
+    small, large, rows = clouds.by_size(df, "cloud_id", whole_up_to)
+    view = df.schema["view_id"].dataType
+    sums = [T.StructField("n", T.LongType()), T.StructField("inliers", T.ArrayType(T.LongType())), T.StructField("squares", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([df.schema["cloud_id"], T.StructField("va", view), T.StructField("vb", view), *sums])
+    found = clouds.within(small, "cloud_id", rows, clouds.residuals_of(limits), schema)
+    if large is not None:
+        v = large.select("cloud_id", "view_id").distinct()
+        pairs = v.alias("p").join(v.alias("q"), "cloud_id").filter("p.view_id <> q.view_id").select("cloud_id", F.col("p.view_id").alias("va"), F.col("q.view_id").alias("vb"))
+        left = pairs.join(large.select("cloud_id", F.col("view_id").alias("va"), "pt", *XYZ), ["cloud_id", "va"])
+        right = large.select("cloud_id", F.col("view_id").alias("vb"), F.col("pt").alias("n_pt"), *(F.col(c).alias("n_" + c) for c in XYZ))
+        d = nearest(left, right, ["cloud_id", "vb"], ["va", "pt"], 1, distance_only=True).withColumns({"__a": F.least("va", "vb"), "__b": F.greatest("va", "vb")})
+        inside = [F.lit(True) if most <= 0 else F.col("d2") <= most * most for most in limits]
+        sums = [F.array(*(F.count_if(w) for w in inside)).alias("inliers"), F.array(*(F.sum(F.when(w, F.col("d2"))) for w in inside)).alias("squares")]
+        found = found.unionByName(d.groupBy("cloud_id", F.col("__a").alias("va"), F.col("__b").alias("vb")).agg(F.count("*").alias("n"), *sums))
+    found = materialize(found, "residuals") if len(limits) > 1 else found  # a row a pair of views
+    out = []
+    for i in range(len(limits)):
+        n = F.get("inliers", F.lit(i))
+        rmse = F.when(n > 0, F.sqrt(F.get("squares", F.lit(i)) / n))
+        out.append(found.select("cloud_id", F.concat_ws("-", "va", "vb").alias("pair"), "n", n.alias("inliers"), rmse.alias("rmse"), (n / F.col("n")).alias("inlier_ratio")))
+    return out
+
+
 def registration_residual(df: DataFrame, most: float = 0.0) -> DataFrame:
     """All view pairs of an object, nearest neighbours both ways: RMSE of inliers (d <= most; <= 0: all), inlier ratio, counts."""
-    v = df.select("cloud_id", "view_id").distinct()
-    pairs = v.alias("p").join(v.alias("q"), "cloud_id").filter("p.view_id < q.view_id").select("cloud_id", F.col("p.view_id").alias("va"), F.col("q.view_id").alias("vb"))
-    both = pairs.unionByName(pairs.selectExpr("cloud_id", "vb AS va", "va AS vb")).withColumn("pair", F.concat_ws("-", F.least("va", "vb"), F.greatest("va", "vb")))
-    left = both.join(df.select("cloud_id", F.col("view_id").alias("va"), "pt", *XYZ), ["cloud_id", "va"])
-    right = df.select("cloud_id", F.col("view_id").alias("vb"), F.col("pt").alias("n_pt"), *(F.col(c).alias("n_" + c) for c in XYZ))
-    d = nearest(left, right, ["cloud_id", "vb"], ["pair", "va", "pt"], 1, distance_only=True)
-    inside = F.lit(True) if most <= 0 else F.col("d2") <= most * most
-    n = F.count_if(inside)
-    out = d.groupBy("cloud_id", "pair").agg(F.count("*").alias("n"), n.alias("inliers"), F.sqrt(F.sum(F.when(inside, F.col("d2"))) / n).alias("rmse"))
-    return out.withColumn("inlier_ratio", F.col("inliers") / F.col("n"))
+    return registration_residuals(df, [most])[0]
 
 
 def residual_gain(before: DataFrame, after: DataFrame) -> DataFrame:
