@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pointmill.functions.hashing import hash_key
 from pointmill.functions.ranking import fits, hash_ranked, quantiles_of
 from pointmill.functions.scratch import materialize
+from pointmill.operators.closest import box_gap, closest_in_time
 from pointmill.operators.geom import centreline, principal_axis
 from pointmill.operators.points import XYZ, bounds
 
@@ -143,6 +144,22 @@ def match_boxes(a: DataFrame, b: DataFrame, points: DataFrame, keys: list[str],
     return best_match(within_limits(pairs, {k: v for k, v in limits.items() if k in ("gap_xy", "gap_z", "centre")}), "a_cloud_id", "score", "b_cloud_id")
 
 
+def closest_boxes(a: DataFrame, b: DataFrame, points: DataFrame, keys: list[str], limit: int, limits: dict[str, float], frame: str, time: str = "us") -> DataFrame:
+    """(a_cloud_id, b_cloud_id, score): as :func:`match_boxes`, where frames are the difference of the column ``frame``; cloud ids are whole numbers.
+
+    The score is 0.15 times the distance of the centres at least, so partners are sought outwards from a cloud along x; no pair is listed, whatever times are unknown.
+    """
+    least = {p: limits.get(p + "_confidence") for p in "ab"}
+    a, b = (df if least[p] is None else df.filter(F.coalesce(F.col("confidence") >= least[p], F.lit(True))) for p, df in (("a", a), ("b", b)))
+    ids = a.select("cloud_id").unionByName(b.select("cloud_id")).distinct()
+    box = materialize(boxes(points.join(ids, "cloud_id", "left_semi")), "boxes")
+    sides = [df.join(box, "cloud_id").select(F.col("cloud_id").alias("id"), *keys, "object_id", time, F.col(frame).alias("frame"), "box.*").filter("mean_x IS NOT NULL") for df in (a, b)]
+    sides = [materialize(df, "boxed") for df in sides]
+    reach = float(limits.get("centre", math.inf))
+    found = closest_in_time(*sides, keys, limit, "mean_x", 0.15, box_gap(limits), reach, "object_id", time)
+    return found.select(F.col("a_id").alias("a_cloud_id"), F.col("b_id").alias("b_cloud_id"), "score")
+
+
 def best_match(pairs: DataFrame, key: str, score: str, tie: str) -> DataFrame:
     """Lowest score per key, first on ties, by a map-side minimum."""
     least = F.min(F.struct(F.col(score).isNull().alias("u"), F.col(score).alias("s"), F.col(tie).alias("t"), F.struct(*pairs.columns).alias("row"))).alias("b")

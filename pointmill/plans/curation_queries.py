@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pointmill.operators import audit, curate, fuse, match, metrics
+from pointmill.operators import audit, closest, curate, fuse, match, metrics
 from pointmill.plans.base import again, query
 from pointmill.plans.catalog_queries import _C4, _M1, _ZA, split_sql
 from pointmill.plans.point_queries import _AX, _B, r6, r_sql
@@ -44,8 +44,9 @@ def f2(big):
 @query("f3_best_match", "log", sql=f"""WITH {_SIDES} SELECT a_event_id, b_event_id, round(abs(a_value-b_value),6) AS score FROM p QUALIFY row_number() OVER (PARTITION BY a_event_id ORDER BY round(abs(a_value-b_value),6), b_event_id)=1""")
 def f3(log):
     a, b = _sides(log)
-    pairs = match.candidates_in_time(a, b, ["split", "run"], LIMIT).filter("a_user_id <> b_user_id").withColumn("score", F.round(F.abs(F.col("a_value") - F.col("b_value")), 6))
-    return match.best_match(pairs, "a_event_id", "score", "b_event_id").select("a_event_id", "b_event_id", "score")
+    a, b = (df.filter("user_id IS NOT NULL").withColumnRenamed("event_id", "id") for df in (a, b))
+    found = closest.closest_in_time(a, b, ["split", "run"], LIMIT, "value", 1.0, closest.value_gap(6), differ="user_id")
+    return found.select(F.col("a_id").alias("a_event_id"), F.col("b_id").alias("b_event_id"), F.round("score", 6).alias("score"))
 
 
 _F3B = """sd AS (SELECT ord AS cloud_id, object_id, CASE WHEN ord%9=0 THEN NULL ELSE confidence END AS confidence, CASE WHEN ord%40=0 THEN NULL ELSE epoch_us(day) END AS us, prio, class_name, CASE WHEN ord%5>0 THEN ord%97 END AS frame FROM cat)"""
@@ -61,7 +62,7 @@ def f3b(cat, pts):
     t = cat.selectExpr("ord AS cloud_id", "object_id", "CASE WHEN ord%9=0 THEN NULL ELSE confidence END AS confidence", "CASE WHEN ord%40=0 THEN NULL ELSE unix_micros(cast(day AS timestamp)) END AS us", "prio", "class_name", "CASE WHEN ord%5>0 THEN ord%97 END AS frame")
     a, b = t.filter("class_name='AUTOMOBILE'"), t.filter("class_name='MACHINERY'")
     limits = {"b_confidence": 0.2, "frames": 50, "gap_xy": 20.0, "centre": 40.0}
-    found = match.match_boxes(a, b, pts, ["prio"], 432_000_000_000, limits, F.abs(F.col("a_frame") - F.col("b_frame")))
+    found = match.closest_boxes(a, b, pts, ["prio"], 432_000_000_000, limits, "frame")
     return r6(found, "a_cloud_id", "b_cloud_id", cols=["score"])
 
 
