@@ -353,7 +353,7 @@ def i6(e):
     return fuse.mean_logits(_logits(e).withColumn("sample", F.col("vec_id") % 125), ["sample"])
 
 
-@query("i7_part_refinement", "pts", sql="""WITH n AS (SELECT cloud_id, label, count(*) n FROM pts GROUP BY 1,2), k AS (SELECT *, count(*) OVER (PARTITION BY cloud_id) k FROM n), w AS (SELECT cloud_id, label FROM k WHERE k>1 AND n<2),
+@query("i7_part_refinement", "pts", dealt=True, sql="""WITH n AS (SELECT cloud_id, label, count(*) n FROM pts GROUP BY 1,2), k AS (SELECT *, count(*) OVER (PARTITION BY cloud_id) k FROM n), w AS (SELECT cloud_id, label FROM k WHERE k>1 AND n<2),
 nb AS (SELECT a.cloud_id, a.pt, a.label own, b.label near FROM (SELECT pts.* FROM pts JOIN w USING (cloud_id, label)) a JOIN pts b ON a.cloud_id=b.cloud_id AND a.pt<>b.pt QUALIFY row_number() OVER (PARTITION BY a.cloud_id, a.pt ORDER BY round((a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)+(a.x-b.x)*(a.x-b.x),9), b.pt)<=3),
 v AS (SELECT cloud_id, pt, near, count(*) v FROM nb WHERE near<>own GROUP BY 1,2,3), r AS (SELECT cloud_id, pt, arg_max(near, struct_pack(a:=v,b:=-near)) r FROM v GROUP BY 1,2)
 SELECT cloud_id, pt, coalesce(r, label) AS refined FROM pts LEFT JOIN r USING (cloud_id, pt)""")

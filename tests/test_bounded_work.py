@@ -1,5 +1,7 @@
 """What queries send through shuffles grows with their tables, not with pairs or neighbours."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -56,3 +58,10 @@ def test_nearest_of_equal_and_unknown_places(scale):
                 d = ((x[c] - x[c, i]) ** 2).sum(1)
                 order = [j for j in np.lexsort((np.arange(n), np.nan_to_num(d, nan=np.inf))) if j != i][:6]
                 assert list(near[c, i]) == order and np.array_equal(gaps[c, i], d[order], equal_nan=True)
+
+
+@pytest.mark.parametrize("name", ["d6_resample", "d10_top_down", "d17_occlude", "d18_silhouette", "i7_part_refinement"])
+def test_partitions_follow_the_rows(spark, name, monkeypatch):
+    monkeypatch.setattr(fixtures, "PARTITION", 2_000)
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().toString()
+    assert re.search(r"hashpartitioning\(l_\w+#\d+L, 30\), REPARTITION_BY_NUM", plan)  # 60,000 points
