@@ -389,10 +389,14 @@ def centreline(df: DataFrame, axis: DataFrame | None = None, bounded: bool | Non
     return g.select("cloud_id", "ax", "ay", lo("u").alias("u_min"), hi("u").alias("u_max"), ((lo("v") + hi("v")) / 2).alias("v_mid"), (hi("u") - lo("u")).alias("length"), (hi("v") - lo("v")).alias("width"), "ground")
 
 
-def centreline_slope(df: DataFrame, least: int = 20, bounded: bool | None = None) -> DataFrame:
-    """Least squares through 0 of median-centred v on u between p5 and p95 of u; null under ``least`` points."""
+def centreline_slope(df: DataFrame, least: int = 20, bounded: bool | None = None, axis: DataFrame | None = None) -> DataFrame:
+    """Least squares through 0 of median-centred v on u between p5 and p95 of u; null under ``least`` points.
+
+    ``axis``, the written principal axis, is read twice: its sums, taken anew, may differ in the last bit, and a point at p5 would lie beyond it.
+    """
     bounded = fits(df, ["cloud_id"]) if bounded is None else bounded
-    p = _projected(df, principal_axis(df)).select("cloud_id", "u", "v")
+    axis = materialize(principal_axis(df), "axis") if axis is None else axis
+    p = _projected(df, axis).select("cloud_id", "u", "v")
     p = p.join(quantiles_of(p.select("cloud_id", F.col("u").alias("q")), {"q": [0.05, 0.95]}, ["cloud_id"], (), bounded), "cloud_id")
     p = p.filter((F.col("u") >= F.get("q", F.lit(0))) & (F.col("u") <= F.get("q", F.lit(1)))).drop("q")
     m = quantiles_of(p.select("cloud_id", F.col("u").alias("mu"), F.col("v").alias("mv")), {"mu": [0.5], "mv": [0.5]}, ["cloud_id"], (), bounded)
@@ -404,7 +408,8 @@ def centreline_slope(df: DataFrame, least: int = 20, bounded: bool | None = None
 def straighten(df: DataFrame) -> DataFrame:
     """The centreline model after turning the axis by the slope's angle."""
     bounded = fits(df, ["cloud_id"])
-    axis = principal_axis(df).join(centreline_slope(df, bounded=bounded), "cloud_id")
+    axis = materialize(principal_axis(df), "axis")
+    axis = axis.join(centreline_slope(df, bounded=bounded, axis=axis), "cloud_id")
     t = F.atan(F.coalesce("slope", F.lit(0.0)))
     turned = axis.select("cloud_id", (F.col("ax") * F.cos(t) - F.col("ay") * F.sin(t)).alias("ax"), (F.col("ay") * F.cos(t) + F.col("ax") * F.sin(t)).alias("ay"))
     return centreline(df, turned, bounded)
