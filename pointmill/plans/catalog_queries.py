@@ -68,16 +68,17 @@ def _beside(events, meta):
 
 
 def _files(big, name: str) -> str:
-    """A folder of ascii PCD files made of the clouds: split/class/<cloud>.pcd, by Spark's text writer, one file a cloud."""
+    """A folder of ascii PCD files made of the clouds: split/class/<cloud>.txt, one file a cloud, written by the tasks."""
     head = F.concat(F.lit("VERSION .7\nFIELDS x y z\nSIZE 8 8 8\nTYPE F F F\nCOUNT 1 1 1\nWIDTH "), F.col("n").cast("string"), F.lit("\nHEIGHT 1\nPOINTS "), F.col("n").cast("string"), F.lit("\nDATA ascii\n"))
     line = F.concat_ws(" ", *(F.col(c).cast("string") for c in "xyz"))
     body = big.groupBy("cloud_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pt", line.alias("l")))), lambda p: p["l"]), "\n").alias("body"), F.count("*").alias("n"))
     folder = scratch_folder(big.sparkSession, name)
-    body.select(F.concat(head, "body").alias("value"), F.lit("train").alias("split"), F.concat(F.lit("c"), F.col("cloud_id") % 5).alias("class"), "cloud_id").write.option("lineSep", "\n").partitionBy("split", "class", "cloud_id").text(folder)
+    name = F.concat(F.lit("split=train/class=c"), F.col("cloud_id") % 5, F.lit("/cloud_id="), F.col("cloud_id"), F.lit(".txt"))
+    ingest.write_texts(body.select(name.alias("name"), F.concat(head, "body", F.lit("\n")).alias("text")), folder)
     return folder
 
 
-@query("a1_cloud_files", "big", sql="SELECT cloud_id, count(*) AS n, 0::BIGINT AS errors, round(sum(x)+1e-6,3) AS sx, round(sum(y)+1e-6,3) AS sy, round(sum(z)+1e-6,3) AS sz FROM big GROUP BY 1")
+@query("a1_cloud_files", "big", dealt=True, sql="SELECT cloud_id, count(*) AS n, 0::BIGINT AS errors, round(sum(x)+1e-6,3) AS sx, round(sum(y)+1e-6,3) AS sy, round(sum(z)+1e-6,3) AS sz FROM big GROUP BY 1")
 def a1(big):
     """Every cloud written as a file and read back."""
     read = ingest.read_clouds(big.sparkSession, _files(big, "clouds"), glob="*.txt", kind="pcd")
@@ -85,7 +86,7 @@ def a1(big):
     return by.agg(F.count("pt").alias("n"), F.count("error").alias("errors"), *(F.round(F.sum(c) + 1e-6, 3).alias("s" + c) for c in "xyz"))
 
 
-@query("a2_header_counts", "big", sql="SELECT cloud_id, count(*) AS n_points FROM big GROUP BY 1")
+@query("a2_header_counts", "big", dealt=True, sql="SELECT cloud_id, count(*) AS n_points FROM big GROUP BY 1")
 def a2(big):
     counts = ingest.header_counts(big.sparkSession, _files(big, "headers"), glob="*.txt")
     return counts.select(F.regexp_extract("path", "cloud_id=([0-9]+)", 1).cast("bigint").alias("cloud_id"), "n_points")

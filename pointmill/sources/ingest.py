@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointmill.sources.mesh import read_meshes, sample_surface
-from pointmill.sources.ranges import header_counts, list_files, read_clouds
+from pointmill.sources.ranges import header_counts, list_files, read_clouds, write_texts
 
-__all__ = ["read_meshes", "sample_surface", "header_counts", "list_files", "read_clouds"]
+__all__ = ["read_meshes", "sample_surface", "header_counts", "list_files", "read_clouds", "write_texts"]
 
 IGNORED = (".git", "__pycache__", "exports", "wandb", "checkpoint", "checkpoints")
 

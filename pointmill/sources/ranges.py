@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import io
+import os
+import re
+import uuid
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +33,15 @@ HEADS = "path string, length long, text boolean, columnwise boolean, offset long
 POINTS = "path string, pt long, x double, y double, z double, extra map<string,double>, error string"
 
 
+def _local(path: str) -> str | None:
+    """The name of a plain path or a file: one on this machine; None for other stores."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") or "://" not in path else None
+
+
 def read_bytes(path: str, start: int, size: int) -> bytes:
     """``size`` bytes of a file from ``start``; a plain path or file: by the machine's files, other stores by Arrow's."""
-    if path.startswith("file:") or "://" not in path:
-        with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as f:
+    if _local(path):
+        with open(_local(path), "rb") as f:
             f.seek(start)
             return f.read(size)
     store, name = fs.FileSystem.from_uri(path)
@@ -284,6 +293,90 @@ def points_declared(path: str, length: int) -> int | None:
         return None
 
 
+#: Files of a task that reads them, and folders of one that lists them, about.
+FILES, FOLDERS = 1000, 64
+_ENTRIES = pa.schema([("path", pa.string()), ("length", pa.int64()), ("folder", pa.bool_())])
+
+
+def _entries(folder: str) -> Iterator[tuple[str, int, bool]]:
+    """(path, length, whether it is a folder) of what lies in a folder, without names that Spark's sources pass over."""
+    top = folder.rstrip("/") + "/"
+    if _local(folder):
+        with os.scandir(_local(folder)) as found:
+            entries = [(e.name, e.stat().st_size, e.is_dir()) for e in found if e.is_dir() or e.is_file()]
+    else:
+        store, name = fs.FileSystem.from_uri(folder)
+        entries = [(i.base_name, i.size or 0, i.type == fs.FileType.Directory) for i in store.get_file_info(fs.FileSelector(name))]
+    for name, length, inner in entries:
+        if not (name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")):
+            yield top + name, length, inner
+
+
+def _globs(glob: str) -> list[str]:
+    """The patterns that a glob with {a,b} stands for."""
+    found = re.search(r"\{([^{}]*)\}", glob)
+    return [x for part in found[1].split(",") for x in _globs(glob[: found.start()] + part + glob[found.end() :])] if found else [glob.replace("[^", "[!")]
+
+
+def _is_folder(folder: str) -> bool:
+    try:
+        if _local(folder):
+            return folder.startswith(("/", "file:")) and os.path.isdir(_local(folder))
+        store, name = fs.FileSystem.from_uri(folder)
+        return store.get_file_info(name).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+
+
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, length); contents are never read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder).select("path", "length")
+    """(path, length) of the files below a folder; contents are never read.
+
+    Tasks list the folders of each level, and no name is sent to the driver. What is no folder that Python sees (a file, a pattern, a store that only Hadoop knows) is left to
+    Spark's own listing, which the driver keeps.
+    """
+    if not _is_folder(folder):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder).select("path", "length")
+    patterns = _globs(glob)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for top in batch.column("path").to_pylist():
+                rows = [r for r in _entries(top) if r[2] or any(fnmatchcase(r[0].rsplit("/", 1)[1], g) for g in patterns)]
+                for i in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 10_000]), _ENTRIES.types)], schema=_ENTRIES)
+
+    levels = []
+    folders, n, total = spark.createDataFrame([("file:" + _local(folder) if _local(folder) else folder,)], "path string"), 1, 0
+    while n:
+        tasks = min(n, max(spark.sparkContext.defaultParallelism, -(-n // FOLDERS)))
+        level = materialize(folders.repartition(tasks, "path").mapInArrow(entries, "path string, length long, folder boolean"), "listed")
+        levels.append(level.filter("NOT folder").select("path", "length"))
+        folders, (n, files) = level.filter("folder").select("path"), level.agg(F.count_if("folder"), F.count_if(~F.col("folder"))).first()
+        total += files
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    return found.repartition(max(spark.sparkContext.defaultParallelism, -(-total // FILES)), "path")
+
+
+def write_texts(files: DataFrame, folder: str) -> None:
+    """Write each text of (name, text) as the file ``name`` below ``folder``, by the tasks; a file gets its name once it is whole, and the driver hears of none."""
+
+    def write(rows) -> None:
+        for row in rows:
+            path, data = f"{folder}/{row['name']}", row["text"].encode()
+            part = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+            if _local(path):
+                os.makedirs(os.path.dirname(_local(path)), exist_ok=True)
+                with open(_local(part), "wb") as f:
+                    f.write(data)
+                os.replace(_local(part), _local(path))
+            else:
+                store, name = fs.FileSystem.from_uri(path)
+                hidden = fs.FileSystem.from_uri(part)[1]
+                store.create_dir(name.rsplit("/", 1)[0])
+                with store.open_output_stream(hidden) as f:
+                    f.write(data)
+                store.move(hidden, name)
+
+    files.select("name", "text").foreachPartition(write)
