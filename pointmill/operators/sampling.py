@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 
 from pointmill.functions.hashing import hash_key
 from pointmill.functions.scratch import materialize
+from pointmill.operators import clouds
 from pointmill.operators.points import XYZ, bounds
 
 #: A group of up to so many candidates, or twice its quota if that is more, is put in order by one task.
@@ -59,17 +62,55 @@ def farthest_points(df: DataFrame, keys: list[str], candidates: int = CANDIDATES
         round_ += 1
 
 
+def whole(n: int, bins: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """:func:`farthest_resample` of whole clouds of finite points with their hashes ``__h``."""
+
+    def f(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.assign(__h=part["__h"].to_numpy().astype("S32"))
+        part, starts = clouds.in_order(part, "cloud_id", "__h", "pt")
+        x, rows, bin_, place = part[list(XYZ)].to_numpy(float), [], [], []
+        for at, end in zip(starts, np.append(starts[1:], len(part))):
+            own = x[at:end]
+            low, extent = own.min(0), own.max(0) - own.min(0)
+            axis, width = int(extent.argmax()), extent.max()
+            b = np.zeros(len(own), int) if width <= 0 else np.minimum(np.floor((own[:, axis] - low[axis]) / width * bins), bins - 1).astype(int)
+            if len(own) <= n:
+                chosen = np.arange(n) % len(own)
+            else:
+                used = np.unique(b)
+                inside = [np.flatnonzero(b == v) for v in used]
+                chosen = np.concatenate([i[greedy(own[i], n // len(used))] for i in inside]) if n >= len(used) else np.empty(0, int)
+                rest = np.setdiff1d(np.arange(len(own)), chosen)
+                chosen = np.append(chosen, rest[greedy(own[rest], n - len(chosen))] if n > len(chosen) else rest[:0])
+            rows.append(at + chosen)
+            bin_.append(b[chosen])
+            place.append(np.arange(len(chosen)))
+        found = part[["cloud_id", "pt", *XYZ]].iloc[np.concatenate(rows)]
+        return found.assign(bin=np.concatenate(bin_), place=np.concatenate(place))
+
+    return f
+
+
 def farthest_resample(df: DataFrame, n: int, bins: int = 8, seed: int = 0, candidates: int = CANDIDATES) -> DataFrame:
     """(cloud_id, pt, x, y, z, bin, place): n points per cloud. Equal bins of the longest axis, the last one closed, give equal quotas in farthest-point order; the shortfall comes from
     the rest of the cloud in the same way; a cloud of fewer points gives them all, and repeats them in hash order.
 
-    See :func:`farthest_points`; points with a null or non-finite coordinate are left out.
+    Clouds of up to ``candidates`` points are put in order within tasks that hold some of them; larger ones see :func:`farthest_points`. Points with a null or non-finite coordinate are left out.
     """
-    b = bounds(df).select("cloud_id", *("min_" + c for c in XYZ), *((F.col("max_" + c) - F.col("min_" + c)).alias("e" + c) for c in XYZ))
     ok = F.lit(True)
     for c in XYZ:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
-    df = df.filter(ok).join(b, "cloud_id")
+    df = df.filter(ok).select("cloud_id", "pt", *(F.col(c).cast("double").alias(c) for c in XYZ))
+    small, large, rows = clouds.by_size(df, "cloud_id", candidates)
+    schema = T.StructType([*df.schema, T.StructField("bin", T.LongType()), T.StructField("place", T.LongType())])
+    found = clouds.within(small, "cloud_id", rows, whole(n, bins), schema, {"__h": hash_key(seed, "cloud_id", "pt")})
+    return found if large is None else found.unionByName(_in_rounds(large, n, bins, seed, candidates))
+
+
+def _in_rounds(df: DataFrame, n: int, bins: int, seed: int, candidates: int) -> DataFrame:
+    """The same by joins and rounds, see :func:`farthest_points`; df has finite points."""
+    b = bounds(df).select("cloud_id", *("min_" + c for c in XYZ), *((F.col("max_" + c) - F.col("min_" + c)).alias("e" + c) for c in XYZ))
+    df = df.join(b, "cloud_id")
     use_x, use_y = (F.col("ex") >= F.col("ey")) & (F.col("ex") >= F.col("ez")), F.col("ey") >= F.col("ez")
     value = F.when(use_x, F.col("x") - F.col("min_x")).when(use_y, F.col("y") - F.col("min_y")).otherwise(F.col("z") - F.col("min_z"))
     width = F.greatest("ex", "ey", "ez")
