@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pointmill.functions.hashing import uniform
 from pointmill.functions.scratch import materialize
+from pointmill.operators.clouds import PARTITION, TOGETHER
 from pointmill.operators.points import XYZ
 
 #: Numbers of faces that share a block, in which areas are summed up by one task.
 BLOCK = 4096
+#: Meshes of up to so many vertices and faces are sampled within tasks that hold some of them.
+WHOLE_UP_TO = 16_384
 
 
 def numbered_lines(spark: SparkSession, folder: str, glob: str = "*.off") -> DataFrame:
@@ -70,10 +79,92 @@ def _last_before(df: DataFrame, keys: list[str], place: str, marks: DataFrame, a
     return merged.select(*keys, "__row.*", F.col("__value").alias(value))
 
 
-def sample_surface(vertices: DataFrame, faces: DataFrame, n: int, seed: int = 0, scaled: bool = False, block: int = BLOCK) -> DataFrame:
-    """n area-weighted points per mesh. vertices (mesh_id, v, x, y, z), faces (mesh_id, face, v0, v1, v2), face being a whole number; faces without area, with unknown or
+def _uniforms(seed: int, mesh, n: int, *last: str) -> np.ndarray:
+    """As :func:`pointmill.functions.hashing.uniform` of (seed, mesh, 0 to n - 1, last)."""
+    end = "".join("::" + x for x in last)
+    return np.array([int(hashlib.md5(f"{seed}::{mesh}::{i}{end}".encode()).hexdigest()[:8], 16) for i in range(n)]) / 4294967296.0
+
+
+def _sampled(n: int, seed: int, scaled: bool, block: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """:func:`sample_surface` of whole meshes, by the same sums."""
+    corners = [f"{c}{i}" for i in range(3) for c in XYZ]
+
+    def f(vertices: pd.DataFrame, faces: pd.DataFrame) -> pd.DataFrame:
+        known = vertices[np.isfinite(vertices[list(XYZ)].to_numpy(float)).all(1)]
+        t = faces[["__mesh", "face", "v0", "v1", "v2"]].rename(columns={"__mesh": "mesh_id"})
+        for i in range(3):
+            t = t.merge(known[["mesh_id", "v", *XYZ]].rename(columns={"v": f"v{i}"} | {c: f"{c}{i}" for c in XYZ}), on=["mesh_id", f"v{i}"])
+        t = t.sort_values(["mesh_id", "face"], kind="stable")
+        x, mesh, face = t[corners].to_numpy(float).reshape(-1, 3, 3), t["mesh_id"].to_numpy(), t["face"].to_numpy(np.int64)
+        starts = np.flatnonzero(np.append(True, mesh[1:] != mesh[:-1])) if len(t) else np.empty(0, int)
+        drawn = {}
+        for at, end in zip(starts, np.append(starts[1:], len(t))):
+            p = x[at:end]
+            if scaled:
+                p = p - p.mean(0).sum(0) / 3
+                size = np.sqrt((p**2).sum(2)).max()
+                p = p / (size if size > 1e-12 else 1.0)
+            area = np.sqrt((np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]) ** 2).sum(1)) / 2
+            p, own, area = p[area > 1e-12], face[at:end][area > 1e-12], area[area > 1e-12]
+            if not len(area):
+                continue
+            first = np.flatnonzero(np.append(True, own[1:] // block != own[:-1] // block))
+            ends = np.append(first[1:], len(area))
+            upto = np.concatenate([np.cumsum(area[a:b]) for a, b in zip(first, ends)])
+            before = upto - area
+            size = np.maximum.reduceat(before + area, first)
+            start, total = np.cumsum(size) - size, np.cumsum(size)[-1]
+            place = _uniforms(seed, mesh[at], n) * total
+            which = np.searchsorted(start, place, "right") - 1
+            inner = np.maximum(place - start[which], 0.0)
+            hit = np.array([a + np.searchsorted(before[a:b], v, "right") - 1 for a, b, v in zip(first[which], ends[which], inner)], int)
+            r1, r2 = np.sqrt(_uniforms(seed, mesh[at], n, "a"))[:, None], _uniforms(seed, mesh[at], n, "b")[:, None]
+            drawn[mesh[at]] = (1 - r1) * p[hit, 0] + r1 * (1 - r2) * p[hit, 1] + r1 * r2 * p[hit, 2]
+        bare = vertices[~vertices["mesh_id"].isin(list(drawn))].rename(columns={"v": "pt"})[["mesh_id", "pt", *XYZ]]
+        if not drawn:
+            return bare
+        points = np.concatenate(list(drawn.values()))
+        found = pd.DataFrame({"mesh_id": np.repeat(np.array(list(drawn), dtype=object), n), "pt": np.tile(np.arange(n), len(drawn))} | {c: points[:, i] for i, c in enumerate(XYZ)})
+        return pd.concat([found, bare.astype({"mesh_id": object})]) if len(bare) else found
+
+    return lambda v, t: f(v, t).astype({"pt": np.int64})
+
+
+def sample_surface(vertices: DataFrame, faces: DataFrame, n: int, seed: int = 0, scaled: bool = False, block: int = BLOCK, whole_up_to: int = WHOLE_UP_TO) -> DataFrame:
+    """n area-weighted points per mesh. vertices (mesh_id, v, x, y, z), faces (mesh_id, face, v0, v1, v2), v and face being whole numbers; faces without area, with unknown or
     non-finite corners are dropped; a mesh without any gives its vertices. ``scaled`` moves a mesh's corners to their mean and divides by the largest norm first.
 
+    Meshes of up to ``whole_up_to`` vertices and faces, whose ids are texts or whole numbers and that have no NaN, are sampled within tasks that hold some of them, so vertices and faces are shuffled once;
+    larger ones by joins, see :func:`_sample_by_joins`.
+    """
+    kind = vertices.schema["mesh_id"].dataType
+    if not isinstance(kind, (T.StringType, T.LongType, T.IntegerType)) or faces.schema["mesh_id"].dataType != kind:
+        return _sample_by_joins(vertices, faces, n, seed, scaled, block)
+    whole = lambda *names: [F.col(c).cast("long").alias(c) for c in names]
+    v = vertices.filter("mesh_id IS NOT NULL").select("mesh_id", *whole("v"), *(F.col(c).cast("double").alias(c) for c in XYZ))
+    t = faces.select("mesh_id", *whole("face", "v0", "v1", "v2")).filter("mesh_id IS NOT NULL AND face IS NOT NULL AND v0 IS NOT NULL AND v1 IS NOT NULL AND v2 IS NOT NULL")
+    unknown = F.max(F.isnan("x") | F.isnan("y") | F.isnan("z"))  # pandas would make nulls of NaN
+    each = v.groupBy("mesh_id").agg(F.count("*").alias("__n"), unknown.alias("__u")).unionByName(t.groupBy("mesh_id").agg(F.count("*").alias("__n"), F.lit(False).alias("__u")))
+    sizes = each.groupBy("mesh_id").agg(F.sum("__n").alias("__n"), F.max("__u").alias("__u"))
+    sizes = materialize(sizes.select("mesh_id", "__n", ((F.col("__n") > whole_up_to) | F.coalesce("__u", F.lit(False))).alias("__large")), "sizes")
+    some, rows = sizes.agg(F.max("__large"), F.sum("__n")).first()
+    large = None
+    if some:
+        large = materialize(sizes.filter("__large").select("mesh_id"), "large")
+        large_v, large_t = (df.join(large, "mesh_id", "left_semi") for df in (v, t))
+        v, t = (df.join(large, "mesh_id", "left_anti") for df in (v, t))
+    groups = max(1, -(-(rows or 0) // TOGETHER))
+    parts = max(vertices.sparkSession.sparkContext.defaultParallelism, -(-(rows or 0) // PARTITION))
+    v, t = (df.withColumn("__g", F.pmod(F.xxhash64("mesh_id"), F.lit(groups)).cast("int")).repartition(parts, "__g") for df in (v, t))
+    v, t = v.groupBy("__g"), t.select("__g", F.col("mesh_id").alias("__mesh"), "face", "v0", "v1", "v2").groupBy("__g")  # names apart: faces may be made of vertices
+    schema = T.StructType([T.StructField("mesh_id", kind), T.StructField("pt", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in XYZ)])
+    found = v.cogroup(t).applyInPandas(_sampled(n, seed, scaled, block), schema)
+    return found if large is None else found.unionByName(_sample_by_joins(large_v, large_t, n, seed, scaled, block))
+
+
+def _sample_by_joins(vertices: DataFrame, faces: DataFrame, n: int, seed: int, scaled: bool, block: int) -> DataFrame:
+    """The same, of meshes of any size.
+
     A draw is a place in the cumulated areas. Areas are summed in blocks of ``block`` face numbers; the draws of a mesh are merged with its blocks, and those of a block with its
     faces. So no draw meets all faces, and a task holds the blocks of one mesh, or one block, with the draws that fall there.
     """

@@ -7,6 +7,7 @@ from test_sampling import frame
 
 import __spark_entry__
 from pointmill.operators import sampling
+from pointmill.sources import mesh
 
 
 def test_clouds_in_tasks_equal_those_in_rounds(spark):
@@ -18,7 +19,25 @@ def test_clouds_in_tasks_equal_those_in_rounds(spark):
         assert one == other and len(one) == 4 * n
 
 
-@pytest.mark.parametrize("name", ["d6_farthest"])
-def test_points_are_shuffled_once(spark, name):
+@pytest.mark.parametrize("scaled", [False, True])
+def test_meshes_in_tasks_equal_those_by_joins(spark, scaled):
+    """Also meshes without area, with unknown corners, of one mesh above the bound, and of faces in several blocks."""
+    rng = np.random.default_rng(6)
+    v = [(m, i, *map(float, p)) for m, k in ((1, 40), (2, 300), (3, 5)) for i, p in enumerate(rng.normal(size=(k, 3)) * m)] + [(4, 0, 1.0, None, 2.0), (4, 1, 1.0, 1.0, float("nan")), (5, 0, 1.0, 2.0, 3.0)]
+    f = [(1, 7 * i, *map(int, rng.integers(0, 42, 3))) for i in range(60)] + [(2, i, *map(int, rng.integers(0, 300, 3))) for i in range(400)] + [(3, 0, 1, 1, 2), (4, 0, 0, 1, 2), (6, 0, 0, 1, 2)]
+    v = spark.createDataFrame(v, "mesh_id long, v long, x double, y double, z double")
+    f = spark.createDataFrame(f, "mesh_id long, face long, v0 long, v1 long, v2 long")
+    rows = lambda df: sorted((r[0], r[1], *(str(None if c is None else round(c, 9) + 0.0) for c in r[2:])) for r in df.collect())
+    want = rows(mesh._sample_by_joins(v, f, 50, 0, scaled, 32))
+    for most in (16_384, 200):
+        assert rows(mesh.sample_surface(v, f, 50, 0, scaled, 32, most)) == want
+    assert len(want) == 2 * 50 + 5 + 2 + 1
+
+
+def test_points_are_shuffled_once(spark):
     points = spark.read.parquet(f"{SF}/lineitem.parquet").count()
-    assert shuffled(spark, lambda: __spark_entry__.queries()[name](spark, SF).write.format("noop").mode("overwrite").save()) < 4 * points
+    assert shuffled(spark, lambda: __spark_entry__.queries()["d6_farthest"](spark, SF).write.format("noop").mode("overwrite").save()) < 3.5 * points
+
+
+def test_meshes_are_sampled_without_a_join(spark):
+    assert "Join" not in __spark_entry__.queries()["a9_surface"](spark, SF)._jdf.queryExecution().toString()
