@@ -146,18 +146,18 @@ def _surface(big):
 
 
 def _off_files(big) -> str:
-    """A folder of OFF files made of the clouds: a triangle for each three points and a square for each five, by Spark's text writer, one file a cloud."""
+    """A folder of OFF files made of the clouds: a triangle for each three points and a square for each five, one file a cloud, written by the tasks."""
     name = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pt", F.concat_ws(" ", *(F.col(c).cast("string") for c in "xyz")).alias("l")))), lambda p: p["l"]), "\n")
     clouds = big.groupBy("cloud_id").agg(F.count("*").cast("int").alias("n"), name.alias("body")).filter("n >= 3")
     face = lambda k, i: F.concat_ws(" ", F.lit(str(k)), *((i * 3 + j).cast("string") for j in range(k)))
     threes = F.transform(F.expr("sequence(0, cast(n / 3 - 1 AS int))"), lambda i: F.when((i % 2 == 1) & (i * 3 + 3 < F.col("n")), face(4, i)).otherwise(face(3, i)))
     text = F.concat(F.lit("OFF\n# made of a cloud\n"), F.concat_ws(" ", F.col("n").cast("string"), F.size(threes).cast("string"), F.lit("0")), F.lit("\n"), "body", F.lit("\n"), F.array_join(threes, "\n"), F.lit("\n"))
     folder = scratch_folder(big.sparkSession, "meshes")
-    clouds.select(text.alias("value"), "cloud_id").write.option("lineSep", "\n").partitionBy("cloud_id").text(folder)
+    ingest.write_texts(clouds.select(F.concat(F.lit("cloud_id="), F.col("cloud_id"), F.lit(".txt")).alias("name"), text.alias("text")), folder)
     return folder
 
 
-@query("a9_off_meshes", "big", sql=f"""
+@query("a9_off_meshes", "big", dealt=True, sql=f"""
 WITH v AS (SELECT cloud_id AS m, pt-1 AS i, x, y, z, count(*) OVER (PARTITION BY cloud_id) AS n FROM big),
 q AS (SELECT a.m, a.i//3 AS f, a.n, unnest(CASE WHEN a.i//3%2=1 AND a.i+3<a.n THEN [0, 1] ELSE [0] END) AS t, a.i FROM v a WHERE a.i%3=0 AND a.i+2<a.n),
 k AS (SELECT m, max(1+(f%2=1 AND i+3<n)::INT) AS most FROM q GROUP BY 1),
